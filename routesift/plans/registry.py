@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("events", "functions", "detectors", "baselines", "waves", "alerts", "logs", "sources", "metrics", "streams")
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its inventory key, with DuckDB SQL if there is any."""
+
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def _load() -> None:
+    for module in MODULES:
+        importlib.import_module(f"{__package__}.{module}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
