@@ -84,7 +84,7 @@ def message_key(text: Column) -> Column:
 
 def path_hash(path: Column) -> Column:
     """h * 31 + asn modulo 2**64 over the path, as decimal(20,0); 0 for an empty path."""
-    return F.aggregate(path, F.lit(0).cast("decimal(20,0)"), lambda h, a: ((h * 31 + a) % F.lit(U64).cast("decimal(20,0)")).cast("decimal(20,0)"))
+    return F.aggregate(path, F.lit(0).cast("decimal(20,0)"), lambda h, a: ((h * 31 + a) % F.lit(str(U64)).cast("decimal(20,0)")).cast("decimal(20,0)"))
 
 
 def parse_asn(text: Column) -> Column:

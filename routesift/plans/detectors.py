@@ -1 +1,124 @@
-"""Queries to be registered."""
+"""Queries of hijack, flapping, RPKI, IRR and ROA operators."""
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from ..operators import detectors as D
+from ..operators import rpki as R
+from . import fixtures as X
+from .fixtures import sql
+from .functions import V4_SQL
+from .registry import query
+
+HALF = datetime(2024, 1, 16)
+FIRST_SQL = ", firsts as (select * from bgp_events where event_type <> 'withdraw' qualify row_number() over (partition by prefix, origin_as order by timestamp, event_id) = 1)"
+
+
+@query("hijack_first_seen", sql(FIRST_SQL + " select event_id, 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.85 as confidence, timestamp as detected_at, tenant_id from firsts"))
+def hijack_first_seen(spark, d):
+    return D.hijack_first_seen(X.bgp_events(spark, d))
+
+
+@query("known_origins_running", sql(FIRST_SQL + " select event_id, prefix, origin_as, list_sort(list(origin_as) over (partition by prefix order by timestamp, event_id)) as known from firsts"))
+def known_origins_running(spark, d):
+    return D.known_origins_running(X.bgp_events(spark, d)).select("event_id", "prefix", "origin_as", "known")
+
+
+@query("known_origin_anti", sql("select event_id, prefix, origin_as from bgp_events e where timestamp >= '2024-01-16' and (prefix, origin_as) not in (select (prefix, origin_as) from bgp_events where timestamp < '2024-01-16' and event_type = 'announce')"))
+def known_origin_anti(spark, d):
+    e = X.bgp_events(spark, d)
+    half = F.lit(HALF).cast("timestamp_ntz")
+    return D.unseen(e.where(F.col("timestamp") >= half), e.where((F.col("timestamp") < half) & (F.col("event_type") == "announce"))).select("event_id", "prefix", "origin_as")
+
+
+FLAP_SQL = """, turned as (select *, coalesce((lag(event_type) over (partition by prefix order by timestamp, event_id) <> event_type)::int, 0) as turn from bgp_events),
+flaps as (select event_id, prefix, origin_as, timestamp, tenant_id, count(*) over w as n_events, sum(turn) over w - first_value(turn) over w as n_changes from turned window w as (partition by prefix order by timestamp range between interval 86400 seconds preceding and current row) qualify n_events >= 3 and n_changes >= 2) """
+
+
+@query("flapping", sql(FLAP_SQL + "select event_id, prefix, n_events, n_changes::bigint as n_changes from flaps"))
+def flapping(spark, d):
+    return D.flapping(X.bgp_events(spark, d), 86400, 3, 2).select("event_id", "prefix", "n_events", "n_changes")
+
+
+KEYS_SQL = f""", parsed as (select distinct prefix, origin_as, split_part(prefix, '/', 2)::int as plen, {V4_SQL} as bits from bgp_events where event_type = 'announce'),
+index as (select max_length, asn, ord, split_part(prefix, '/', 2)::int as len, substr({V4_SQL}, 1, split_part(prefix, '/', 2)::int) as net from vrps),
+keys as (select prefix, origin_as, plen, l.len, substr(bits, 1, l.len) as net from parsed, (select distinct len from index) l where l.len <= plen),
+hits as (select k.*, i.asn, i.ord, i.max_length from keys k join index i using (len, net)),
+decided as (select prefix, origin_as, plen <= max_length as within from hits where asn = origin_as qualify row_number() over (partition by prefix, origin_as order by len desc, ord) = 1),
+status as (select p.prefix, p.origin_as, case when d.within then 'Valid' when d.within is not null then 'InvalidLength' when exists (select 1 from hits h where h.prefix = p.prefix and h.origin_as = p.origin_as) then 'InvalidAsn' else 'NotFound' end as rpki from parsed p left join decided d using (prefix, origin_as)) """
+IRR_SQL = """, registered as (select prefix, list_sort(list(distinct origin)) as irr_asns from irr_routes group by 1),
+checked as (select e.*, irr_asns, case when irr_asns is null then 'NotFound' when list_contains(irr_asns, origin_as) then 'Consistent' else 'Inconsistent' end as irr from bgp_events e left join registered using (prefix)) """
+RICH_SQL = KEYS_SQL + IRR_SQL + FIRST_SQL + """, rich as (select c.event_id, c.prefix, c.origin_as, s.rpki, c.irr, f.event_id is not null as is_new,
+case when f.event_id is not null then case when rpki = 'Valid' then 0.30 when rpki like 'Invalid%' then case when irr = 'Inconsistent' then 0.99 else 0.97 end when irr = 'Inconsistent' then 0.90 else 0.85 end
+when rpki like 'Invalid%' then case when irr = 'Inconsistent' then 0.75 else 0.60 end end as confidence
+from checked c join status s using (prefix, origin_as) left join firsts f on f.event_id = c.event_id where c.event_type = 'announce') """
+
+
+def validated(spark, d):
+    e = X.bgp_events(spark, d).where("event_type = 'announce'")
+    return R.irr_check(R.rpki_validate(e, X.vrps(spark, d)), X.irr_routes(spark, d))
+
+
+@query("covering_keys", sql(KEYS_SQL + "select distinct prefix, len, net from keys"))
+def covering_keys(spark, d):
+    index = R.vrp_index(X.vrps(spark, d))
+    lengths = [(r["family"], r["len"]) for r in index.select("family", "len").distinct().collect()]
+    pairs = X.bgp_events(spark, d).where("event_type = 'announce'").select("prefix").distinct()
+    return R.covering_keys(pairs, lengths).select("prefix", "len", "net")
+
+
+@query("rpki_validate", sql(KEYS_SQL + "select event_id, prefix, origin_as, rpki from bgp_events join status using (prefix, origin_as) where event_type = 'announce'"))
+def rpki_validate(spark, d):
+    return R.rpki_validate(X.bgp_events(spark, d).where("event_type = 'announce'"), X.vrps(spark, d)).select("event_id", "prefix", "origin_as", "rpki")
+
+
+@query("irr_check", sql(IRR_SQL + "select event_id, prefix, origin_as, irr, irr_asns from checked"))
+def irr_check(spark, d):
+    return R.irr_check(X.bgp_events(spark, d), X.irr_routes(spark, d)).select("event_id", "prefix", "origin_as", "irr", "irr_asns")
+
+
+@query("hijack_enriched", sql(RICH_SQL + "select event_id, prefix, origin_as, rpki, irr, is_new, confidence from rich where confidence is not null"))
+def hijack_enriched(spark, d):
+    return D.hijack_enriched(validated(spark, d)).select("event_id", "prefix", "origin_as", "rpki", "irr", "is_new", "confidence")
+
+
+@query("hijack_rpki_first", sql(RICH_SQL + "select event_id, prefix, origin_as, rpki, confidence from rich where rpki like 'Invalid%'"))
+def hijack_rpki_first(spark, d):
+    return D.hijack_rpki_first(validated(spark, d)).select("event_id", "prefix", "origin_as", "rpki", "confidence")
+
+
+DELTA_SQL = ", delta as (select *, 'added' as action from (select * from roa_new except select * from roa_old) union all select *, 'removed' from (select * from roa_old except select * from roa_new)) "
+
+
+def delta(spark, d):
+    return R.roa_delta(X.roas(spark, d, 0), X.roas(spark, d, 1))
+
+
+@query("roa_delta", sql(DELTA_SQL + "select * from delta"))
+def roa_delta(spark, d):
+    return delta(spark, d)
+
+
+@query("roa_delta_counts", sql(DELTA_SQL + "select action, count(*) as n from delta group by 1"))
+def roa_delta_counts(spark, d):
+    return delta(spark, d).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("roa_removed_anomaly", sql(DELTA_SQL + "select 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.65 as confidence, 'ROA removed: ' || prefix || ' AS' || origin_as as details from delta where action = 'removed'"))
+def roa_removed_anomaly(spark, d):
+    return R.roa_removed_anomalies(delta(spark, d))
+
+
+@query("anomaly_union", sql(FIRST_SQL + FLAP_SQL + DELTA_SQL + "select 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.85 as confidence from firsts union all select 'PrefixFlapping', prefix, origin_as, 0.75 from flaps union all select 'PossibleHijack', prefix, origin_as, 0.65 from delta where action = 'removed'"))
+def anomaly_union(spark, d):
+    e = X.bgp_events(spark, d)
+    return D.anomaly_union(D.hijack_first_seen(e), D.flapping_anomalies(D.flapping(e, 86400, 3, 2), 86400), R.roa_removed_anomalies(delta(spark, d))).select("anomaly_type", "prefix", "origin_as", "confidence")
+
+
+@query("detector_plugin")
+def detector_plugin(spark, d):
+    registry = D.DetectorRegistry()
+    registry.register("first_seen", D.hijack_first_seen)
+    registry.register("flapping", lambda e: D.flapping_anomalies(D.flapping(e, 86400, 3, 2), 86400))
+    return registry.run(X.bgp_events(spark, d)).select("detector", "anomaly_type", "prefix", "origin_as", "confidence")

@@ -1 +1,200 @@
-"""Queries to be registered."""
+"""Queries of scalar functions."""
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from . import fixtures as X
+from .fixtures import sql
+from .registry import query
+
+
+def _quote(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _pii_sql(text: str) -> tuple[str, str, str]:
+    """Columns t0..t7 and n1..n7 of the redaction chain over ``text``, as nested selects."""
+    inner = f"(select *, {text} as t0 from src)"
+    for i, (token, pattern) in enumerate(S.PII, 1):
+        guard = f"contains(t{i - 1}, '{S.PII_GUARD[token]}')" if token in S.PII_GUARD else f"regexp_matches(t{i - 1}, '[0-9]')"
+        inner = f"(select *, case when {guard} then len(regexp_extract_all(t{i - 1}, '{_quote(pattern)}')) else 0 end as n{i}, case when {guard} then regexp_replace(t{i - 1}, '{_quote(pattern)}', '{token}', 'g') else t{i - 1} end as t{i} from {inner})"
+    n = len(S.PII)
+    total = " + ".join(f"n{i}" for i in range(1, n + 1))
+    kinds = "list_filter([" + ", ".join(f"case when n{i} > 0 then '{S.PII[i - 1][0].strip('[]')}' end" for i in range(1, n + 1)) + "], lambda x: x is not null)"
+    return inner, total, kinds.replace("list_filter([", "[x for x in [").replace("], lambda x: x is not null)", "] if x is not null]")
+
+
+_INNER, _TOTAL, _KINDS = _pii_sql("text")
+DOCS = "with src as (select doc_id, text from documents) "
+
+
+@query("pii_redact", DOCS + f"select doc_id, t7 as redacted from {_INNER}")
+def pii_redact(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.pii_redact(F.col("text")).alias("redacted"))
+
+
+@query("pii_count", DOCS + f"select doc_id, ({_TOTAL})::int as hits, {_KINDS} as kinds from {_INNER}")
+def pii_count(spark, d):
+    total, kinds = S.pii_hits(F.col("text"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", total.alias("hits"), kinds.alias("kinds"))
+
+
+@query("message_key", sql("select id, sha256(lower(trim('  ' || message || ' '))) as key from log_messages"))
+def message_key(spark, d):
+    return X.log_messages(spark, d).select("id", S.message_key(F.concat(F.lit("  "), "message", F.lit(" "))).alias("key"))
+
+
+@query("path_hash", sql("select event_id, list_reduce(list_prepend(0::hugeint, as_path::hugeint[]), lambda h, a: (h * 31 + a) % 18446744073709551616::hugeint)::decimal(20,0) as hash from bgp_events"))
+def path_hash(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.path_hash(F.col("as_path")).alias("hash"))
+
+
+ASN_TEXT = "case k % 6 when 0 then concat('AS', origin_as) when 1 then concat(' as', origin_as, ' ') when 2 then cast(origin_as as varchar(20)) when 3 then '4294967296' when 4 then 'ASX' else '' end"
+
+
+@query("parse_asn", sql(f"select event_id, case when a <= 4294967295 then a end as asn from (select event_id, try_cast(nullif(regexp_extract(trim({ASN_TEXT}), '^(?i:AS)?([0-9]{{1,10}})$', 1), '') as bigint) as a from bgp_events)"))
+def parse_asn(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.parse_asn(F.expr(ASN_TEXT)).alias("asn"))
+
+
+PREFIX_TEXT = "case k % 6 when 0 then prefix when 1 then '2001:db8::/32' when 2 then '10.0.0.0' when 3 then '10.0.0.0/256' when 4 then '10.0.0.0/30' else '2001:db8::/64' end"
+_PLEN = "case when try_cast(split_part(p, '/', 2) as int) between 0 and 255 then try_cast(split_part(p, '/', 2) as int) end"
+
+
+@query("prefix_length", sql(f"select event_id, {_PLEN} as plen from (select event_id, {PREFIX_TEXT} as p from bgp_events)"))
+def prefix_length(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.prefix_length(F.expr(PREFIX_TEXT)).alias("plen"))
+
+
+@query("unusual_prefix_length", sql(f"select event_id, coalesce(case when contains(p, ':') then n not between 32 and 48 else n not between 8 and 24 end, false) as unusual from (select event_id, p, {_PLEN} as n from (select event_id, {PREFIX_TEXT} as p from bgp_events))"))
+def unusual_prefix_length(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.unusual_prefix_length(F.expr(PREFIX_TEXT)).alias("unusual"))
+
+
+V4_SQL = "lpad(to_base(split_part(split_part(prefix, '/', 1), '.', 1)::int, 2), 8, '0') || lpad(to_base(split_part(split_part(prefix, '/', 1), '.', 2)::int, 2), 8, '0') || lpad(to_base(split_part(split_part(prefix, '/', 1), '.', 3)::int, 2), 8, '0') || lpad(to_base(split_part(split_part(prefix, '/', 1), '.', 4)::int, 2), 8, '0')"
+
+
+@query("prefix_bits", sql(f"select distinct prefix, 4 as family, split_part(prefix, '/', 2)::int as plen, {V4_SQL} as bits from bgp_events"))
+def prefix_bits(spark, d):
+    return X.bgp_events(spark, d).select("prefix").distinct().withColumn("b", S.prefix_bits(F.col("prefix"))).select("prefix", "b.family", "b.plen", "b.bits")
+
+
+def collector_rows() -> str:
+    return X._rows([(c[0], c[1], c[2], c[3], c[4], c[6]) for c in S.COLLECTORS])
+
+
+def collectors(spark):
+    return spark.createDataFrame(list(S.COLLECTORS), "collector string, city string, country string, lat double, lon double, ixp string, region string")
+
+
+def pair_distances(spark):
+    """Kilometres between any two known collectors (26 x 26 rows)."""
+    c = collectors(spark).select("collector", "lat", "lon")
+    rows = [(a[0], b[0], a[3], a[4], b[3], b[4]) for a in S.COLLECTORS for b in S.COLLECTORS]
+    p = c.sparkSession.createDataFrame(rows, "a string, b string, lat1 double, lon1 double, lat2 double, lon2 double")
+    return p.select("a", "b", S.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km"))
+
+
+_A = "(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2))"
+GEO_SQL = f", collectors as (select * from (values {collector_rows()}) c(collector, city, country, lat, lon, region)), pairs as (select x.collector as a, y.collector as b, 6371.0 * 2 * atan2(sqrt({_A}), sqrt(1 - {_A})) as km from collectors x, collectors y) "
+
+
+@query("haversine_km", sql(GEO_SQL + "select a, b, round(km, 6) as km from pairs where a < b"))
+def haversine_km(spark, d):
+    return pair_distances(spark).where("a < b").select("a", "b", F.round("km", 6).alias("km"))
+
+
+@query("collector_distance", sql(GEO_SQL + "select event_id, collector, round(km, 6) as km from bgp_observations left join pairs on a = collector and b = 'rrc00'"))
+def collector_distance(spark, d):
+    near = pair_distances(spark).where("b = 'rrc00'").select(F.col("a").alias("collector"), "km")
+    return X.bgp_observations(spark, d).join(F.broadcast(near), "collector", "left").select("event_id", "collector", F.round("km", 6).alias("km"))
+
+
+@query("light_transit_ms", sql(GEO_SQL + "select event_id, collector, round(km / 200000.0 * 1000, 6) as ms from bgp_observations left join pairs on a = collector and b = 'rrc00'"))
+def light_transit_ms(spark, d):
+    near = pair_distances(spark).where("b = 'rrc00'").select(F.col("a").alias("collector"), "km")
+    return X.bgp_observations(spark, d).join(F.broadcast(near), "collector", "left").select("event_id", "collector", F.round(S.light_transit_ms(F.col("km")), 6).alias("ms"))
+
+
+@query("collector_lookup", sql(GEO_SQL + "select event_id, o.collector, city, country, region, c.collector is not null as is_known from bgp_observations o left join collectors c on c.collector = o.collector and c.region <> 'SA'"))
+def collector_lookup(spark, d):
+    known = collectors(spark).where("region <> 'SA'").select("collector", "city", "country", "region")
+    return X.bgp_observations(spark, d).join(F.broadcast(known), "collector", "left").select("event_id", "collector", "city", "country", "region", F.col("city").isNotNull().alias("is_known"))
+
+
+@query("alert_fingerprint", sql("select event_id, sha256('hijack:' || prefix || ':' || origin_as) as fingerprint from bgp_events"))
+def alert_fingerprint(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.alert_fingerprint(F.lit("hijack"), F.col("prefix"), F.col("origin_as")).alias("fingerprint"))
+
+
+@query("escalation_level", sql("select event_id, case when k < 50 then null when k < 70 then 'warning' when k < 90 then 'critical' else 'emergency' end as level from bgp_events"))
+def escalation_level(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.escalation_level(F.col("k") / 100).alias("level"))
+
+
+@query("wave_classification", sql("select event_id, case when k < 30 then 'Normal' when k < 60 then 'Suspicious' else 'Anomalous' end as class from bgp_events"))
+def wave_classification(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.wave_classification(F.col("k") / 100).alias("class"))
+
+
+@query("api_key_hash", sql("select distinct tenant_id, sha256('key-' || tenant_id) as api_key_hash from bgp_events"))
+def api_key_hash(spark, d):
+    return X.bgp_events(spark, d).select("tenant_id").distinct().select("tenant_id", F.sha2(F.concat(F.lit("key-"), "tenant_id"), 256).alias("api_key_hash"))
+
+
+@query("z_score", sql("select event_id, round(case when k % 5 = 0 then 0 else (value - 50) / (k % 5) end, 6) as z from base"))
+def z_score(spark, d):
+    return X.base(spark, d).select("event_id", F.round(S.z_score(F.col("value"), F.lit(50.0), F.col("k") % 5), 6).alias("z"))
+
+
+@query("ema_z_score", sql("select event_id, round(z, 6) as z, coalesce(abs(z) > 3, false) as is_anomaly from (select event_id, case when k % 10 >= 5 then (value - 40) / sqrt(25 + 1e-6) end as z from base)"))
+def ema_z_score(spark, d):
+    z = S.ema_z_score(F.col("value"), F.lit(40.0), F.lit(25.0), F.col("k") % 10)
+    return X.base(spark, d).select("event_id", F.round(z, 6).alias("z"), S.is_anomaly(z).alias("is_anomaly"))
+
+
+@query("as_set_flatten", sql("select event_id, case when k % 3 = 0 then [3356, 174, 0, 64512] else [peer_asn, 6939] end as path from bgp_events"))
+def as_set_flatten(spark, d):
+    raw = F.expr("if(k % 3 = 0, array('3356', '[174, 1299]', 'x', '\"64512\"'), array(cast(peer_asn as string), '6939'))")
+    return X.bgp_events(spark, d).select("event_id", S.flatten_path(raw).alias("path"))
+
+
+_NAMES = "case {x} " + " ".join(f"when {k} then '{v}'" for k, v in S.AS_NAMES.items()) + " else {other} end"
+
+
+@query("as_name", sql(f"select event_id, {_NAMES.format(x='as_path[2]', other=chr(39) + 'AS' + chr(39) + ' || as_path[2]')} as name from bgp_events"))
+def as_name(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.as_name(F.col("as_path")[1]).alias("name"))
+
+
+@query("path_display", sql(f"select event_id, array_to_string([{_NAMES.format(x='a', other='a::varchar')} for a in as_path[-4:]], ' → ') as display from bgp_events"))
+def path_display(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.path_display(F.col("as_path"), F.col("peer_asn")).alias("display"))
+
+
+@query("iso_timestamp", sql("select event_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') as iso from bgp_events"))
+def iso_timestamp(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.iso_timestamp(F.col("timestamp")).alias("iso"))
+
+
+@query("next_midnight", sql("select event_id, (timestamp::date + 1)::date as midnight from bgp_events"))
+def next_midnight(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.next_midnight(F.col("timestamp")).alias("midnight"))
+
+
+@query("next_month_start", sql("select event_id, (date_trunc('month', timestamp) + interval 1 month)::date as start from bgp_events"))
+def next_month_start(spark, d):
+    return X.bgp_events(spark, d).select("event_id", S.next_month_start(F.col("timestamp")).alias("start"))
+
+
+@query("tenant_id_valid", sql("select event_id, tid, len(tid) <= 64 and regexp_matches(tid, '^[A-Za-z0-9_-]+$') as valid from (select event_id, coalesce(case k % 4 when 0 then tenant_id when 1 then 'bad id' when 2 then repeat('x', 65) end, 'anonymous') as tid from bgp_events)"))
+def tenant_id_valid(spark, d):
+    tid = F.expr("coalesce(case k % 4 when 0 then tenant_id when 1 then 'bad id' when 2 then repeat('x', 65) end, 'anonymous')")
+    return X.bgp_events(spark, d).select("event_id", tid.alias("tid")).withColumn("valid", (F.length("tid") <= 64) & F.col("tid").rlike("^[A-Za-z0-9_-]+$"))
+
+
+@query("prefix_param_valid", sql("select event_id, replace(replace(p, '%2F', '/'), '%3A', ':') as decoded, regexp_matches(replace(replace(p, '%2F', '/'), '%3A', ':'), '^[0-9a-fA-F.:/]+$') as valid from (select event_id, case k % 3 when 0 then replace(prefix, '/', '%2F') when 1 then '2001%3Adb8%3A%3A%2F32' else prefix || ';' end as p from bgp_events)"))
+def prefix_param_valid(spark, d):
+    p = F.expr("case k % 3 when 0 then replace(prefix, '/', '%2F') when 1 then '2001%3Adb8%3A%3A%2F32' else concat(prefix, ';') end")
+    decoded = F.replace(F.replace(p, F.lit("%2F"), F.lit("/")), F.lit("%3A"), F.lit(":"))
+    return X.bgp_events(spark, d).select("event_id", decoded.alias("decoded")).withColumn("valid", F.col("decoded").rlike("^[0-9a-fA-F.:/]+$"))
