@@ -78,7 +78,7 @@ SQL_TABLES = f"""
 base as (select event_id, ts as timestamp, user_id as u, event_type as et, regexp_extract(props, '([0-9]+)', 1)::int as k, value from events),
 ev0 as (select event_id, timestamp, case when et = 'error' then 'withdraw' else 'announce' end as event_type, {PREFIX} as prefix, (case when k < 3 then 65000 + k else 64512 + u % 50 end)::bigint as origin_as, (1103 + u % 7)::bigint as peer_asn, u, k from base),
 bgp_events as (select event_id, timestamp, event_type, prefix, origin_as, peer_asn, case when k >= 95 then [peer_asn, 174, 1299, 2914, 6939, 3356, origin_as] else [peer_asn, 3356, origin_as] end as as_path, '' as peer_ip, []::varchar[] as community, 'ripe-ris' as source, 't' || (u % 4) as tenant_id, u, k from ev0),
-bgp_observations as (select event_id, timestamp, prefix, origin_as, as_path, peer_asn, 'rrc' || lpad(((u + 5 * c) % 26)::varchar, 2, '0') as collector, epoch_ms(timestamp) + c * (20 + (event_id % 13) * 7) as arrival_ms from bgp_events, range(0, u % 5 + 2) r(c) where event_type = 'announce'),
+bgp_observations as (select event_id, timestamp, prefix, origin_as, as_path, peer_asn, 'rrc' || lpad(((u + 5 * c) % 26)::varchar, 2, '0') as collector, epoch_us(timestamp) // 1000 + c * (20 + (event_id % 13) * 7) as arrival_ms from bgp_events, range(0, u % 5 + 2) r(c) where event_type = 'announce'),
 users as (select distinct u, {PREFIX} as prefix, (64512 + u % 50)::bigint as own_as from base),
 vrps as (select case when u % 3 = 1 then '10.' || (u % 256) || '.0.0/16' else prefix end as prefix, case when u % 3 = 1 then 24 else 20 end as max_length, own_as as asn, u as ord from users where u % 3 <> 0),
 irr_routes as (select prefix, (case when u % 4 = 2 then 64999 else own_as end)::bigint as origin from users where u % 4 <> 3),
