@@ -1 +1,142 @@
-"""Queries to be registered."""
+"""Queries of alert routing, versioned tables and tenants."""
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import alerts as A
+from ..operators import detectors as D
+from . import fixtures as X
+from .detectors import FIRST_SQL, FLAP_SQL
+from .fixtures import sql
+from .registry import query
+
+AS_OF = datetime(2024, 1, 20)
+IN_SQL = FIRST_SQL + FLAP_SQL + """, alerts_in as (select event_id, 'PossibleHijack' as anomaly_type, 'hijack' as alert_type, prefix, origin_as, 0.85 as confidence, timestamp as detected_at, tenant_id from firsts union all select event_id, 'PrefixFlapping', 'flap', prefix, origin_as, 0.75, timestamp, tenant_id from flaps),
+printed as (select *, 'critical' as level, sha256(alert_type || ':' || prefix || ':' || origin_as) as fingerprint from alerts_in),
+silences as (select 's' || prefix as id, sha256('flap:' || prefix || ':' || origin_as) as fingerprint, timestamp '2024-01-05' as silenced_at, timestamp '2024-01-05' + to_hours(150) as expires_at, true as active from bgp_events where prefix like '10.1%' and origin_as >= 64512 and origin_as < 65000 group by prefix, origin_as),
+heard as (select * from printed p where not exists (select 1 from silences s where s.fingerprint = p.fingerprint and p.detected_at >= silenced_at and p.detected_at < expires_at)) """
+
+
+def dedup_sql(source: str) -> str:
+    return f""", nth as (select *, row_number() over (partition by fingerprint order by detected_at, event_id) as i from {source}),
+walk(fingerprint, i, last, is_new) as (select fingerprint, i, detected_at, true from nth where i = 1 union all select w.fingerprint, n.i, case when epoch_us(n.detected_at) - epoch_us(w.last) >= 1800000000 then n.detected_at else w.last end, epoch_us(n.detected_at) - epoch_us(w.last) >= 1800000000 from walk w join nth n on n.fingerprint = w.fingerprint and n.i = w.i + 1),
+routed as (select n.* from nth n join walk w using (fingerprint, i) where w.is_new) """
+
+
+ROUTE_SQL = IN_SQL + dedup_sql("heard")
+HIST_SQL = ROUTE_SQL + """, history as (select alert_type, prefix, origin_as, confidence, 'fired' as status, detected_at as fired_at, null::timestamp as resolved_at, event_id from routed) """
+
+
+def alerts_in(spark, d):
+    e = X.bgp_events(spark, d)
+    return D.anomaly_union(D.hijack_first_seen(e), D.flapping_anomalies(D.flapping(e, 86400, 3, 2), 86400)).drop("details")
+
+
+def silences(spark, d):
+    e = X.bgp_events(spark, d).where("prefix like '10.1%' and origin_as >= 64512 and origin_as < 65000").select("prefix", "origin_as").distinct()
+    r = e.select(F.concat(F.lit("s"), "prefix").alias("id"), S.alert_fingerprint(F.lit("flap"), F.col("prefix"), F.col("origin_as")).alias("fingerprint"), F.lit("planned").alias("reason"), F.lit("ops").alias("silenced_by"), F.lit(datetime(2024, 1, 5)).cast("timestamp_ntz").alias("silenced_at"), F.lit(150).alias("hours"))
+    return A.new_silences(r)
+
+
+def routed(spark, d):
+    return A.route(alerts_in(spark, d), silences(spark, d))
+
+
+def history(spark, d):
+    return A.history_rows(routed(spark, d))
+
+
+@query("alert_dedup", sql(IN_SQL + dedup_sql("printed") + "select n.event_id, n.fingerprint, w.is_new from nth n join walk w using (fingerprint, i)"))
+def alert_dedup(spark, d):
+    return A.dedup_flags(A.fingerprinted(alerts_in(spark, d))).select("event_id", "fingerprint", "is_new")
+
+
+@query("silence_anti", sql(IN_SQL + "select event_id, fingerprint from heard"))
+def silence_anti(spark, d):
+    return A.unsilenced(A.fingerprinted(alerts_in(spark, d)), silences(spark, d)).select("event_id", "fingerprint")
+
+
+@query("silences_active", sql(IN_SQL + "select id, fingerprint, expires_at from silences where active and expires_at > timestamp '2024-01-10'"))
+def silences_active(spark, d):
+    s = A.latest_version(silences(spark, d), "id", "silenced_at").where("active")
+    return s.where(F.col("expires_at") > F.lit(datetime(2024, 1, 10)).cast("timestamp_ntz")).select("id", "fingerprint", "expires_at")
+
+
+@query("silence_upsert", sql("select * from (values ('a', 'f1', timestamp '2024-01-06 00:00:00'), ('d', 'f4', timestamp '2024-01-12 00:00:00')) t(id, fingerprint, expires_at)"))
+def silence_upsert(spark, d):
+    rows = [("a", "f1", "why", 24), ("b", "f2", "", 24), ("c", "f3", "why", 169), ("d", "f4", "why", 168)]
+    r = spark.createDataFrame(rows, "id string, fingerprint string, reason string, hours int").withColumns({"silenced_by": F.lit("ops"), "silenced_at": F.lit(datetime(2024, 1, 5)).cast("timestamp_ntz")})
+    return A.new_silences(r).select("id", "fingerprint", "expires_at")
+
+
+@query("alert_route", sql(ROUTE_SQL + "select event_id, alert_type, prefix, origin_as, confidence::double as confidence, level, fingerprint from routed"))
+def alert_route(spark, d):
+    return routed(spark, d).select("event_id", "alert_type", "prefix", "origin_as", "confidence", "level", "fingerprint")
+
+
+@query("alert_payload", sql(ROUTE_SQL + "select event_id, '{\"event_type\":\"bgp_alert\",\"level\":\"' || level || '\",\"anomaly_type\":\"' || alert_type || '\",\"prefix\":\"' || prefix || '\",\"origin_as\":' || origin_as || ',\"confidence\":' || confidence || ',\"fingerprint\":\"' || fingerprint || '\"}' as payload, '[' || upper(level) || '] BGP Alert: ' || prefix || ' AS' || origin_as || ' confidence=' || confidence as slack from routed"))
+def alert_payload(spark, d):
+    return A.payload(routed(spark, d))
+
+
+@query("alert_persist", sql(HIST_SQL + "select alert_type, prefix, origin_as, confidence::double as confidence, status, fired_at, resolved_at from history"))
+def alert_persist(spark, d):
+    return history(spark, d).select("alert_type", "prefix", "origin_as", "confidence", "status", "fired_at", "resolved_at")
+
+
+@query("active_alerts", sql(HIST_SQL + "select alert_type, prefix, origin_as, fired_at from history where resolved_at is null"))
+def active_alerts(spark, d):
+    return A.active_alerts(history(spark, d)).select("alert_type", "prefix", "origin_as", "fired_at")
+
+
+@query("alert_resolve", sql(HIST_SQL + "select alert_type, prefix, origin_as, fired_at, case when alert_type = 'flap' then 'resolved' else 'fired' end as status, case when alert_type = 'flap' then timestamp '2024-01-20' end as resolved_at from history"))
+def alert_resolve(spark, d):
+    h = history(spark, d)
+    return A.resolve(h, h.where("alert_type = 'flap'").select("id"), AS_OF).select("alert_type", "prefix", "origin_as", "fired_at", "status", "resolved_at")
+
+
+@query("auto_escalate", sql(HIST_SQL + "select case when alert_type = 'hijack' then 'PossibleHijack' else 'PrefixFlapping' end as anomaly_type, prefix, origin_as, round(least(confidence + 0.15, 0.95), 6)::double as confidence, fired_at as detected_at, 'Auto-escalated from confidence ' || confidence as details from history where epoch(timestamp '2024-01-20') - epoch(fired_at) >= 300 and confidence < 0.9"))
+def auto_escalate(spark, d):
+    return A.auto_escalate(history(spark, d), AS_OF).select("anomaly_type", "prefix", "origin_as", F.round("confidence", 6).alias("confidence"), "detected_at", "details")
+
+
+@query("rule_match", sql(IN_SQL + ", live as (select * from rules qualify row_number() over (partition by id order by updated_at desc) = 1), hit as (select a.event_id, a.anomaly_type, r.id as rule_id, row_number() over (partition by a.event_id, a.anomaly_type order by r.updated_at desc, r.id desc) as i from alerts_in a join live r on r.enabled and (coalesce(r.tenant_id, '') = '' or r.tenant_id = a.tenant_id) and a.confidence >= r.threshold where a.anomaly_type = 'PossibleHijack') select event_id, rule_id from hit where i = 1"))
+def rule_match(spark, d):
+    return A.rule_match(alerts_in(spark, d).where("anomaly_type = 'PossibleHijack'"), A.rules_active(X.rules(spark)))
+
+
+@query("latest_version", sql("select id, name, threshold::double as threshold, enabled, updated_at from rules qualify row_number() over (partition by id order by updated_at desc) = 1"))
+def latest_version(spark, d):
+    return A.latest_version(X.rules(spark)).select("id", "name", "threshold", "enabled", "updated_at")
+
+
+@query("rules_active", sql("select id, name from (select * from rules qualify row_number() over (partition by id order by updated_at desc) = 1) where enabled"))
+def rules_active(spark, d):
+    return A.rules_active(X.rules(spark)).select("id", "name")
+
+
+@query("rule_upsert", sql("select * from (values ('r2', 'tenant one', 'hijack', 0.7::double, true), ('r4', 'global high', 'custom', 0.84::double, false), ('r9', 'fresh', 'leak', 0.4::double, true)) t(id, name, rule_type, threshold, enabled)"))
+def rule_upsert(spark, d):
+    rows = [("r2", None, None, 0.7, None), ("r4", None, None, None, False), ("r9", "fresh", "leak", 0.4, True), ("r8", "bad", "other", 0.4, True), ("r1", None, None, 1.5, None)]
+    c = spark.createDataFrame(rows, "id string, name string, rule_type string, threshold double, enabled boolean").withColumn("updated_at", F.lit("2024-02-01"))
+    return A.upsert(X.rules(spark), c, A.rule_errors()).select("id", "name", "rule_type", "threshold", "enabled")
+
+
+@query("tenants_enabled", sql("select id, name, rate_limit_per_sec from (select * from tenants qualify row_number() over (partition by id order by updated_at desc) = 1) where enabled"))
+def tenants_enabled(spark, d):
+    return A.latest_version(X.tenants(spark)).where("enabled").select("id", "name", "rate_limit_per_sec")
+
+
+@query("tenant_upsert", sql("select * from (values ('t0', 'Zero', 9, 'pro', true), ('t3', 'Three', 1000, 'free', true)) t(id, name, rate_limit_per_sec, plan, enabled)"))
+def tenant_upsert(spark, d):
+    rows = [("t0", None, None, 9, "pro", None), ("t3", "Three", "h3", 1000, "free", True), ("t1", None, None, 0, None, None), ("t2", None, None, None, "gold", None)]
+    c = spark.createDataFrame(rows, "id string, name string, api_key_hash string, rate_limit_per_sec int, plan string, enabled boolean").withColumn("updated_at", F.lit("2024-02-01"))
+    return A.upsert(X.tenants(spark), c, A.tenant_errors()).select("id", "name", "rate_limit_per_sec", "plan", "enabled")
+
+
+@query("tenant_by_key", sql("select l.id as request_id, t.id as tenant, coalesce(t.rate_limit_per_sec, 1000) as \"limit\" from log_messages l left join (select * from (select * from tenants qualify row_number() over (partition by id order by updated_at desc) = 1) where enabled) t on t.api_key_hash = sha256('key-' || substr(l.tenant_id, 2))"))
+def tenant_by_key(spark, d):
+    r = X.log_messages(spark, d).select(F.col("id").alias("request_id"), F.sha2(F.concat(F.lit("key-"), F.substring("tenant_id", 2, 9)), 256).alias("api_key_hash"))
+    return A.tenant_by_key(r, X.tenants(spark)).select("request_id", "tenant", "limit")
