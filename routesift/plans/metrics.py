@@ -1 +1,98 @@
-"""Queries to be registered."""
+"""Queries of metric series, histograms and alert conditions."""
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import metrics as M
+from . import fixtures as X
+from .alerts import IN_SQL, alerts_in
+from .baselines import ENH_SQL, enhanced
+from .fixtures import sql
+from .registry import query
+
+HOUR = 3600
+
+
+def bounds_sql(bounds: list[float]) -> str:
+    return "(values " + ", ".join(f"({b}::double)" for b in bounds) + ", ('inf'::double)) b(le)"
+
+
+def start_sql(seconds: int) -> str:
+    return f"make_timestamp((epoch_us(timestamp) // {seconds * 1000000}) * {seconds * 1000000})"
+
+
+@query("confidence_histogram", sql(ENH_SQL + f"select kind, le, count(*) filter (v <= le) as n from (select 'rule' as kind, 0.85::double as v from enh union all select 'enhanced', round(greatest(0, least(1, 0.85 + boost)), 6)::double from enh), {bounds_sql(M.CONFIDENCE_BOUNDS)} group by all"))
+def confidence_histogram(spark, d):
+    e = enhanced(spark, d)
+    both = e.select(F.lit("rule").alias("kind"), F.col("confidence").alias("v")).unionByName(e.select(F.lit("enhanced").alias("kind"), F.round("enhanced", 6).alias("v")))
+    return M.histogram(both, "v", M.CONFIDENCE_BOUNDS, ["kind"])
+
+
+LAT_SQL = f", hist as (select et, le, count(*) filter (value <= le) as n from base, {bounds_sql(M.LATENCY_BOUNDS)} group by all) "
+
+
+@query("latency_histogram", sql(LAT_SQL + "select * from hist"))
+def latency_histogram(spark, d):
+    return M.histogram(X.base(spark, d), "value", M.LATENCY_BOUNDS, ["et"])
+
+
+QUANT_SQL = LAT_SQL + """, q as (select et, le, n, coalesce(lag(le) over w, 0) as lo, coalesce(lag(n) over w, 0) as below, 0.95 * max(n) over (partition by et) as rank from hist window w as (partition by et order by le)),
+hit as (select * from q where n >= rank qualify row_number() over (partition by et order by le) = 1) """
+
+
+@query("histogram_quantile", sql(QUANT_SQL + "select et, round(case when isinf(le) then lo else lo + (le - lo) * (rank - below) / (n - below) end, 6)::double as value from hit"))
+def histogram_quantile(spark, d):
+    h = M.histogram(X.base(spark, d), "value", M.LATENCY_BOUNDS, ["et"])
+    return M.histogram_quantile(h, 0.95, ["et"]).withColumn("value", F.round("value", 6))
+
+
+@query("anomaly_counts", sql(IN_SQL + "select anomaly_type, level, tenant_id, count(*) as n from printed group by all"))
+def anomaly_counts(spark, d):
+    a = alerts_in(spark, d).withColumn("level", S.escalation_level(F.col("confidence")))
+    return a.groupBy("anomaly_type", "level", "tenant_id").agg(F.count("*").alias("n"))
+
+
+@query("metric_increase", sql(f"select {start_sql(HOUR)} as bucket, event_type, count(*) as n from bgp_events group by all"))
+def metric_increase(spark, d):
+    return M.increase(X.bgp_events(spark, d), HOUR, ["event_type"])
+
+
+@query("metric_rate", sql(f"select {start_sql(HOUR)} as bucket, event_type, round(count(*) / 3600.0, 9)::double as rate from bgp_events group by all"))
+def metric_rate(spark, d):
+    return M.rate(X.bgp_events(spark, d), HOUR, ["event_type"]).withColumn("rate", F.round("rate", 9))
+
+
+@query("hit_rate_alert", sql(f"select * from (select {start_sql(HOUR)} as bucket, count(*) filter (k % 5 = 0) as hits, count(*) as total, round(count(*) filter (k % 5 = 0) * 100.0 / count(*), 6)::double as hit_rate from bgp_events group by 1) where hit_rate < 20"))
+def hit_rate_alert(spark, d):
+    return M.hit_rate_low(X.bgp_events(spark, d), HOUR, F.col("k") % 5 == 0).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+@query("error_ratio", sql(f"select {start_sql(HOUR)} as bucket, round((count(*) filter (event_type = 'withdraw') / 3600.0) / (count(*) / 3600.0 + 0.001) * 100, 6)::double as ratio from bgp_events group by 1"))
+def error_ratio(spark, d):
+    return M.error_ratio(X.bgp_events(spark, d), HOUR, F.col("event_type") == "withdraw").withColumn("ratio", F.round("ratio", 6))
+
+
+BUSY_SQL = f", busy as (select {start_sql(HOUR)} as bucket, event_type, count(*) as n from bgp_events group by all), isl as (select *, epoch(bucket) / 3600 - row_number() over (partition by event_type order by bucket) as island from busy where n >= 10) "
+
+
+@query("alert_for", sql(BUSY_SQL + "select event_type, min(bucket) as since, max(bucket) as until, count(*) as periods from isl group by event_type, island having count(*) >= 3"))
+def alert_for(spark, d):
+    return M.alert_for(M.increase(X.bgp_events(spark, d), HOUR, ["event_type"]), F.col("n") >= 10, HOUR, 3, ["event_type"])
+
+
+@query("absent_series", sql(f"select bucket::timestamp as bucket from range(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 hour) r(bucket) where bucket::timestamp not in (select {start_sql(HOUR)} from bgp_events where event_type = 'withdraw' and origin_as < 64530)"))
+def absent_series(spark, d):
+    s = M.increase(X.bgp_events(spark, d).where("event_type = 'withdraw' and origin_as < 64530"), HOUR, [])
+    return M.absent(s, datetime(2024, 1, 1), datetime(2024, 1, 30, 23), HOUR)
+
+
+@query("rate_band", sql(f"select * from (select {start_sql(HOUR)} as bucket, round(count(*) / 3600.0, 9)::double as rate from bgp_events group by 1) where rate < 0.003 or rate > 0.0045"))
+def rate_band(spark, d):
+    return M.outside_band(M.rate(X.bgp_events(spark, d), HOUR, []).withColumn("rate", F.round("rate", 9)), 0.003, 0.0045)
+
+
+@query("recording_rules", sql(f"select {start_sql(60)} as bucket, event_type, 60 as window_s, round(count(*) / 60.0, 9)::double as rate from bgp_events group by 1, 2 union all select {start_sql(300)}, event_type, 300, round(count(*) / 300.0, 9)::double from bgp_events group by 1, 2"))
+def recording_rules(spark, d):
+    return M.recording(X.bgp_events(spark, d), "event_type").withColumn("rate", F.round("rate", 9))

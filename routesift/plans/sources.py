@@ -1 +1,120 @@
-"""Queries to be registered."""
+"""Queries of readers and sinks. What a sink wrote is read back."""
+
+import tempfile
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from ..operators import waves as W
+from ..sources import readers as R
+from ..sources import sinks as K
+from . import fixtures as X
+from .detectors import DELTA_SQL, delta
+from .fixtures import sql
+from .registry import query
+from .waves import PROP_SQL, half_baseline, prop
+
+
+def work_folder(spark) -> str:
+    """A new folder, shared where the cluster names one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        import uuid
+
+        return f"{shared}/work-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def ris_texts(spark, d):
+    return X.bgp_events(spark, d).selectExpr("event_id", """case when k % 9 = 8 then '{"type":"ping"}' when k % 9 = 7 then '{"type":"ris_mess' else
+        concat('{"type":"ris_message","data":{"timestamp":1.5,"peer_asn":"', peer_asn, '","peer":"10.9.9.9","path":[', if(k % 4 = 0, '', concat(peer_asn, ',[174,1299],', origin_as)), '],',
+        if(event_type = 'announce', concat('"announcements":[{"next_hop":"10.8.8.8","prefixes":["', prefix, '","192.0.2.0/24"]}]'), concat('"withdrawals":["', prefix, '"]')), '}}') end as json""")
+
+
+@query("ris_explode", sql(""", m as (select *, case when k % 4 = 0 then []::bigint[] else [peer_asn, 174, origin_as] end as path from bgp_events where k % 9 not in (7, 8))
+select event_id, unnest(case when event_type = 'announce' then [prefix, '192.0.2.0/24'] else [prefix] end) as prefix, event_type, peer_asn, case when k % 4 = 0 then peer_asn else origin_as end as origin_as, path as as_path, case when event_type = 'announce' then '10.8.8.8' else '10.9.9.9' end as peer_ip from m"""))
+def ris_explode(spark, d):
+    return R.ris_explode(ris_texts(spark, d)).select("event_id", "prefix", "event_type", "peer_asn", "origin_as", "as_path", "peer_ip")
+
+
+@query("ris_union", sql("select event_type, sum(case when event_type = 'announce' then 2 else 1 end)::bigint as n from bgp_events where k % 9 not in (7, 8) group by 1"))
+def ris_union(spark, d):
+    return R.ris_explode(ris_texts(spark, d)).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+META = """case k % 7 when 1 then concat('{"prefix":"', prefix, '","origin_as":"x","peer_asn":1,"event_type":"announce"}') when 2 then concat('{"prefix":"', prefix, '","peer_asn":', peer_asn, ',"event_type":"announce"}') when 3 then 'null'
+when 4 then concat('{"prefix":"', prefix, '","origin_as":', origin_as, ',"peer_asn":', peer_asn, ',"event_type":"', event_type, '","as_path":[', peer_asn, ',"a",', origin_as, '],"collector":"rrc01"}')
+else concat('{"prefix":"', prefix, '","origin_as":', origin_as, ',"peer_asn":', peer_asn, ',"event_type":"', event_type, '","peer_ip":"10.7.7.7"}') end"""
+
+
+@query("bgp_extract_stream", sql("select event_id, prefix, origin_as, peer_asn, event_type, case when k % 7 = 4 then [peer_asn, origin_as] else [] end as as_path, case when k % 7 = 4 then 'rrc01' else 'unknown' end as collector, case when k % 7 = 4 then '' else '10.7.7.7' end as peer_ip from bgp_events where k % 7 not in (1, 2, 3)"))
+def bgp_extract_stream(spark, d):
+    return R.extract_stream(X.bgp_events(spark, d).selectExpr("event_id", f"{META} as metadata"))
+
+
+@query("bgp_extract_log", sql("select event_id, tenant_id, source, prefix, origin_as, peer_asn, event_type, '10.7.7.7' as peer_ip, []::bigint[] as as_path, []::varchar[] as community from bgp_events where k % 7 not in (1, 2, 3, 4)"))
+def bgp_extract_log(spark, d):
+    return R.extract_log(X.bgp_events(spark, d).selectExpr("event_id", "tenant_id", "source", f"{META} as metadata"))
+
+
+@query("log_batch_read", sql("select tenant_id, i::int as pos, 'info' as level, 's' as source, 'm' || event_id as message from bgp_events, range(2) r(i) where event_id % 2 = 0 and k % 5 <> 0"))
+def log_batch_read(spark, d):
+    texts = X.bgp_events(spark, d).where("event_id % 2 = 0").selectExpr("tenant_id", """if(k % 5 = 0, '{"level":"info"', concat('[{"level":"info","source":"s","message":"m', event_id, '"},{"level":"info","source":"s","message":"m', event_id, '"}]')) as json""")
+    return R.log_batch(texts).select("tenant_id", "pos", "level", "source", "message")
+
+
+def vrp_dump(spark, d):
+    item = F.format_string('{"prefix":"%s","maxLength":%d,"asn":"AS%d"}', F.when(F.col("ord") % 11 == 0, "bad").otherwise(F.col("prefix")), "max_length", "asn")
+    return X.vrps(spark, d).groupBy().agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("j")))).alias("l")).select(F.concat(F.lit('{"roas":['), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]}")).alias("json"))
+
+
+@query("vrp_read", sql("select prefix, max_length, asn, i - 1 as ord from (select *, row_number() over (order by ord) as i from vrps) where ord % 11 <> 0"))
+def vrp_read(spark, d):
+    return R.read_vrps(vrp_dump(spark, d))
+
+
+@query("roa_read", sql("select distinct prefix, max_length, asn as origin_as, '' as trust_anchor from (select case when ord % 11 = 0 then 'bad' else prefix end as prefix, max_length, asn from vrps)"))
+def roa_read(spark, d):
+    return R.read_roas(vrp_dump(spark, d))
+
+
+@query("irr_read", sql("select prefix, list_sort([origin, 64999]) as origins from irr_routes where origin <> 64999 union all select prefix, [64999] from irr_routes where origin = 64999"))
+def irr_read(spark, d):
+    j = F.format_string('{"objects":{"object":[{"attributes":{"attribute":[{"name":"route","value":"%s"},{"name":"origin","value":"AS%d"}]}},{"attributes":{"attribute":[{"name":"origin","value":"as64999"}]}}]}}', "prefix", "origin")
+    return R.read_irr(X.irr_routes(spark, d).select("prefix", j.alias("json")))
+
+
+@query("replay_read", sql("select event_type, prefix, peer_asn, origin_as, as_path, 'rrc07' as collector from bgp_events"))
+def replay_read(spark, d):
+    path = f"{work_folder(spark)}/rrc07/2024.01"
+    X.bgp_events(spark, d).select("event_type", "prefix", "peer_asn", "origin_as", "as_path").write.json(f"{path}/updates")
+    return R.read_replay(spark, f"{path}/updates").select("event_type", "prefix", "peer_asn", "origin_as", "as_path", "collector")
+
+
+@query("sink_ndjson", sql("select timestamp::date::varchar as date, count(*) as n, count(distinct id) as ids from log_messages group by 1"))
+def sink_ndjson(spark, d):
+    path = work_folder(spark) + "/records"
+    K.write_ndjson(X.log_messages(spark, d), path)
+    return spark.read.json(path).groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@query("sink_roa_history", sql(DELTA_SQL + "select prefix, max_length, origin_as, trust_anchor, action, '2024-01-20 00:00:00.123' as at from delta"))
+def sink_roa_history(spark, d):
+    path = work_folder(spark) + "/roa"
+    K.append_roa_history(delta(spark, d), path, datetime(2024, 1, 20, 0, 0, 0, 123456))
+    return spark.read.parquet(path).select("prefix", "max_length", "origin_as", "trust_anchor", "action", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"))
+
+
+@query("propagation_publish", sql(PROP_SQL + "select prefix as key, count(*) as n from prop group by 1"))
+def propagation_publish(spark, d):
+    out = K.propagation_json(prop(spark, d))
+    return out.where(F.from_json("value", "prefix string")["prefix"] == F.col("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("wave_baseline_store")
+def wave_baseline_store(spark, d):
+    path = work_folder(spark) + "/baseline"
+    b = half_baseline(spark, d)
+    W.save_baseline(b.where("origin_as % 2 = 0"), path, "even")
+    W.save_baseline(b.where("origin_as % 2 = 1"), path, "odd", mode="append")
+    return W.load_baseline(spark, path).select("prefix", "origin_as", "as_path", "sample_count", "description")

@@ -1 +1,126 @@
-"""Queries to be registered."""
+"""Streaming queries, run over all of a table with an available-now trigger.
+
+Each reads the events table as a stream, writes Parquet and returns what was written, so that it
+can be compared with its batch twin.
+"""
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..sources import sinks as K
+from ..sources.readers import read_stream
+from ..streaming import operators as T
+from . import fixtures as X
+from .alerts import dedup_sql, history
+from .baselines import EMA_SQL
+from .detectors import FIRST_SQL, FLAP_SQL, KEYS_SQL
+from .fixtures import sql
+from .registry import query
+from .sources import work_folder
+
+
+def events_stream(spark, folder: str, d: str, derive=X.bgp_events):
+    """The derived rows as a stream: they are stored once and read as a stream of files."""
+    derive(spark, d).write.parquet(f"{folder}/in")
+    return read_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
+
+
+def finished(spark, stream, folder: str, mode: str = "append"):
+    T.run_to_folder(stream, f"{folder}/out", f"{folder}/checkpoint", mode)
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("stream_source", sql("select event_id, prefix from bgp_events"))
+def stream_source(spark, d):
+    f = work_folder(spark)
+    return finished(spark, events_stream(spark, f, d).select("event_id", "prefix"), f)
+
+
+@query("sink_bgp_append", sql("select event_id, 202401 as month from bgp_events"))
+def sink_bgp_append(spark, d):
+    f = work_folder(spark)
+    K.append_events(events_stream(spark, f, d), f"{f}/out", f"{f}/checkpoint", {"availableNow": True}).awaitTermination()
+    return spark.read.parquet(f"{f}/out").select("event_id", "month")
+
+
+@query("stream_hijack", sql(FIRST_SQL + "select prefix, origin_as from firsts"))
+def stream_hijack(spark, d):
+    f = work_folder(spark)
+    return finished(spark, T.hijack(events_stream(spark, f, d)).select("prefix", "origin_as"), f)
+
+
+@query("stream_flapping", sql(FLAP_SQL + "select event_id, prefix, n_events, n_changes::bigint as n_changes from flaps"))
+def stream_flapping(spark, d):
+    T.use_rocksdb(spark)
+    f = work_folder(spark)
+    return finished(spark, T.flapping(events_stream(spark, f, d), 86400, 3, 2), f)
+
+
+@query("stream_ema", sql(EMA_SQL + "select event_id, prefix, round(ema, 6) as ema, round(var, 6) as var, n from fold"))
+def stream_ema(spark, d):
+    T.use_rocksdb(spark)
+    f = work_folder(spark)
+    out = finished(spark, T.ema(events_stream(spark, f, d).where("event_type = 'announce'")), f)
+    return out.select("event_id", "prefix", F.round("ema", 6).alias("ema"), F.round("var", 6).alias("var"), "n")
+
+
+@query("stream_repeat_cache", sql(", printed as (select id as event_id, timestamp as detected_at, sha256(lower(trim(message))) as fingerprint from log_messages)" + dedup_sql("printed").replace("1800000000", "7200000000") + "select n.event_id, n.fingerprint as key, not w.is_new as is_hit from nth n join walk w using (fingerprint, i)"))
+def stream_repeat_cache(spark, d):
+    T.use_rocksdb(spark)
+    f = work_folder(spark)
+    m = lambda s, d: X.log_messages(s, d).select(F.col("id").alias("event_id"), "timestamp", S.message_key(F.col("message")).alias("fingerprint"))
+    out = finished(spark, T.anchored(events_stream(spark, f, d, m), "fingerprint", 7200), f)
+    return out.select("event_id", "key", (~F.col("is_new")).alias("is_hit"))
+
+
+@query("stream_dedup", sql(", printed as (select event_id, timestamp as detected_at, sha256('hijack:' || prefix || ':' || origin_as) as fingerprint from bgp_events)" + dedup_sql("printed") + "select n.event_id, n.fingerprint as key, w.is_new from nth n join walk w using (fingerprint, i)"))
+def stream_dedup(spark, d):
+    T.use_rocksdb(spark)
+    f = work_folder(spark)
+    m = lambda s, d: X.bgp_events(s, d).select("event_id", "timestamp", S.alert_fingerprint(F.lit("hijack"), F.col("prefix"), F.col("origin_as")).alias("fingerprint"))
+    return finished(spark, T.anchored(events_stream(spark, f, d, m), "fingerprint", 1800), f)
+
+
+@query("stream_propagation")
+def stream_propagation(spark, d):
+    T.use_rocksdb(spark)
+    f = work_folder(spark)
+    return finished(spark, T.propagation(events_stream(spark, f, d, X.bgp_observations)), f)
+
+
+@query("stream_quota")
+def stream_quota(spark, d):
+    f = work_folder(spark)
+    return finished(spark, T.quota(events_stream(spark, f, d, lambda s, d: X.log_messages(s, d)), 70, "1 day"), f)
+
+
+@query("stream_timeline")
+def stream_timeline(spark, d):
+    f = work_folder(spark)
+    return finished(spark, T.timeline(events_stream(spark, f, d)), f)
+
+
+@query("stream_rpki", sql(KEYS_SQL + "select event_id, prefix, origin_as, rpki from bgp_events join status using (prefix, origin_as) where event_type = 'announce'"))
+def stream_rpki(spark, d):
+    f = work_folder(spark)
+    T.run_batches(events_stream(spark, f, d), T.rpki_batches(lambda: X.vrps(spark, d), f"{f}/out"), f"{f}/checkpoint")
+    return spark.read.parquet(f"{f}/out").select("event_id", "prefix", "origin_as", "rpki")
+
+
+@query("stream_roa_diff", sql("select prefix, max_length, origin_as, 'added' as action, 0 as batch from roa_old"))
+def stream_roa_diff(spark, d):
+    f = work_folder(spark)
+    s = events_stream(spark, f, d, lambda s, d: X.roas(s, d, 0))
+    T.run_batches(s, T.roa_diff_batches(f"{f}/snapshots", f"{f}/out"), f"{f}/checkpoint")
+    return spark.read.parquet(f"{f}/out").select("prefix", "max_length", "origin_as", "action", "batch")
+
+
+@query("stream_auto_escalate")
+def stream_auto_escalate(spark, d):
+    f = work_folder(spark)
+    T.run_batches(events_stream(spark, f, d, history), T.escalation_batches(datetime(2024, 1, 20), f"{f}/out"), f"{f}/checkpoint")
+    return spark.read.parquet(f"{f}/out").select("anomaly_type", "prefix", "origin_as", "confidence", "detected_at")
+
+
