@@ -52,30 +52,38 @@ EARTH_KM, FIBRE_KM_PER_S = 6371.0, 200_000.0
 U64 = 18446744073709551616
 
 
-def pii_steps(text: Column) -> list[tuple[str, Column, Column]]:
-    """(token, matches in the text as redacted so far, text after the step) of every step."""
-    out = []
-    for token, pattern in PII:
+def _pii_step(state: Column, token: str, pattern: str) -> Column:
+    """One replacement. Binding the state to a lambda variable keeps the expression linear in the number of steps."""
+
+    def step(s: Column) -> Column:
+        text = s["text"]
         guard = text.contains(PII_GUARD[token]) if token in PII_GUARD else text.rlike("[0-9]")
-        found = F.when(guard, F.regexp_count(text, F.lit(pattern))).otherwise(0)
-        text = F.when(guard, F.regexp_replace(text, pattern, token)).otherwise(text)
-        out.append((token, found, text))
-    return out
+        n = F.when(guard, F.regexp_count(text, F.lit(pattern))).otherwise(0)
+        return F.struct(F.when(guard, F.regexp_replace(text, pattern, token)).otherwise(text).alias("text"), F.concat(s["counts"], F.array(n)).alias("counts"))
+
+    return F.transform(F.array(state), step)[0]
+
+
+def pii_scan(text: Column) -> Column:
+    """struct(text, counts): the redacted text and the matches of every step on the text as redacted so far."""
+    state = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
+    for token, pattern in PII:
+        state = _pii_step(state, token, pattern)
+    return state
 
 
 def pii_redact(text: Column) -> Column:
     """Seven ordered replacements, each behind a cheap guard."""
-    return pii_steps(text)[-1][2]
+    return pii_scan(text)["text"]
 
 
 def pii_hits(text: Column) -> tuple[Column, Column]:
-    """Total matches, and the names of the kinds that matched in order."""
-    steps = pii_steps(text)
-    total = steps[0][1]
-    for _, n, _ in steps[1:]:
-        total = total + n
-    names = F.array_compact(F.array(*[F.when(n > 0, token.strip("[]")) for token, n, _ in steps]))
-    return total, names
+    """Total matches, and the names of the kinds that matched in order. A null text has none."""
+    counts = pii_scan(text)["counts"]
+    total = F.aggregate(counts, F.lit(0), lambda s, n: s + F.coalesce(n, F.lit(0)))
+    names = F.array(*[F.lit(token.strip("[]")) for token, _ in PII])
+    kinds = F.zip_with(counts, names, lambda n, name: F.when(n > 0, name))
+    return total, F.array_compact(kinds)
 
 
 def message_key(text: Column) -> Column:
