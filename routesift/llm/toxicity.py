@@ -18,14 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from .common import checkpointed
 
 BITS = 20
 #: Bound of the training sample: labelled rows of each class.
 MAX_POSITIVE, MAX_NEGATIVE = 8_000, 16_000
-SHARDS = 8
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 1.0, 0.5
+#: Rows that a shard should have at least, and most shards.
+SHARD_ROWS, MAX_SHARDS = 3_000, 8
+EPOCHS = 6
+#: A strong L1 keeps the features of rare words, which are noise, at zero.
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 #: Words whose hashes a task remembers before it starts anew.
@@ -103,9 +105,10 @@ def sample(labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: in
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> ToxicityModel:
     """Train on the labelled rows of ``labels`` (doc_id, toxic). Without any, all weights are zero."""
-    chosen = sample(labels, max_positive, max_negative)
+    chosen = checkpointed(sample(labels, max_positive, max_negative))
+    shards = min(MAX_SHARDS, max(1, chosen.count() // SHARD_ROWS))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the sample's size
-    rows = rows.select(F.pmod("order", F.lit(SHARDS)).alias("shard"), "order", "label", "weight", F.arrow_udf(features, "array<int>")("text").alias("features"))
+    rows = rows.select(F.pmod("order", F.lit(shards)).alias("shard"), "order", "label", "weight", F.arrow_udf(features, "array<int>")("text").alias("features"))
     trained = rows.groupBy("shard").applyInArrow(train_shard, "at int, z double, n double")
     merged = trained.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
     w = (F.signum("z") * L1 - F.col("z")) / ((BETA + F.sqrt("n")) / ALPHA + L2)
