@@ -119,8 +119,10 @@ def scan_licenses(files: DataFrame, header_cosine: float = HEADER_COSINE, file_c
     speaks = F.col("text").rlike(TRIGGER)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(TRIGGER))
     path = F.coalesce("path", F.lit(""))
-    marked = files.withColumns({"_dir": parents(path)[0], "_own": F.when(speaks, best(F.transform(lines, lambda x: best(cosines(tokens(x), idf, unknown))))), "_whole": F.when(speaks, best(cosines(tokens(F.col("text")), idf, unknown)))}).drop("text")
-    marked = checkpointed(marked)
+    own = F.when(speaks, best(F.transform(lines, lambda x: best(cosines(tokens(x), idf, unknown)))))
+    whole = F.when(speaks, best(cosines(tokens(F.col("text")), idf, unknown)))
+    row = F.struct(*[F.col(f"`{c}`") for c in files.columns if c != "text"]).alias("_row")  # no names clash
+    marked = checkpointed(files.select(row, "path", parents(path)[0].alias("_dir"), own.alias("_own"), whole.alias("_whole")))
     has = F.coalesce(F.col("_own.cosine") >= header_cosine, F.lit(False))
     named = F.element_at(F.split(path, "/"), -1).rlike(LICENSE_FILE)
     marked = marked.withColumn("_ruling", F.when(F.col("_whole.cosine") >= file_cosine, F.col("_whole")).when(has & named, F.col("_own")))
@@ -128,4 +130,4 @@ def scan_licenses(files: DataFrame, header_cosine: float = HEADER_COSINE, file_c
     mine = F.when(F.col("_ruling").isNotNull(), F.col("_ruling")).when(has, F.col("_own"))
     origin = F.when(F.col("_ruling").isNotNull(), "file").when(has, "header").when(F.col("_license").isNotNull(), "inherited").otherwise("none")
     inherited = mine.isNull() & F.col("_license").isNotNull()
-    return out.select(*[c for c in files.columns if c != "text"], F.coalesce(mine["license"], F.col("_license")).alias("license"), origin.alias("origin"), mine["cosine"].alias("cosine"), F.when(inherited, F.col("_license_dir")).alias("license_dir"))
+    return out.select("_row.*", F.coalesce(mine["license"], F.col("_license")).alias("license"), origin.alias("origin"), mine["cosine"].alias("cosine"), F.when(inherited, F.col("_license_dir")).alias("license_dir"))

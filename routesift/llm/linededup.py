@@ -254,9 +254,10 @@ def apply(state: LineState, docs: DataFrame, broadcast_bytes: int = BROADCAST_BY
     """``docs`` and a struct ``cleaned`` (n_lines, n_dropped, text).
 
     A null or empty text is one empty line. Lines with an empty key are never dropped. Rows of
-    ``docs`` count as documents, repeated ones too. The documents must be in the state.
+    ``docs`` count as documents, repeated ones too. The documents must be in the state. A
+    column of ``docs`` named cleaned is replaced.
     """
-    sc = docs.sparkSession.sparkContext
+    sc, docs = docs.sparkSession.sparkContext, docs.drop("cleaned")
     size = state.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
         blobs = {r["shard"]: bytes(r["filter"]) for r in state.filters.collect()}  # size checked

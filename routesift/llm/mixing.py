@@ -55,14 +55,17 @@ def replicate(docs: DataFrame, by_source: DataFrame, seed: str = SEED) -> DataFr
     """``docs`` once per copy, with ``copy`` (from 0), ``rate`` and ``shuffle_key``, not yet shuffled.
 
     The key of a row is its doc_id (a null one is the empty text); rows that repeat a doc_id get
-    the same count. Documents with count 0 are left out by design of the method.
+    the same count. Documents with count 0 are left out by design of the method. Columns of
+    ``docs`` named like a result are replaced.
     """
-    held = lookup_join(docs.withColumn("_source", F.coalesce("source", F.lit(""))), by_source, ["_source"]).drop("_source")
+    docs = docs.drop("copy", "rate", "shuffle_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", F.coalesce("source", F.lit("")).alias("_source"))
+    held = lookup_join(rows, by_source, ["_source"])
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
     one = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, i: n + poisson_inverse(uniform(F.lit(seed), key, i.cast("string")), F.col("rate") / parts))
-    copies = held.withColumn("_n", one).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    return copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), key, F.col("copy").cast("string")).cast("binary")))
+    copies = held.withColumn("_n", one).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return copies.select("_row.*", "rate", "copy", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), key, F.col("copy").cast("string")).cast("binary")).alias("shuffle_key"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, size: float | None = None, seed: str = SEED) -> DataFrame:

@@ -85,8 +85,9 @@ def _sigmoid(x: Column) -> Column:
 
 
 def with_bins(docs: DataFrame, host: Column, path: Column) -> DataFrame:
-    """``docs`` with host, path and bins; null hosts and paths become the empty text."""
-    return docs.withColumns({"_host": F.coalesce(host.cast("string"), F.lit("")), "_path": F.coalesce(path.cast("string"), F.lit("")), "_bins": F.arrow_udf(bins, "array<int>")("text")})
+    """(_row, doc_id, _host, _path, _bins): the row of ``docs`` as a struct, so that no names clash; null hosts and paths become the empty text."""
+    site = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in ((host, "_host"), (path, "_path"))]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", *site, F.arrow_udf(bins, "array<int>")("text").alias("_bins"))
 
 
 def ratios_of(binned: DataFrame, labels: DataFrame) -> tuple[list[list[float]], float]:
@@ -149,4 +150,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The documents whose posterior reaches the threshold, with the columns of ``docs``."""
     binned = with_bins(docs, *document_site())
     model = fit_binned(checkpointed(binned.select("doc_id", "_host", "_path", "_bins")), labels)
-    return posterior(binned, model, threshold).where("keep").select(*docs.columns)
+    return posterior(binned, model, threshold).where("keep").select("_row.*")

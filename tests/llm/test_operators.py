@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from routesift.llm import bpe, common, licenses, linededup, mixing, neardup, quality, queries, secrets, simhash, topk, toxicity
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, component_id string, fp string, score string, keep string, _dir string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, component_id string, fp string, score string, keep string, _dir string, rate string, host_rate string, cleaned string, copy string"
 
 
 def docs_of(spark, texts, source="s"):
     """Documents with extra columns whose names clash with results."""
-    return spark.createDataFrame([(i, t, "en", source, None if t is None else len(t), "x", "x", "x", "x", "x") for i, t in enumerate(texts)], DOC)
+    return spark.createDataFrame([(i, t, "en", source, None if t is None else len(t), *["x"] * 9) for i, t in enumerate(texts)], DOC)
 
 
 EDGES = [None, "", " ", "\n\n", "a", "a b", "word " * 30_000, "same text here\nline", "same text here\nline", "é" * 5000, "tab\tsep\r\nx"]
@@ -304,7 +304,7 @@ def test_quality_edges(spark):
     labels = spark.createDataFrame([(4, 1), (None, 1), (5, None)], "doc_id long, quality int")
     assert quality.score_documents(d, labels).where("quality_score is null").count() == 0
     kept = quality.keep_good(d, labels)
-    assert kept.columns == d.columns and kept.count() == len(EDGES)
+    assert kept.columns == d.columns and kept.where("keep = 'x' and host_rate = 'x'").count() == len(EDGES)
     assert quality.score_documents(d.limit(0), labels.limit(0)).count() == 0
 
 
@@ -329,6 +329,8 @@ def test_mixing_reaches_its_weights(spark):
     d = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 3 == 1, "c").alias("source"))
     n = {r["source"]: r["count"] for r in mixing.mix(d, {"b": 3.0, "": 1.0}, size=8000).groupBy("source").count().collect()}
     assert n["b"] == pytest.approx(6000, rel=0.05) and n[None] == pytest.approx(2000, rel=0.08) and "c" not in n
+    clashing = mixing.mix(docs_of(spark, EDGES))
+    assert sorted(clashing.columns) == sorted(docs_of(spark, EDGES).columns + ["shuffle_key"]) and clashing.where("_dir <> 'x' or rate <= 0").count() == 0
     high = mixing.mix(d.limit(50).withColumn("source", F.lit("b")), size=50 * 100).count()
     assert high == pytest.approx(5000, rel=0.1)
     assert mixing.mix(d.limit(0)).count() == 0
@@ -388,7 +390,7 @@ def test_blocks_are_joined_in_halves():
 
 def test_licenses(spark):
     rows = [("a/LICENSE", "Released under the MIT License.\nwith other words around it"), ("a/b/x.py", "# Licensed under the Apache License, Version 2.0.\n" + " ".join(f"name{i}" for i in range(90))), ("a/b/y.py", "code only"), ("a/b/c/z.py", ""), ("d/e.py", None), (None, "x"), ("d/note.txt", "my license to speak"), ("d/LICENSE.txt", "license unknown")]
-    got = {r["path"]: r for r in licenses.scan_licenses(spark.createDataFrame([(*r, "x", "x") for r in rows], "path string, text string, license string, _dir0 string")).collect()}
+    got = {r["path"]: r for r in licenses.scan_licenses(spark.createDataFrame([(*r, "x", "x") for r in rows], "path string, text string, license string, _dir string")).collect()}
     pick = lambda p: (got[p]["license"], got[p]["origin"], got[p]["license_dir"])
     assert pick("a/LICENSE") == ("MIT", "file", None) and pick("a/b/x.py") == ("Apache-2.0", "header", None)
     assert pick("a/b/y.py") == ("MIT", "inherited", "a") and pick("a/b/c/z.py") == ("MIT", "inherited", "a")
