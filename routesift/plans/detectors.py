@@ -116,7 +116,7 @@ def anomaly_union(spark, d):
     return D.anomaly_union(D.hijack_first_seen(e), D.flapping_anomalies(D.flapping(e, 86400, 3, 2), 86400), R.roa_removed_anomalies(delta(spark, d))).select("anomaly_type", "prefix", "origin_as", "confidence")
 
 
-@query("detector_plugin")
+@query("detector_plugin", sql(FIRST_SQL + FLAP_SQL + "select 'first_seen' as detector, 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.85 as confidence from firsts union all select 'flapping', 'PrefixFlapping', prefix, origin_as, 0.75 from flaps"))
 def detector_plugin(spark, d):
     registry = D.DetectorRegistry()
     registry.register("first_seen", D.hijack_first_seen)

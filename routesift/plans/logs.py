@@ -78,7 +78,12 @@ def quota_check(spark, d):
     return L.quota_check(X.log_messages(spark, d), F.lit(70.0), "day").select("id", "tenant_id", F.round("share", 6).alias("share"), "quota")
 
 
-@query("gcra_limit")
+GCRA_SQL = """, nth as (select tenant_id, id, epoch_us(timestamp) / 1e6 as t, row_number() over (partition by tenant_id order by timestamp, id) as i from log_messages),
+walk(tenant_id, i, id, tat, ok) as (select tenant_id, i, id, t + 900, true from nth where i = 1
+union all select w.tenant_id, n.i, n.id, case when greatest(w.tat, n.t) - n.t <= 900 + 1e-9 then greatest(w.tat, n.t) + 900 else w.tat end, greatest(w.tat, n.t) - n.t <= 900 + 1e-9 from walk w join nth n on n.tenant_id = w.tenant_id and n.i = w.i + 1) """
+
+
+@query("gcra_limit", sql(GCRA_SQL + "select tenant_id, id, ok as conforming from walk"))
 def gcra_limit(spark, d):
     return L.gcra_limit(X.log_messages(spark, d), 1 / 900, 2).select("tenant_id", "id", "conforming")
 

@@ -12,7 +12,7 @@ from . import fixtures as X
 from .detectors import DELTA_SQL, delta
 from .fixtures import sql
 from .registry import query
-from .waves import PROP_SQL, half_baseline, prop
+from .waves import PROP_SQL, START, base_sql, half_baseline, prop
 
 
 def work_folder(spark) -> str:
@@ -111,7 +111,7 @@ def propagation_publish(spark, d):
     return out.where(F.from_json("value", "prefix string")["prefix"] == F.col("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("wave_baseline_store")
+@query("wave_baseline_store", sql(base_sql(f"last_ms < {START}", 5) + "select prefix, origin_as, as_path, sample_count, case when origin_as % 2 = 0 then 'even' else 'odd' end as description from full_baseline"))
 def wave_baseline_store(spark, d):
     path = work_folder(spark) + "/baseline"
     b = half_baseline(spark, d)

@@ -13,10 +13,11 @@ from ..sources import sinks as K
 from ..sources.readers import read_stream
 from ..streaming import operators as T
 from . import fixtures as X
-from .alerts import dedup_sql, history
+from .alerts import HIST_SQL, dedup_sql, history
 from .baselines import EMA_SQL
 from .detectors import FIRST_SQL, FLAP_SQL, KEYS_SQL
 from .fixtures import sql
+from .metrics import start_sql
 from .registry import query
 from .sources import work_folder
 
@@ -83,23 +84,34 @@ def stream_dedup(spark, d):
     return finished(spark, T.anchored(events_stream(spark, f, d, m), "fingerprint", 1800), f)
 
 
-@query("stream_propagation")
+ANCHOR_SQL = """, nth as (select *, row_number() over (partition by prefix, origin_as, as_path order by arrival_ms, collector) as i from bgp_observations),
+walk(prefix, origin_as, as_path, i, collector, arrival_ms, opened) as (select prefix, origin_as, as_path, i, collector, arrival_ms, arrival_ms from nth where i = 1
+union all select w.prefix, w.origin_as, w.as_path, n.i, n.collector, n.arrival_ms, case when n.arrival_ms >= w.opened + 10000 then n.arrival_ms else w.opened end from walk w join nth n on n.prefix = w.prefix and n.origin_as = w.origin_as and n.as_path = w.as_path and n.i = w.i + 1),
+once as (select prefix, origin_as, as_path, opened, collector, min(arrival_ms) as at from walk group by all) """
+
+
+@query("stream_propagation", sql(ANCHOR_SQL + "select prefix, origin_as, array_to_string(as_path, ' ') as path, min(at) as first_ms, max(at) - min(at) as spread_ms, list(collector order by at, collector) as arrival_order from once where opened + 20000 <= (select max(arrival_ms) from bgp_observations) group by prefix, origin_as, as_path, opened having count(*) >= 3"))
 def stream_propagation(spark, d):
     T.use_rocksdb(spark)
     f = work_folder(spark)
     return finished(spark, T.propagation(events_stream(spark, f, d, X.bgp_observations)), f)
 
 
-@query("stream_quota")
+def closed_sql(seconds: int) -> str:
+    """Windows that a watermark of ten minutes behind the last event has closed."""
+    return f", span as (select max(timestamp) - interval 10 minutes as mark from base), windows as (select *, {start_sql(seconds)} as bucket from bgp_events where {start_sql(seconds)} + interval {seconds} seconds <= (select mark from span)) "
+
+
+@query("stream_quota", sql(closed_sql(86400) + "select tenant_id, bucket as start, count(*) as n, case when count(*) > 70 then 'Exceeded' when count(*) * 100 >= 5600 then 'SoftWarning' else 'Allowed' end as quota from windows group by 1, 2"))
 def stream_quota(spark, d):
     f = work_folder(spark)
-    return finished(spark, T.quota(events_stream(spark, f, d, lambda s, d: X.log_messages(s, d)), 70, "1 day"), f)
+    return finished(spark, T.quota(events_stream(spark, f, d, X.log_messages), 70, "1 day"), f).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_timeline")
+@query("stream_timeline", sql(closed_sql(3600) + "select bucket, count(*) filter (where event_type = 'announce') as announces, count(*) filter (where event_type = 'withdraw') as withdraws from windows group by 1"))
 def stream_timeline(spark, d):
     f = work_folder(spark)
-    return finished(spark, T.timeline(events_stream(spark, f, d)), f)
+    return finished(spark, T.timeline(events_stream(spark, f, d)), f).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @query("stream_rpki", sql(KEYS_SQL + "select event_id, prefix, origin_as, rpki from bgp_events join status using (prefix, origin_as) where event_type = 'announce'"))
@@ -117,10 +129,10 @@ def stream_roa_diff(spark, d):
     return spark.read.parquet(f"{f}/out").select("prefix", "max_length", "origin_as", "action", "batch")
 
 
-@query("stream_auto_escalate")
+@query("stream_auto_escalate", sql(HIST_SQL + "select case when alert_type = 'hijack' then 'PossibleHijack' else 'PrefixFlapping' end as anomaly_type, prefix, origin_as, round(least(confidence + 0.15, 0.95), 6)::double as confidence, fired_at as detected_at from history where epoch(timestamp '2024-01-20') - epoch(fired_at) >= 300 and confidence < 0.9"))
 def stream_auto_escalate(spark, d):
     f = work_folder(spark)
     T.run_batches(events_stream(spark, f, d, history), T.escalation_batches(datetime(2024, 1, 20), f"{f}/out"), f"{f}/checkpoint")
-    return spark.read.parquet(f"{f}/out").select("anomaly_type", "prefix", "origin_as", "confidence", "detected_at")
+    return spark.read.parquet(f"{f}/out").select("anomaly_type", "prefix", "origin_as", F.round("confidence", 6).alias("confidence"), "detected_at")
 
 
