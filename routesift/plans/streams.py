@@ -87,10 +87,10 @@ def stream_dedup(spark, d):
 ANCHOR_SQL = """, nth as (select *, row_number() over (partition by prefix, origin_as, as_path order by arrival_ms, collector) as i from bgp_observations),
 walk(prefix, origin_as, as_path, i, collector, arrival_ms, opened) as (select prefix, origin_as, as_path, i, collector, arrival_ms, arrival_ms from nth where i = 1
 union all select w.prefix, w.origin_as, w.as_path, n.i, n.collector, n.arrival_ms, case when n.arrival_ms >= w.opened + 10000 then n.arrival_ms else w.opened end from walk w join nth n on n.prefix = w.prefix and n.origin_as = w.origin_as and n.as_path = w.as_path and n.i = w.i + 1),
-once as (select prefix, origin_as, as_path, opened, collector, min(arrival_ms) as at from walk group by all) """
+once as (select prefix, origin_as, as_path, opened, collector, min(arrival_ms) as seen from walk group by all) """
 
 
-@query("stream_propagation", sql(ANCHOR_SQL + "select prefix, origin_as, array_to_string(as_path, ' ') as path, min(at) as first_ms, max(at) - min(at) as spread_ms, list(collector order by at, collector) as arrival_order from once where opened + 20000 <= (select max(arrival_ms) from bgp_observations) group by prefix, origin_as, as_path, opened having count(*) >= 3"))
+@query("stream_propagation", sql(ANCHOR_SQL + "select prefix, origin_as, array_to_string(as_path, ' ') as path, min(seen) as first_ms, max(seen) - min(seen) as spread_ms, list(collector order by seen, collector) as arrival_order from once where opened + 20000 <= (select max(arrival_ms) from bgp_observations) group by prefix, origin_as, as_path, opened having count(*) >= 3"))
 def stream_propagation(spark, d):
     T.use_rocksdb(spark)
     f = work_folder(spark)
