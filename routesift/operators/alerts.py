@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .joins import sized
+from .joins import lookup_join, sized
 
 TTL_SECONDS = 1800
 KINDS = {"PossibleHijack": "hijack", "PrefixFlapping": "flap"}
@@ -149,4 +149,4 @@ def new_silences(requests: DataFrame) -> DataFrame:
 def tenant_by_key(requests: DataFrame, tenants: DataFrame) -> DataFrame:
     """Requests with tenant and limit of the enabled tenant that owns the key; the default limit without one."""
     known = latest_version(tenants).where("enabled").select("api_key_hash", F.col("id").alias("tenant"), F.col("rate_limit_per_sec").alias("limit"))
-    return requests.join(sized(known), "api_key_hash", "left").withColumn("limit", F.coalesce("limit", F.lit(DEFAULT_LIMIT)))
+    return lookup_join(requests, known, ["api_key_hash"]).withColumn("limit", F.coalesce("limit", F.lit(DEFAULT_LIMIT)))

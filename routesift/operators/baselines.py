@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .joins import lookup_join
 
 ALPHA = 0.1
 WELL_KNOWN_DAYS, FULL_DAYS = 7, 30
@@ -89,7 +90,8 @@ def enhance(confidence: Column, boost: Column) -> Column:
 
 def baseline_features(anomalies: DataFrame, paths: DataFrame, days: DataFrame) -> DataFrame:
     """Anomalies with path_anomaly, unusual_prefix and well_known attached, by event and by AS."""
-    joined = anomalies.join(paths.select("event_id", F.col("is_anomaly").alias("path_anomaly")), "event_id", "left").join(days.select("origin_as", "well_known", "days"), "origin_as", "left")
+    joined = anomalies.join(paths.select("event_id", F.col("is_anomaly").alias("path_anomaly")), "event_id", "left")
+    joined = lookup_join(joined, days.select("origin_as", "well_known", "days"), ["origin_as"])
     return joined.withColumn("unusual_prefix", S.unusual_prefix_length(F.col("prefix")))
 
 

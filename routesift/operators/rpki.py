@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .joins import sized
+from .joins import lookup_join, sized
 
 
 def vrp_index(vrps: DataFrame) -> DataFrame:
@@ -44,13 +44,13 @@ def rpki_validate(events: DataFrame, vrps: DataFrame, mode: str = "first") -> Da
     )
     good = F.col("first") if mode == "first" else F.col("any")
     status = status.select("prefix", "origin_as", F.when(F.col("own") & good, "Valid").when(F.col("own"), "InvalidLength").otherwise("InvalidAsn").alias("rpki"))
-    return events.join(status, ["prefix", "origin_as"], "left").withColumn("rpki", F.coalesce("rpki", F.lit("NotFound")))
+    return lookup_join(events, status, ["prefix", "origin_as"]).withColumn("rpki", F.coalesce("rpki", F.lit("NotFound")))
 
 
 def irr_check(events: DataFrame, routes: DataFrame) -> DataFrame:
     """``events`` and irr (Consistent, Inconsistent, NotFound) and irr_asns, the registered origins."""
     known = routes.select("prefix", "origin").distinct().groupBy("prefix").agg(F.array_sort(F.collect_set("origin")).alias("irr_asns"))
-    joined = events.join(sized(known), "prefix", "left")
+    joined = lookup_join(events, known, ["prefix"])
     return joined.withColumn("irr", F.when(F.col("irr_asns").isNull(), "NotFound").when(F.array_contains("irr_asns", F.col("origin_as")), "Consistent").otherwise("Inconsistent"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .joins import sized
+from .joins import lookup_join
 
 SLOT_MS = 300_000
 MIN_COLLECTORS, MIN_SAMPLES = 3, 30
@@ -97,9 +97,9 @@ def lookup_baseline(events: DataFrame, baseline: DataFrame, baseline_key: str =
     """Left join on (prefix, origin, path); ``baseline_key="prefix"`` takes the prefix's most-sampled entry."""
     cols = ["sample_count", "p50_spread_ms", "p99_spread_ms", "std_dev", "expected_order"]
     if baseline_key == "exact":
-        return events.join(sized(baseline.select(*GROUP, *cols)), GROUP, "left")
+        return lookup_join(events, baseline.select(*GROUP, *cols), GROUP)
     top = baseline.groupBy("prefix").agg(F.max_by(F.struct(*cols), F.struct("sample_count", "origin_as", "as_path")).alias("b")).select("prefix", "b.*")
-    return events.join(sized(top), "prefix", "left")
+    return lookup_join(events, top, ["prefix"])
 
 
 def wave_score(events: DataFrame, baseline: DataFrame, distances: DataFrame, weights: dict[str, float] | None = None, baseline_key: str = "exact") -> DataFrame:

@@ -252,3 +252,12 @@ def test_detector_registry(spark):
     registry.register("x", D.hijack_first_seen)
     with pytest.raises(ValueError, match="already"):
         registry.register("x", D.hijack_first_seen)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_lookup_join_broadcast_or_salted(spark, most):
+    from routesift.operators.joins import lookup_join
+
+    big = spark.range(100).select(F.when(F.col("id") < 90, 1).when(F.col("id") < 95, 2).alias("k"))
+    table = spark.createDataFrame([(1, "a"), (3, "c")], "k int, v string")
+    assert {r["v"]: r["count"] for r in lookup_join(big, table, ["k"], most).groupBy("v").count().collect()} == {"a": 90, None: 10}
