@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,6 +116,11 @@ def unusual_prefix_length(prefix: Column) -> Column:
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def v4_bits(address: Column) -> Column:
     parts = F.transform(F.split(address, r"\."), lambda o: F.lpad(F.bin(o.cast("long")), 8, "0"))
     return F.when(address.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), F.array_join(parts, ""))
@@ -122,24 +129,33 @@ def v4_bits(address: Column) -> Column:
 def v6_bits(address: Column) -> Column:
     """128 bits of an IPv6 address in hex groups, with or without one ``::``."""
     group = "[0-9a-fA-F]{1,4}"
-    halves = F.split(address, "::", -1)
     groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
-    left, right = groups(halves[0]), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    missing = 8 - F.size(left) - F.size(right)
-    short = address.contains("::")
-    shaped = address.rlike(f"^({group}(:{group})*)?(::({group}(:{group})*)?)?$") & (address != "")
-    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    return F.when(shaped & F.when(short, missing >= 1).otherwise(missing == 0), F.array_join(F.transform(full, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
+    shaped = (address != "") & address.rlike(f"^({group}(:{group})*)?(::({group}(:{group})*)?)?$")
+    halves = F.split(address, "::", -1)
+    sides = let(halves, lambda h: F.struct(groups(h[0]).alias("l"), groups(F.coalesce(F.get(h, F.lit(1)), F.lit(""))).alias("r"), (F.size(h) > 1).alias("short")))
+
+    def whole(s: Column) -> Column:
+        missing = 8 - F.size(s["l"]) - F.size(s["r"])
+        full = F.concat(s["l"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), s["r"])
+        return F.when(F.when(s["short"], missing >= 1).otherwise(missing == 0), F.array_join(F.transform(full, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
+
+    return F.when(shaped, let(sides, whole))
 
 
 def prefix_bits(prefix: Column) -> Column:
     """struct(family 4 or 6, plen, bits of the whole address); null for an invalid prefix."""
-    address = F.split(prefix, "/")[0]
-    n = prefix_length(prefix)
-    six = prefix.contains(":")
-    bits = F.when(six, v6_bits(address)).otherwise(v4_bits(address))
-    fits = (F.size(F.split(prefix, "/")) == 2) & bits.isNotNull() & (n <= F.when(six, 128).otherwise(32))
-    return F.when(fits, F.struct(F.when(six, 6).otherwise(4).alias("family"), n.alias("plen"), bits.alias("bits")))
+
+    def parsed(p: Column) -> Column:
+        six = p["address"].contains(":")
+        bits = F.when(six, v6_bits(p["address"])).otherwise(v4_bits(p["address"]))
+        return F.struct(F.when(six, 6).otherwise(4).alias("family"), p["plen"].alias("plen"), bits.alias("bits"))
+
+    def split(parts: Column) -> Column:
+        n = F.get(parts, F.lit(1)).try_cast("int")
+        return F.struct(parts[0].alias("address"), F.when((F.size(parts) == 2) & n.between(0, 128), n).alias("plen"))
+
+    fits = lambda b: F.when(b["bits"].isNotNull() & (b["plen"] <= F.when(b["family"] == 6, 128).otherwise(32)), b)
+    return let(let(let(F.split(prefix, "/"), split), parsed), fits)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
