@@ -20,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces, release_memory
+
 #: Fixed by the vocabulary's format: the byte-level pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces remembered in a task before the memory starts anew, and the longest remembered.
-MEMORY, MEMORY_CHARS = 600_000, 64
+MEMORY, MEMORY_CHARS = 400_000, 64
 #: Fragments of more bytes are merged with a heap.
 SHORT = 48
 NEVER = 1 << 30
@@ -163,7 +165,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def coded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = Vocabulary(path)
         encoder = Encoder(vocabulary)
-        for column in texts:
+        for column in pieces(texts):
             ids, decoded = [], []
             for text in column.to_pylist():
                 raw = encoder.encode(text or "")
@@ -172,5 +174,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in ids])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), np.int32))
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(decoded, pa.string())], names=["ids", "decoded"])
+        encoder.clear()
+        release_memory()
 
     return docs.withColumn("coded", coded("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 #: Rows that a lookup table may have to be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 SALTS = 64
+#: Rows of texts that Python works on at a time.
+PIECE_ROWS = 512
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,3 +137,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def binary_values(column: pa.Array) -> list[bytes | None]:
     """A text column as UTF-8 bytes."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def release_memory() -> None:
+    """Give freed memory of this Python worker back; workers are reused, and the executor's limit counts all of them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def pieces(columns: Iterator[pa.Array], rows: int = PIECE_ROWS) -> Iterator[pa.Array]:
+    """Arrow batches in slices of few rows, so that what Python makes of a batch stays small."""
+    for column in columns:
+        for at in range(0, len(column), rows):
+            yield column.slice(at, rows)
+    release_memory()

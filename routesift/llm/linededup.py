@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed
+from .common import binary_values, checkpointed, pieces
 
 MIN_DOCS = 10
 #: Bytes of all filters and false positives that may be broadcast.
@@ -140,7 +140,7 @@ class LineState:
 
 def document_keys(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The distinct keys of each text's lines."""
-    for column in texts:
+    for column in pieces(texts):
         yield pa.array([list({k for line in (t or b"").split(b"\n") if (k := key_of(line))}) for t in binary_values(column)], pa.list_(pa.binary()))
 
 
@@ -277,7 +277,7 @@ def apply(state: LineState, docs: DataFrame, broadcast_bytes: int = BROADCAST_BY
             @F.arrow_udf(CLEANED)
             def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 filters = Filters(shared.value, exact.value, shards)
-                for column in texts:
+                for column in pieces(texts):
                     yield _cleaned(binary_values(column), filters.frequent)
 
             return docs.withColumn("cleaned", clean("text"))
@@ -288,7 +288,7 @@ def _apply_by_join(state: LineState, docs: DataFrame) -> DataFrame:
     """Equal texts have equal results, so distinct texts' keys are joined with the exact counts."""
     @F.arrow_udf("struct<id:binary,keys:array<binary>>")
     def keyed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in texts:
+        for column in pieces(texts):
             values = [t or b"" for t in binary_values(column)]
             ids = pa.array([xxhash.xxh3_128_digest(t) for t in values], pa.binary())
             keys = pa.array([list({k for line in t.split(b"\n") if (k := key_of(line))}) for t in values], pa.list_(pa.binary()))

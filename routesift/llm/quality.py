@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed, lookup_join
+from .common import binary_values, checkpointed, lookup_join, pieces
 
 #: Documents that a parent's rate counts as, for hosts and for paths.
 HOST_STRENGTH, PATH_STRENGTH = 50.0, 20.0
@@ -57,7 +57,7 @@ def bin_of(value: float) -> int:
 
 
 def bins(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in texts:
+    for column in pieces(texts):
         yield pa.array([[bin_of(v) for v in measures(t or b"")] for t in binary_values(column)], pa.list_(pa.int32()))
 
 

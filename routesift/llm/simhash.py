@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed, connected_components, edge_batch, forest_of, lookup_join
+from .common import binary_values, checkpointed, connected_components, edge_batch, forest_of, lookup_join, pieces
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -53,7 +53,7 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in texts:
+    for column in pieces(texts):
         values = np.fromiter((fingerprint(t or b"") for t in binary_values(column)), np.uint64, len(column))
         yield pa.array(values.view(np.int64))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, pieces
 
 BITS = 20
 #: Bound of the training sample: labelled rows of each class.
@@ -55,7 +55,7 @@ def coordinates(text: str, hashes: WordHashes) -> np.ndarray:
 
 def features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     hashes = WordHashes()
-    for column in texts:
+    for column in pieces(texts):
         yield pa.array([np.unique(coordinates(t or "", hashes)) for t in column.to_pylist()], pa.list_(pa.int32()))
 
 
@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         dense[shared.value[0]] = shared.value[1]
         bias, hashes = float(dense[0]), WordHashes()
         dense[0] = 0
-        for column in texts:
+        for column in pieces(texts):
             out = np.empty(len(column))
             for i, text in enumerate(column.to_pylist()):
                 at = coordinates(text or "", hashes)
