@@ -49,12 +49,20 @@ def hijack_first_seen(events: DataFrame, history: DataFrame | None = None) -> Da
 def flapping(events: DataFrame, seconds: int = FLAP_SECONDS, min_events: int = FLAP_EVENTS, min_changes: int = FLAP_CHANGES) -> DataFrame:
     """Every event at which its prefix had enough events and direction changes in the sliding window.
 
-    The window includes its bound and peers of an equal time.
+    The window includes its bound and peers of an equal time. A prefix is cut into spans of twelve
+    windows; a span also gets the events of the last window before it, as context only, so
+    that the events of a hot prefix are spread over tasks by time.
     """
-    flagged = events.withColumn("turn", F.coalesce((F.lag("event_type").over(Window.partitionBy("prefix").orderBy("timestamp", "event_id")) != F.col("event_type")).cast("int"), F.lit(0)))
-    frame = f"(partition by prefix order by timestamp range between interval {seconds} seconds preceding and current row)"
-    counted = flagged.withColumns({"n_events": F.expr(f"count(*) over {frame}"), "n_changes": F.expr(f"sum(turn) over {frame} - first_value(turn) over {frame}")})
-    return counted.where((F.col("n_events") >= min_events) & (F.col("n_changes") >= min_changes)).drop("turn")
+    length = 12 * seconds
+    t = F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6
+    span = F.floor(t / length)
+    spans = F.array(F.struct(span.alias("at"), F.lit(True).alias("own")), F.struct((span + 1).alias("at"), F.lit(False).alias("own")))
+    placed = events.withColumn("_span", F.explode(F.filter(spans, lambda x: x["own"] | (x["at"] * length - t <= seconds)))).withColumns({"_at": F.col("_span.at"), "_own": F.col("_span.own")})
+    by_span = Window.partitionBy("prefix", "_at").orderBy("timestamp", "event_id")
+    turned = placed.withColumn("_turn", F.coalesce((F.lag("event_type").over(by_span) != F.col("event_type")).cast("int"), F.lit(0)))
+    frame = f"(partition by prefix, _at order by timestamp range between interval {seconds} seconds preceding and current row)"
+    counted = turned.withColumns({"n_events": F.expr(f"count(*) over {frame}"), "n_changes": F.expr(f"sum(_turn) over {frame} - first_value(_turn) over {frame}")})
+    return counted.where(F.col("_own") & (F.col("n_events") >= min_events) & (F.col("n_changes") >= min_changes)).drop("_span", "_at", "_own", "_turn")
 
 
 def flapping_anomalies(flaps: DataFrame, seconds: int = FLAP_SECONDS) -> DataFrame:

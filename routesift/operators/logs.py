@@ -86,8 +86,9 @@ def repeat_flags(messages: DataFrame, ttl: int | None = None) -> DataFrame:
         from .alerts import dedup_flags
 
         return dedup_flags(keyed, "key", "timestamp", "id", ttl).select("id", "key", (~F.col("is_new")).alias("is_hit"))
-    first = keyed.groupBy("key").agg(F.min(F.struct("timestamp", "id")).alias("f")).select("key", F.col("f.id").alias("first_id"))
-    return keyed.join(first, "key").select("id", "key", (F.col("id") != F.col("first_id")).alias("is_hit"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("timestamp", "id")).alias("f")).select(F.col("f.id").alias("id"), F.lit(True).alias("is_first"))
+    # joined by the unique id: a key that many messages share isn't gathered in one task
+    return keyed.join(first, "id", "left").select("id", "key", F.col("is_first").isNull().alias("is_hit"))
 
 
 def redact_distinct(messages: DataFrame) -> DataFrame:
