@@ -11,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a lookup table may have to be broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
-SALTS = 64
+from ..operators.joins import lookup_join
+
 #: Rows of texts that Python works on at a time.
 PIECE_ROWS = 512
 
@@ -36,20 +35,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup_join(big: DataFrame, table: DataFrame, on: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join of ``big`` with a table that has one row per key.
-
-    The table is counted: up to ``max_rows`` it is broadcast. Beyond that both sides are
-    shuffled by the key and a salt, so that a hot key is spread over ``SALTS`` tasks.
-    Null keys match nothing.
-    """
-    if table.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(table), on, "left")
-    salted = big.withColumn("_salt", F.floor(F.rand(11) * SALTS).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
-
-
 class Forest:
     """Union-find over arbitrary integers; the smallest member is the root."""
 
@@ -93,6 +78,8 @@ def forest_of(rows: np.ndarray, cols: np.ndarray, linked: np.ndarray) -> list[tu
     return list(edges)
 
 
+__all__ = ["Forest", "binary_values", "checkpointed", "connected_components", "edge_batch", "forest_of", "lookup_join", "pieces", "read_table", "release_memory", "shared_folder"]
+
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 

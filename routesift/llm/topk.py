@@ -34,7 +34,7 @@ ROUNDS = (1, 8, None)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, vec array<long>) of the vectors without null or non-finite components and with an id."""
+    """(vec_id, vec array<long>) of the vectors without null or non-finite components and with an id; components of 1e15 or more, whose products no long holds, count as non-finite."""
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale))
     whole = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e15)))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(whole).select("vec_id", x.alias("vec"))
