@@ -140,7 +140,9 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges ``(u, v)`` between nodes, enough to connect all fingerprints within three bits."""
-    rows = distinct.select("fp", "node").mapInArrow(replicate, ANCHORED)
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a row becomes 34, so the small table is spread over more tasks than its size asks for
+    rows = distinct.select("fp", "node").repartition(parts, "fp").mapInArrow(replicate, ANCHORED)
     sizes = rows.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all"))
     hot = checkpointed(sizes.where((F.col("homes") > 0) & (F.col("all") > CELL_ROWS)))
     rows = lookup_join(rows, hot, ["anchor"])
