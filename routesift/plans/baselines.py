@@ -62,7 +62,7 @@ def confidence_enhance(spark, d):
     return enhanced(spark, d).select("event_id", F.round("boost", 6).alias("boost"), F.round("enhanced", 6).alias("enhanced"))
 
 
-@query("anomaly_ab", sql(ENH_SQL + "select event_id, prefix, 0.85 as rule_based, round(greatest(0, least(1, 0.85 + boost)), 6)::double as enhanced from enh"))
+@query("anomaly_ab", sql(ENH_SQL + "select event_id, prefix, 0.85::double as rule_based, round(greatest(0, least(1, 0.85 + boost)), 6)::double as enhanced from enh"))
 def anomaly_ab(spark, d):
     return enhanced(spark, d).select("event_id", "prefix", F.col("confidence").alias("rule_based"), F.round("enhanced", 6).alias("enhanced"))
 

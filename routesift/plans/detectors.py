@@ -15,7 +15,7 @@ HALF = datetime(2024, 1, 16)
 FIRST_SQL = ", firsts as (select * from bgp_events where event_type <> 'withdraw' qualify row_number() over (partition by prefix, origin_as order by timestamp, event_id) = 1)"
 
 
-@query("hijack_first_seen", sql(FIRST_SQL + " select event_id, 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.85 as confidence, timestamp as detected_at, tenant_id from firsts"))
+@query("hijack_first_seen", sql(FIRST_SQL + " select event_id, 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.85::double as confidence, timestamp as detected_at, tenant_id from firsts"))
 def hijack_first_seen(spark, d):
     return D.hijack_first_seen(X.bgp_events(spark, d))
 
@@ -78,12 +78,12 @@ def irr_check(spark, d):
     return R.irr_check(X.bgp_events(spark, d), X.irr_routes(spark, d)).select("event_id", "prefix", "origin_as", "irr", "irr_asns")
 
 
-@query("hijack_enriched", sql(RICH_SQL + "select event_id, prefix, origin_as, rpki, irr, is_new, confidence from rich where confidence is not null"))
+@query("hijack_enriched", sql(RICH_SQL + "select event_id, prefix, origin_as, rpki, irr, is_new, confidence::double as confidence from rich where confidence is not null"))
 def hijack_enriched(spark, d):
     return D.hijack_enriched(validated(spark, d)).select("event_id", "prefix", "origin_as", "rpki", "irr", "is_new", "confidence")
 
 
-@query("hijack_rpki_first", sql(RICH_SQL + "select event_id, prefix, origin_as, rpki, confidence from rich where rpki like 'Invalid%'"))
+@query("hijack_rpki_first", sql(RICH_SQL + "select event_id, prefix, origin_as, rpki, confidence::double as confidence from rich where rpki like 'Invalid%'"))
 def hijack_rpki_first(spark, d):
     return D.hijack_rpki_first(validated(spark, d)).select("event_id", "prefix", "origin_as", "rpki", "confidence")
 
@@ -105,18 +105,18 @@ def roa_delta_counts(spark, d):
     return delta(spark, d).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("roa_removed_anomaly", sql(DELTA_SQL + "select 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.65 as confidence, 'ROA removed: ' || prefix || ' AS' || origin_as as details from delta where action = 'removed'"))
+@query("roa_removed_anomaly", sql(DELTA_SQL + "select 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.65::double as confidence, 'ROA removed: ' || prefix || ' AS' || origin_as as details from delta where action = 'removed'"))
 def roa_removed_anomaly(spark, d):
     return R.roa_removed_anomalies(delta(spark, d))
 
 
-@query("anomaly_union", sql(FIRST_SQL + FLAP_SQL + DELTA_SQL + "select 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.85 as confidence from firsts union all select 'PrefixFlapping', prefix, origin_as, 0.75 from flaps union all select 'PossibleHijack', prefix, origin_as, 0.65 from delta where action = 'removed'"))
+@query("anomaly_union", sql(FIRST_SQL + FLAP_SQL + DELTA_SQL + "select 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.85::double as confidence from firsts union all select 'PrefixFlapping', prefix, origin_as, 0.75 from flaps union all select 'PossibleHijack', prefix, origin_as, 0.65 from delta where action = 'removed'"))
 def anomaly_union(spark, d):
     e = X.bgp_events(spark, d)
     return D.anomaly_union(D.hijack_first_seen(e), D.flapping_anomalies(D.flapping(e, 86400, 3, 2), 86400), R.roa_removed_anomalies(delta(spark, d))).select("anomaly_type", "prefix", "origin_as", "confidence")
 
 
-@query("detector_plugin", sql(FIRST_SQL + FLAP_SQL + "select 'first_seen' as detector, 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.85 as confidence from firsts union all select 'flapping', 'PrefixFlapping', prefix, origin_as, 0.75 from flaps"))
+@query("detector_plugin", sql(FIRST_SQL + FLAP_SQL + "select 'first_seen' as detector, 'PossibleHijack' as anomaly_type, prefix, origin_as, 0.85::double as confidence from firsts union all select 'flapping', 'PrefixFlapping', prefix, origin_as, 0.75 from flaps"))
 def detector_plugin(spark, d):
     registry = D.DetectorRegistry()
     registry.register("first_seen", D.hijack_first_seen)

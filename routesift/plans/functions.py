@@ -44,9 +44,9 @@ def message_key(spark, d):
     return X.log_messages(spark, d).select("id", S.message_key(F.concat(F.lit("  "), "message", F.lit(" "))).alias("key"))
 
 
-@query("path_hash", sql("select event_id, list_reduce(list_prepend(0::hugeint, as_path::hugeint[]), lambda h, a: (h * 31 + a) % 18446744073709551616::hugeint)::decimal(20,0) as hash from bgp_events"))
+@query("path_hash", sql("select event_id, list_reduce(list_prepend(0::hugeint, as_path::hugeint[]), lambda h, a: (h * 31 + a) % 18446744073709551616::hugeint)::varchar as hash from bgp_events"))
 def path_hash(spark, d):
-    return X.bgp_events(spark, d).select("event_id", S.path_hash(F.col("as_path")).alias("hash"))
+    return X.bgp_events(spark, d).select("event_id", S.path_hash(F.col("as_path")).cast("string").alias("hash"))
 
 
 ASN_TEXT = "case k % 6 when 0 then concat('AS', origin_as) when 1 then concat(' as', origin_as, ' ') when 2 then cast(origin_as as varchar(20)) when 3 then '4294967296' when 4 then 'ASX' else '' end"
