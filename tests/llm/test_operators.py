@@ -1,6 +1,7 @@
 """The training-text operators against brute-force versions, SQL and edge cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import importlib.util
@@ -231,6 +232,37 @@ def test_wrapped_secrets(wrap):
     assert found and all(at <= s[0] < s[2] <= at + len(hidden) for s in found)
 
 
+def spans_of(text, kind="assign"):
+    return [(a, b) for a, k, b in secrets.scan(text)[1] if k == kind]
+
+
+def test_bad_bytes_spoil_only_themselves():
+    secret = "password=hunter2hunter2"
+    quoted, escaped = "".join(f"%{ord(c):02x}" for c in secret), "".join(f"\\u{ord(c):04x}" for c in secret)
+    assert spans_of(f"caf%E9/{quoted}") == [(7, 7 + len(quoted))]
+    for smile in ("\\ud83d\\ude00", "\\ud83d", "\\ude00"):
+        assert spans_of(f'{{"x":"{smile}","y":"{escaped}"}}') == [(13 + len(smile), 13 + len(smile) + len(escaped))]
+    raw = bytes(range(128, 256)) + b"\x00\xe2\x82" + secret.encode() + bytes(range(128, 256))
+    at = 131
+    assert spans_of(base64.b64encode(raw).decode()) == [(at // 3 * 4, (at + len(secret) - 1) // 3 * 4 + 4)]
+    text, first, last = secrets._characters("aé\u20ac\U0001f600".encode() + b"\xff\xe2\x82z")
+    assert (text, first.tolist(), last.tolist()) == ("aé\u20ac\U0001f600\ufffd\ufffd\ufffdz", [0, 1, 3, 6, 10, 11, 12, 13], [0, 2, 5, 9, 10, 11, 12, 13])
+
+
+@pytest.mark.parametrize("outer", [gzip.compress, zlib.compress, bz2.compress])
+@pytest.mark.parametrize("inner", [gzip.compress, zlib.compress, bz2.compress])
+def test_compressed_layers_within_each_other(outer, inner):
+    b64 = lambda b: base64.b64encode(b).decode()
+    secret = b"password=hunter2hunter2 caf\xe9"
+    for packed in (outer(inner(secret)), outer(b"nothing here ") + inner(secret), outer(b"nothing") + secret, outer(b"x " + b64(inner(b"".join(b"%%%02x" % c for c in secret))).encode())):
+        hidden = b64(packed)
+        assert spans_of(f"é {hidden} z") == [(2, 2 + len(hidden))]
+    deep = secret
+    for _ in range(20):
+        deep = outer(inner(deep))
+    assert spans_of(b64(deep))
+
+
 def test_cycles_end():
     assert secrets.scan("%25" * 50)[2] == 0
     assert secrets.scan("A" * 4096)[1] == []
