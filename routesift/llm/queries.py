@@ -55,7 +55,7 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("found.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(secrets.spans_text("found.base"), 256).alias("base_sha256"), secrets.spans_text("found.spans").alias("spans"))
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(secrets.spans_text("found.base"), 256).alias("base_sha256"), secrets.spans_text("found.spans").alias("spans"), F.col("found.n_oversized").cast("long").alias("n_oversized"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,32 @@ def test_compressed_layers_within_each_other(outer, inner):
     assert spans_of(b64(deep))
 
 
+def test_large_layers_are_searched_whole():
+    pack = lambda b: gzip.compress(b, 1)
+    secret, words = b"password = hunter2hunter2", b"some plain words\n" * 600_000
+    quoted = b"".join(b"%%%02x" % c for c in secret)
+    for inside in (secret + b" " + words, words + secret, words + quoted + b" " + words, words + base64.b64encode(pack(words + secret)), pack(words + quoted), b"word " * 2_000_000 + b"token:" + b" " * 9_000_000 + b"abcdefgh"):
+        hidden = base64.b64encode(pack(inside)).decode()
+        assert secrets.scan(f"é {hidden} z")[1:] == ([(2, "assign", 2 + len(hidden))], 0)
+    assert secrets.scan(base64.b64encode(pack(words)).decode())[1:] == ([], 0)
+
+
+def test_parts_of_a_layer_cut_no_match(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["token", "secret:", "=", "abcdefghij", "%74oken%3dabcdefgh", "x", '"', "é", "\n", " ", "  ", "0123456789abcdef0123456789abcdef", "AKIA0123456789AB", base64.b64encode(b"passwd=12345678").decode()]
+    texts = ["".join(rng.choice(words, 30)).encode() for _ in range(300)]
+    whole = [secrets._kinds(iter([x])) for x in texts]
+    assert len({frozenset(k) for k, _ in whole}) > 3
+    monkeypatch.setattr(secrets, "WINDOW", 16)
+    assert [secrets._kinds(x[i : i + 5] for i in range(0, len(x), 5)) for x in texts] == whole
+    monkeypatch.setattr(secrets, "STRETCH", 8192)
+    hidden = base64.b64encode(gzip.compress(b"." * 20_000 + b"token=abcdefgh" + b"." * 20_000)).decode()
+    monkeypatch.setattr(secrets, "CHUNK", 100)
+    kinds, cut = secrets._kinds(iter([base64.b64decode(hidden)]))
+    assert kinds == {"assign"} and cut > 0
+    assert "n_oversized" in queries.op7_secrets(spark, SF).columns
+
+
 def test_cycles_end():
     assert secrets.scan("%25" * 50)[2] == 0
     assert secrets.scan("A" * 4096)[1] == []
