@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .folds import RUN, fold_sorted, quiet_runs
 from .joins import lookup_join, sized
 
 TTL_SECONDS = 1800
@@ -43,19 +44,27 @@ def unsilenced(alerts: DataFrame, silences: DataFrame) -> DataFrame:
 def dedup_flags(alerts: DataFrame, key: str = "fingerprint", time: str = "detected_at", order: str = "event_id", ttl: int = TTL_SECONDS) -> DataFrame:
     """(key, order, time, is_new): new if the last emitted one of the key is at least ``ttl`` seconds old.
 
-    Suppressed rows don't extend the time, so it is a greedy fold over the key's sorted rows.
+    Suppressed rows don't extend the time, so it is a greedy fold over the key's sorted rows, in runs
+    between gaps of more than ``ttl``, after which a row is new anyway.
     """
-    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    g = alerts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seconds.alias("t"), F.col(order).alias("o"), F.col(time).alias("at")))).alias("items"))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<boolean>").alias("out"))
 
-    def step(s: Column, i: Column) -> Column:
-        new = i["t"] - s["last"] >= ttl
-        return F.struct(F.when(new, i["t"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(new)).alias("out"))
+    def start():
+        last = float("-inf")
+
+        def take(t: float | None) -> tuple[bool | None]:
+            nonlocal last
+            if t is None:
+                return (None,)
+            new = t - last >= ttl
+            if new:
+                last = t
+            return (new,)
 
-    flags = F.aggregate("items", start, step, lambda s: s["out"])
-    r = g.select(key, F.explode(F.arrays_zip(F.col("items"), flags.alias("new"))).alias("r"))
-    return r.select(key, F.col("r.items.o").alias(order), F.col("r.items.at").alias(time), F.col("r.new").alias("is_new"))
+        return take
+
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    runs = quiet_runs(alerts.select(key, order, time, seconds.alias("_t")), key, F.col("_t"), ttl)
+    return fold_sorted(runs, [key, RUN], ["_t", order], "_t", start, "is_new boolean").drop("_t", RUN)
 
 
 def deduplicated(alerts: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:

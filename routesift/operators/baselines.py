@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .folds import fold_sorted
 from .joins import lookup_join
 
 ALPHA = 0.1
 WELL_KNOWN_DAYS, FULL_DAYS = 7, 30
 PATH_BOOST, PREFIX_BOOST, KNOWN_CUT, BOOST_LIMIT = 0.10, 0.05, 0.10, 0.15
-STATE = "struct<ema:double,var:double,n:long>"
 
 
 def ordered_values(events: DataFrame, value: Column, keys: list[str]) -> DataFrame:
@@ -48,17 +48,28 @@ def ema_baseline(events: DataFrame, value: Column | None = None, keys: list[str]
 def event_states(events: DataFrame, value: Column | None = None, keys: list[str] | None = None, alpha: float = ALPHA, state: str = "before") -> DataFrame:
     """(keys, timestamp, event_id, x, ema, var, n) with each event's state before or after it is folded in."""
     keys = keys or ["prefix"]
-    folded = ordered_values(events, F.size("as_path") if value is None else value, keys)
-    start = F.struct(_zero().alias("s"), F.array().cast(f"array<{STATE}>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        after = _next(acc["s"], i["x"], alpha)
-        kept = acc["s"] if state == "before" else after
-        return F.struct(after.alias("s"), F.concat(acc["out"], F.array(kept.cast(STATE))).alias("out"))
 
-    states = F.aggregate("items", start, step, lambda a: a["out"])
-    rows = folded.select(*keys, F.explode(F.arrays_zip(F.col("items"), states.alias("states"))).alias("r"))
-    return rows.select(*keys, "r.items.timestamp", "r.items.event_id", "r.items.x", "r.states.ema", "r.states.var", "r.states.n")
+    def start():
+        ema, var, n = 0.0, 0.0, 0
+
+        def take(x: float | None) -> tuple[float | None, float | None, int]:
+            nonlocal ema, var, n
+            before = ema, var, n
+            if n == 0:
+                ema, var = x, 0.0
+            elif x is None or ema is None:
+                ema, var = None, None
+            else:
+                delta = x - ema
+                ema, var = ema + alpha * delta, (1 - alpha) * (var + alpha * delta * delta)
+            n += 1
+            return before if state == "before" else (ema, var, n)
+
+        return take
+
+    x = F.size("as_path") if value is None else value
+    rows = events.select(*keys, "timestamp", "event_id", x.cast("double").alias("x"))
+    return fold_sorted(rows, keys, ["timestamp", "event_id", "x"], "x", start, "ema double, var double, n long")
 
 
 def path_length_anomaly(events: DataFrame, threshold: float = 3.0, state: str = "before", alpha: float = ALPHA) -> DataFrame:

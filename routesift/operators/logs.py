@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .folds import RUN, fold_sorted, quiet_runs
 
 LEVELS = ("debug", "info", "warn", "error")
 REPEAT_TTL = 300
@@ -59,21 +60,29 @@ def quota_check(requests: DataFrame, limit: Column, unit: str = "second") -> Dat
 def gcra_limit(requests: DataFrame, rate: float, burst: float | None = None) -> DataFrame:
     """(tenant_id, id, timestamp, conforming): a bucket of ``burst`` that refills at ``rate`` per second.
 
-    The fold keeps the theoretical arrival time; only conforming requests move it.
+    The fold keeps the theoretical arrival time; only conforming requests move it. After a gap of
+    slack and step the bucket is full again, so a tenant's requests are folded in runs between such gaps.
     """
     step, slack = 1.0 / rate, ((burst or rate) - 1) / rate
-    t = F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6
-    g = requests.groupBy("tenant_id").agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), "id", "timestamp"))).alias("items"))
-    start = F.struct(F.lit(float("-inf")).alias("tat"), F.array().cast("array<boolean>").alias("out"))
 
-    def fold(s: Column, i: Column) -> Column:
-        due = F.greatest(s["tat"], i["t"])
-        ok = due - i["t"] <= slack + 1e-9
-        return F.struct(F.when(ok, due + step).otherwise(s["tat"]).alias("tat"), F.concat(s["out"], F.array(ok)).alias("out"))
+    def start():
+        tat = float("-inf")
+
+        def take(t: float | None) -> tuple[bool | None]:
+            nonlocal tat
+            if t is None:
+                return (None,)
+            due = max(tat, t)
+            ok = due - t <= slack + 1e-9
+            if ok:
+                tat = due + step
+            return (ok,)
 
-    flags = F.aggregate("items", start, fold, lambda s: s["out"])
-    r = g.select("tenant_id", F.explode(F.arrays_zip(F.col("items"), flags.alias("ok"))).alias("r"))
-    return r.select("tenant_id", "r.items.id", "r.items.timestamp", F.col("r.ok").alias("conforming"))
+        return take
+
+    t = F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6
+    runs = quiet_runs(requests.select("tenant_id", "id", "timestamp", t.alias("_t")), "tenant_id", F.col("_t"), slack + step)
+    return fold_sorted(runs, ["tenant_id", RUN], ["_t", "id"], "_t", start, "conforming boolean").drop("_t", RUN)
 
 
 def repeat_flags(messages: DataFrame, ttl: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import tempfile
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import waves as W
@@ -63,9 +64,21 @@ def log_batch_read(spark, d):
     return R.log_batch(texts).select("tenant_id", "pos", "level", "source", "message")
 
 
+#: Ordinals that one line of the VRP dump covers, and lines in a file.
+DUMP_SPAN, DUMP_LINES = 1000, 16
+
+
 def vrp_dump(spark, d):
+    """The dump as JSON files that are read in parallel; every line holds a range of ordinals and the number of entries before it."""
     item = F.format_string('{"prefix":"%s","maxLength":%d,"asn":"AS%d"}', F.when(F.col("ord") % 11 == 0, "bad").otherwise(F.col("prefix")), "max_length", "asn")
-    return X.vrps(spark, d).groupBy().agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("j")))).alias("l")).select(F.concat(F.lit('{"roas":['), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]}")).alias("json"))
+    v = X.vrps(spark, d).select("ord", item.alias("j"), F.floor(F.col("ord") / DUMP_SPAN).alias("part"))
+    # one row per range is numbered, not the entries
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lists = v.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("ord", "j"))).alias("l")).join(v.groupBy("part").count().select("part", before.alias("first")), "part")
+    line = F.concat(F.lit('{"first":'), F.col("first").cast("string"), F.lit(',"roas":['), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]}"))
+    path = f"{work_folder(spark)}/vrps"
+    lists.select(line.alias("json")).write.option("maxRecordsPerFile", DUMP_LINES).text(path)
+    return spark.read.text(path).withColumnRenamed("value", "json")
 
 
 @query("vrp_read", sql("select prefix, max_length, asn, i - 1 as ord from (select *, row_number() over (order by ord) as i from vrps) where ord % 11 <> 0"))

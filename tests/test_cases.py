@@ -10,6 +10,7 @@ from routesift.operators import alerts as A
 from routesift.operators import baselines as B
 from routesift.operators import detectors as D
 from routesift.operators import events as E
+from routesift.operators import folds
 from routesift.operators import logs as L
 from routesift.operators import rpki as R
 from routesift.operators import waves as W
@@ -222,6 +223,51 @@ def test_gcra(spark):
     assert {x["id"]: x["conforming"] for x in L.gcra_limit(r, 2).collect()} == {0: True, 1: True, 2: False, 3: True, 4: False}
 
 
+def test_folds_stream_runs_between_quiet_gaps(spark):
+    import random
+
+    rng, at, rows = random.Random(5), 0.0, []
+    for i in range(3000):
+        at += rng.choice((0, 0.1, 0.25, 0.5, 1.0, 1.5, 1.5, 30))
+        rows.append((i, None if i % 3 == 0 else "t", T0 + timedelta(seconds=at)))
+    r = spark.createDataFrame(rows, "id long, tenant_id string, timestamp timestamp_ntz")
+    flags = L.gcra_limit(r, 2)
+    want, last = {}, {}
+    dedup, seen = {}, {}
+    for i, tenant, ts in rows:
+        t = (ts - T0).total_seconds()
+        due = max(last.get(tenant, -1e9), t)
+        want[i] = due - t <= 0.5 + 1e-9
+        if want[i]:
+            last[tenant] = due + 0.5
+        dedup[i] = t - seen.get(tenant, -1e9) >= 2
+        if dedup[i]:
+            seen[tenant] = t
+    assert {x["id"]: x["conforming"] for x in flags.collect()} == want and len(set(want.values())) == 2
+    assert {x["id"]: x["is_new"] for x in A.dedup_flags(r, "tenant_id", "timestamp", "id", 2).collect()} == dedup
+    states = B.event_states(events(spark, [(0, 0, "announce", "p", 1)]))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (flags, A.dedup_flags(r, "tenant_id", "timestamp", "id", 2), states)]
+    assert not [p for p in plans if "collect_list" in p]
+    runs = {(x["tenant_id"], x["_run"]) for x in folds.quiet_runs(r, "tenant_id", F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6, 1.0).collect()}
+    assert len(runs) > 100
+
+
+def test_vrp_dump_comes_in_ranges(spark, monkeypatch):
+    from conftest import SF
+
+    from routesift.plans import sources
+    from routesift.sources import readers
+
+    ones = [(r["prefix"], r["max_length"], r["asn"], r["ord"]) for r in readers.read_vrps(sources.vrp_dump(spark, SF)).collect()]
+    monkeypatch.setattr(sources, "DUMP_SPAN", 2)
+    monkeypatch.setattr(sources, "DUMP_LINES", 1)
+    dump = sources.vrp_dump(spark, SF)
+    assert dump.count() > 3 and len(dump.inputFiles()) > 2
+    assert sorted((r["prefix"], r["max_length"], r["asn"], r["ord"]) for r in readers.read_vrps(dump).collect()) == sorted(ones)
+    alone = spark.createDataFrame([('{"roas":[{"prefix":"10.0.0.0/8","max_length":9,"asn":"AS1"},{"prefix":"10.0.0.0/9","maxLength":9,"asn":"2"}]}',)], "json string")
+    assert [r["ord"] for r in readers.read_vrps(alone).collect()] == [0, 1]
+
+
 @pytest.mark.parametrize(
     ("json", "errors"),
     [('{"level":"info","source":"s","message":"m"}', ""), ('{"level":"CRITICAL","source":"s","message":"m"}', "level"), ('{"level":"info","source":"s","message":""}', "message"), ('{"level":1,"source":"s"}', "level; message"), ("[1]", "not an object"), ("{", "not an object"), (None, "not an object"), ('{"level":"warn","source":"s","message":"m","metadata":null,"x":[1]}', ""), ('{"level":"warn","source":"s","message":"m","metadata":[1]}', "metadata")],
