@@ -1,82 +1,83 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Only DataFrame functions are used. Lines that speak of licences are compared with every
-template by the cosine of sparse TF-IDF vectors; document frequencies of the templates' words
-are counted over all such lines. A file whose best line reaches ``HEADER_COSINE`` has a licence
-of its own. A file named like a licence file, or whose whole text reaches ``FILE_COSINE``, also
-rules its directory. Files without their own licence take that of the nearest ancestor
-directory that has one; directories are resolved first, by joining their ancestors' paths.
+Only DataFrame functions are used. Lines that speak of licences, each also with its neighbours in
+case a notice is wrapped, and whole texts that hold such a line are compared with templates by the
+cosine of sparse TF-IDF vectors; document frequencies of the templates' words are counted over
+all such lines. A template counts only where its key words all stand, so that words which
+licences share never name one.
+
+A file whose best lines reach ``HEADER_COSINE`` has that licence, whatever the rest of the text
+resembles. A text that is mostly a licence (``FILE_COSINE`` of the whole) has it too. Such a text,
+and a file named like a licence file, also rules its directory. Files without their own
+licence take that of the nearest ancestor directory that has one; directories are resolved
+first, by joining their ancestors' paths.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import sized
 from .common import checkpointed, lookup_join
 
-#: Licence ids and the wording that names them.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+_CC = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+#: Licence, its key words, and the wording of a notice or body.
+NOTICES = (
+    ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "apache 2 0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", "apache version reproduction", "Apache License Version 2.0, January 2004. Terms and conditions for use, reproduction, and distribution."),
+    ("MIT", "mit", "Released under the MIT License."),
+    ("MIT", "permission hereby granted sublicense", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
+    ("ISC", "isc", "Released under the ISC License."),
+    ("ISC", "permission use copy modify distribute fee hereby granted", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.'),
+    ("BSD-3-Clause", "bsd 3 clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "redistribution source binary forms neither endorse", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "bsd 2 clause", "Redistribution and use are permitted under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "redistribution source binary forms retain reproduce", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("MPL-2.0", "mozilla 2 0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "mozilla 2 0 mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-3.0", "gnu general public 3", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "gnu general public 3 free software", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "gnu general public 2", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "gnu general public 2 free software", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "gnu lesser general public 3", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "gnu lesser general public 2 1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "gnu affero general public 3", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("Unlicense", "unencumbered public domain", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "cc0", "Dedicated to the public domain under CC0 1.0."),
+    *((f"CC-{v}-4.0", f"CC {v} 4.0", f"Licensed under CC {v} 4.0.") for v in _CC),
 )
-TRIGGER = "(?i)licen[sc]|copyright|spdx"
+#: Every licence is also known by its identifier line.
+TEMPLATES = (*NOTICES, *((name, f"spdx {name}", f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n[0] for n in NOTICES)))
+TRIGGER = "(?i)licen[sc]|copyright|spdx|redistribution and use|permission (?:is hereby|to use)|public domain|free software"
 WORDS = "[a-z0-9]+"
 LICENSE_FILE = "(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
-HEADER_COSINE, FILE_COSINE = 0.6, 0.25
+HEADER_COSINE, FILE_COSINE = 0.6, 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Part number of a whole text; those of lines count from 0.
+WHOLE = -1
+Templates = Sequence[tuple[str, str, str]]
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), F.lit(0))
 
 
-def template_tokens() -> dict[str, dict[str, int]]:
-    """Word counts of each template."""
-    out: dict[str, dict[str, int]] = {}
-    for name, text in TEMPLATES:
-        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-        out[name] = {w: words.count(w) for w in dict.fromkeys(words)}
-    return out
-
-
-def cosines(words: Column, idf: dict[str, float], unknown: float) -> Column:
-    """Array of (cosine rounded to 6 places, license) of a bag of words; ``idf`` has the templates' words.
-
-    With the words sorted, the i-th repeat of a word adds (2i - 1) * idf**2 to the squared norm.
-    """
-    known = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
-    start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("i"), F.lit(0.0).alias("sum"))
-
-    def step(s: Column, w: Column) -> Column:
-        i = F.when(s["w"] == w, s["i"] + 1).otherwise(F.lit(1.0))
-        x = F.coalesce(F.try_element_at(known, w), F.lit(unknown))
-        return F.struct(w.alias("w"), i.alias("i"), (s["sum"] + (2 * i - 1) * x * x).alias("sum"))
-
-    norm = F.sqrt(F.aggregate(F.array_sort(words), start, step, lambda s: s["sum"]))
-    spoken = F.filter(words, lambda w: F.map_contains_key(known, w))
-
-    def dot(weights: Column) -> Column:
-        return F.aggregate(spoken, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(weights, w), F.lit(0.0)))
+def words_of(text: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
-    made = []
-    for name, counts in template_tokens().items():
-        size = sum((n * idf[w]) ** 2 for w, n in counts.items()) ** 0.5
-        weights = F.create_map(*[F.lit(x) for w, n in counts.items() for x in (w, n * idf[w] * idf[w])])
-        made.append(F.struct(F.when(norm > 0, F.round(dot(weights) / (norm * size), 6)).otherwise(0.0).alias("cosine"), F.lit(name).alias("license")))
-    return F.array(*made)
 
-
-def best(of: Column) -> Column:
-    """The largest cosine, ties to the name that sorts first."""
-    return F.array_sort(of, lambda a, b: F.when(a["cosine"] != b["cosine"], F.when(a["cosine"] > b["cosine"], -1).otherwise(1)).when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0))[0]
+def template_words(templates: Templates = TEMPLATES) -> list[tuple[int, str, str, int, int]]:
+    """(template, license, word, count, 1 if it is a key word) of all templates."""
+    out = []
+    for i, (name, keys, text) in enumerate(templates):
+        words, needed = words_of(text), set(words_of(keys))
+        out += [(i, name, w, words.count(w), int(w in needed)) for w in dict.fromkeys([*words, *needed])]
+    return out
 
 
 def parents(path: Column) -> Column:
@@ -85,20 +86,52 @@ def parents(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
-def inverse_frequencies(files: DataFrame) -> tuple[dict[str, float], float]:
-    """Smoothed idf of the templates' words over all lines that speak of licences, and of any other word."""
-    words = sorted({w for counts in template_tokens().values() for w in counts})
-    lines = files.where(F.col("text").rlike(TRIGGER)).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(TRIGGER))
-    held = F.array_intersect(tokens(F.col("line")), F.array(*map(F.lit, words)))
-    seen = lines.select(F.explode(F.concat(F.array(F.lit("")), held)).alias("word")).groupBy("word").count()
+def spoken_lines(lines: Column) -> Column:
+    """Of the lines that speak of licences: the line, the line between its neighbours, and the line with the next two."""
+
+    def parts(x: Column, i: Column) -> Column:
+        near = lambda k: F.get(lines, i + k)
+        return F.when(x.rlike(TRIGGER), F.array(x, F.concat_ws(" ", near(-1), x, near(1)), F.concat_ws(" ", x, near(1), near(2))))
+
+    return F.filter(F.transform(lines, parts), lambda p: p.isNotNull())
+
+
+def weights(spoken: DataFrame, templates: Templates) -> tuple[DataFrame, list[tuple[float, int]], float]:
+    """Per word of a template its idf and (template, weight, key); per template its norm and number of key words; the idf of any other word."""
+    table = template_words(templates)
+    words = sorted({t[2] for t in table})
+    lines = spoken.select(F.explode("_lines").alias("p")).select(F.array_intersect(tokens(F.col("p")[0]), F.array(*map(F.lit, words))).alias("held"))
+    seen = lines.select(F.explode(F.concat(F.array(F.lit("")), "held")).alias("word")).groupBy("word").count()
     df = {r["word"]: r["count"] for r in seen.collect()}  # at most the templates' words and the total
     total = df.get("", 0)
-    return {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1 for w in words}, math.log(total + 1) + 1
+    idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1 for w in words}
+    rows = [(w, idf[w], [(i, n * idf[w] * idf[w], key) for i, _, x, n, key in table if x == w]) for w in words]
+    norms = [(math.sqrt(sum((n * idf[w]) ** 2 for j, _, w, n, _ in table if j == i)), sum(key for j, *_, key in table if j == i)) for i in range(len(templates))]
+    made = spoken.sparkSession.createDataFrame(rows, "word string, idf double, held array<struct<template:int,weight:double,key:int>>")
+    return made, norms, math.log(total + 1) + 1
+
+
+def matches(spoken: DataFrame, templates: Templates) -> DataFrame:
+    """(_id, own, whole): the best template of a file's lines and of its whole text, as (cosine, license), null without one."""
+    table, norms, unknown = weights(spoken, templates)
+    parts = spoken.select("_id", F.posexplode(F.flatten("_lines")).alias("part", "text")).unionByName(spoken.select("_id", F.lit(WHOLE).alias("part"), F.col("_text").alias("text")))
+    counts = parts.select("_id", "part", F.explode(tokens(F.col("text"))).alias("word")).groupBy("_id", "part", "word").count()
+    known = counts.join(F.broadcast(table), "word", "left")  # at most the templates' words
+    square = F.struct(F.lit(None).cast("int").alias("template"), F.pow(F.col("count") * F.coalesce("idf", F.lit(unknown)), 2).alias("x"), F.lit(0).alias("key"))
+    dots = F.transform(F.coalesce("held", F.array().cast("array<struct<template:int,weight:double,key:int>>")), lambda t: F.struct(t["template"].alias("template"), (F.col("count") * t["weight"]).alias("x"), t["key"].alias("key")))
+    sums = known.select("_id", "part", F.explode(F.concat(F.array(square), dots)).alias("t")).groupBy("_id", "part", "t.template").agg(F.sum("t.x").alias("x"), F.sum("t.key").alias("keys"))
+    each = sums.groupBy("_id", "part").agg(F.max(F.when(F.col("template").isNull(), F.sqrt("x"))).alias("norm"), F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "x", "keys"))).alias("found"))  # at most one per template
+    facts = F.array(*[F.struct(F.lit(n).alias("norm"), F.lit(k).alias("keys"), F.lit(t[0]).alias("license")) for (n, k), t in zip(norms, templates, strict=True)])
+    scored = each.select("_id", "part", "norm", F.explode("found").alias("f")).withColumn("t", F.get(facts, F.col("f.template"))).where("f.keys = t.keys")
+    rated = scored.select("_id", "part", F.struct((-F.round(F.col("f.x") / (F.col("norm") * F.col("t.norm")), 6)).alias("down"), F.col("t.license").alias("license")).alias("r"))
+    best = lambda r: F.when(r.isNotNull(), F.struct((-r["down"]).alias("cosine"), r["license"].alias("license")))
+    tops = rated.groupBy("_id").agg(F.min(F.when(F.col("part") != WHOLE, F.col("r"))).alias("own"), F.min(F.when(F.col("part") == WHOLE, F.col("r"))).alias("whole"))
+    return tops.select("_id", best(F.col("own")).alias("own"), best(F.col("whole")).alias("whole"))
 
 
 def directories(files: DataFrame) -> DataFrame:
-    """(_dir, license, cosine, license_dir) of the directories of ``files`` that a licence file rules, or an ancestor's."""
-    tops = files.where("_ruling is not null").groupBy("_dir", "_ruling").count().groupBy("_dir").agg(best(F.collect_set("_ruling")).alias("r"))
+    """(_dir, _license, _license_dir) of the directories of ``files`` that a licence file rules, or an ancestor's."""
+    tops = files.where("_ruling is not null").groupBy("_dir").agg(F.min(F.struct((-F.col("_ruling.cosine")).alias("down"), F.col("_ruling.license").alias("license"))).alias("r"))
     tops = checkpointed(tops.select(F.col("_dir").alias("_at"), F.col("r.license").alias("license")))
     own = F.when(F.col("_dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array("_dir"), parents(F.col("_dir"))))
     chains = files.select("_dir").distinct().select("_dir", F.posexplode(own).alias("up", "_at"))
@@ -106,28 +139,30 @@ def directories(files: DataFrame) -> DataFrame:
     return found.groupBy("_dir").agg(F.min_by(F.struct("license", "_at"), "up").alias("near")).select("_dir", F.col("near.license").alias("_license"), F.col("near._at").alias("_license_dir"))
 
 
-def scan_licenses(files: DataFrame, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
+def scan_licenses(files: DataFrame, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE, templates: Templates = TEMPLATES) -> DataFrame:
     """The columns of ``files`` but text, and license, origin (header, file, inherited, none), cosine, license_dir.
 
-    ``files`` needs path and text. A null or empty text has no licence of its own; a null path
-    is a file in the root. ``cosine`` is that of the own licence, null without one. A directory
-    with several licence files takes the one of the largest cosine, then the first name. Rows
-    are files of their own, repeated ones too. Columns of ``files`` named like a result are replaced.
+    ``files`` needs path and text; ``templates`` are (license, key words, wording) of any number
+    of licences and wordings. A null or empty text has no licence of its own; a null path is a
+    file in the root. ``cosine`` is that of the own licence, null without one. Equal cosines go to
+    the name that sorts first, in a directory with several licence files as in a file. Texts are
+    compared whole, however long. Rows are files of their own, repeated ones too; an empty table
+    gives none. Columns of ``files`` named like a result are replaced.
     """
     files = files.drop("license", "origin", "cosine", "license_dir")
-    idf, unknown = inverse_frequencies(files)
-    speaks = F.col("text").rlike(TRIGGER)
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(TRIGGER))
     path = F.coalesce("path", F.lit(""))
-    own = F.when(speaks, best(F.transform(lines, lambda x: best(cosines(tokens(x), idf, unknown)))))
-    whole = F.when(speaks, best(cosines(tokens(F.col("text")), idf, unknown)))
     row = F.struct(*[F.col(f"`{c}`") for c in files.columns if c != "text"]).alias("_row")  # no names clash
-    marked = checkpointed(files.select(row, "path", parents(path)[0].alias("_dir"), own.alias("_own"), whole.alias("_whole")))
-    has = F.coalesce(F.col("_own.cosine") >= header_cosine, F.lit(False))
-    named = F.element_at(F.split(path, "/"), -1).rlike(LICENSE_FILE)
-    marked = marked.withColumn("_ruling", F.when(F.col("_whole.cosine") >= file_cosine, F.col("_whole")).when(has & named, F.col("_own")))
+    speaks = F.col("text").rlike(TRIGGER)
+    marked = files.select(F.monotonically_increasing_id().alias("_id"), row, path.alias("_path"), parents(path)[0].alias("_dir"), F.when(speaks, F.col("text")).alias("_text"))
+    marked = checkpointed(marked)  # fixes the ids
+    spoken = checkpointed(marked.where("_text is not null").select("_id", "_text", spoken_lines(F.split("_text", "\n")).alias("_lines")))
+    best = checkpointed(matches(spoken, templates))
+    marked = marked.select("_id", "_row", "_path", "_dir").join(sized(best), "_id", "left")
+    header = F.when(F.col("own.cosine") >= header_cosine, F.col("own"))
+    body = F.when(F.col("whole.cosine") >= file_cosine, F.col("whole"))
+    named = F.element_at(F.split("_path", "/"), -1).rlike(LICENSE_FILE)
+    marked = marked.withColumn("_mine", F.coalesce(header, body)).withColumn("_ruling", F.when(body.isNotNull() | named, F.col("_mine")))
     out = lookup_join(marked, checkpointed(directories(marked)), ["_dir"])
-    mine = F.when(F.col("_ruling").isNotNull(), F.col("_ruling")).when(has, F.col("_own"))
-    origin = F.when(F.col("_ruling").isNotNull(), "file").when(has, "header").when(F.col("_license").isNotNull(), "inherited").otherwise("none")
-    inherited = mine.isNull() & F.col("_license").isNotNull()
-    return out.select("_row.*", F.coalesce(mine["license"], F.col("_license")).alias("license"), origin.alias("origin"), mine["cosine"].alias("cosine"), F.when(inherited, F.col("_license_dir")).alias("license_dir"))
+    origin = F.when(F.col("_ruling").isNotNull(), "file").when(F.col("_mine").isNotNull(), "header").when(F.col("_license").isNotNull(), "inherited").otherwise("none")
+    inherited = F.col("_mine").isNull() & F.col("_license").isNotNull()
+    return out.select("_row.*", F.coalesce("_mine.license", "_license").alias("license"), origin.alias("origin"), F.col("_mine.cosine").alias("cosine"), F.when(inherited, F.col("_license_dir")).alias("license_dir"))

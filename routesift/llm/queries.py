@@ -75,36 +75,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _license_sql() -> str:
-    templates = ", ".join(f"('{name}', '{word}', {n})" for name, counts in licenses.template_tokens().items() for word, n in counts.items())
+    templates = ", ".join(f"({i}, '{name}', '{word}', {n}, {key})" for i, name, word, n, key in licenses.template_words())
     words = lambda x: f"regexp_extract_all(translate({x}, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORDS}')"
-    cosine = lambda bags: f"""
-        select b.file, b.part, w.license, round(sum(b.n * i.idf * w.n * i.idf) / (any_value(z.norm) * any_value(tn.norm)), 6) as cosine
-        from {bags} b join idf i using (word) join templates w using (word)
-        join (select file, part, sqrt(sum((n * coalesce(i.idf, (select ln(total + 1) + 1 from total))) ** 2)) as norm from {bags} left join idf i using (word) group by file, part) z on z.file = b.file and z.part = b.part
-        join (select license, sqrt(sum((n * idf) ** 2)) as norm from templates join idf using (word) group by license) tn on tn.license = w.license
-        group by b.file, b.part, w.license"""
     return f"""
-    with recursive templates(license, word, n) as (values {templates}),
+    with recursive templates(template, license, word, n, key) as (values {templates}),
     files as (select doc_id, doc_id as file, concat_ws('/', source, lang, doc_id::varchar) as path, text from documents),
     spoken as (select file, text from files where regexp_matches(text, '{licenses.TRIGGER}')),
-    lines as (select file, row_number() over () as part, line from (select file, unnest(string_split(text, chr(10))) as line from spoken) where regexp_matches(line, '{licenses.TRIGGER}')),
-    line_words as (select file, part, word, count(*) as n from (select file, part, unnest({words("line")}) as word from lines) group by all),
+    split as (select file, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from spoken),
+    around as (select *, lag(line) over w as before, lead(line) over w as after, lead(line, 2) over w as later from split window w as (partition by file order by pos)),
+    lines as (select * from around where regexp_matches(line, '{licenses.TRIGGER}')),
+    parts as (select file, pos * 3 as part, line as text from lines union all select file, pos * 3 + 1, concat_ws(' ', before, line, after) from lines union all select file, pos * 3 + 2, concat_ws(' ', line, after, later) from lines union all select file, {licenses.WHOLE}, text from spoken),
+    bags as (select file, part, word, count(*) as n from (select file, part, unnest({words("text")}) as word from parts) group by all),
     total as (select count(*) as total from lines),
-    idf as (select word, ln((any_value(total) + 1) / (count(distinct part) + 1)) + 1 as idf from (select distinct word from templates) cross join total left join line_words using (word) group by word),
-    file_words as (select file, 0 as part, word, count(*) as n from (select file, unnest({words("text")}) as word from spoken) group by all),
-    own as (select file, cosine, license from ({cosine("line_words")}) qualify row_number() over (partition by file order by cosine desc, license) = 1),
-    whole as (select file, cosine, license from ({cosine("file_words")}) qualify row_number() over (partition by file order by cosine desc, license) = 1),
-    marked as (select f.doc_id, f.path, regexp_replace(f.path, '/?[^/]*$', '') as dir,
-        case when o.cosine >= {licenses.HEADER_COSINE} then o.license end as own, case when o.cosine >= {licenses.HEADER_COSINE} then o.cosine end as own_cosine,
-        case when w.cosine >= {licenses.FILE_COSINE} then w.license when o.cosine >= {licenses.HEADER_COSINE} and regexp_matches(regexp_extract(f.path, '[^/]*$'), '{licenses.LICENSE_FILE}') then o.license end as ruling,
-        case when w.cosine >= {licenses.FILE_COSINE} then w.cosine when o.cosine >= {licenses.HEADER_COSINE} and regexp_matches(regexp_extract(f.path, '[^/]*$'), '{licenses.LICENSE_FILE}') then o.cosine end as ruling_cosine
-        from files f left join own o using (file) left join whole w using (file)),
-    tops as (select dir, ruling from marked where ruling is not null qualify row_number() over (partition by dir order by ruling_cosine desc, ruling) = 1),
+    line_words as (select distinct file, part, word from bags where part >= 0 and part % 3 = 0),
+    idf as (select word, ln((any_value(total) + 1) / (count(part) + 1)) + 1 as idf from (select distinct word from templates) cross join total left join line_words using (word) group by word),
+    norms as (select file, part, sqrt(sum((n * coalesce(i.idf, (select ln(total + 1) + 1 from total))) ** 2)) as norm from bags left join idf i using (word) group by file, part),
+    template_norms as (select template, any_value(license) as license, sqrt(sum((n * idf) ** 2)) as norm, sum(key) as keys from templates join idf using (word) group by template),
+    dots as (select file, part, template, sum(b.n * t.n * idf * idf) as dot, sum(key) as keys from bags b join idf using (word) join templates t using (word) group by file, part, template),
+    rated as (select d.file, d.part, t.license, round(dot / (n.norm * t.norm), 6) as cosine from dots d join norms n using (file, part) join template_norms t using (template) where d.keys = t.keys),
+    own as (select file, cosine, license from rated where part >= 0 qualify row_number() over (partition by file order by cosine desc, license) = 1),
+    whole as (select file, cosine, license from rated where part = {licenses.WHOLE} qualify row_number() over (partition by file order by cosine desc, license) = 1),
+    picked as (select f.doc_id, f.path, o.cosine as own_cosine, o.license as own_license, w.cosine as whole_cosine, w.license as whole_license, coalesce(o.cosine >= {licenses.HEADER_COSINE}, false) as header, coalesce(w.cosine >= {licenses.FILE_COSINE}, false) as body,
+        regexp_matches(regexp_extract(f.path, '[^/]*$'), '{licenses.LICENSE_FILE}') as named from files f left join own o using (file) left join whole w using (file)),
+    marked as (select doc_id, path, regexp_replace(path, '/?[^/]*$', '') as dir, case when header then own_license when body then whole_license end as mine, case when header then own_cosine when body then whole_cosine end as cosine, (header or body) and (body or named) as ruling from picked),
+    tops as (select dir, mine from marked where ruling qualify row_number() over (partition by dir order by cosine desc, mine) = 1),
     chains(dir, up, place) as (select dir, 0, dir from (select distinct dir from marked) union all select dir, up + 1, regexp_replace(place, '/?[^/]*$', '') from chains where place <> ''),
-    resolved as (select c.dir, t.ruling as license, c.place from chains c join tops t on t.dir = c.place qualify row_number() over (partition by c.dir order by up) = 1)
-    select doc_id, path, coalesce(ruling, own, r.license) as license,
-        case when ruling is not null then 'file' when own is not null then 'header' when r.license is not null then 'inherited' else 'none' end as origin,
-        coalesce(ruling_cosine, own_cosine) as cosine, case when ruling is null and own is null then r.place end as license_dir
+    resolved as (select c.dir, t.mine as license, c.place from chains c join tops t on t.dir = c.place qualify row_number() over (partition by c.dir order by up) = 1)
+    select doc_id, path, coalesce(mine, r.license) as license, case when ruling then 'file' when mine is not null then 'header' when r.license is not null then 'inherited' else 'none' end as origin,
+        cosine, case when mine is null then r.place end as license_dir
     from marked left join resolved r using (dir)"""
 
 

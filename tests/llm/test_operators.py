@@ -6,11 +6,14 @@ import gzip
 import hashlib
 import importlib.util
 import itertools
+import json
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SF, same_rows
@@ -184,18 +187,70 @@ def test_bpe_equals_the_library(spark, tokenizer):
         assert got[i]["coded"]["decoded"] == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def coded(vocabulary, texts):
+    coder = bpe.Coder(vocabulary)
+    return [x for c in bpe.text_batches(iter([pa.array(texts, pa.string())])) for x in bpe.code(coder, c).to_pylist()]
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(queries.vocabulary_path(), "rb") as f:
+        return bpe.Vocabulary(f.read())
+
+
+def same_as_library(vocabulary, tokenizer, texts):
+    for t, got in zip(texts, coded(vocabulary, texts), strict=True):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert (got["ids"], got["decoded"]) == (ids, tokenizer.decode(ids, skip_special_tokens=False)), t
+
+
+@pytest.mark.parametrize("context", ["{}", "a{}b", " {} '"])
+def test_every_code_point(vocabulary, tokenizer, context):
+    points = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x110000)]]
+    same_as_library(vocabulary, tokenizer, ["\n".join(map(context.format, points[i : i + 64])) for i in range(0, len(points), 64)])
+
+
+def test_random_texts(vocabulary, tokenizer):
+    parts = [*" \n\t\r\u00a0\u3000''sstdmrvel1²éд,.<|😀\u0301", "<|endoftext|>", "'s", "'re", "'ll", "  ", " '", "x" * 60]
+    rnd = random.Random(5)
+    same_as_library(vocabulary, tokenizer, ["".join(rnd.choices(parts, k=rnd.randrange(30))) for _ in range(20000)])
+
+
+def test_long_texts_are_cut_between_pieces(vocabulary, tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 50)
+    same_as_library(vocabulary, tokenizer, ["it's 5 words \n\n and  more, " * 40, "x" * 3000, "<|endoftext|> a " * 30, "short", ""])
+
+
+def test_unknown_settings_are_refused(spark, tmp_path):
+    data = json.loads(open(queries.vocabulary_path(), encoding="utf-8").read())
+    data["normalizer"] = {"type": "NFC"}
+    (tmp_path / "v.json").write_text(json.dumps(data))
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.encode_decode(docs_of(spark, ["a"]), str(tmp_path / "v.json"))
+
+
 def test_bpe_digests(spark, tokenizer):
     got = {r["doc_id"]: r for r in queries.op5_bpe(spark, SF).collect()}
-    for r in documents(spark).limit(20).collect():
-        ids = tokenizer.encode(r["text"], add_special_tokens=False).ids
-        assert got[r["doc_id"]]["n_tokens"] == len(ids)
-        assert got[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    rows = documents(spark).collect()
+    assert len(got) == len(rows)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in rows:
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        g = got[r["doc_id"]]
+        assert (g["n_tokens"], g["ids_sha256"], g["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)))
+
+
+def test_bpe_empty_table_and_clashing_column(spark):
+    d = docs_of(spark, ["a"]).withColumn("coded", F.lit(1))
+    assert bpe.encode_decode(d, queries.vocabulary_path()).first()["coded"]["decoded"] == "a"
+    assert bpe.encode_decode(d.limit(0), queries.vocabulary_path()).count() == 0
 
 
-def test_forced_boundaries_are_in_no_token():
-    v = bpe.Vocabulary(queries.vocabulary_path())
+def test_forced_boundaries_are_in_no_token(vocabulary):
+    v = vocabulary
     assert not any(v.forced[a, b] for t in v.bytes[:50256] for a, b in itertools.pairwise(t))
-    assert b"".join(v.fragments("Ünïcödé".encode())) == "Ünïcödé".encode()
+    raw = np.frombuffer("Ünïcödé".encode(), np.uint8)
+    assert all(v.forced[raw[i - 1], raw[i]] for i in v.cuts(raw, np.zeros(1, np.int64))[1:])
 
 
 # Secrets
@@ -446,12 +501,43 @@ def test_blocks_are_joined_in_halves():
 # Licences
 
 
+FILLER = " ".join(f"name{i}" for i in range(90))
+#: Text, the licence it states, and whether that is all it is.
+LABELLED = [
+    ("# Licensed under the Apache License, Version 2.0.\n" + FILLER, "Apache-2.0", False), (FILLER + "\nReleased under the MIT License.\n" + FILLER, "MIT", False), ("Licensed under CC BY-NC 4.0.\n" + FILLER, "CC-BY-NC-4.0", False),
+    ("Licensed under CC BY 4.0.\n" + FILLER, "CC-BY-4.0", False), ("// SPDX-License-Identifier: MIT\n" + FILLER, "MIT", False), ("# SPDX-License-Identifier: Apache-2.0\n" + FILLER, "Apache-2.0", False), ("SPDX-License-Identifier: CC-BY-NC-SA-4.0\n" + FILLER, "CC-BY-NC-SA-4.0", False),
+    ("SPDX-License-Identifier: Vendor-1.0\n" + FILLER, None, False), ("This work is licensed under the GNU General Public License, version 3.\n" + FILLER, "GPL-3.0", False), ("This work is licensed under the GNU General Public License, version 2.\n" + FILLER, "GPL-2.0", False),
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# any later version.\n" + FILLER, "GPL-3.0", False),
+    ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted under the BSD\n# 3-Clause License.\n" + FILLER, "BSD-3-Clause", False), (FILLER + "\nwe spoke of a license and of copyright\n" + FILLER, None, False), (licenses.NOTICES[4][2], "MIT", True), ("Copyright 2020 Someone\n\n" + licenses.NOTICES[8][2], "BSD-3-Clause", True),
+    ("", None, False), (None, None, False), ("\n\n", None, False), ("word " * 50_000 + "\nReleased under the MIT License.", "MIT", False),
+]
+
+
+def test_licenses_against_labels(spark):
+    rows = [(f"r{i}/x", t) for i, (t, *_) in enumerate(LABELLED)]
+    # a corpus in which the usual words of notices are common
+    rows += [(f"c/{i}", "plain line\n" + line) for i in range(30) for line in ("Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.")]
+    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).where("path not like 'c/%'").collect()}
+    for i, (text, license, whole) in enumerate(LABELLED):
+        assert got[f"r{i}/x"] == (license, "file" if whole else "header" if license else "none"), text
+
+
+def test_a_header_contradicts_no_result(spark):
+    said = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    got = {r["doc_id"]: r["license"] for r in queries.op1_license_scan(spark, SF).collect()}
+    held = {r["doc_id"]: {said[x] for x in (r["text"] or "").split("\n") if x in said} for r in documents(spark).collect()}
+    assert any(held.values()) and all(got[i] in names for i, names in held.items() if names)
+
+
 def test_licenses(spark):
-    rows = [("a/LICENSE", "Released under the MIT License.\nwith other words around it"), ("a/b/x.py", "# Licensed under the Apache License, Version 2.0.\n" + " ".join(f"name{i}" for i in range(90))), ("a/b/y.py", "code only"), ("a/b/c/z.py", ""), ("d/e.py", None), (None, "x"), ("d/note.txt", "my license to speak"), ("d/LICENSE.txt", "license unknown")]
-    got = {r["path"]: r for r in licenses.scan_licenses(spark.createDataFrame([(*r, "x", "x") for r in rows], "path string, text string, license string, _dir string")).collect()}
+    rows = [("a/LICENSE", "Released under the MIT License.\nwith other words around it"), ("a/b/x.py", "# Licensed under the Apache License, Version 2.0.\n" + FILLER), ("a/b/y.py", "code only"), ("a/b/y.py", "code only"), ("a/b/c/z.py", ""), ("d/e.py", None), (None, "x"), ("d/note.txt", "my license to speak"), ("d/LICENSE.txt", "license unknown"), ("e/b.txt", licenses.NOTICES[6][2]), ("e/a/b/c", "code")]
+    out = licenses.scan_licenses(spark.createDataFrame([(*r, "x", "x", "x") for r in rows], "path string, text string, license string, _dir string, own string")).collect()
+    got = {r["path"]: r for r in out}
     pick = lambda p: (got[p]["license"], got[p]["origin"], got[p]["license_dir"])
+    assert len(out) == len(rows) and got["a/b/y.py"]["_dir"] == "x"
     assert pick("a/LICENSE") == ("MIT", "file", None) and pick("a/b/x.py") == ("Apache-2.0", "header", None)
     assert pick("a/b/y.py") == ("MIT", "inherited", "a") and pick("a/b/c/z.py") == ("MIT", "inherited", "a")
+    assert pick("e/b.txt") == ("ISC", "file", None) and pick("e/a/b/c") == ("ISC", "inherited", "e")
     assert [pick(p) for p in ("d/e.py", None, "d/note.txt", "d/LICENSE.txt")] == [(None, "none", None)] * 4
     assert licenses.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
 
