@@ -110,6 +110,84 @@ def test_simhash_edges(spark):
     assert {0, 7} <= {r["doc_id"] for r in kept.collect()} and 8 not in {r["doc_id"] for r in kept.collect()}
 
 
+def slow_wide(text):
+    """The wide fingerprint by plain loops over distinct shingles."""
+    words, top = (text or "").encode().lower().split(), 2**64
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(w, 42) for w in words]
+    if len(h) < 5:
+        shingles = {xxhash.xxh64_intdigest(b" ".join(words), 42)}
+    else:
+        shingles = {sum(h[i + j] * simhash.PLACES[j] for j in range(5)) % top for i in range(len(h) - 4)}
+    out = 0
+    for lane in range(4):
+        odd = pow(simhash.PLACES[0], 3 + lane, top)
+        ones = [0] * 64
+        for x in shingles:
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % top
+            x = (x ^ x >> 31) * odd % top
+            x ^= x >> 32
+            for b in range(64):
+                ones[b] += x >> b & 1
+        out |= sum(1 << b for b in range(64) if ones[b] * 2 > len(shingles)) << 64 * lane
+    return out
+
+
+def test_wide_fingerprints():
+    hashes = simhash.WordHashes()
+    for text in [t for t in EDGES if t is None or len(t) < 50_000] + ["a b c d e f a b c d e f g " * 30]:
+        assert int.from_bytes(simhash.wide_fingerprint((text or "").encode(), 3, hashes)[0], "little") == slow_wide(text), text
+
+
+def test_golay_anchors():
+    code, rnd = simhash.Golay(), np.random.default_rng(3)
+    words = rnd.integers(0, 1 << 23, 3000)
+    row, word, home = code.near(words)
+    assert (np.bitwise_count(words[row] ^ word) <= 4).all() and (np.bitwise_count(words[row] ^ word)[home] <= 3).all() and home.sum() == len(words)
+    assert len(np.unique(code.near(np.arange(1 << 23))[1])) == 4096
+    flipped = words ^ (1 << rnd.integers(0, 23, 3000))
+    row2, word2, _ = code.near(flipped)
+    mine = set(zip(row2.tolist(), word2.tolist(), strict=True))
+    assert all((r, w) in mine for r, w in zip(row[home].tolist(), word[home].tolist(), strict=True))
+
+
+def test_near_groups_recall(spark):
+    """Copies with single words replaced, by Jaccard similarity of five-word shingles; unrelated texts stay alone."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts, near = [], []
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for n in range(300):
+        words = rnd.choices(vocabulary, k=rnd.randrange(100, 400))
+        other = list(words)
+        for j in rnd.sample(range(len(words)), max(1, len(words) * rnd.choice([5, 10, 18]) // 1000)):
+            other[j] = rnd.choice(vocabulary)
+        a, b = shingles(words), shingles(other)
+        if len(a & b) / len(a | b) >= 0.8:
+            near.append(2 * n)
+        texts += [" ".join(words), " ".join(other).upper()]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(docs_of(spark, texts)).collect()}
+    assert len(near) > 200 and sum(got[i] == got[i + 1] for i in near) / len(near) >= 0.95
+    assert all(got[i] in (i, i - 1, i + 1) for i in got)
+
+
+def test_near_groups_edges(spark):
+    d = docs_of(spark, [*EDGES, "one two three four five six", "one two three four five six"])
+    d = d.unionByName(d.where("doc_id < 2")).unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("nameless words")))
+    got = {}
+    for r in simhash.near_groups(d).collect():
+        got.setdefault(r["doc_id"], set()).add(r["group_id"])
+    assert got[0] == got[1] == got[2] == got[3] == {0} and got[7] == got[8] == {7} and got[11] == got[12] == {11} and got[None] == {None}
+    assert simhash.keep_one(d).where("doc_id is null").count() == 1 and simhash.keep_one(d).columns == d.columns
+    assert simhash.near_groups(d.limit(0)).count() == 0
+
+
+def test_more_rows_take_more_bits_and_parts():
+    (a, b), (c, e) = simhash.cover_of(10**6), simhash.cover_of(10**10)
+    assert a == 0 and c > a and e > b
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(500, 500), (700, 701), (701, 700)]
     got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -562,7 +640,7 @@ def test_pipeline_equals_brute_force(spark, tokenizer):
     score = slow_quality(rows, labels)
     kept = [r for r in rows if score[r["doc_id"]] >= quality.THRESHOLD]
     texts = [x[2] for x in slow_lines([r["text"] for r in kept], linededup.MIN_DOCS)]
-    roots = slow_components({r["doc_id"]: slow_fingerprint(t) for r, t in zip(kept, texts, strict=True)})
+    roots = slow_components({r["doc_id"]: slow_wide(t) for r, t in zip(kept, texts, strict=True)}, simhash.WIDE_BITS)
     left = [(r, t) for r, t in zip(kept, texts, strict=True) if roots[r["doc_id"]] == r["doc_id"]]
     n = {}
     for r, _ in left:
