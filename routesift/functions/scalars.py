@@ -19,6 +19,8 @@ PII = (
 )
 #: What a text must contain for a pattern to be tried at all.
 PII_GUARD = {"[SSN]": "-", "[IPv6]": ":", "[IPv4]": ".", "[EMAIL]": "@"}
+#: What must stand in a text for the other patterns, besides a digit.
+PII_SHAPE = {"[IBAN]": "[A-Z]{2}[0-9]{2}", "[CREDIT_CARD]": "[0-9]{4}", "[PHONE]": "[0-9]{4}"}
 #: Names of well-known networks.
 AS_NAMES = {15169: "Google", 8075: "Microsoft", 16509: "Amazon AWS", 13335: "Cloudflare", 32934: "Meta", 714: "Apple", 2906: "Netflix", 20940: "Akamai", 6939: "Hurricane Electric", 1299: "Telia", 3356: "Lumen", 174: "Cogent", 3320: "Deutsche Telekom", 2914: "NTT", 7018: "AT&T", 4134: "China Telecom", 7922: "Comcast"}
 #: Collectors as (id, city, country, latitude, longitude, exchange, region).
@@ -54,16 +56,25 @@ EARTH_KM, FIBRE_KM_PER_S = 6371.0, 200_000.0
 U64 = 18446744073709551616
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _guard(text: Column, token: str) -> Column:
+    return text.contains(PII_GUARD[token]) if token in PII_GUARD else text.rlike(PII_SHAPE[token])
+
+
 def _pii_step(state: Column, token: str, pattern: str) -> Column:
     """One replacement. Binding the state to a lambda variable keeps the expression linear in the number of steps."""
 
     def step(s: Column) -> Column:
-        text = s["text"]
-        guard = text.contains(PII_GUARD[token]) if token in PII_GUARD else text.rlike("[0-9]")
+        text, guard = s["text"], _guard(s["text"], token)
         n = F.when(guard, F.regexp_count(text, F.lit(pattern))).otherwise(0)
-        return F.struct(F.when(guard, F.regexp_replace(text, pattern, token)).otherwise(text).alias("text"), F.concat(s["counts"], F.array(n)).alias("counts"))
+        # without a match there is nothing to replace
+        return let(n, lambda k: F.struct(F.when(k > 0, F.regexp_replace(text, pattern, token)).otherwise(text).alias("text"), F.concat(s["counts"], F.array(k)).alias("counts")))
 
-    return F.transform(F.array(state), step)[0]
+    return let(state, step)
 
 
 def pii_scan(text: Column) -> Column:
@@ -75,8 +86,14 @@ def pii_scan(text: Column) -> Column:
 
 
 def pii_redact(text: Column) -> Column:
-    """Seven ordered replacements, each behind a cheap guard."""
-    return pii_scan(text)["text"]
+    """Seven ordered replacements, each behind a cheap guard; nothing is counted."""
+
+    def without(token: str, pattern: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(_guard(t, token), F.regexp_replace(t, pattern, token)).otherwise(t)
+
+    for token, pattern in PII:
+        text = let(text, without(token, pattern))
+    return text
 
 
 def pii_hits(text: Column) -> tuple[Column, Column]:
@@ -116,11 +133,6 @@ def unusual_prefix_length(prefix: Column) -> Column:
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def v4_bits(address: Column) -> Column:
     parts = F.transform(F.split(address, r"\."), lambda o: F.lpad(F.bin(o.cast("long")), 8, "0"))
     return F.when(address.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), F.array_join(parts, ""))
@@ -241,3 +253,27 @@ def next_midnight(ts: Column) -> Column:
 
 def next_month_start(ts: Column) -> Column:
     return F.add_months(F.trunc(ts, "month"), 1)
+
+
+def json_text(value: Column) -> Column:
+    """The text of a JSON string given as a variant; null for other types."""
+    return F.when(F.to_json(value).startswith('"'), value.cast("string"))
+
+
+def api_key_hash(key: Column) -> Column:
+    return F.sha2(key, 256)
+
+
+def path_length(path: Column) -> Column:
+    """Hops of a path; null for a null path."""
+    return F.when(path.isNotNull(), F.size(path))
+
+
+def prefix_param(text: Column) -> Column:
+    """A prefix as it stands in a request, with escaped slashes and colons decoded."""
+    return F.replace(F.replace(text, F.lit("%2F"), F.lit("/")), F.lit("%3A"), F.lit(":"))
+
+
+def prefix_param_valid(text: Column) -> Column:
+    """Whether a decoded prefix holds only hex digits, dots, colons and slashes."""
+    return F.coalesce(text.rlike("^[0-9a-fA-F.:/]+$"), F.lit(False))

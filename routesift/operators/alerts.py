@@ -155,6 +155,18 @@ def new_silences(requests: DataFrame) -> DataFrame:
     return good.withColumns({"expires_at": F.expr("silenced_at + make_dt_interval(0, hours)"), "active": F.lit(True)}).drop("hours")
 
 
+def expire_silences(silences: DataFrame, ids: DataFrame, as_of) -> DataFrame:
+    """New versions, inactive as of ``as_of``, of the silences with the given ids; to be appended. Unknown ids give none."""
+    now = latest_version(silences, "id", "silenced_at")
+    return now.join(sized(ids.select("id").distinct()), "id", "left_semi").withColumns({"active": F.lit(False), "silenced_at": F.lit(as_of).cast(silences.schema["silenced_at"].dataType)}).select(silences.columns)
+
+
+def outcome_counts(anomalies: DataFrame) -> DataFrame:
+    """Counters by anomaly type, level, tenant and RPKI status, with those that count as false positives (RPKI Valid)."""
+    counted = anomalies.withColumns({"level": S.escalation_level(F.col("confidence")), "rpki": F.coalesce("rpki", F.lit("NotFound"))})
+    return counted.groupBy("anomaly_type", "level", "tenant_id", "rpki").agg(F.count("*").alias("n"), F.count_if(F.col("rpki") == "Valid").alias("false_positives"))
+
+
 def tenant_by_key(requests: DataFrame, tenants: DataFrame) -> DataFrame:
     """Requests with tenant and limit of the enabled tenant that owns the key; the default limit without one."""
     known = latest_version(tenants).where("enabled").select("api_key_hash", F.col("id").alias("tenant"), F.col("rate_limit_per_sec").alias("limit"))

@@ -14,35 +14,13 @@ WELL_KNOWN_DAYS, FULL_DAYS = 7, 30
 PATH_BOOST, PREFIX_BOOST, KNOWN_CUT, BOOST_LIMIT = 0.10, 0.05, 0.10, 0.15
 
 
-def ordered_values(events: DataFrame, value: Column, keys: list[str]) -> DataFrame:
-    """(keys, items): the key's values sorted by (timestamp, event_id)."""
-    item = F.struct("timestamp", "event_id", value.cast("double").alias("x"))
-    return events.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-
-def _next(s: Column, x: Column, alpha: float) -> Column:
-    delta = x - s["ema"]
-    first = F.struct(x.alias("ema"), F.lit(0.0).alias("var"), F.lit(1).cast("long").alias("n"))
-    later = F.struct((s["ema"] + alpha * delta).alias("ema"), ((1 - alpha) * (s["var"] + alpha * delta * delta)).alias("var"), (s["n"] + 1).alias("n"))
-    return F.when(s["n"] == 0, first).otherwise(later)
-
-
-def _zero() -> Column:
-    return F.struct(F.lit(0.0).alias("ema"), F.lit(0.0).alias("var"), F.lit(0).cast("long").alias("n"))
-
-
 def ema_baseline(events: DataFrame, value: Column | None = None, keys: list[str] | None = None, alpha: float = ALPHA) -> DataFrame:
-    """(keys, ema, var, n) after folding the values in order of time.
-
-    The fold is one expression per key; it needs the key's values together, so keys with
-    more than about a million events belong to the streaming operator, which keeps only the state.
-    """
+    """(keys, ema, var, n) after folding the values in order of time; only a key's state is held."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must lie in (0, 1]")
     keys = keys or ["prefix"]
-    folded = ordered_values(events, F.size("as_path") if value is None else value, keys)
-    state = F.aggregate("items", _zero(), lambda s, i: _next(s, i["x"], alpha))
-    return folded.select(*keys, state.alias("s")).select(*keys, "s.ema", "s.var", "s.n")
+    states = event_states(events, value, keys, alpha, "after")
+    return states.groupBy(*keys).agg(F.max_by(F.struct("ema", "var", "n"), "n").alias("s")).select(*keys, "s.ema", "s.var", "s.n")
 
 
 def event_states(events: DataFrame, value: Column | None = None, keys: list[str] | None = None, alpha: float = ALPHA, state: str = "before") -> DataFrame:
@@ -118,6 +96,11 @@ def save_snapshot(baseline: DataFrame, path: str, day: str) -> None:
     baseline.withColumn("snapshot_date", F.lit(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
 
 
+def load_snapshots(spark, path: str) -> DataFrame:
+    """All snapshots below ``path``; dates stay text and prune partitions."""
+    return spark.read.parquet(path).withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
+
+
 def newest_snapshot(snapshots: DataFrame) -> DataFrame:
     """The rows of the newest date (a partition filter when read from a path)."""
     day = snapshots.agg(F.max("snapshot_date")).first()[0]

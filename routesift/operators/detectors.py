@@ -66,6 +66,7 @@ def flapping(events: DataFrame, seconds: int = FLAP_SECONDS, min_events: int = F
 
 
 def flapping_anomalies(flaps: DataFrame, seconds: int = FLAP_SECONDS) -> DataFrame:
+    # fixed value: the wording that readers of the alerts expect
     text = F.format_string(f"Prefix %s had %d events with %d direction changes in the last {seconds} seconds", "prefix", "n_events", "n_changes")
     return flaps.select("event_id", F.lit("PrefixFlapping").alias("anomaly_type"), "prefix", "origin_as", F.lit(FLAP_CONFIDENCE).alias("confidence"), F.col("timestamp").alias("detected_at"), text.alias("details"), "tenant_id")
 

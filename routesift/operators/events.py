@@ -49,8 +49,9 @@ def event_filter(df: DataFrame, prefix: str | None = None, origin_as: int | None
 
 
 def sample_rows(df: DataFrame, rate: float, key: str = "event_id") -> DataFrame:
-    """A repeatable share of rows, chosen by a hash of the key."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(rate * 1_000_000))
+    """A repeatable share of rows, chosen by the first 32 bits of the MD5 of the key's text; null keys are left out."""
+    drawn = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.where(drawn < int(rate * (1 << 32)))
 
 
 def top_as(df: DataFrame, limit: int = 10) -> DataFrame:
@@ -88,6 +89,11 @@ def known_origins(df: DataFrame, start=None, end=None) -> DataFrame:
     return event_filter(df, start=start, end=end).select("prefix", "origin_as").distinct().groupBy("prefix").agg(F.array_sort(F.collect_set("origin_as")).alias("origins"))
 
 
+def kinds(df: DataFrame) -> DataFrame:
+    """Events per type."""
+    return df.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def to_detector_format(df: DataFrame) -> DataFrame:
     return df.select("timestamp", "event_type", "prefix", "origin_as", "as_path", "peer_asn", F.lit("").alias("peer_ip"), F.array().cast("array<string>").alias("community"), F.lit("nats-stream").alias("source"), F.lit("bgp").alias("tenant_id"))
 

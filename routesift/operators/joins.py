@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import checkpointed
+
 #: Rows that a checked side may have to be broadcast.
 BROADCAST_ROWS = 200_000
 #: Parts that the rows of a hot key are dealt to.
 SALTS = 64
 
 
-def sized(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``table`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffle join, with AQE against skew)."""
+def sized(table: DataFrame, max_rows: int = BROADCAST_ROWS, stored: bool = False) -> DataFrame:
+    """``table`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffle join, with AQE against skew).
+
+    The table is computed once, into a checkpoint that is then counted and joined; ``stored``
+    says that it is one already.
+    """
+    table = table if stored else checkpointed(table)
     return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
 
 
-def lookup_join(big: DataFrame, table: DataFrame, on: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(big: DataFrame, table: DataFrame, on: list[str], max_rows: int = BROADCAST_ROWS, stored: bool = False) -> DataFrame:
     """Left join of ``big`` with a table of one row per key, for keys of which some may be hot.
 
     Up to ``max_rows`` rows the table is broadcast. Beyond that both sides are shuffled by the key
     and a salt: the table's rows are repeated ``SALTS`` times, the hot key's rows spread over as
-    many tasks. Null keys match nothing.
+    many tasks. Null keys match nothing. ``stored`` is as in ``sized``.
     """
+    table = table if stored else checkpointed(table)
     if table.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(table), on, "left")
     salted = big.withColumn("_salt", F.floor(F.rand(11) * SALTS).cast("int"))

@@ -7,34 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .folds import RUN, fold_sorted, quiet_runs
+from .joins import lookup_join
+from .storage import checkpointed
 
 LEVELS = ("debug", "info", "warn", "error")
 REPEAT_TTL = 300
 SOFT_SHARE = 80.0
 
 
-def _kind(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+ENTRY = "struct<level:variant,source:variant,message:variant,metadata:variant,_corrupt_record:string>"
 
 
 def validate(entries: DataFrame, column: str = "json") -> DataFrame:
     """``entries`` with level, source, message, metadata (JSON text) and errors (empty if valid, else joined with "; ").
 
-    The JSON is parsed once into a variant. Text that isn't a JSON object is one error; other
-    fields are allowed. A null text isn't an object.
+    The JSON is parsed once, in a generator, so that later filters don't parse it again. Text that
+    isn't a JSON object is one error; other fields are allowed. A null text isn't an object.
     """
-    e = entries.withColumn("v", F.try_parse_json(column))
-    text = lambda f: F.when(_kind(F.col("v"), f"$.{f}") == "STRING", F.try_variant_get("v", f"$.{f}", "string"))
-    e = e.withColumns({"level": text("level"), "source": text("source"), "message": text("message"), "metadata": F.to_json(F.try_variant_get("v", "$.metadata", "variant"))})
-    whole = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    meta = _kind(F.col("v"), "$.metadata")
-    bad = F.array_compact(F.array(
-        F.when(~F.coalesce(F.col("level").isin(*LEVELS), F.lit(False)), "level"),
-        F.when(~F.coalesce(F.length("source").between(1, 128), F.lit(False)), "source"),
-        F.when(~F.coalesce(F.length("message").between(1, 8192), F.lit(False)), "message"),
-        F.when(meta.isNotNull() & (meta != "VOID") & ~meta.startswith("OBJECT"), "metadata"),
-    ))
-    return e.withColumn("errors", F.when(whole, F.concat_ws("; ", bad)).otherwise("not an object")).drop("v")
+
+    def checked(v: Column) -> Column:
+        texts = F.struct(*[S.json_text(v[f]).alias(f) for f in ("level", "source", "message")], F.to_json(v["metadata"]).alias("metadata"), (v.isNotNull() & v["_corrupt_record"].isNull()).alias("whole"))
+        return S.let(texts, judged)
+
+    def judged(t: Column) -> Column:
+        bad = F.array_compact(F.array(
+            F.when(~F.coalesce(t["level"].isin(*LEVELS), F.lit(False)), "level"),
+            F.when(~F.coalesce(F.length(t["source"]).between(1, 128), F.lit(False)), "source"),
+            F.when(~F.coalesce(F.length(t["message"]).between(1, 8192), F.lit(False)), "message"),
+            F.when((t["metadata"] != "null") & ~t["metadata"].startswith("{"), "metadata"),
+        ))
+        return F.struct(*[t[f].alias(f) for f in ("level", "source", "message", "metadata")], F.when(t["whole"], F.concat_ws("; ", bad)).otherwise("not an object").alias("errors"))
+
+    kept = [c for c in entries.columns if c not in ("level", "source", "message", "metadata", "errors")]
+    return entries.select(*kept, F.inline(F.array(S.let(F.from_json(column, ENTRY), checked))))
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,8 +137,14 @@ def dedupe_stats(flags: DataFrame) -> DataFrame:
 
 
 def log_pipeline(entries: DataFrame, limit: Column, unit: str = "second") -> DataFrame:
-    """Sink records: validated, within quota, redacted once per distinct message, with usage."""
+    """Sink records: validated, within quota, redacted once per distinct message, with usage.
+
+    The allowed entries are stored once; of each key the first entry is found by an aggregate that
+    combines before the shuffle, redacted, and joined back.
+    """
     good = validate(entries).where("errors = ''").withColumn("tenant_id", tenant_or_default(F.col("tenant_id"))).where(tenant_valid(F.col("tenant_id")))
-    allowed = quota_check(good, limit, unit).where("quota <> 'Exceeded'").drop("share")
-    done = redact_distinct(allowed).join(repeat_flags(allowed).select("id", F.col("is_hit").alias("cache_hit")), "id")
-    return allowed.join(done, "id").select("id", "timestamp", "tenant_id", "source", "level", F.col("redacted").alias("redacted_message"), F.col("hits").alias("pii_hits"), F.octet_length("message").cast("long").alias("bytes"), "cache_hit", "quota")
+    allowed = quota_check(good, limit, unit).where("quota <> 'Exceeded'")
+    allowed = checkpointed(allowed.select("id", "timestamp", "tenant_id", "source", "level", "message", "quota", S.message_key(F.col("message")).alias("key")))
+    first = allowed.groupBy("key").agg(F.min(F.struct("timestamp", "id", "message")).alias("f"))
+    once = lookup_join(allowed, first.select("key", F.col("f.id").alias("first_id"), S.pii_redact(F.col("f.message")).alias("redacted_message"), S.pii_hits(F.col("f.message"))[0].alias("pii_hits")), ["key"])
+    return once.select("id", "timestamp", "tenant_id", "source", "level", "redacted_message", "pii_hits", F.octet_length("message").cast("long").alias("bytes"), (F.col("id") != F.col("first_id")).alias("cache_hit"), "quota")

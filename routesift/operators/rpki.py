@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .joins import lookup_join, sized
+from .joins import BROADCAST_ROWS, lookup_join
+from .storage import checkpointed
 
 
 def vrp_index(vrps: DataFrame) -> DataFrame:
@@ -31,12 +32,13 @@ def rpki_validate(events: DataFrame, vrps: DataFrame, mode: str = "first") -> Da
     first match of the AS, most specific first and then by list order, decides; ``mode="any"``
     is standard origin validation, where any covering match within its maximum length is Valid.
     """
-    index = vrp_index(vrps)
-    lengths = sorted((r["family"], r["len"]) for r in index.select("family", "len").distinct().collect())
-    if vrps.limit(1).count() == 0:
+    index = checkpointed(vrp_index(vrps))
+    held = {(r["family"], r["len"]): r["count"] for r in index.groupBy("family", "len").count().collect()}  # at most 33 + 129
+    if not held and vrps.limit(1).count() == 0:
         return events.withColumn("rpki", F.lit("Unavailable"))
     pairs = events.select("prefix", "origin_as").distinct()
-    hits = covering_keys(pairs, lengths).join(sized(index), ["family", "len", "net"])
+    small = sum(held.values()) <= BROADCAST_ROWS
+    hits = covering_keys(pairs, sorted(held)).join(F.broadcast(index) if small else index, ["family", "len", "net"])
     own = F.col("asn") == F.col("origin_as")
     within = F.col("plen") <= F.col("max_length")
     status = hits.groupBy("prefix", "origin_as").agg(
@@ -47,11 +49,21 @@ def rpki_validate(events: DataFrame, vrps: DataFrame, mode: str = "first") -> Da
     return lookup_join(events, status, ["prefix", "origin_as"]).withColumn("rpki", F.coalesce("rpki", F.lit("NotFound")))
 
 
-def irr_check(events: DataFrame, routes: DataFrame) -> DataFrame:
-    """``events`` and irr (Consistent, Inconsistent, NotFound) and irr_asns, the registered origins."""
+def irr_check(events: DataFrame, routes: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """``events`` and irr (Consistent, Inconsistent, NotFound, Unavailable) and irr_asns, the registered origins.
+
+    ``failed`` holds the prefixes whose lookup failed; they are Unavailable, without origins.
+    """
     known = routes.select("prefix", "origin").distinct().groupBy("prefix").agg(F.array_sort(F.collect_set("origin")).alias("irr_asns"))
+    if failed is not None:
+        known = known.withColumn("failed", F.lit(False)).unionByName(failed.select("prefix", F.lit(True).alias("failed")), allowMissingColumns=True)
+        known = known.groupBy("prefix").agg(F.max("failed").alias("failed"), F.max("irr_asns").alias("irr_asns"))
+        known = known.select("prefix", "failed", F.when(~F.col("failed"), F.col("irr_asns")).alias("irr_asns"))
+    else:
+        known = known.withColumn("failed", F.lit(False))
     joined = lookup_join(events, known, ["prefix"])
-    return joined.withColumn("irr", F.when(F.col("irr_asns").isNull(), "NotFound").when(F.array_contains("irr_asns", F.col("origin_as")), "Consistent").otherwise("Inconsistent"))
+    lost = F.coalesce("failed", F.lit(False))
+    return joined.withColumn("irr", F.when(lost, "Unavailable").when(F.col("irr_asns").isNull(), "NotFound").when(F.array_contains("irr_asns", F.col("origin_as")), "Consistent").otherwise("Inconsistent")).drop("failed")
 
 
 def roa_delta(known: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -10,6 +10,8 @@ from .joins import lookup_join
 
 SLOT_MS = 300_000
 MIN_COLLECTORS, MIN_SAMPLES = 3, 30
+#: Pairs of collectors that a literal may hold.
+MAX_PAIRS = 5000
 MAX_PATH, MAX_SPREAD_MS = 6, 10_000
 WEIGHTS = {"spread": 0.4, "outlier": 0.3, "gap": 0.15, "order": 0.1, "speed": 0.05}
 GROUP = ["prefix", "origin_as", "as_path"]
@@ -38,9 +40,13 @@ def propagation(observations: DataFrame, min_collectors: int = MIN_COLLECTORS, s
     return measures(once, ["slot", *GROUP]).where(F.col("n_collectors") >= min_collectors)
 
 
+def is_good() -> Column:
+    """Enough collectors, a path of usable length, and a spread within bounds."""
+    return (F.col("n_collectors") >= MIN_COLLECTORS) & F.size("as_path").between(1, MAX_PATH) & (F.col("spread_ms") <= MAX_SPREAD_MS)
+
+
 def good_route(events: DataFrame) -> DataFrame:
-    """At least three collectors, one to six hops, a spread of at most ten seconds."""
-    return events.where((F.col("n_collectors") >= MIN_COLLECTORS) & F.size("as_path").between(1, MAX_PATH) & (F.col("spread_ms") <= MAX_SPREAD_MS))
+    return events.where(is_good())
 
 
 def wave_stats(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,6 +77,12 @@ def baseline_job(observations: DataFrame, min_samples: int = MIN_SAMPLES) -> Dat
     return build_baseline(good_route(propagation(observations)), min_samples)
 
 
+def good_route_ratio(events: DataFrame) -> DataFrame:
+    """One row: total, good and the percentage of good routes (null without events)."""
+    g = events.agg(F.count("*").alias("total"), F.count_if(is_good()).alias("good"))
+    return g.withColumn("percent", F.try_divide(F.col("good") * 100.0, F.col("total")))
+
+
 def save_baseline(baseline: DataFrame, path: str, description: str = "", mode: str = "overwrite") -> None:
     """Write with header columns; ``mode="append"`` extends a stored baseline."""
     baseline.withColumns({"version": F.lit(1), "created_at": F.current_timestamp(), "description": F.lit(description)}).write.mode(mode).parquet(path)
@@ -86,7 +98,10 @@ def far_pairs(events: DataFrame, distances: DataFrame, key: list[str]) -> DataFr
     The pair table (a, b, km) has 26 x 26 rows; it becomes a map literal, so events are neither
     exploded nor shuffled.
     """
-    table = {f"{r['a']}|{r['b']}": r["km"] for r in distances.where("a < b").collect()}  # 325 pairs
+    rows = distances.where("a < b").limit(MAX_PAIRS + 1).collect()  # 325 pairs for 26 collectors
+    if len(rows) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of collectors")
+    table = {f"{r['a']}|{r['b']}": r["km"] for r in rows}
     known = F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)])
     ids = F.array_sort(F.array_distinct("arrival_order"))
     pairs = F.flatten(F.transform(ids, lambda a: F.transform(F.filter(ids, lambda b: b > a), lambda b: F.try_element_at(known, F.concat_ws("|", a, b)))))

@@ -64,11 +64,16 @@ def silences_active(spark, d):
     return s.where(F.col("expires_at") > F.lit(datetime(2024, 1, 10)).cast("timestamp_ntz")).select("id", "fingerprint", "expires_at")
 
 
-@query("silence_upsert", sql("select * from (values ('a', 'f1', timestamp '2024-01-06 00:00:00'), ('d', 'f4', timestamp '2024-01-12 00:00:00')) t(id, fingerprint, expires_at)"))
+ASKED_SQL = ", asked as (select id, sha256('flap:' || prefix || ':' || origin_as) as fingerprint, silenced_at, silenced_at + to_hours(hours::int) as expires_at from silence_requests where hours between 1 and 168 and reason <> '') "
+
+
+@query("silence_upsert", sql(ASKED_SQL + "select id, fingerprint, expires_at, silenced_at < timestamp '2024-01-05' as expired from asked"))
 def silence_upsert(spark, d):
-    rows = [("a", "f1", "why", 24), ("b", "f2", "", 24), ("c", "f3", "why", 169), ("d", "f4", "why", 168)]
-    r = spark.createDataFrame(rows, "id string, fingerprint string, reason string, hours int").withColumns({"silenced_by": F.lit("ops"), "silenced_at": F.lit(datetime(2024, 1, 5)).cast("timestamp_ntz")})
-    return A.new_silences(r).select("id", "fingerprint", "expires_at")
+    r = X.silence_requests(spark, d).withColumn("fingerprint", S.alert_fingerprint(F.lit("flap"), F.col("prefix"), F.col("origin_as")))
+    made = A.new_silences(r.select("id", "fingerprint", "reason", "silenced_by", "silenced_at", "hours"))
+    ended = A.expire_silences(made, made.where(F.col("silenced_at") < F.lit(datetime(2024, 1, 5)).cast("timestamp_ntz")).select("id"), datetime(2025, 1, 1))
+    newest = A.latest_version(made.unionByName(ended), "id", "silenced_at")
+    return newest.select("id", "fingerprint", "expires_at", (~F.col("active")).alias("expired"))
 
 
 @query("alert_route", sql(ROUTE_SQL + "select event_id, alert_type, prefix, origin_as, confidence::double as confidence, level, fingerprint from routed"))
@@ -102,41 +107,43 @@ def auto_escalate(spark, d):
     return A.auto_escalate(history(spark, d), AS_OF).select("anomaly_type", "prefix", "origin_as", F.round("confidence", 6).alias("confidence"), "detected_at", "details")
 
 
-@query("rule_match", sql(IN_SQL + ", live as (select * from rules qualify row_number() over (partition by id order by updated_at desc) = 1), hit as (select a.event_id, a.anomaly_type, r.id as rule_id, row_number() over (partition by a.event_id, a.anomaly_type order by r.updated_at desc, r.id desc) as i from alerts_in a join live r on r.enabled and (coalesce(r.tenant_id, '') = '' or r.tenant_id = a.tenant_id) and a.confidence >= r.threshold where a.anomaly_type = 'PossibleHijack') select event_id, rule_id from hit where i = 1"))
+LIVE = "(select * from {} qualify row_number() over (partition by id order by updated_at desc) = 1)"
+RULES_NOW, TENANTS_NOW = LIVE.format("rules"), LIVE.format("tenants")
+
+
+@query("rule_match", sql(IN_SQL + f", live as {RULES_NOW}, hit as (select a.event_id, a.anomaly_type, r.id as rule_id, row_number() over (partition by a.event_id, a.anomaly_type order by r.updated_at desc, r.id desc) as i from alerts_in a join live r on r.enabled and (coalesce(r.tenant_id, '') = '' or r.tenant_id = a.tenant_id) and a.confidence >= r.threshold where a.anomaly_type = 'PossibleHijack') select event_id, rule_id from hit where i = 1"))
 def rule_match(spark, d):
-    return A.rule_match(alerts_in(spark, d).where("anomaly_type = 'PossibleHijack'"), A.rules_active(X.rules(spark)))
+    return A.rule_match(alerts_in(spark, d).where("anomaly_type = 'PossibleHijack'"), A.rules_active(X.rules(spark, d)))
 
 
-@query("latest_version", sql("select id, name, threshold::double as threshold, enabled, updated_at from rules qualify row_number() over (partition by id order by updated_at desc) = 1"))
+@query("latest_version", sql(f"select id, name, threshold, enabled, updated_at from {RULES_NOW}"))
 def latest_version(spark, d):
-    return A.latest_version(X.rules(spark)).select("id", "name", "threshold", "enabled", "updated_at")
+    return A.latest_version(X.rules(spark, d)).select("id", "name", "threshold", "enabled", "updated_at")
 
 
-@query("rules_active", sql("select id, name from (select * from rules qualify row_number() over (partition by id order by updated_at desc) = 1) where enabled"))
+@query("rules_active", sql(f"select id, name from {RULES_NOW} where enabled"))
 def rules_active(spark, d):
-    return A.rules_active(X.rules(spark)).select("id", "name")
+    return A.rules_active(X.rules(spark, d)).select("id", "name")
 
 
-@query("rule_upsert", sql("select * from (values ('r2', 'tenant one', 'hijack', 0.7::double, true), ('r4', 'global high', 'custom', 0.84::double, false), ('r9', 'fresh', 'leak', 0.4::double, true)) t(id, name, rule_type, threshold, enabled)"))
+@query("rule_upsert", sql(f"""select * from (select c.id, coalesce(c.name, r.name) as name, coalesce(c.rule_type, r.rule_type) as rule_type, coalesce(c.threshold, r.threshold) as threshold, coalesce(c.enabled, r.enabled) as enabled from rule_changes c left join {RULES_NOW} r using (id))
+where rule_type in ('hijack', 'flap', 'leak', 'custom') and threshold between 0 and 1 and name <> ''"""))
 def rule_upsert(spark, d):
-    rows = [("r2", None, None, 0.7, None), ("r4", None, None, None, False), ("r9", "fresh", "leak", 0.4, True), ("r8", "bad", "other", 0.4, True), ("r1", None, None, 1.5, None)]
-    c = spark.createDataFrame(rows, "id string, name string, rule_type string, threshold double, enabled boolean").withColumn("updated_at", F.lit("2024-02-01"))
-    return A.upsert(X.rules(spark), c, A.rule_errors()).select("id", "name", "rule_type", "threshold", "enabled")
+    return A.upsert(X.rules(spark, d), X.changes(spark, d, "rules"), A.rule_errors()).select("id", "name", "rule_type", "threshold", "enabled")
 
 
-@query("tenants_enabled", sql("select id, name, rate_limit_per_sec from (select * from tenants qualify row_number() over (partition by id order by updated_at desc) = 1) where enabled"))
+@query("tenants_enabled", sql(f"select id, name, rate_limit_per_sec from {TENANTS_NOW} where enabled"))
 def tenants_enabled(spark, d):
-    return A.latest_version(X.tenants(spark)).where("enabled").select("id", "name", "rate_limit_per_sec")
+    return A.latest_version(X.tenants(spark, d)).where("enabled").select("id", "name", "rate_limit_per_sec")
 
 
-@query("tenant_upsert", sql("select * from (values ('t0', 'Zero', 9, 'pro', true), ('t3', 'Three', 1000, 'free', true)) t(id, name, rate_limit_per_sec, plan, enabled)"))
+@query("tenant_upsert", sql(f"""select * from (select c.id, coalesce(c.name, t.name) as name, coalesce(c.rate_limit_per_sec, t.rate_limit_per_sec) as rate_limit_per_sec, coalesce(c.plan, t.plan) as plan, coalesce(c.enabled, t.enabled) as enabled from tenant_changes c left join {TENANTS_NOW} t using (id))
+where plan in ('free', 'pro', 'enterprise') and rate_limit_per_sec > 0"""))
 def tenant_upsert(spark, d):
-    rows = [("t0", None, None, 9, "pro", None), ("t3", "Three", "h3", 1000, "free", True), ("t1", None, None, 0, None, None), ("t2", None, None, None, "gold", None)]
-    c = spark.createDataFrame(rows, "id string, name string, api_key_hash string, rate_limit_per_sec int, plan string, enabled boolean").withColumn("updated_at", F.lit("2024-02-01"))
-    return A.upsert(X.tenants(spark), c, A.tenant_errors()).select("id", "name", "rate_limit_per_sec", "plan", "enabled")
+    return A.upsert(X.tenants(spark, d), X.changes(spark, d, "tenants"), A.tenant_errors()).select("id", "name", "rate_limit_per_sec", "plan", "enabled")
 
 
-@query("tenant_by_key", sql("select l.id as request_id, t.id as tenant, coalesce(t.rate_limit_per_sec, 1000) as \"limit\" from log_messages l left join (select * from (select * from tenants qualify row_number() over (partition by id order by updated_at desc) = 1) where enabled) t on t.api_key_hash = sha256('key-' || substr(l.tenant_id, 2))"))
+@query("tenant_by_key", sql(f"select l.id as request_id, t.id as tenant, coalesce(t.rate_limit_per_sec, 1000) as \"limit\" from log_messages l left join (select * from {TENANTS_NOW} where enabled) t on t.api_key_hash = sha256('key-' || substr(l.tenant_id, 2))"))
 def tenant_by_key(spark, d):
-    r = X.log_messages(spark, d).select(F.col("id").alias("request_id"), F.sha2(F.concat(F.lit("key-"), F.substring("tenant_id", 2, 9)), 256).alias("api_key_hash"))
-    return A.tenant_by_key(r, X.tenants(spark)).select("request_id", "tenant", "limit")
+    r = X.log_messages(spark, d).select(F.col("id").alias("request_id"), S.api_key_hash(F.concat(F.lit("key-"), F.substring("tenant_id", 2, 9))).alias("api_key_hash"))
+    return A.tenant_by_key(r, X.tenants(spark, d)).select("request_id", "tenant", "limit")

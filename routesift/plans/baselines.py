@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baselines as B
 from ..operators import detectors as D
+from ..operators.storage import work_folder
 from . import fixtures as X
 from .detectors import FIRST_SQL
 from .fixtures import sql
@@ -77,12 +78,14 @@ def baseline_train(spark, d):
     return p.unionByName(asns.select(F.lit("as").alias("kind"), F.col("origin_as").cast("string").alias("key"), F.round("score", 6).alias("value"), F.col("days").alias("n")))
 
 
-SNAP_SQL = ", snaps as (select distinct timestamp::date::varchar as snapshot_date, prefix from bgp_events) "
+#: Snapshots are taken of all events before each of these days; a cleanup on the 30th keeps those of the last week.
+SNAPSHOT_DAYS = ("2024-01-10", "2024-01-20", "2024-01-25")
 
 
-@query("baseline_snapshot", sql(SNAP_SQL + "select snapshot_date, count(*) as prefixes, snapshot_date = (select max(snapshot_date) from snaps) as newest from snaps where snapshot_date::date >= date '2024-01-30' - 7 group by 1"))
+@query("baseline_snapshot", sql(ema_sql(f"event_type = 'announce' and timestamp < timestamp '{SNAPSHOT_DAYS[-1]}'") + f"select '{SNAPSHOT_DAYS[-1]}' as snapshot_date, prefix, round(ema, 6) as ema, round(var, 6) as var, n from last"))
 def baseline_snapshot(spark, d):
-    snaps = X.bgp_events(spark, d).select(F.to_date("timestamp").cast("string").alias("snapshot_date"), "prefix").distinct()
-    kept = B.live_snapshots(snaps, "2024-01-30").groupBy("snapshot_date").agg(F.count("*").alias("prefixes"))
-    newest = B.newest_snapshot(snaps).select("snapshot_date").distinct().withColumn("newest", F.lit(True))
-    return kept.join(F.broadcast(newest), "snapshot_date", "left").withColumn("newest", F.coalesce("newest", F.lit(False)))
+    path = f"{work_folder(spark)}/snapshots"
+    for day in SNAPSHOT_DAYS:
+        B.save_snapshot(B.ema_baseline(announces(spark, d).where(F.col("timestamp") < F.lit(datetime.fromisoformat(day)).cast("timestamp_ntz"))), path, day)
+    newest = B.newest_snapshot(B.live_snapshots(B.load_snapshots(spark, path), "2024-01-30"))
+    return newest.select("snapshot_date", "prefix", F.round("ema", 6).alias("ema"), F.round("var", 6).alias("var"), "n")

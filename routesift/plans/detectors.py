@@ -48,7 +48,7 @@ hits as (select k.*, i.asn, i.ord, i.max_length from keys k join index i using (
 decided as (select prefix, origin_as, plen <= max_length as within from hits where asn = origin_as qualify row_number() over (partition by prefix, origin_as order by len desc, ord) = 1),
 status as (select p.prefix, p.origin_as, case when d.within then 'Valid' when d.within is not null then 'InvalidLength' when exists (select 1 from hits h where h.prefix = p.prefix and h.origin_as = p.origin_as) then 'InvalidAsn' else 'NotFound' end as rpki from parsed p left join decided d using (prefix, origin_as)) """
 IRR_SQL = """, registered as (select prefix, list_sort(list(distinct origin)) as irr_asns from irr_routes group by 1),
-checked as (select e.*, irr_asns, case when irr_asns is null then 'NotFound' when list_contains(irr_asns, origin_as) then 'Consistent' else 'Inconsistent' end as irr from bgp_events e left join registered using (prefix)) """
+checked as (select e.*, irr_asns, case when prefix in (select prefix from irr_failed) then 'Unavailable' when irr_asns is null then 'NotFound' when list_contains(irr_asns, origin_as) then 'Consistent' else 'Inconsistent' end as irr from bgp_events e left join registered using (prefix)) """
 RICH_SQL = KEYS_SQL + IRR_SQL + FIRST_SQL + """, rich as (select c.event_id, c.prefix, c.origin_as, s.rpki, c.irr, f.event_id is not null as is_new,
 case when f.event_id is not null then case when rpki = 'Valid' then 0.30 when rpki like 'Invalid%' then case when irr = 'Inconsistent' then 0.99 else 0.97 end when irr = 'Inconsistent' then 0.90 else 0.85 end
 when rpki like 'Invalid%' then case when irr = 'Inconsistent' then 0.75 else 0.60 end end as confidence
@@ -57,7 +57,7 @@ from checked c join status s using (prefix, origin_as) left join firsts f on f.e
 
 def validated(spark, d):
     e = X.bgp_events(spark, d).where("event_type = 'announce'")
-    return R.irr_check(R.rpki_validate(e, X.vrps(spark, d)), X.irr_routes(spark, d))
+    return R.irr_check(R.rpki_validate(e, X.vrps(spark, d)), X.irr_routes(spark, d), X.irr_failed(spark, d))
 
 
 @query("covering_keys", sql(KEYS_SQL + "select distinct prefix, len, net from keys"))
@@ -75,7 +75,7 @@ def rpki_validate(spark, d):
 
 @query("irr_check", sql(IRR_SQL + "select event_id, prefix, origin_as, irr, irr_asns from checked"))
 def irr_check(spark, d):
-    return R.irr_check(X.bgp_events(spark, d), X.irr_routes(spark, d)).select("event_id", "prefix", "origin_as", "irr", "irr_asns")
+    return R.irr_check(X.bgp_events(spark, d), X.irr_routes(spark, d), X.irr_failed(spark, d)).select("event_id", "prefix", "origin_as", "irr", "irr_asns")
 
 
 @query("hijack_enriched", sql(RICH_SQL + "select event_id, prefix, origin_as, rpki, irr, is_new, confidence::double as confidence from rich where confidence is not null"))

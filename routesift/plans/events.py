@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import events as E
+from ..operators.storage import work_folder
 from . import fixtures as X
 from .fixtures import sql
 from .registry import query
@@ -17,7 +18,9 @@ PICK = COLS.split(", ")
 
 @query("bgp_scan", sql(f"select {COLS}, 202401 as month from bgp_events"))
 def bgp_scan(spark, d):
-    return X.bgp_events(spark, d).select(*PICK, F.date_format("timestamp", "yyyyMM").cast("int").alias("month"))
+    path = f"{work_folder(spark)}/events"
+    E.write_events(X.bgp_events(spark, d).select(*PICK), path)
+    return E.scan(spark, path, datetime(2024, 1, 1), datetime(2024, 12, 31)).select(*PICK, "month")
 
 
 @query("bgp_filter", sql(f"select {COLS} from bgp_events where event_type = 'announce' and timestamp between '2024-01-10' and '2024-01-11' and origin_as = 64513"))
@@ -30,7 +33,7 @@ def event_type_check(spark, d):
     return E.event_filter(X.bgp_events(spark, d), event_type=E.event_type_check("withdraw")).select(*PICK)
 
 
-@query("sample_rows")
+@query("sample_rows", sql(f"select {COLS} from bgp_events where ('0x' || substr(md5(event_id::varchar), 1, 8))::bigint < {1 << 30}"))
 def sample_rows(spark, d):
     return E.sample_rows(X.bgp_events(spark, d), 0.25).select(*PICK)
 
@@ -73,7 +76,7 @@ def event_timeline(spark, d):
 
 @query("announce_vs_withdraw", sql("select event_type, count(*) as events from bgp_events group by 1"))
 def announce_vs_withdraw(spark, d):
-    return X.bgp_events(spark, d).groupBy("event_type").agg(F.count("*").alias("events"))
+    return E.kinds(X.bgp_events(spark, d)).withColumnRenamed("n", "events")
 
 
 @query("known_origins", sql("select prefix, list_sort(list(distinct origin_as)) as origins from bgp_events where timestamp between '2024-01-10' and '2024-01-30' group by 1"))
@@ -98,4 +101,4 @@ def retention_filter(spark, d):
 
 @query("path_length", sql("select event_id, len(as_path)::int as path_length from bgp_events"))
 def path_length(spark, d):
-    return X.bgp_events(spark, d).select("event_id", F.size("as_path").alias("path_length"))
+    return X.bgp_events(spark, d).select("event_id", S.path_length(F.col("as_path")).alias("path_length"))

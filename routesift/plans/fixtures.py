@@ -46,6 +46,11 @@ def irr_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users(spark, sf_dir).where("u % 4 <> 3").selectExpr("prefix", "cast(if(u % 4 = 2, 64999, own_as) as bigint) as origin")
 
 
+def irr_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes whose registry lookup failed."""
+    return users(spark, sf_dir).where("u % 20 = 3").select("prefix").distinct()
+
+
 def roas(spark: SparkSession, sf_dir: str, skip: int) -> DataFrame:
     return vrps(spark, sf_dir).where(F.col("ord") % 7 != skip).select("prefix", "max_length", F.col("asn").alias("origin_as"), F.lit("RIPE").alias("trust_anchor")).distinct()
 
@@ -55,17 +60,51 @@ def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).selectExpr("event_id as id", "timestamp", "concat('t', u % 4) as tenant_id", "et as source", "if(et = 'error', 'error', 'info') as level", message)
 
 
-#: Literal tables; the same rows in SQL stand in SQL_TABLES.
-RULES = [("r1", "low", "hijack", 0.5, True, None, "2024-01-01"), ("r2", "tenant one", "hijack", 0.8, True, "t1", "2024-01-03"), ("r3", "old", "flap", 0.1, False, None, "2024-01-02"), ("r4", "global high", "custom", 0.84, True, "", "2024-01-04"), ("r1", "low again", "hijack", 0.6, True, None, "2024-01-05")]
-TENANTS = [("t0", "Zero", "key-0", 5, "free", "2024-01-01", True), ("t1", "One", "key-1", 100, "pro", "2024-01-01", True), ("t2", "Two", "key-2", 50, "enterprise", "2024-01-01", True), ("t2", "Two", "key-2", 50, "enterprise", "2024-01-09", False), ("t1", "One b", "key-1", 120, "pro", "2024-01-05", True)]
+#: Every event is a version of one of 50 rules and of one of 8 tenants; the number of versions grows with the table.
+VERSION = "concat(date_format(timestamp, 'yyyy-MM-dd HH:mm:ss'), ' ', lpad(event_id, 12, '0')) as updated_at"
+RULE = "concat('r', u % 50) as id, concat('rule ', k) as name, case k % 4 when 0 then 'hijack' when 1 then 'flap' when 2 then 'leak' else 'custom' end as rule_type, k / 100.0D as threshold, k % 10 <> 0 as enabled, case u % 3 when 0 then null when 1 then '' else concat('t', u % 4) end as tenant_id"
+TENANT = "concat('t', u % 8) as id, concat('Tenant ', u % 8, ' ', k) as name, concat('key-', u % 8) as api_key, 1 + k as rate_limit_per_sec, case k % 3 when 0 then 'free' when 1 then 'pro' else 'enterprise' end as plan, k % 7 <> 0 as enabled"
+#: Changes: one per rule (ten of them new) and per tenant (two of them new), some of them invalid.
+RULE_CHANGE = "concat('r', g) as id, if(g >= 50 or g % 5 = 0, concat('changed ', g), null) as name, case when g >= 58 then 'other' when g >= 50 then 'leak' end as rule_type, case when lo % 9 = 8 then 1.5D when g % 2 = 0 or g >= 50 then hi / 100.0D end as threshold, if(g % 3 = 0, false, null) as enabled"
+TENANT_CHANGE = "concat('t', g) as id, if(g >= 8, concat('New ', g), null) as name, if(g >= 8, concat('h', g), null) as api_key_hash, case when g % 5 = 4 then 0 when g >= 8 or g % 2 = 0 then 1 + hi end as rate_limit_per_sec, case when g = 3 then 'gold' when g >= 8 then 'free' end as plan, if(g % 3 = 0, true, null) as enabled"
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir).selectExpr(*_columns(RULE), VERSION)
+
+
+def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir).selectExpr(*_columns(TENANT), VERSION).withColumn("api_key_hash", F.sha2("api_key", 256)).drop("api_key")
+
+
+def changes(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """One change per group of users; their own times are later than all events'."""
+    n, columns = (60, RULE_CHANGE) if kind == "rules" else (10, TENANT_CHANGE)
+    groups = base(spark, sf_dir).groupBy((F.col("u") % n).alias("g")).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    return groups.selectExpr(*_columns(columns), "'2025-01-01 00:00:00' as updated_at")
+
+
+def silence_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per event; hours beyond a week and empty reasons are invalid."""
+    asked = "event_id, concat('s', event_id) as id, prefix, origin_as, if(k % 6 = 0, '', 'planned') as reason, 'ops' as silenced_by, timestamp as silenced_at, cast(k * 2 as int) as hours"
+    return bgp_events(spark, sf_dir).selectExpr(*_columns(asked))
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "id string, name string, rule_type string, threshold double, enabled boolean, tenant_id string, updated_at string")
+def _columns(text: str) -> list[str]:
+    """Select items; commas within parentheses don't separate."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
 
 
-def tenants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TENANTS, "id string, name string, api_key string, rate_limit_per_sec int, plan string, updated_at string, enabled boolean").withColumn("api_key_hash", F.sha2("api_key", 256)).drop("api_key")
+def _duck(text: str) -> str:
+    """The same expressions in DuckDB."""
+    return text.replace("100.0D", "100.0::double").replace("1.5D", "1.5::double")
 
 
 def _rows(rows: list[tuple]) -> str:
@@ -82,11 +121,16 @@ bgp_observations as (select event_id, timestamp, prefix, origin_as, as_path, pee
 users as (select distinct u, {PREFIX} as prefix, (64512 + u % 50)::bigint as own_as from base),
 vrps as (select case when u % 3 = 1 then '10.' || (u % 256) || '.0.0/16' else prefix end as prefix, case when u % 3 = 1 then 24 else 20 end as max_length, own_as as asn, u as ord from users where u % 3 <> 0),
 irr_routes as (select prefix, (case when u % 4 = 2 then 64999 else own_as end)::bigint as origin from users where u % 4 <> 3),
+irr_failed as (select distinct prefix from users where u % 20 = 3),
 roa_old as (select distinct prefix, max_length, asn as origin_as, 'RIPE' as trust_anchor from vrps where ord % 7 <> 0),
 roa_new as (select distinct prefix, max_length, asn as origin_as, 'RIPE' as trust_anchor from vrps where ord % 7 <> 1),
 log_messages as (select event_id as id, timestamp, 't' || (u % 4) as tenant_id, et as source, case when et = 'error' then 'error' else 'info' end as level, case k % 4 when 0 then 'user' || u || '@example.com logged in from 10.0.' || (u % 256) || '.7' when 1 then 'SSN 123-45-' || lpad(k::varchar, 4, '0') || ' checked' when 2 then 'call 555-867-' || lpad(k::varchar, 4, '0') else 'plain event ' || k end as message from base),
-rules as (select * from (values {_rows(RULES)}) r(id, name, rule_type, threshold, enabled, tenant_id, updated_at)),
-tenants as (select id, name, sha256(api_key) as api_key_hash, rate_limit_per_sec, plan, updated_at, enabled from (values {_rows(TENANTS)}) r(id, name, api_key, rate_limit_per_sec, plan, updated_at, enabled))"""
+versions as (select *, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' ' || lpad(event_id::varchar, 12, '0') as updated_at from base),
+rules as (select {_duck(RULE)}, updated_at from versions),
+tenants as (select * exclude (api_key), sha256(api_key) as api_key_hash from (select {_duck(TENANT)}, updated_at from versions)),
+rule_changes as (select {_duck(RULE_CHANGE)} from (select u % 60 as g, min(k) as lo, max(k) as hi from base group by 1)),
+tenant_changes as (select {_duck(TENANT_CHANGE)} from (select u % 10 as g, min(k) as lo, max(k) as hi from base group by 1)),
+silence_requests as (select 's' || event_id as id, prefix, origin_as, case when k % 6 = 0 then '' else 'planned' end as reason, timestamp as silenced_at, k * 2 as hours from bgp_events)"""
 
 
 def sql(body: str) -> str:

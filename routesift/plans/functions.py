@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import collectors as C
+from ..operators import logs as L
 from . import fixtures as X
 from .fixtures import sql
 from .registry import query
@@ -83,43 +85,38 @@ def collector_rows() -> str:
     return X._rows([(c[0], c[1], c[2], c[3], c[4], c[6]) for c in S.COLLECTORS])
 
 
-def collectors(spark):
-    return spark.createDataFrame(list(S.COLLECTORS), "collector string, city string, country string, lat double, lon double, ixp string, region string")
-
-
 def pair_distances(spark):
-    """Kilometres between any two known collectors (26 x 26 rows)."""
-    c = collectors(spark).select("collector", "lat", "lon")
-    rows = [(a[0], b[0], a[3], a[4], b[3], b[4]) for a in S.COLLECTORS for b in S.COLLECTORS]
-    p = c.sparkSession.createDataFrame(rows, "a string, b string, lat1 double, lon1 double, lat2 double, lon2 double")
-    return p.select("a", "b", S.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km"))
+    return C.pair_distances(C.registry(spark))
 
 
 _A = "(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2))"
 GEO_SQL = f", collectors as (select * from (values {collector_rows()}) c(collector, city, country, lat, lon, region)), pairs as (select x.collector as a, y.collector as b, 6371.0 * 2 * atan2(sqrt({_A}), sqrt(1 - {_A})) as km from collectors x, collectors y) "
 
 
-@query("haversine_km", sql(GEO_SQL + "select a, b, round(km, 6) as km from pairs where a < b"))
+@query("haversine_km", sql(GEO_SQL + ", hops as (select event_id, lag(collector) over (partition by event_id order by arrival_ms, collector) as x, collector as y from bgp_observations) select event_id, x as a, y as b, round(km, 6) as km from hops left join pairs on a = x and b = y where x is not null"))
 def haversine_km(spark, d):
-    return pair_distances(spark).where("a < b").select("a", "b", F.round("km", 6).alias("km"))
+    return C.hop_distances(X.bgp_observations(spark, d), C.registry(spark)).select("event_id", "a", "b", F.round("km", 6).alias("km"))
+
+
+def to_amsterdam(spark, d):
+    o = X.bgp_observations(spark, d).withColumn("home", F.lit("rrc00"))
+    return C.with_distance(o, C.registry(spark), "collector", "home")
 
 
 @query("collector_distance", sql(GEO_SQL + "select event_id, collector, round(km, 6) as km from bgp_observations left join pairs on a = collector and b = 'rrc00'"))
 def collector_distance(spark, d):
-    near = pair_distances(spark).where("b = 'rrc00'").select(F.col("a").alias("collector"), "km")
-    return X.bgp_observations(spark, d).join(F.broadcast(near), "collector", "left").select("event_id", "collector", F.round("km", 6).alias("km"))
+    return to_amsterdam(spark, d).select("event_id", "collector", F.round("km", 6).alias("km"))
 
 
 @query("light_transit_ms", sql(GEO_SQL + "select event_id, collector, round(km / 200000.0 * 1000, 6) as ms from bgp_observations left join pairs on a = collector and b = 'rrc00'"))
 def light_transit_ms(spark, d):
-    near = pair_distances(spark).where("b = 'rrc00'").select(F.col("a").alias("collector"), "km")
-    return X.bgp_observations(spark, d).join(F.broadcast(near), "collector", "left").select("event_id", "collector", F.round(S.light_transit_ms(F.col("km")), 6).alias("ms"))
+    return to_amsterdam(spark, d).select("event_id", "collector", F.round(S.light_transit_ms(F.col("km")), 6).alias("ms"))
 
 
 @query("collector_lookup", sql(GEO_SQL + "select event_id, o.collector, city, country, region, c.collector is not null as is_known from bgp_observations o left join collectors c on c.collector = o.collector and c.region <> 'SA'"))
 def collector_lookup(spark, d):
-    known = collectors(spark).where("region <> 'SA'").select("collector", "city", "country", "region")
-    return X.bgp_observations(spark, d).join(F.broadcast(known), "collector", "left").select("event_id", "collector", "city", "country", "region", F.col("city").isNotNull().alias("is_known"))
+    out = C.lookup(X.bgp_observations(spark, d), C.registry(spark).where("region <> 'SA'"))
+    return out.select("event_id", "collector", "city", "country", "region", "is_known")
 
 
 @query("alert_fingerprint", sql("select event_id, sha256('hijack:' || prefix || ':' || origin_as) as fingerprint from bgp_events"))
@@ -139,7 +136,7 @@ def wave_classification(spark, d):
 
 @query("api_key_hash", sql("select distinct tenant_id, sha256('key-' || tenant_id) as api_key_hash from bgp_events"))
 def api_key_hash(spark, d):
-    return X.bgp_events(spark, d).select("tenant_id").distinct().select("tenant_id", F.sha2(F.concat(F.lit("key-"), "tenant_id"), 256).alias("api_key_hash"))
+    return X.bgp_events(spark, d).select("tenant_id").distinct().select("tenant_id", S.api_key_hash(F.concat(F.lit("key-"), "tenant_id")).alias("api_key_hash"))
 
 
 @query("z_score", sql("select event_id, round(case when k % 5 = 0 then 0 else (value - 50) / (k % 5) end, 6) as z from base"))
@@ -189,12 +186,11 @@ def next_month_start(spark, d):
 
 @query("tenant_id_valid", sql("select event_id, tid, len(tid) <= 64 and regexp_matches(tid, '^[A-Za-z0-9_-]+$') as valid from (select event_id, coalesce(case k % 4 when 0 then tenant_id when 1 then 'bad id' when 2 then repeat('x', 65) end, 'anonymous') as tid from bgp_events)"))
 def tenant_id_valid(spark, d):
-    tid = F.expr("coalesce(case k % 4 when 0 then tenant_id when 1 then 'bad id' when 2 then repeat('x', 65) end, 'anonymous')")
-    return X.bgp_events(spark, d).select("event_id", tid.alias("tid")).withColumn("valid", (F.length("tid") <= 64) & F.col("tid").rlike("^[A-Za-z0-9_-]+$"))
+    tid = L.tenant_or_default(F.expr("case k % 4 when 0 then tenant_id when 1 then 'bad id' when 2 then repeat('x', 65) end"))
+    return X.bgp_events(spark, d).select("event_id", tid.alias("tid")).withColumn("valid", L.tenant_valid(F.col("tid")))
 
 
 @query("prefix_param_valid", sql("select event_id, replace(replace(p, '%2F', '/'), '%3A', ':') as decoded, regexp_matches(replace(replace(p, '%2F', '/'), '%3A', ':'), '^[0-9a-fA-F.:/]+$') as valid from (select event_id, case k % 3 when 0 then replace(prefix, '/', '%2F') when 1 then '2001%3Adb8%3A%3A%2F32' else prefix || ';' end as p from bgp_events)"))
 def prefix_param_valid(spark, d):
     p = F.expr("case k % 3 when 0 then replace(prefix, '/', '%2F') when 1 then '2001%3Adb8%3A%3A%2F32' else concat(prefix, ';') end")
-    decoded = F.replace(F.replace(p, F.lit("%2F"), F.lit("/")), F.lit("%3A"), F.lit(":"))
-    return X.bgp_events(spark, d).select("event_id", decoded.alias("decoded")).withColumn("valid", F.col("decoded").rlike("^[0-9a-fA-F.:/]+$"))
+    return X.bgp_events(spark, d).select("event_id", S.prefix_param(p).alias("decoded")).withColumn("valid", S.prefix_param_valid(F.col("decoded")))

@@ -4,11 +4,14 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
+from ..operators import alerts as A
+from ..operators import logs as L
 from ..operators import metrics as M
+from ..operators import rpki as R
 from . import fixtures as X
 from .alerts import IN_SQL, alerts_in
 from .baselines import ENH_SQL, enhanced
+from .detectors import KEYS_SQL
 from .fixtures import sql
 from .registry import query
 
@@ -48,10 +51,14 @@ def histogram_quantile(spark, d):
     return M.histogram_quantile(h, 0.95, ["et"]).withColumn("value", F.round("value", 6))
 
 
-@query("anomaly_counts", sql(IN_SQL + "select anomaly_type, level, tenant_id, count(*) as n from printed group by all"))
+@query("anomaly_counts", sql(KEYS_SQL + IN_SQL + """, outcomes as (select p.anomaly_type, p.level, p.tenant_id, coalesce(s.rpki, 'NotFound') as rpki, count(*) as n, count(*) filter (s.rpki = 'Valid') as false_positives from printed p left join status s using (prefix, origin_as) group by all),
+spent as (select tenant_id, case when n > 70 then 'Exceeded' when n * 100.0 / 70 >= 80 then 'SoftWarning' else 'Allowed' end as quota from (select *, row_number() over (partition by tenant_id, date_trunc('day', timestamp) order by timestamp, id) as n from log_messages))
+select 'anomaly' as counter, anomaly_type as kind, level, tenant_id, rpki as status, n, false_positives from outcomes union all select 'quota', 'quota', null, tenant_id, quota, count(*), 0 from spent group by tenant_id, quota"""))
 def anomaly_counts(spark, d):
-    a = alerts_in(spark, d).withColumn("level", S.escalation_level(F.col("confidence")))
-    return a.groupBy("anomaly_type", "level", "tenant_id").agg(F.count("*").alias("n"))
+    a = R.rpki_validate(alerts_in(spark, d), X.vrps(spark, d))
+    found = A.outcome_counts(a).select(F.lit("anomaly").alias("counter"), F.col("anomaly_type").alias("kind"), "level", "tenant_id", F.col("rpki").alias("status"), "n", "false_positives")
+    spent = L.quota_check(X.log_messages(spark, d), F.lit(70.0), "day").groupBy("tenant_id", "quota").agg(F.count("*").alias("n"))
+    return found.unionByName(spent.select(F.lit("quota").alias("counter"), F.lit("quota").alias("kind"), F.lit(None).cast("string").alias("level"), "tenant_id", F.col("quota").alias("status"), "n", F.lit(0).cast("long").alias("false_positives")))
 
 
 @query("metric_increase", sql(f"select {start_sql(HOUR)} as bucket, event_type, count(*) as n from bgp_events group by all"))
@@ -82,9 +89,9 @@ def alert_for(spark, d):
     return M.alert_for(M.increase(X.bgp_events(spark, d), HOUR, ["event_type"]), F.col("n") >= 10, HOUR, 3, ["event_type"])
 
 
-@query("absent_series", sql(f"select bucket::timestamp as bucket from range(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 hour) r(bucket) where bucket::timestamp not in (select {start_sql(HOUR)} from bgp_events where event_type = 'withdraw' and origin_as < 64530)"))
+@query("absent_series", sql(f"select bucket::timestamp as bucket from range(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 hour) r(bucket) where bucket::timestamp not in (select {start_sql(HOUR)} from bgp_events where event_type = 'withdraw')"))
 def absent_series(spark, d):
-    s = M.increase(X.bgp_events(spark, d).where("event_type = 'withdraw' and origin_as < 64530"), HOUR, [])
+    s = M.increase(X.bgp_events(spark, d).where("event_type = 'withdraw'"), HOUR, [])
     return M.absent(s, datetime(2024, 1, 1), datetime(2024, 1, 30, 23), HOUR)
 
 

@@ -1,12 +1,12 @@
 """Queries of readers and sinks. What a sink wrote is read back."""
 
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import waves as W
+from ..operators.storage import work_folder
 from ..sources import readers as R
 from ..sources import sinks as K
 from . import fixtures as X
@@ -16,16 +16,6 @@ from .registry import query
 from .waves import PROP_SQL, START, base_sql, half_baseline, prop
 
 
-def work_folder(spark) -> str:
-    """A new folder, shared where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared}/work-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-")
-
-
 def ris_texts(spark, d):
     return X.bgp_events(spark, d).selectExpr("event_id", """case when k % 9 = 8 then '{"type":"ping"}' when k % 9 = 7 then '{"type":"ris_mess' else
         concat('{"type":"ris_message","data":{"timestamp":1.5,"peer_asn":"', peer_asn, '","peer":"10.9.9.9","path":[', if(k % 4 = 0, '', concat(peer_asn, ',[174,1299],', origin_as)), '],',
@@ -58,10 +48,19 @@ def bgp_extract_log(spark, d):
     return R.extract_log(X.bgp_events(spark, d).selectExpr("event_id", "tenant_id", "source", f"{META} as metadata"))
 
 
-@query("log_batch_read", sql("select tenant_id, i::int as pos, 'info' as level, 's' as source, 'm' || event_id as message from bgp_events, range(2) r(i) where event_id % 2 = 0 and k % 5 <> 0"))
+#: Events in a block, whose batches are: all of them (too many), or those with small ``k`` and those of each other ``k``; the text of one ``k`` is cut off.
+BLOCK, SMALL, CUT = 1500, 60, 80
+BATCH_SQL = f", batches as (select *, case when (event_id // {BLOCK}) % 3 = 0 then -1 when k < {SMALL} then 0 else k end as part from bgp_events), placed as (select *, event_id // {BLOCK} as block, row_number() over (partition by event_id // {BLOCK}, part order by event_id) - 1 as pos, count(*) over (partition by event_id // {BLOCK}, part) as size from batches) "
+
+
+@query("log_batch_read", sql(BATCH_SQL + f"select block::bigint as block, part, pos::int as pos, 'info' as level, 's' as source, 'm' || event_id as message from placed where size <= 1000 and part <> {CUT}"))
 def log_batch_read(spark, d):
-    texts = X.bgp_events(spark, d).where("event_id % 2 = 0").selectExpr("tenant_id", """if(k % 5 = 0, '{"level":"info"', concat('[{"level":"info","source":"s","message":"m', event_id, '"},{"level":"info","source":"s","message":"m', event_id, '"}]')) as json""")
-    return R.log_batch(texts).select("tenant_id", "pos", "level", "source", "message")
+    part = F.expr(f"case when (event_id div {BLOCK}) % 3 = 0 then -1 when k < {SMALL} then 0 else k end")
+    entry = F.format_string('{"level":"info","source":"s","message":"m%d"}', "event_id")
+    e = X.bgp_events(spark, d).select(F.expr(f"event_id div {BLOCK}").alias("block"), part.alias("part"), F.struct("event_id", entry.alias("j")).alias("e"))
+    g = e.groupBy("block", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["j"]), ",").alias("list"))  # at most BLOCK
+    texts = g.select("block", "part", F.concat(F.lit("["), "list", F.when(F.col("part") == CUT, "").otherwise("]")).alias("json"))
+    return R.log_batch(texts).select("block", "part", "pos", "level", "source", "message")
 
 
 #: Ordinals that one line of the VRP dump covers, and lines in a file.

@@ -9,23 +9,24 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import events as E
+from ..operators.storage import work_folder
+from ..sources import readers as R
 from ..sources import sinks as K
-from ..sources.readers import read_stream
 from ..streaming import operators as T
 from . import fixtures as X
 from .alerts import HIST_SQL, dedup_sql, history
 from .baselines import EMA_SQL
-from .detectors import FIRST_SQL, FLAP_SQL, KEYS_SQL
+from .detectors import DELTA_SQL, FIRST_SQL, FLAP_SQL, KEYS_SQL
 from .fixtures import sql
 from .metrics import start_sql
 from .registry import query
-from .sources import work_folder
 
 
-def events_stream(spark, folder: str, d: str, derive=X.bgp_events):
-    """The derived rows as a stream: they are stored once and read as a stream of files."""
+def events_stream(spark, folder: str, d: str, derive=X.bgp_events, files: int | None = None):
+    """The derived rows as a stream: they are stored once and read as a stream of files, ``files`` in a batch."""
     derive(spark, d).write.parquet(f"{folder}/in")
-    return read_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
+    return R.read_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, **({"maxFilesPerTrigger": str(files)} if files else {}))
 
 
 def finished(spark, stream, folder: str, mode: str = "append"):
@@ -33,10 +34,16 @@ def finished(spark, stream, folder: str, mode: str = "append"):
     return spark.read.parquet(f"{folder}/out")
 
 
-@query("stream_source", sql("select event_id, prefix from bgp_events"))
+MESSAGE = """case k % 9 when 8 then '{"prefix":' when 7 then '{"event_id":1}' else concat('{"event_id":', event_id, ',"prefix":"', prefix, '"}') end as json"""
+
+
+@query("stream_source", sql("select case when k % 9 in (7, 8) then 'bad' else 'good' end as kind, case when k % 9 < 7 then event_id when k % 9 = 7 then 1 end as event_id, case when k % 9 < 7 then prefix end as prefix from bgp_events"))
 def stream_source(spark, d):
     f = work_folder(spark)
-    return finished(spark, events_stream(spark, f, d).select("event_id", "prefix"), f)
+    s = events_stream(spark, f, d, lambda s, d: X.bgp_events(s, d).selectExpr(MESSAGE))
+    parse = lambda batch: batch.select("json", F.from_json("json", "event_id long, prefix string").alias("m")).select("json", "m.*")
+    T.run_batches(s, T.quarantine_batches(parse, ["event_id", "prefix"], f"{f}/good", f"{f}/bad"), f"{f}/checkpoint")
+    return spark.read.parquet(f"{f}/good").withColumn("kind", F.lit("good")).unionByName(spark.read.parquet(f"{f}/bad").withColumn("kind", F.lit("bad"))).select("kind", "event_id", "prefix")
 
 
 @query("sink_bgp_append", sql("select event_id, 202401 as month from bgp_events"))
@@ -46,10 +53,15 @@ def sink_bgp_append(spark, d):
     return spark.read.parquet(f"{f}/out").select("event_id", "month")
 
 
-@query("stream_hijack", sql(FIRST_SQL + "select prefix, origin_as from firsts"))
+WARM = "2024-01-05"
+
+
+@query("stream_hijack", sql(FIRST_SQL + f"select prefix, origin_as from firsts where timestamp >= timestamp '{WARM}'"))
 def stream_hijack(spark, d):
-    f = work_folder(spark)
-    return finished(spark, T.hijack(events_stream(spark, f, d)).select("prefix", "origin_as"), f)
+    f, start = work_folder(spark), F.lit(datetime.fromisoformat(WARM)).cast("timestamp_ntz")
+    history = E.event_filter(X.bgp_events(spark, d), event_type="announce").where(F.col("timestamp") < start)
+    s = events_stream(spark, f, d, lambda s, d: X.bgp_events(s, d).where(F.col("timestamp") >= start))
+    return finished(spark, T.hijack(s, history).select("prefix", "origin_as"), f)
 
 
 @query("stream_flapping", sql(FLAP_SQL + "select event_id, prefix, n_events, n_changes::bigint as n_changes from flaps"))
@@ -121,12 +133,12 @@ def stream_rpki(spark, d):
     return spark.read.parquet(f"{f}/out").select("event_id", "prefix", "origin_as", "rpki")
 
 
-@query("stream_roa_diff", sql("select prefix, max_length, origin_as, 'added' as action, 0 as batch from roa_old"))
+@query("stream_roa_diff", sql(DELTA_SQL + "select prefix, max_length, origin_as, action, 1 as snapshot from delta"))
 def stream_roa_diff(spark, d):
     f = work_folder(spark)
-    s = events_stream(spark, f, d, lambda s, d: X.roas(s, d, 0))
-    T.run_batches(s, T.roa_diff_batches(f"{f}/snapshots", f"{f}/out"), f"{f}/checkpoint")
-    return spark.read.parquet(f"{f}/out").select("prefix", "max_length", "origin_as", "action", "batch")
+    both = lambda s, d: X.roas(s, d, 0).withColumn("snapshot", F.lit(0)).unionByName(X.roas(s, d, 1).withColumn("snapshot", F.lit(1)))
+    T.run_batches(events_stream(spark, f, d, both, 1), T.roa_diff_batches(f"{f}/store", f"{f}/out"), f"{f}/checkpoint")
+    return spark.read.parquet(f"{f}/out").where("snapshot > 0").select("prefix", "max_length", "origin_as", "action", "snapshot")
 
 
 @query("stream_auto_escalate", sql(HIST_SQL + "select case when alert_type = 'hijack' then 'PossibleHijack' else 'PrefixFlapping' end as anomaly_type, prefix, origin_as, round(least(confidence + 0.15, 0.95), 6)::double as confidence, fired_at as detected_at from history where epoch(timestamp '2024-01-20') - epoch(fired_at) >= 300 and confidence < 0.9"))

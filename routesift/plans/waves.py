@@ -70,9 +70,7 @@ def good_route(spark, d):
 
 @query("good_route_ratio", sql(PROP_SQL + "select count(*) as total, (select count(*) from good) as good, round((select count(*) from good) * 100.0 / count(*), 6) as percent from prop"))
 def good_route_ratio(spark, d):
-    e = prop(spark, d)
-    good = (F.col("n_collectors") >= 3) & F.size("as_path").between(1, W.MAX_PATH) & (F.col("spread_ms") <= W.MAX_SPREAD_MS)
-    return e.agg(F.count("*").alias("total"), F.count_if(good).alias("good")).withColumn("percent", F.round(F.col("good") * 100.0 / F.col("total"), 6))
+    return W.good_route_ratio(prop(spark, d)).withColumn("percent", F.round("percent", 6))
 
 
 @query("wave_stats", sql(PROP_SQL + "select prefix, count(*) as n, round(avg(spread_ms), 6) as mean, round(stddev_pop(spread_ms), 6) as std, min(spread_ms) as min, max(spread_ms) as max from prop group by 1"))

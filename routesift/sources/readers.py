@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,37 +40,49 @@ def ris_explode(messages: DataFrame, column: str = "json") -> DataFrame:
     return a.unionByName(w)
 
 
-def _integer(v: Column, field: str) -> Column:
-    """A JSON integer of the field; null for other types."""
-    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
-    return F.when(kind == "BIGINT", F.try_variant_get(v, f"$.{field}", "long"))
+ROUTE = "struct<prefix:variant,origin_as:bigint,peer_asn:bigint,event_type:variant,as_path:array<variant>,collector:variant,peer_ip:variant,community:array<string>>"
+
+
+def _routes(entries: DataFrame, column: str, fields: Callable[[Column], dict[str, Column]], required: list[str], kept: list[str]) -> DataFrame:
+    """The ``kept`` columns and the fields of each JSON object that has all required ones.
 
+    The text is parsed once, in a generator, so that no filter parses it again. Whole numbers and
+    strings must be such in the JSON.
+    """
+
+    def whole(r: Column) -> Column:
+        out = F.lit(True)
+        for f in required:
+            out = out & r[f].isNotNull()
+        return out
 
-def _text(v: Column, field: str) -> Column:
-    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
-    return F.when(kind == "STRING", F.try_variant_get(v, f"$.{field}", "string"))
+    record = S.let(F.from_json(column, ROUTE), lambda v: F.struct(*[c.alias(f) for f, c in fields(v).items()]))
+    return entries.select(*kept, F.inline(F.filter(F.array(record), whole)))
 
 
 def _path(v: Column) -> Column:
-    raw = F.try_variant_get(v, "$.as_path", "array<variant>")
-    ints = F.filter(raw, lambda x: F.schema_of_variant(x) == "BIGINT")
-    return F.coalesce(F.transform(ints, lambda x: F.try_variant_get(x, "$", "long")), F.array().cast("array<bigint>"))
+    ints = F.filter(v["as_path"], lambda x: F.schema_of_variant(x) == "BIGINT")
+    return F.coalesce(F.transform(ints, lambda x: x.cast("long")), F.array().cast("array<bigint>"))
 
 
 def extract_stream(entries: DataFrame, column: str = "metadata") -> DataFrame:
     """Route records from JSON metadata: rows without prefix, origin_as, peer_asn or event_type of the right type are dropped."""
-    v = F.col("v")
-    e = entries.withColumn("v", F.try_parse_json(column))
-    e = e.withColumns({"prefix": _text(v, "prefix"), "origin_as": _integer(v, "origin_as"), "peer_asn": _integer(v, "peer_asn"), "event_type": _text(v, "event_type"), "as_path": _path(v), "collector": F.coalesce(_text(v, "collector"), F.lit("unknown")), "peer_ip": F.coalesce(_text(v, "peer_ip"), F.lit(""))})
-    return e.where("prefix is not null and origin_as is not null and peer_asn is not null and event_type is not null").drop("v", column)
-
-
-def extract_log(entries: DataFrame, column: str = "metadata", tenant: str = "tenant_id", source: str = "source") -> DataFrame:
-    """The same from log entries, where peer_ip is required and tenant and source are kept."""
-    v = F.col("v")
-    e = entries.withColumn("v", F.try_parse_json(column))
-    e = e.withColumns({"prefix": _text(v, "prefix"), "origin_as": _integer(v, "origin_as"), "peer_asn": _integer(v, "peer_asn"), "event_type": _text(v, "event_type"), "peer_ip": _text(v, "peer_ip"), "as_path": _path(v), "community": F.coalesce(F.try_variant_get(v, "$.community", "array<string>"), F.array().cast("array<string>"))})
-    return e.where("prefix is not null and origin_as is not null and peer_asn is not null and event_type is not null and peer_ip is not null").drop("v", column)
+
+    def fields(v: Column) -> dict[str, Column]:
+        text = lambda f: S.json_text(v[f])
+        return {"prefix": text("prefix"), "origin_as": v["origin_as"], "peer_asn": v["peer_asn"], "event_type": text("event_type"), "as_path": _path(v), "collector": F.coalesce(text("collector"), F.lit("unknown")), "peer_ip": F.coalesce(text("peer_ip"), F.lit(""))}
+
+    return _routes(entries, column, fields, ["prefix", "origin_as", "peer_asn", "event_type"], [c for c in entries.columns if c != column])
+
+
+def extract_log(entries: DataFrame, column: str = "metadata") -> DataFrame:
+    """The same from log entries, where peer_ip is required and the entry's other columns are kept."""
+
+    def fields(v: Column) -> dict[str, Column]:
+        text = lambda f: S.json_text(v[f])
+        return {"prefix": text("prefix"), "origin_as": v["origin_as"], "peer_asn": v["peer_asn"], "event_type": text("event_type"), "peer_ip": text("peer_ip"), "as_path": _path(v), "community": F.coalesce(v["community"], F.array().cast("array<string>"))}
+
+    return _routes(entries, column, fields, ["prefix", "origin_as", "peer_asn", "event_type", "peer_ip"], [c for c in entries.columns if c != column])
 
 
 def read_replay(spark, path: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as A
 from ..operators import rpki as R
+from ..operators.storage import checkpointed
+from ..sources import readers
 from . import processors as P
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,9 +38,11 @@ def flapping(stream: DataFrame, seconds: int = 300, min_events: int = 50, min_ch
     return timed(stream).groupBy("prefix").transformWithState(statefulProcessor=P.Flapping(seconds, min_events, min_changes), outputStructType="event_id long, prefix string, n_events long, n_changes long", outputMode="Append", timeMode="EventTime")
 
 
-def ema(stream: DataFrame, alpha: float = 0.1) -> DataFrame:
+def ema(stream: DataFrame, alpha: float = 0.1, baseline: DataFrame | None = None) -> DataFrame:
+    """Baseline states after every event; ``baseline`` (prefix, ema, var, n), such as a snapshot, is where keys start from."""
     rows = timed(stream).select("prefix", "timestamp", "event_id", F.size("as_path").alias("x"))
-    return rows.groupBy("prefix").transformWithState(statefulProcessor=P.Ema(alpha), outputStructType="event_id long, prefix string, ema double, var double, n long", outputMode="Append", timeMode="EventTime")
+    start = None if baseline is None else baseline.select("prefix", "ema", "var", "n").groupBy("prefix")
+    return rows.groupBy("prefix").transformWithState(statefulProcessor=P.Ema(alpha), outputStructType="event_id long, prefix string, ema double, var double, n long", outputMode="Append", timeMode="EventTime", initialState=start)
 
 
 def anchored(stream: DataFrame, key: str, seconds: int) -> DataFrame:
@@ -77,44 +81,71 @@ class Reloaded:
 
     def get(self) -> DataFrame:
         try:
-            self.table = self.load()
+            self.table = checkpointed(self.load())  # read here, so that a failure shows here
         except Exception:
             if self.table is None:
                 raise
         return self.table
 
 
+def write_batch(rows: DataFrame, path: str, number: int) -> None:
+    """Write a micro-batch to a folder of its own, so that a batch that is replayed replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def rpki_batches(load_vrps: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: validate announcements against the newest VRP table and append them."""
+    """For foreachBatch: validate announcements against the newest VRP table and write them by batch."""
     table = Reloaded(load_vrps)
 
-    def each(batch: DataFrame, _: int) -> None:
-        R.rpki_validate(batch.where("event_type = 'announce'"), table.get()).write.mode("append").parquet(path)
+    def each(batch: DataFrame, number: int) -> None:
+        write_batch(R.rpki_validate(batch.where("event_type = 'announce'"), table.get()), path, number)
 
     return each
 
 
-def roa_diff_batches(snapshots: str, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each batch is a snapshot; its difference from the last stored one is appended.
+#: Snapshots that one micro-batch may touch.
+MAX_SNAPSHOTS = 1000
 
-    Snapshots are stored by batch number below ``snapshots``, so a restarted query goes on from there.
+
+def roa_diff_batches(store: str, path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over rows with a ``snapshot`` number: differences of consecutive snapshots below ``path``, by snapshot.
+
+    Rows are stored by batch and snapshot. The differences of every snapshot that a batch touches,
+    and of the one after it, are written anew, so replays and snapshots spread over several batches
+    give the same result.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{snapshots}/batch={number}")
-        new = spark.read.schema(batch.schema).parquet(f"{snapshots}/batch={number}")
-        known = spark.read.schema(batch.schema).parquet(f"{snapshots}/batch={number - 1}") if number else new.limit(0)
-        R.roa_delta(known, new).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").partitionBy("snapshot").parquet(f"{store}/batch={number}")
+        rows = spark.read.schema(batch.schema).parquet(store).drop("batch")
+        touched = sorted(r[0] for r in batch.select("snapshot").distinct().limit(MAX_SNAPSHOTS + 1).collect())
+        if len(touched) > MAX_SNAPSHOTS:
+            raise ValueError(f"a batch with more than {MAX_SNAPSHOTS} snapshots")
+        last = rows.agg(F.max("snapshot")).first()[0]
+        for n in sorted({*touched, *(t + 1 for t in touched)}):
+            if n <= last:
+                of = lambda k: rows.where(F.col("snapshot") == k).drop("snapshot").distinct()
+                R.roa_delta(of(n - 1), of(n)).write.mode("overwrite").parquet(f"{path}/snapshot={n}")
 
     return each
 
 
 def escalation_batches(as_of, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over the alert history: bumped alerts that are due at ``as_of`` are appended."""
+    """For foreachBatch over the alert history: bumped alerts that are due at ``as_of``, by batch."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        write_batch(A.auto_escalate(batch, as_of), path, number)
+
+    return each
 
-    def each(batch: DataFrame, _: int) -> None:
-        A.auto_escalate(batch, as_of).write.mode("append").parquet(path)
+
+def quarantine_batches(parse: Callable[[DataFrame], DataFrame], required: list[str], good: str, bad: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: parsed rows with all required fields go to ``good``, the others to ``bad``, both by batch."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        for rows, path in zip(readers.quarantine(parse(batch), required), (good, bad), strict=True):
+            write_batch(rows, path, number)
 
     return each
 

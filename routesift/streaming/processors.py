@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import Any
 
 import pandas as pd
@@ -19,23 +21,38 @@ def in_order(rows) -> list[Row]:
 
 
 class Flapping(StatefulProcessor):
-    """Sliding window per prefix: emits events with enough events and changes of direction in it."""
+    """Sliding window per prefix: emits events with enough events and changes of direction in it.
+
+    The changes in the window are kept as a count while it slides; a timer forgets idle prefixes.
+    """
 
     def __init__(self, seconds: int, min_events: int, min_changes: int) -> None:
-        self.seconds, self.min_events, self.min_changes = seconds, min_events, min_changes
+        self.span, self.min_events, self.min_changes = seconds * 1_000_000, min_events, min_changes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getListState("window", "at long, kind string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = [(x[0], x[1]) for x in self.window.get()]
+        held = deque((x[0], x[1]) for x in self.window.get())
+        changes = sum(a[1] != b[1] for a, b in pairwise(held))
         for r in in_order(rows):
             at = micros(r.timestamp)
-            held = [x for x in held if x[0] >= at - self.seconds * 1_000_000] + [(at, r.event_type)]
-            changes = sum(a[1] != b[1] for a, b in zip(held, held[1:], strict=False))
+            changes += bool(held) and held[-1][1] != r.event_type
+            held.append((at, r.event_type))
+            while held[0][0] < at - self.span:
+                first = held.popleft()
+                changes -= first[1] != held[0][1]
             if len(held) >= self.min_events and changes >= self.min_changes:
                 yield Row(event_id=r.event_id, prefix=key[0], n_events=len(held), n_changes=changes)
-        self.window.put(held)
+        self.window.put(list(held))
+        self.handle.registerTimer((held[-1][0] + self.span) // 1000 + 1)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        last = max((x[0] for x in self.window.get()), default=None)
+        if last is not None and (last + self.span) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.window.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -50,6 +67,9 @@ class Ema(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "ema double, var double, n long")
 
+    def handleInitialState(self, key: Any, initialState: Any, timerValues: Any) -> None:
+        self.state.update((initialState.at[0, "ema"], initialState.at[0, "var"], int(initialState.at[0, "n"])) if hasattr(initialState, "at") else (initialState.ema, initialState.var, initialState.n))
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         ema, var, n = self.state.get() if self.state.exists() else (0.0, 0.0, 0)
         for r in in_order(rows):
