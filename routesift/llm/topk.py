@@ -1,14 +1,17 @@
 """Exact top-k inner products with a pivot-distance index.
 
-Vectors are keyed by their nearest pivot and their distance to it. The keys of a pivot, sorted
-by distance, form annuli (rings) with as many sampled vectors each. The triangle inequality
-bounds the distance between a query and any vector of a ring from below by the gap between the
-query's distance to the pivot and the ring, and so the inner product from above, with the
-ring's largest norm. Every query expands its rings from the best bound down, in rounds; rings
-whose bound is below the query's k-th score so far are never opened, which leaves the result exact.
+With a further component sqrt(M - |x|^2), M the largest squared norm, all vectors have one length,
+so the largest inner products with a query are its nearest vectors. Vectors are keyed by their
+nearest pivot and their distance to it. The keys of a pivot, sorted by distance, form annuli
+(rings). The triangle inequality bounds the distance between a query and any vector of a ring
+from below: by the gap between the query's distance to the pivot and the ring, and by the gaps
+to a few further reference pivots, whose nearest and farthest distances each ring keeps. Every
+query expands its rings from the best bound down, in rounds; rings whose bound is below the
+query's k-th score so far are never opened, which leaves the result exact.
 
 Identical vectors beyond the k + 1 smallest ids can't be among the k best and aren't indexed.
-Large rings are cut into blocks of bounded size, and queries into packs.
+Pivots and rings grow with the rows, rings are cut into blocks and queries into packs of bounded
+size, and a block meets a pack by (ring, block), so no ring is one task.
 """
 
 from __future__ import annotations
@@ -27,24 +30,27 @@ K = 5
 EVERY = 50
 #: Bound of the sample that pivots and ring limits are taken from.
 SAMPLE = 4096
-PIVOTS, RINGS = 24, 6
+#: Bounds of the pivots, of the rings of one pivot, and pivots that bound the distances of every ring.
+PIVOTS, RINGS, REFERENCES = (16, 512), (4, 64), 16
 BLOCK, PACK = 2048, 256
+#: Bounds of queries and rings that are computed at a time.
+CELLS = 1 << 20
 #: Rings a query opens in each round; None: all whose bound still reaches its k-th score.
 ROUNDS = (1, 8, None)
 
 
-def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, vec array<long>) of the vectors without null or non-finite components and with an id; components of 1e15 or more, whose products no long holds, count as non-finite."""
-    x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale))
-    whole = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e15)))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(whole).select("vec_id", x.alias("vec"))
+def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
+    """(vec_id, x array<double>), x = scale * embedding, of the vectors with an id and without null or non-finite components."""
+    x = F.transform("embedding", lambda v: v.cast("double") * scale)
+    fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select("vec_id", x.alias("x"))
 
 
 def matrix(lists: pa.Array, width: int) -> np.ndarray:
     """Rows of a list column, padded with zeros to ``width``."""
+    values, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
     out = np.zeros((len(lists), width))
-    for i, row in enumerate(lists.to_pylist()):
-        out[i, : len(row)] = row
+    out[np.arange(width)[None] < sizes[:, None]] = values
     return out
 
 
@@ -65,57 +71,83 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k best of every row of ``scores`` without the query's own id; ties to smaller ids."""
-    scores = np.where(ids[None, :] == own[:, None], -np.inf, scores)
-    least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
-    q, v, s = [], [], []
-    for i in range(len(scores)):
-        at = np.flatnonzero((scores[i] >= least[i]) & (scores[i] > -np.inf))
-        at = at[np.lexsort((ids[at], -scores[i, at]))][:k]
-        q += [int(queries[i])] * len(at)
-        v += ids[at].tolist()
-        s += scores[i, at].astype(np.int64).tolist()
-    return q, v, s
+def _top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, candidate and score of the k best of every row without the query's own id; ties to smaller ids."""
+    mine = ids[None, :] == own[:, None]
+    rank = np.where(mine, np.iinfo(np.int64).min, scores.astype(np.int64))
+    at = max(0, rank.shape[1] - k)
+    row, col = np.nonzero((rank >= np.partition(rank, at, axis=1)[:, at, None]) & ~mine)
+    order = np.lexsort((ids[col], -rank[row, col], row))
+    row, col = row[order], col[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, col = row[first], col[first]
+    return own[row], ids[col], rank[row, col]
 
 
-def top_inner_products(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
+def top_inner_products(vectors: DataFrame, k: int = K, every: int = EVERY, stats: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for the queries whose vec_id is divisible by ``every``.
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take
-    no part. Shorter vectors count as padded with zeros. vec_id is a key: a row with the
-    query's id is never its candidate. Scores are exact while sums stay below 2 ** 53.
+    no part. Shorter vectors count as padded with zeros. vec_id is a key: a row with the query's
+    id is never its candidate; repeated rows of another id are candidates each. Scores are exact
+    integers; components so large that a score could exceed a long raise an error. An empty table
+    gives no rows. Columns other than vec_id and embedding are ignored. ``stats`` is given the
+    number of vectors, queries and compared pairs.
     """
     spark = vectors.sparkSession
-    whole = quantised(vectors)
-    copies = Window.partitionBy("vec").orderBy("vec_id")
-    rows = checkpointed(whole.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "vec"))
-    queries = whole.where(F.col("vec_id") % every == 0)
-    width = whole.agg(F.max(F.size("vec"))).first()[0] or 0
-    taken = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vec").toPandas()["vec"].tolist()  # bounded
-    sample = matrix(pa.array(taken, pa.list_(pa.int64())), width)
-    pivots = choose_pivots(sample, PIVOTS)
-    if len(sample):
-        apart = distances(sample, pivots)
-        near = apart.argmin(axis=1)
-        limits = [np.quantile(apart[near == p, p], np.linspace(0, 1, RINGS + 1)[1:-1]) if (near == p).any() else np.zeros(RINGS - 1) for p in range(len(pivots))]
-    else:
-        limits = [np.zeros(RINGS - 1)] * len(pivots)
+    rough = usable(vectors)
+    sizes = rough.agg(F.max(F.size("x")), F.max(F.array_max(F.transform("x", F.abs))), F.count("*"), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + F.pow(F.abs(v) + 1, 2)))).first()
+    n, width, top = sizes[2], max(1, sizes[0] or 0), (sizes[1] or 0.0) + 1
+    if width * top * top >= 2**63:
+        raise ValueError(f"components up to {top / SCALE:.3g} give inner products that no long holds")
+    small, longest = width * top * top < 2**53, sizes[3] or 0.0
+    kind = np.int32 if top < 2**31 else np.int64
+    pivot_count = int(np.clip(np.sqrt(n) / 2, *PIVOTS))
+    ring_count = int(np.clip(-(-n // (pivot_count * BLOCK)), *RINGS))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = np.floor(matrix(batch.column(1), width)).astype(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in m], pa.binary())], names=["vec_id", "vec"])
+
+    def read(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width).astype(np.float64)
+
+    def extended(m: np.ndarray) -> np.ndarray:
+        """With the component that makes all lengths equal."""
+        return np.column_stack([m, np.sqrt(np.maximum(longest - (m * m).sum(1), 0))])
+
+    integers = rough.mapInArrow(whole, "vec_id long, vec binary")
+    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    if not n:
+        return found.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+    taken = integers.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vec").toPandas()["vec"].tolist()  # bounded
+    sample = extended(read(pa.array([bytes(x) for x in taken], pa.binary())))
+    pivots = choose_pivots(sample, pivot_count)
+    references = pivots[:REFERENCES]
+    apart = distances(sample, pivots)
+    nearest = apart.argmin(axis=1)
+    limits = [np.quantile(apart[nearest == p, p], np.linspace(0, 1, ring_count + 1)[1:-1]) if (nearest == p).any() else np.zeros(ring_count - 1) for p in range(len(pivots))]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = matrix(batch.column(1), width)
+            m = extended(read(batch.column(1)))
             far = distances(m, pivots)
             p = far.argmin(axis=1)
             r = far[np.arange(len(m)), p]
             ring = np.array([np.searchsorted(limits[a], b) for a, b in zip(p, r, strict=True)], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in m], pa.binary()), pa.array(p.astype(np.int32) * RINGS + ring), pa.array(r), pa.array((m * m).sum(1))], names=["vec_id", "vec", "ring", "far", "norm2"])
+            refs = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * len(references)), pa.array(far[:, : len(references)].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p.astype(np.int32) * ring_count + ring), pa.array(r), refs], names=["vec_id", "vec", "ring", "far", "refs"])
 
-    index = checkpointed(rows.mapInArrow(keyed, "vec_id long, vec binary, ring int, far double, norm2 double"))
-    stats = index.groupBy("ring").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far"), F.max("norm2").alias("norm2")).toPandas().sort_values("ring")  # pivots x rings
-    ring_ids, ring_near, ring_far, ring_norm2 = (stats[c].to_numpy() for c in ("ring", "near", "far", "norm2"))
-    of_pivot = (ring_ids // RINGS).astype(int)
-    parts = F.create_map(*[F.lit(int(x)) for r, n in zip(ring_ids, stats["n"], strict=True) for x in (r, -(-n // BLOCK))]) if len(stats) else None
+    copies = Window.partitionBy("vec").orderBy("vec_id")
+    rows = integers.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "vec")
+    index = checkpointed(rows.mapInArrow(keyed, "vec_id long, vec binary, ring int, far double, refs array<double>"))
+    bounds = [f(F.col("refs")[i]).alias(f"{name}{i}") for i in range(len(references)) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    facts = index.groupBy("ring").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far"), *bounds).toPandas().sort_values("ring")  # pivots x rings
+    ring_ids, ring_size, ring_near, ring_far = (facts[c].to_numpy() for c in ("ring", "n", "near", "far"))
+    ring_lo, ring_hi = (facts[[f"{name}{i}" for i in range(len(references))]].to_numpy() for name in ("lo", "hi"))
+    of_pivot = (ring_ids // ring_count).astype(int)
+    blocks_of = F.create_map(*[F.lit(int(x)) for r, size in zip(ring_ids, ring_size, strict=True) for x in (r, -(-size // BLOCK))])
 
     def packed(size: int):
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,48 +171,61 @@ def top_inner_products(vectors: DataFrame, k: int = K, every: int = EVERY) -> Da
 
         return pack
 
-    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    if not len(stats):
-        return found.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    spread = index.select("ring", F.pmod(F.xxhash64("vec_id"), parts[F.col("ring")].cast("long")).cast("int").alias("part"), "vec_id", "vec")
-    blocks = spread.repartition("ring", "part").sortWithinPartitions("ring", "part").mapInArrow(packed(BLOCK), "ring int, part int, ids binary, vecs binary")
-    blocks = checkpointed(blocks.select("ring", "ids", "vecs"))
+    schema = "ring int, part int, ids binary, vecs binary"
+    spread = index.select("ring", F.pmod(F.xxhash64("vec_id"), blocks_of[F.col("ring")].cast("long")).cast("int").alias("part"), "vec_id", "vec")
+    blocks = checkpointed(spread.repartition("ring", "part").sortWithinPartitions("ring", "part").mapInArrow(packed(BLOCK), schema).withColumnRenamed("part", "block"))
+    queries = checkpointed(integers.where(F.col("vec_id") % every == 0))
+    dealt = max(1, -(-queries.count() // PACK))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def opened(count: int | None, skip: int):
         """Rings each query opens in a round: by bound, after ``skip`` opened before, while they reach its k-th score."""
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                m = matrix(batch.column(1), width)
+            for batch in (b.slice(i, rows) for b in batches for rows in [max(1, CELLS // len(ring_ids))] for i in range(0, b.num_rows, rows)):
+                m = read(batch.column(1))
                 least = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-                q = distances(m, pivots)[:, of_pivot]
-                gap = np.maximum(0, np.maximum(ring_near[None] - q, q - ring_far[None]) - 1e-6 * (1 + q))
-                bound = np.minimum(((m * m).sum(1)[:, None] + ring_norm2[None] - gap * gap) / 2, np.sqrt((m * m).sum(1)[:, None] * ring_norm2[None])) + 1e-6 * (1 + ring_norm2[None])
+                norm2 = (m * m).sum(1)[:, None]
+                far = distances(np.column_stack([m, np.zeros(len(m))]), pivots)
+                q = far[:, of_pivot]
+                gap = np.maximum(ring_near[None] - q, q - ring_far[None])
+                for i in range(len(references)):
+                    gap = np.maximum(gap, np.maximum(ring_lo[None, :, i] - far[:, i, None], far[:, i, None] - ring_hi[None, :, i]))
+                # the distances' rounding grows with their squares
+                gap = np.maximum(0, gap - 1e-6 * (1 + q) - 1e-13 * (norm2 + longest))
+                bound = np.minimum((norm2 + longest - gap * gap) / 2, np.sqrt(norm2 * longest)) + 1e-6 * (1 + longest)
                 order = np.argsort(-bound, axis=1, kind="stable")[:, skip : None if count is None else skip + count]
                 row, col = np.nonzero(~(np.take_along_axis(bound, order, 1) < least[:, None]))
                 ring = ring_ids[order[row, col]].astype(np.int32)
                 ids = batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ring), pa.array((ids[row] // every % 64).astype(np.int32)), pa.array(ids[row]), pa.array([m[i].tobytes() for i in row], pa.binary())], names=["ring", "part", "vec_id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(ring), pa.array((ids[row] // every % dealt).astype(np.int32)), pa.array(ids[row]), batch.column(1).take(pa.array(row))], names=["ring", "part", "vec_id", "vec"])
 
         return choose
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact = np.float64 if small else np.int64
         for batch in batches:
             for qi, qv, bi, bv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 qids, ids = np.frombuffer(qi, np.int64), np.frombuffer(bi, np.int64)
-                scores = np.frombuffer(qv).reshape(len(qids), width) @ np.frombuffer(bv).reshape(len(ids), width).T
-                q, v, s = _top(scores, ids, qids, qids, k)
+                scores = np.frombuffer(qv, kind).astype(exact).reshape(len(qids), width) @ np.frombuffer(bv, kind).astype(exact).reshape(len(ids), width).T
+                q, v, s = _top(scores, ids, qids, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    skip = 0
+    skip, compared = 0, 0
     for count in ROUNDS:
         kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least")).withColumnRenamed("query_id", "vec_id")
         asked = queries.join(kth, "vec_id", "left").select("vec_id", "vec", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least"))
-        packs = asked.mapInArrow(opened(count, skip), "ring int, part int, vec_id long, vec binary").repartition("ring", "part").sortWithinPartitions("ring", "part")
-        packs = packs.mapInArrow(packed(PACK), "ring int, part int, ids binary, vecs binary").select("ring", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
-        got = packs.join(blocks, "ring").select("qids", "qvecs", "ids", "vecs").mapInArrow(compare, "query_id long, vec_id long, score long")
+        asked = asked.mapInArrow(opened(count, skip), "ring int, part int, vec_id long, vec binary")
+        if stats is not None:
+            asked = checkpointed(asked)
+            held = dict(zip(ring_ids.tolist(), ring_size.tolist(), strict=True))
+            compared += sum(r["count"] * held[r["ring"]] for r in asked.groupBy("ring").count().collect())  # pivots x rings
+        packs = asked.repartition("ring", "part").sortWithinPartitions("ring", "part").mapInArrow(packed(PACK), schema)
+        packs = packs.select("ring", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"), F.explode(F.sequence(F.lit(0), blocks_of[F.col("ring")].cast("int") - 1)).alias("block"))
+        got = packs.join(blocks, ["ring", "block"]).select("qids", "qvecs", "ids", "vecs").mapInArrow(compare, "query_id long, vec_id long, score long")
         ranked = found.unionByName(got).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         found = checkpointed(ranked).select("query_id", "vec_id", "score")
         skip += count or 0
+    if stats is not None:
+        stats.update(vectors=int(ring_size.sum()), queries=queries.count(), compared=compared)
     return found.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "vec_id", "score")
