@@ -41,12 +41,17 @@ def flapping(spark, d):
     return D.flapping(X.bgp_events(spark, d), 86400, 3, 2).select("event_id", "prefix", "n_events", "n_changes")
 
 
-KEYS_SQL = f""", parsed as (select distinct prefix, origin_as, split_part(prefix, '/', 2)::int as plen, {V4_SQL} as bits from bgp_events where event_type = 'announce'),
+def keys_sql(where: str) -> str:
+    """Validation of the pairs of the events chosen; ``status`` holds a row for each."""
+    return f""", parsed as (select distinct prefix, origin_as, split_part(prefix, '/', 2)::int as plen, {V4_SQL} as bits from bgp_events where {where}),
 index as (select max_length, asn, ord, split_part(prefix, '/', 2)::int as len, substr({V4_SQL}, 1, split_part(prefix, '/', 2)::int) as net from vrps),
 keys as (select prefix, origin_as, plen, l.len, substr(bits, 1, l.len) as net from parsed, (select distinct len from index) l where l.len <= plen),
 hits as (select k.*, i.asn, i.ord, i.max_length from keys k join index i using (len, net)),
 decided as (select prefix, origin_as, plen <= max_length as within from hits where asn = origin_as qualify row_number() over (partition by prefix, origin_as order by len desc, ord) = 1),
 status as (select p.prefix, p.origin_as, case when d.within then 'Valid' when d.within is not null then 'InvalidLength' when exists (select 1 from hits h where h.prefix = p.prefix and h.origin_as = p.origin_as) then 'InvalidAsn' else 'NotFound' end as rpki from parsed p left join decided d using (prefix, origin_as)) """
+
+
+KEYS_SQL = keys_sql("event_type = 'announce'")
 IRR_SQL = """, registered as (select prefix, list_sort(list(distinct origin)) as irr_asns from irr_routes group by 1),
 checked as (select e.*, irr_asns, case when prefix in (select prefix from irr_failed) then 'Unavailable' when irr_asns is null then 'NotFound' when list_contains(irr_asns, origin_as) then 'Consistent' else 'Inconsistent' end as irr from bgp_events e left join registered using (prefix)) """
 RICH_SQL = KEYS_SQL + IRR_SQL + FIRST_SQL + """, rich as (select c.event_id, c.prefix, c.origin_as, s.rpki, c.irr, f.event_id is not null as is_new,

@@ -11,7 +11,7 @@ from ..operators import rpki as R
 from . import fixtures as X
 from .alerts import IN_SQL, alerts_in
 from .baselines import ENH_SQL, enhanced
-from .detectors import KEYS_SQL
+from .detectors import keys_sql
 from .fixtures import sql
 from .registry import query
 
@@ -51,7 +51,7 @@ def histogram_quantile(spark, d):
     return M.histogram_quantile(h, 0.95, ["et"]).withColumn("value", F.round("value", 6))
 
 
-@query("anomaly_counts", sql(KEYS_SQL + IN_SQL + """, outcomes as (select p.anomaly_type, p.level, p.tenant_id, coalesce(s.rpki, 'NotFound') as rpki, count(*) as n, count(*) filter (s.rpki = 'Valid') as false_positives from printed p left join status s using (prefix, origin_as) group by all),
+@query("anomaly_counts", sql(keys_sql("true") + IN_SQL + """, outcomes as (select p.anomaly_type, p.level, p.tenant_id, coalesce(s.rpki, 'NotFound') as rpki, count(*) as n, count(*) filter (s.rpki = 'Valid') as false_positives from printed p left join status s using (prefix, origin_as) group by all),
 spent as (select tenant_id, case when n > 70 then 'Exceeded' when n * 100.0 / 70 >= 80 then 'SoftWarning' else 'Allowed' end as quota from (select *, row_number() over (partition by tenant_id, date_trunc('day', timestamp) order by timestamp, id) as n from log_messages))
 select 'anomaly' as counter, anomaly_type as kind, level, tenant_id, rpki as status, n, false_positives from outcomes union all select 'quota', 'quota', null, tenant_id, quota, count(*), 0 from spent group by tenant_id, quota"""))
 def anomaly_counts(spark, d):
