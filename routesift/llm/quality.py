@@ -3,8 +3,9 @@
 Evidence of a document is the sum of log likelihood ratios of its binned surface features, from
 smoothed counts of labelled rows. Hosts and paths get posterior rates of good documents: the
 documents' own probabilities are summed per group and shrunk, paths towards their host and
-hosts towards the global rate, so that sparse sites follow their parent. The posterior of a
-document joins its evidence with the rate of its path.
+hosts towards the global rate, so that sparse sites follow their parent. How strongly is estimated
+from the data: the variance within groups over the variance between them, by moments. The
+posterior of a document joins its evidence with the rate of its path without that document.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import binary_values, checkpointed, lookup_join, pieces
 
-#: Documents that a parent's rate counts as, for hosts and for paths.
-HOST_STRENGTH, PATH_STRENGTH = 50.0, 20.0
+#: Bounds of the documents that a parent's rate counts as; the upper one stands where groups don't differ.
+STRENGTHS = (1.0, 1000.0)
 #: Documents with a smaller posterior are rejected.
 THRESHOLD = 0.3
 #: Pseudo-documents spread over the bins of a feature in each class.
@@ -63,11 +64,12 @@ def bins(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 @dataclass
 class QualityModel:
-    """``ratios``: log likelihood ratio per feature and bin; ``prior``: global rate; ``rates``: (host, path, rate)."""
+    """``ratios``: log likelihood ratio per feature and bin; ``prior``: global rate; ``rates``: (_host, _path, host_rate, good, n); ``strengths``: of the prior for hosts, and of a host's rate for its paths."""
 
     ratios: list[list[float]]
     prior: float
     rates: DataFrame
+    strengths: tuple[float, float]
 
 
 def logit(p: float) -> float:
@@ -107,26 +109,47 @@ def ratios_of(binned: DataFrame, labels: DataFrame) -> tuple[list[list[float]],
     return ratios.tolist() if bad and good else np.zeros(ratios.shape).tolist(), float((good + 1) / (good + bad + 2))
 
 
-def rates_of(binned: DataFrame, ratios: list[list[float]], prior: float) -> DataFrame:
-    """(_host, _path, rate): posteriors shrunk towards the host's, and the host's towards the prior."""
+def strength(within: float, between: float, documents: float, groups: float, parents: float, spread: float) -> float:
+    """Documents that a parent counts as, from sums of squares within and between ``groups`` of ``parents``.
+
+    ``spread`` is the sum over parents of the groups' squared sizes over the parent's size.
+    """
+    low, high = STRENGTHS
+    if documents <= groups or documents <= spread:
+        return high
+    inner = max(0.0, within) / (documents - groups)
+    outer = (between - (groups - parents) * inner) / (documents - spread)
+    return high if outer <= inner / high else max(low, inner / outer)
+
+
+def rates_of(binned: DataFrame, ratios: list[list[float]], prior: float) -> tuple[DataFrame, tuple[float, float]]:
+    """(_host, _path, host_rate, good, n): hosts shrunk towards the prior, and the sums of their paths; and both strengths."""
     p = _sigmoid(evidence("_bins", ratios) + logit(prior))
-    paths = checkpointed(binned.groupBy("_host", "_path").agg(F.sum(p).alias("good"), F.count("*").alias("n")))
-    hosts = paths.groupBy("_host").agg(((F.sum("good") + HOST_STRENGTH * prior) / (F.sum("n") + HOST_STRENGTH)).alias("host_rate"))
-    joined = lookup_join(paths, checkpointed(hosts), ["_host"])
-    return checkpointed(joined.select("_host", "_path", F.col("host_rate"), ((F.col("good") + PATH_STRENGTH * F.col("host_rate")) / (F.col("n") + PATH_STRENGTH)).alias("path_rate")))
+    paths = checkpointed(binned.groupBy("_host", "_path").agg(F.sum(p).alias("good"), F.sum(p * p).alias("square"), F.count("*").alias("n")))
+    part = F.col("good") * F.col("good") / F.col("n")
+    hosts = checkpointed(paths.groupBy("_host").agg(F.sum("good").alias("good"), F.sum("square").alias("square"), F.sum("n").alias("n"), F.sum(part).alias("parts"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count("*").alias("paths")))
+    sums = hosts.agg(F.count("*").alias("hosts"), F.sum("paths").alias("paths"), F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("square").alias("square"), F.sum(part).alias("of_hosts"), F.sum("parts").alias("of_paths"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("n2") / F.col("n")).alias("spread")).first()
+    if sums["hosts"]:
+        n = sums["n"]
+        of_host = strength(sums["square"] - sums["of_hosts"], sums["of_hosts"] - sums["good"] ** 2 / n, n, sums["hosts"], 1, sums["n2"] / n)
+        of_path = strength(sums["square"] - sums["of_paths"], sums["of_paths"] - sums["of_hosts"], n, sums["paths"], sums["hosts"], sums["spread"])
+    else:
+        of_host = of_path = STRENGTHS[1]
+    shrunk = hosts.select("_host", ((F.col("good") + of_host * prior) / (F.col("n") + of_host)).alias("host_rate"))
+    joined = lookup_join(paths, checkpointed(shrunk), ["_host"])
+    return checkpointed(joined.select("_host", "_path", "host_rate", "good", "n")), (of_host, of_path)
 
 
 def fit_binned(binned: DataFrame, labels: DataFrame) -> QualityModel:
     ratios, prior = ratios_of(binned, labels)
-    return QualityModel(ratios, prior, rates_of(binned, ratios, prior))
+    return QualityModel(ratios, prior, *rates_of(binned, ratios, prior))
 
 
 def posterior(binned: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``binned`` with evidence, host_rate, path_rate, quality_score and keep."""
-    joined = lookup_join(binned, model.rates, ["_host", "_path"])
-    for name, p in (("host_rate", model.prior), ("path_rate", F.col("host_rate"))):
-        joined = joined.withColumn(name, F.coalesce(name, F.lit(p) if isinstance(p, float) else p))
-    out = joined.withColumn("evidence", evidence("_bins", model.ratios))
+    """``binned`` (the rows that the model was fitted on) with evidence, host_rate, path_rate, quality_score and keep."""
+    joined = lookup_join(binned, model.rates, ["_host", "_path"]).withColumn("evidence", evidence("_bins", model.ratios))
+    own, host, k = _sigmoid(F.col("evidence") + logit(model.prior)), F.coalesce("host_rate", F.lit(model.prior)), model.strengths[1]
+    out = joined.withColumns({"host_rate": host, "path_rate": F.coalesce((F.col("good") - own + k * host) / (F.col("n") - 1 + k), host)}).drop("good", "n")
     out = out.withColumn("quality_score", _sigmoid(F.col("evidence") + F.ln(F.col("path_rate") / (1 - F.col("path_rate")))))
     return out.withColumn("keep", F.col("quality_score") >= threshold)
 
@@ -139,7 +162,9 @@ def document_site() -> tuple[Column, Column]:
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, host, path, evidence, host_rate, path_rate, quality_score, keep) of every document.
 
-    Empty and null texts have the features' zero bins. Repeated rows repeat their result and count again in their groups.
+    Empty and null texts have the features' zero bins; texts are measured whole. Null sources and
+    languages form groups of their own. Repeated rows repeat their result and count again in their
+    groups; a score equal to the threshold is kept. An empty table gives none. Other columns are ignored.
     """
     binned = checkpointed(with_bins(docs, *document_site()).select("doc_id", "_host", "_path", "_bins"))
     out = posterior(binned, fit_binned(binned, labels), threshold)
