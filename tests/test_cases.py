@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from routesift.functions import scalars as S
 from routesift.operators import alerts as A
 from routesift.operators import baselines as B
+from routesift.operators import collectors as C
 from routesift.operators import detectors as D
 from routesift.operators import events as E
-from routesift.operators import folds
+from routesift.operators import folds, storage
 from routesift.operators import logs as L
 from routesift.operators import rpki as R
 from routesift.operators import waves as W
+from routesift.sources import readers
+from routesift.streaming import operators as T
 
 T0 = datetime(2024, 1, 1)
 
@@ -307,3 +310,107 @@ def test_lookup_join_broadcast_or_salted(spark, most):
     big = spark.range(100).select(F.when(F.col("id") < 90, 1).when(F.col("id") < 95, 2).alias("k"))
     table = spark.createDataFrame([(1, "a"), (3, "c")], "k int, v string")
     assert {r["v"]: r["count"] for r in lookup_join(big, table, ["k"], most).groupBy("v").count().collect()} == {"a": 90, None: 10}
+
+
+def stream_of(spark, df, path):
+    df.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def test_stream_goes_on_from_a_snapshot(spark, tmp_path):
+    rows = [(i, i, "announce", f"p{i % 3}", 1) for i in range(60)]
+    e = events(spark, rows).withColumn("as_path", F.sequence(F.lit(1), (F.col("event_id") % 7 + 1).cast("int")).cast("array<bigint>"))
+    B.save_snapshot(B.ema_baseline(e.where("event_id < 30")), str(tmp_path / "snaps"), "2024-01-01")
+    start = B.newest_snapshot(B.load_snapshots(spark, str(tmp_path / "snaps")))
+    T.use_rocksdb(spark)
+    T.run_to_folder(T.ema(stream_of(spark, e.where("event_id >= 30"), str(tmp_path / "in")), baseline=start), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = {r["event_id"]: (r["ema"], r["var"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r["event_id"]: (r["ema"], r["var"], r["n"]) for r in B.event_states(e, state="after").where("event_id >= 30").collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_replayed_batches_replace_themselves(spark, tmp_path):
+    vrps = spark.createDataFrame([("10.0.0.0/8", 24, 1, 0)], "prefix string, max_length int, asn long, ord long")
+    batch = events(spark, [(1, 0, "announce", "10.1.0.0/16", 1), (2, 1, "announce", "10.2.0.0/16", 2)])
+    each = T.rpki_batches(lambda: vrps, str(tmp_path / "out"))
+    for number in (0, 0, 1):
+        each(batch, number)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_a_failed_reload_keeps_the_last_good_table(spark):
+    calls = []
+
+    def load():
+        calls.append(1)
+        if len(calls) == 2:
+            return spark.range(1).select(F.raise_error(F.lit("gone")).cast("string").alias("prefix"))
+        return spark.range(3)
+
+    table = T.Reloaded(load)
+    assert table.get().count() == 3 and table.get().count() == 3 and len(calls) == 2
+
+
+def test_snapshots_spread_over_batches_and_replays(spark, tmp_path):
+    roa = "snapshot int, prefix string, max_length int, origin_as long, trust_anchor string"
+    each = T.roa_diff_batches(str(tmp_path / "store"), str(tmp_path / "out"))
+    one = lambda *rows: spark.createDataFrame([(s, p, 24, 1, "RIPE") for s, p in rows], roa)
+    for number, rows in ((0, one((0, "a"), (0, "b"))), (1, one((1, "b"))), (2, one((1, "c"), (2, "c"))), (1, one((1, "b")))):
+        each(rows, number)
+    got = sorted((r["snapshot"], r["prefix"], r["action"]) for r in spark.read.parquet(str(tmp_path / "out")).where("snapshot > 0").collect())
+    assert got == [(1, "a", "removed"), (1, "c", "added"), (2, "b", "removed")]
+
+
+def test_quarantine_keeps_bad_rows(spark, tmp_path):
+    parse = lambda b: b.select("json", F.from_json("json", "a int, b string").alias("m")).select("json", "m.*")
+    each = T.quarantine_batches(parse, ["a", "b"], str(tmp_path / "good"), str(tmp_path / "bad"))
+    for number in (0, 0):
+        each(spark.createDataFrame([('{"a":1,"b":"x"}',), ('{"a":1}',), ("{",)], "json string"), number)
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 1
+    assert {r["json"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {'{"a":1}', "{"}
+
+
+def test_silences_expire(spark):
+    asked = spark.createDataFrame([("a", "f1", "why", "ops", T0, 24), ("b", "f2", "why", "ops", T0, 168)], "id string, fingerprint string, reason string, silenced_by string, silenced_at timestamp_ntz, hours int")
+    made = A.new_silences(asked)
+    ended = A.expire_silences(made, spark.createDataFrame([("a",), ("zz",)], "id string"), T0 + timedelta(hours=1))
+    now = A.latest_version(made.unionByName(ended), "id", "silenced_at")
+    assert {r["id"]: r["active"] for r in now.collect()} == {"a": False, "b": True}
+
+
+def test_irr_lookups_that_failed(spark):
+    e = events(spark, [(1, 0, "announce", "p1", 1), (2, 0, "announce", "p2", 1), (3, 0, "announce", "p3", 1)])
+    routes = spark.createDataFrame([("p1", 1), ("p2", 1)], "prefix string, origin long")
+    got = {r["prefix"]: (r["irr"], r["irr_asns"]) for r in R.irr_check(e, routes, spark.createDataFrame([("p2",)], "prefix string")).collect()}
+    assert got == {"p1": ("Consistent", [1]), "p2": ("Unavailable", None), "p3": ("NotFound", None)}
+
+
+def test_collectors(spark):
+    known = C.registry(spark)
+    o = spark.createDataFrame([(1, "rrc00", 5), (1, "rrc03", 9), (1, "rrc99", 12)], "event_id long, collector string, arrival_ms long")
+    hops = {(r["a"], r["b"]): r["km"] for r in C.hop_distances(o, known).collect()}
+    assert hops["rrc00", "rrc03"] == pytest.approx(5860, abs=30) and hops["rrc03", "rrc99"] is None
+    assert C.pair_distances(known).count() == 676
+    assert {r["collector"]: r["is_known"] for r in C.lookup(o, known).collect()} == {"rrc00": True, "rrc03": True, "rrc99": False}
+
+
+def test_json_types_are_checked(spark):
+    good = '{"prefix":"p","origin_as":1,"peer_asn":2,"event_type":"announce","as_path":[2,"a",1.5,1]}'
+    bad = ['{"prefix":5,"origin_as":1,"peer_asn":2,"event_type":"announce"}', '{"prefix":"p","origin_as":"1","peer_asn":2,"event_type":"announce"}', '{"prefix":"p","origin_as":1.5,"peer_asn":2,"event_type":"announce"}', "[1]", "null", "{", "", None]
+    out = readers.extract_stream(spark.createDataFrame([(t,) for t in [good, *bad]], "metadata string")).collect()
+    assert [(r["prefix"], r["origin_as"], r["as_path"], r["collector"]) for r in out] == [("p", 1, [2, 1], "unknown")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_folder(Session())
