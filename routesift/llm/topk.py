@@ -31,7 +31,7 @@ EVERY = 50
 #: Bound of the sample that pivots and ring limits are taken from.
 SAMPLE = 4096
 #: Bounds of the pivots, of the rings of one pivot, and pivots that bound the distances of every ring.
-PIVOTS, RINGS, REFERENCES = (16, 512), (4, 64), 16
+PIVOTS, RINGS, REFERENCES = (16, 512), (2, 64), 16
 BLOCK, PACK = 2048, 256
 #: Bounds of queries and rings that are computed at a time.
 CELLS = 1 << 20
@@ -101,7 +101,7 @@ def top_inner_products(vectors: DataFrame, k: int = K, every: int = EVERY, stats
     if width * top * top >= 2**63:
         raise ValueError(f"components up to {top / SCALE:.3g} give inner products that no long holds")
     small, longest = width * top * top < 2**53, sizes[3] or 0.0
-    kind = np.int32 if top < 2**31 else np.int64
+    kind = np.int16 if top < 2**15 else np.int32 if top < 2**31 else np.int64
     pivot_count = int(np.clip(np.sqrt(n) / 2, *PIVOTS))
     ring_count = int(np.clip(-(-n // (pivot_count * BLOCK)), *RINGS))
 
