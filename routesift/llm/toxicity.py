@@ -45,12 +45,12 @@ class WordHashes(dict):
 
 
 def coordinates(text: str, hashes: WordHashes) -> np.ndarray:
-    """Coordinates of all features, repeats included; 0 is kept for the bias."""
+    """Coordinates of all features, repeats included, from 1; 0 is the bias."""
     words = WORD.findall(text.lower())
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     a, b, c, d, e = MIX
     made = np.concatenate([h * a, h[:-1] * b + h[1:] * c, h[:-2] * d + h[2:] * e])
-    return (((made ^ (made >> np.uint64(29))) * a) >> np.uint64(64 - BITS)).astype(np.int32)
+    return 1 + ((((made ^ (made >> np.uint64(29))) * a) >> np.uint64(64 - BITS)) % np.uint64((1 << BITS) - 1)).astype(np.int32)
 
 
 def features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
