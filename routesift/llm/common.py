@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import lookup_join
+from ..operators.joins import lookup_join as _lookup_join
+from ..operators.storage import checkpointed, shared_folder
 
 #: Rows of texts that Python works on at a time.
 PIECE_ROWS = 512
@@ -21,18 +22,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Tables that the operators look up are checkpoints already.
+lookup_join = partial(_lookup_join, stored=True)
 
 
 class Forest:

@@ -157,7 +157,7 @@ def scan_licenses(files: DataFrame, header_cosine: float = HEADER_COSINE, file_c
     marked = checkpointed(marked)  # fixes the ids
     spoken = checkpointed(marked.where("_text is not null").select("_id", "_text", spoken_lines(F.split("_text", "\n")).alias("_lines")))
     best = checkpointed(matches(spoken, templates))
-    marked = marked.select("_id", "_row", "_path", "_dir").join(sized(best), "_id", "left")
+    marked = marked.select("_id", "_row", "_path", "_dir").join(sized(best, stored=True), "_id", "left")
     header = F.when(F.col("own.cosine") >= header_cosine, F.col("own"))
     body = F.when(F.col("whole.cosine") >= file_cosine, F.col("whole"))
     named = F.element_at(F.split("_path", "/"), -1).rlike(LICENSE_FILE)

@@ -10,6 +10,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -210,7 +211,7 @@ def slow_lines(texts, least):
 
 
 @pytest.mark.parametrize("limit", [linededup.BROADCAST_BYTES, -1])
-def test_lines_by_filters_and_by_join(spark, limit):
+def test_lines_by_broadcast_filters_and_by_shard(spark, limit):
     texts = EDGES + [f" Header {i % 3} \nbody {i}\n\nFOOTER " for i in range(30)] + ["É\né"] * 3
     got = {r["doc_id"]: tuple(r["cleaned"]) for r in linededup.dedup_lines(docs_of(spark, texts), 3, limit).collect()}
     assert [got[i] for i in range(len(texts))] == slow_lines(texts, 3)
@@ -229,6 +230,14 @@ def test_lines_are_reversible(spark):
     assert as_set(back) == as_set(start)
 
 
+def test_keys_pass_at_their_shards(spark):
+    texts = [f"line {i % 40}\nother {i}\nthird {i // 3}" for i in range(400)]
+    state = linededup.build(docs_of(spark, texts), 3, shards=8)
+    got = {bytes(r["key"]) for r in linededup.passing(state, state.counts.select("shard", "key")).collect()}
+    want = {bytes(r["key"]) for r in state.counts.where("n_docs >= 3").collect()}
+    assert want <= got and len(got - want) < 5 and len(want) > 100
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(3)
     keys, others = rng.integers(0, 2**63, (5000, 2)).astype(np.uint64), rng.integers(0, 2**63, (5000, 2)).astype(np.uint64)
@@ -422,6 +431,53 @@ def test_parts_of_a_layer_cut_no_match(spark, monkeypatch):
     assert "n_oversized" in queries.op7_secrets(spark, SF).columns
 
 
+SECRET = "password=hunter2hunter2"
+
+
+def test_nested_escapes_take_linear_time():
+    start = time.process_time()
+    for text in ("%" + "25" * 50_000 + "41", "\\" + "u005c" * 20_000 + "u0041", "%5Cu0025" + "5Cu0025" * 10_000 + "41", "%%" * 30_000, "A" * 100_000, ("A" * 60 + " ") * 2000):
+        secrets.scan(text)
+    assert time.process_time() - start < 20
+
+
+def test_deep_escapes_are_unwrapped():
+    for text in ("%" + "25" * 40 + "70assword=hunter2hunter2", "x " + "".join(f"%2525{ord(c):02x}" for c in SECRET), "x " + "".join(f"\\u005cu{ord(c):04x}" for c in SECRET), "x " + "".join(f"%5Cu{ord(c):04X}" for c in SECRET)):
+        a, b = text.index("%" if "%" in text else "\\"), len(text)
+        assert ("assign", a, b) in [(k, x, y) for x, k, y in secrets.scan(text)[1]], text
+
+
+def test_wide_characters_and_wrapped_base64():
+    for codec in ("utf-16-le", "utf-16-be"):
+        z = base64.b64encode(SECRET.encode(codec)).decode()
+        assert spans_of("x " + z)
+    rnd = random.Random(1)
+    body = (" ".join(str(rnd.random()) for _ in range(40)) + " " + SECRET + " tail").encode()
+    for data in (body, gzip.compress(body)):
+        z = base64.b64encode(data).decode()
+        for line in ("\n", "\r\n  "):
+            text = "top\n" + line.join(z[i : i + 76] for i in range(0, len(z), 76)) + "\nend"
+            assert spans_of(text), text
+
+
+def test_secrets_through_the_query(spark):
+    got = {r["doc_id"]: r for r in queries.op7_secrets(spark, SF).collect()}
+    rows = documents(spark).collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        base = slow_base(r["text"] or "")
+        want = ",".join(f"{k}:{a}:{b}" for a, _, k, b in base)
+        g = got[r["doc_id"]]
+        assert [g["n_assign"], g["n_access"], g["n_hex"]] == [sum(k == kind for _, _, k, _ in base) for kind in secrets.KINDS]
+        assert g["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and set(filter(None, want.split(","))) <= set(g["spans"].split(","))
+
+
+def test_secrets_edges(spark):
+    out = secrets.scan_secrets(docs_of(spark, EDGES).withColumn("found", F.lit(1)))
+    assert out.where("size(found.base) > 0").count() == 0 and out.count() == len(EDGES)
+    assert secrets.scan_secrets(docs_of(spark, ["a"]).limit(0)).count() == 0
+
+
 def test_cycles_end():
     assert secrets.scan("%25" * 50)[2] == 0
     assert secrets.scan("A" * 4096)[1] == []
@@ -440,6 +496,52 @@ def test_toxicity_held_out(spark):
     assert sum((a > b) + (a == b) / 2 for a in bad for b in good) / (len(bad) * len(good)) > 0.8
 
 
+def slow_toxicity(rows, labels):
+    """FTRL-proximal by plain loops over the same features, rows in the order of their hashes; one shard."""
+    top = 2**64
+    a, b, c, d, e = map(int, toxicity.MIX)
+
+    def features(text):
+        h = [xxhash.xxh64_intdigest(w) for w in re.findall(r"\w+", text.lower())]
+        made = [x * a for x in h] + [x * b + y * c for x, y in itertools.pairwise(h)] + [x * d + y * e for x, y in zip(h, h[2:], strict=False)]
+        out = []
+        for x in made:
+            x %= top
+            out.append(1 + ((x ^ x >> 29) * a % top >> 64 - toxicity.BITS) % (2**toxicity.BITS - 1))
+        return sorted(set(out))
+
+    seen, z, n = {}, {}, {}
+    train = [(features(rows[i] or ""), label) for _, i, label in labels if i in rows]
+    for f, _ in train:
+        for x in f:
+            seen[x] = seen.get(x, 0) + 1
+
+    def weight(x):
+        zi, ni = z.get(x, 0.0), n.get(x, 0.0)
+        return 0.0 if abs(zi) <= toxicity.L1 else (math.copysign(toxicity.L1, zi) - zi) / ((toxicity.BETA + math.sqrt(ni)) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for f, label in train:
+            f = [*f, 0]
+            w = {x: weight(x) for x in f}
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - label
+            for x in f:
+                step = (math.sqrt(n.get(x, 0.0) + g * g) - math.sqrt(n.get(x, 0.0))) / toxicity.ALPHA
+                z[x] = z.get(x, 0.0) + g - step * w[x]
+                n[x] = n.get(x, 0.0) + g * g
+    score = lambda t: sum(weight(x) for x in features(t or "") if seen.get(x, 0) >= 2) + weight(0)
+    return {i: 1 / (1 + math.exp(-max(-30, min(30, score(t))))) for i, t in rows.items()}
+
+
+def test_toxicity_equals_plain_loops(spark):
+    d, labels = documents(spark), common.read_table(spark, SF, "labels").where(~toxicity.held_out())
+    order = sorted((r["order"], r["doc_id"], r["label"]) for r in toxicity.sample(labels).collect())
+    want = slow_toxicity({r["doc_id"]: r["text"] for r in d.collect()}, order)
+    got = {r["doc_id"]: r["score"] for r in queries.op3_toxicity(spark, SF).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    assert len({round(x, 6) for x in want.values()}) > 10
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None), (4, 1)], "doc_id long, toxic int")
     d = docs_of(spark, EDGES)
@@ -463,15 +565,26 @@ def slow_quality(rows, labels):
             ratio[f].append(max(-quality.MAX_RATIO, min(quality.MAX_RATIO, math.log(p[1] / p[0]))))
     evidence = {k: sum(ratio[f][b] for f, b in enumerate(bs)) for k, bs in bins.items()}
     sig = lambda x: 1 / (1 + math.exp(-x))
-    hosts, paths = {}, {}
-    for r in rows:
-        p = sig(evidence[r["doc_id"]] + quality.logit(prior))
-        for g, k in ((hosts, r["source"] or ""), (paths, (r["source"] or "", r["lang"] or ""))):
-            s, n = g.get(k, (0.0, 0))
-            g[k] = (s + p, n + 1)
-    host = {k: (s + quality.HOST_STRENGTH * prior) / (n + quality.HOST_STRENGTH) for k, (s, n) in hosts.items()}
-    path = {k: (s + quality.PATH_STRENGTH * host[k[0]]) / (n + quality.PATH_STRENGTH) for k, (s, n) in paths.items()}
-    return {r["doc_id"]: sig(evidence[r["doc_id"]] + quality.logit(path[r["source"] or "", r["lang"] or ""])) for r in rows}
+    p = {k: sig(e + quality.logit(prior)) for k, e in evidence.items()}
+    site = {r["doc_id"]: (r["source"] or "", r["lang"] or "") for r in rows}
+    paths, hosts = {}, {}
+    for k, g in site.items():
+        paths.setdefault(g, []).append(p[k])
+        hosts.setdefault(g[0], []).append(p[k])
+    mean = lambda x: sum(x) / len(x)
+    everyone = list(p.values())
+
+    def strength(groups, parent, parents):
+        n = len(everyone)
+        inner = sum((x - mean(g)) ** 2 for g in groups.values() for x in g) / (n - len(groups))
+        between = sum(len(g) * (mean(g) - mean(parent(k))) ** 2 for k, g in groups.items())
+        outer = (between - (len(groups) - parents) * inner) / (n - sum(len(g) ** 2 / len(parent(k)) for k, g in groups.items()))
+        return 1000.0 if outer <= inner / 1000 else max(1.0, inner / outer)
+
+    a, b = strength(hosts, lambda k: everyone, 1), strength(paths, lambda k: hosts[k[0]], len(hosts))
+    host = {k: (sum(g) + a * prior) / (len(g) + a) for k, g in hosts.items()}
+    rate = {k: (sum(paths[g]) - p[k] + b * host[g[0]]) / (len(paths[g]) - 1 + b) for k, g in site.items()}
+    return {k: sig(evidence[k] + quality.logit(rate[k])) for k in p}
 
 
 def test_quality_equals_brute_force(spark):
@@ -490,6 +603,27 @@ def test_quality_keeps_the_good(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.3
 
 
+def test_quality_of_held_out_documents(spark):
+    t = "/root/testdata/sf0.01"
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = common.read_table(spark, t, "labels")
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score_documents(common.read_table(spark, t, "documents"), labels.where(~held)).collect()}
+    rows = labels.where(held).collect()
+    good, bad = ([got[r["doc_id"]] for r in rows if r["quality"] == q and r["doc_id"] in got] for q in (1, 0))
+    assert len(good) > 20 and len(bad) > 10
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad)) > 0.9
+
+
+def test_strengths_follow_the_groups():
+    rng = np.random.default_rng(2)
+    for apart, near in ((0.0, 300), (0.05, 100), (0.3, 10)):
+        groups = [np.clip(rng.normal(0.5 + rng.normal() * apart, 0.2, 50), 0, 1) for _ in range(200)]
+        good, n = np.array([g.sum() for g in groups]), 50 * 200
+        square = sum((g * g).sum() for g in groups)
+        found = quality.strength(square - (good**2 / 50).sum(), (good**2 / 50).sum() - good.sum() ** 2 / n, n, 200, 1, 200 * 2500 / n)
+        assert (found >= near) if not apart else found <= near
+
+
 def test_quality_edges(spark):
     d = docs_of(spark, EDGES).withColumns({"source": F.when(F.col("doc_id") % 2 == 0, F.col("source")), "lang": F.lit(None).cast("string")})
     labels = spark.createDataFrame([(4, 1), (None, 1), (5, None)], "doc_id long, quality int")
@@ -516,6 +650,15 @@ def test_poisson_inverse(spark):
         assert r["k"] == k
 
 
+def test_many_copies_of_one_row_are_made_in_chunks(spark, monkeypatch):
+    d = docs_of(spark, ["only"], "a").unionByName(docs_of(spark, [f"t{i}" for i in range(50)], "b"))
+    plain = [(r["doc_id"], r["copy"], r["shuffle_key"]) for r in mixing.mix(d, {"a": 0.9, "b": 0.1}, size=400).collect()]
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    cut = [(r["doc_id"], r["copy"], r["shuffle_key"]) for r in mixing.mix(d, {"a": 0.9, "b": 0.1}, size=400).collect()]
+    assert sorted(plain) == sorted(cut) and sum(1 for r in cut if r[0] == 0) > 300
+    assert mixing.mix(d.limit(0)).count() == 0
+
+
 def test_mixing_reaches_its_weights(spark):
     d = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 3 == 1, "c").alias("source"))
     n = {r["source"]: r["count"] for r in mixing.mix(d, {"b": 3.0, "": 1.0}, size=8000).groupBy("source").count().collect()}
@@ -550,6 +693,35 @@ def test_topk_with_copies_and_odd_vectors(spark):
     assert topk.top_inner_products(vectors(spark, rows).limit(0)).count() == 0
 
 
+def doubles(spark, rows):
+    return spark.createDataFrame([(i, v, "x", "x", "x") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, score string, vec string, rank string")
+
+
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(9)
+    rows = [[float(x) for x in rng.integers(-4_000_000, 4_000_000, 3)] for _ in range(200)]  # beyond exact doubles
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_inner_products(doubles(spark, rows), 5, 50).collect()}
+    ints = [[math.floor(256 * x) for x in v] for v in rows]
+    for q in range(0, 200, 50):
+        want = sorted((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), c) for c in range(200) if c != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(c, -s) for s, c in want]
+    with pytest.raises(ValueError, match="no long holds"):
+        topk.top_inner_products(doubles(spark, [[1e16, 1.0], [1.0, 1.0]]))
+
+
+def test_topk_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(40, 16))
+    rows = [(centres[i % 40] + rng.normal(size=16) * 0.05).astype(np.float32).astype(float).tolist() for i in range(6000)]
+    stats = {}
+    got = {(r["query_id"], r["rank"]): r["score"] for r in topk.top_inner_products(doubles(spark, rows), 5, 50, stats).collect()}
+    ints = np.floor(256 * np.array(rows)).astype(np.int64)
+    scores = ints[::50] @ ints.T
+    scores[np.arange(120), np.arange(0, 6000, 50)] = np.iinfo(np.int64).min
+    assert all(got[q * 50, k + 1] == s for q in range(120) for k, s in enumerate(np.sort(scores[q])[::-1][:5].tolist()))
+    assert stats["vectors"] == 6000 and stats["queries"] == 120 and stats["compared"] / (120 * 6000) < 0.5
+
+
 def test_near_duplicates_with_copies_and_odd_vectors(spark):
     rng = np.random.default_rng(6)
     rows = ODD + [((rng.normal(size=3) if i % 4 else np.array([1, 2, 3]) + rng.normal(size=3) * 0.2).astype(np.float32).tolist(), i % 3) for i in range(400)] + [([1.0, 2.0, 3.0], 0)] * 50
@@ -670,3 +842,29 @@ def test_stages_return_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, SF)
         assert d.columns == corpus_pipeline.COLUMNS
+
+
+def odd_documents(spark):
+    rows = [(i, t, None if i % 3 else "en", None if i % 2 else "s", None, "x", "x") for i, t in enumerate([*EDGES, "w " * 200_000])]
+    rows += [rows[4], rows[4], (None, "nameless text", "en", "s", 1, "x", "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string, keep string")
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_odd_tables(spark, number):
+    import corpus_pipeline
+
+    _, stage = corpus_pipeline.STAGES[number]
+    d = odd_documents(spark)
+    out = stage(spark, d, SF)
+    assert stage(spark, d.limit(0), SF).count() == 0
+    got = out.collect()
+    if number in (0, 2):  # rows stay or go as they are
+        before = [tuple(r) for r in d.select(corpus_pipeline.COLUMNS).collect()]
+        assert all(before.count(tuple(r)) >= 1 for r in got)
+    if number == 1:
+        assert len(got) == d.count()
+    if number == 2:
+        assert sum(r["doc_id"] in (0, 1, 2, 3) for r in got) == 1 and sum(r["doc_id"] == 4 for r in got) == 3 and sum(r["doc_id"] is None for r in got) == 1
+    if number == 4:
+        assert len(got) == d.count() and all(r["n_tokens"] is not None for r in got)
