@@ -18,9 +18,9 @@ PII = (
     ("[PHONE]", r"\b(\+?[1-9]\d{0,2}[\s.\-]?)?\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}\b"),
 )
 #: What a text must contain for a pattern to be tried at all.
-PII_GUARD = {"[SSN]": "-", "[IPv6]": ":", "[IPv4]": ".", "[EMAIL]": "@"}
-#: What must stand in a text for the other patterns, besides a digit.
-PII_SHAPE = {"[IBAN]": "[A-Z]{2}[0-9]{2}", "[CREDIT_CARD]": "[0-9]{4}", "[PHONE]": "[0-9]{4}"}
+PII_GUARD = {"[SSN]": "-", "[IPv6]": ":", "[EMAIL]": "@"}
+#: What must match in a text for the other patterns to be tried.
+PII_SHAPE = {"[IPv4]": r"[0-9]\.[0-9]", "[IBAN]": "[A-Z]{2}[0-9]{2}", "[CREDIT_CARD]": "[0-9]{4}", "[PHONE]": "[0-9]{4}"}
 #: Names of well-known networks.
 AS_NAMES = {15169: "Google", 8075: "Microsoft", 16509: "Amazon AWS", 13335: "Cloudflare", 32934: "Meta", 714: "Apple", 2906: "Netflix", 20940: "Akamai", 6939: "Hurricane Electric", 1299: "Telia", 3356: "Lumen", 174: "Cogent", 3320: "Deutsche Telekom", 2914: "NTT", 7018: "AT&T", 4134: "China Telecom", 7922: "Comcast"}
 #: Collectors as (id, city, country, latitude, longitude, exchange, region).
