@@ -1,11 +1,12 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 Vectors are normalised; a cosine of at least ``t`` is a distance of at most sqrt(2 - 2t) = eps.
-An orthonormal projection onto leading principal directions never lengthens distances, so vectors
-within eps lie in equal or adjacent cells of a grid of width eps there. Vectors are range-sorted
-by label and cell, and the sequence is cut into blocks with bounding boxes. Only pairs of
-blocks of one label in adjacent cells whose boxes are within eps are joined; inside a pair,
-intervals are halved recursively and provably distant halves skipped.
+An orthonormal projection onto leading principal directions, with the length of what it leaves out
+as one more coordinate, never lengthens distances, so vectors within eps lie in equal or adjacent
+cells of a grid of width eps there. Vectors are range-sorted by label and cell, and the sequence
+is cut into blocks with bounding boxes. Only pairs of blocks of one label in adjacent cells whose
+boxes are within eps are joined; inside a pair, intervals are halved recursively and provably
+distant halves skipped. A block's vectors are sent once for a group of the blocks it is joined with.
 
 Identical vectors of a label are one class with a multiplicity. A block pair returns link counts
 per class and a spanning forest of its links, never all pairs.
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, forest_of
@@ -25,10 +26,13 @@ from .common import checkpointed, connected_components, forest_of
 THRESHOLD = 0.93
 #: Bound of the sample that the principal directions are fitted on.
 SAMPLE = 4096
-DIRECTIONS = 4
-BLOCK = 512
+#: Principal directions of boxes, and those of them that make the grid's cells.
+DIRECTIONS, CELLS = 12, 4
+BLOCK = 2048
+#: Blocks that one block is joined with in a group.
+GROUP = 16
 #: Intervals of at most so many rows are compared in full.
-LEAF = 64
+LEAF = 128
 
 
 def directions(sample: np.ndarray, n: int) -> np.ndarray:
@@ -80,22 +84,26 @@ def link_classes(classes: DataFrame, width: int, threshold: float) -> DataFrame:
     taken = classes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("embedding").toPandas()["embedding"].tolist()  # bounded
     sample = np.array([np.pad(np.asarray(v, np.float64), (0, width - len(v))) for v in taken]).reshape(-1, width)
     basis = directions(sample / np.sqrt((sample * sample).sum(1))[:, None] if len(sample) else sample, DIRECTIONS)
-    cells = [f"c{i}" for i in range(basis.shape[1])]
+    cells = [f"c{i}" for i in range(min(CELLS, basis.shape[1]))]
+    kind = np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
 
     def rows_of(lists: pa.Array) -> np.ndarray:
-        out = np.zeros((len(lists), width), np.float32)
-        for i, v in enumerate(lists.to_pylist()):
-            out[i, : len(v)] = v
+        values, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+        out = np.zeros((len(lists), width), kind)
+        out[np.arange(width)[None] < sizes[:, None]] = values
         return out
 
     def project(m: np.ndarray) -> np.ndarray:
+        """Principal coordinates of the normalised rows and the length of the rest."""
         m = m.astype(np.float64)
-        return m / np.sqrt((m * m).sum(1))[:, None] @ basis
+        unit = m / np.sqrt((m * m).sum(1))[:, None]
+        main = unit @ basis
+        return np.column_stack([main, np.sqrt(np.maximum(0, 1 - (main * main).sum(1)))])
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = rows_of(batch.column(1))
-            at = np.floor(project(m) / eps).astype(np.int32)
+            at = np.floor(project(m)[:, : len(cells)] / eps).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([x.tobytes() for x in m], pa.binary()), *(pa.array(at[:, i]) for i in range(len(cells)))], names=["label", "node", "n", "vec", *cells])
 
     schema = "label string, node long, n long, vec binary, " + ", ".join(f"{c} int" for c in cells)
@@ -112,7 +120,7 @@ def link_classes(classes: DataFrame, width: int, threshold: float) -> DataFrame:
 
         def out():
             raw = b"".join(vecs)
-            box = project(np.frombuffer(raw, np.float32).reshape(-1, width))
+            box = project(np.frombuffer(raw, kind).reshape(-1, width))
             return pa.RecordBatch.from_pydict({"label": [last[0]], "c0": pa.array([last[1]], pa.int32()), "c1": pa.array([last[2]], pa.int32()), "block": [nodes[0]], "lo": [box.min(0).tolist()], "hi": [box.max(0).tolist()], "nodes": pa.array([np.array(nodes, np.int64).tobytes()], pa.binary()), "sizes": pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), "vecs": pa.array([raw], pa.binary())})
 
         for batch in batches:
@@ -135,33 +143,40 @@ def link_classes(classes: DataFrame, width: int, threshold: float) -> DataFrame:
     gaps = F.zip_with(F.zip_with("alo", "hi", lambda x, y: x - y), F.zip_with("lo", "ahi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     reach = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps
     pairs = here.join(near, ["label", "c0", "c1"]).where((F.col("a") <= F.col("b")) & reach).select("label", "a", "b")
-    first = blocks.select("label", F.col("block").alias("a"), F.col("nodes").alias("anodes"), F.col("sizes").alias("asizes"), F.col("vecs").alias("avecs"))
-    second = blocks.select("label", F.col("block").alias("b"), F.col("nodes").alias("bnodes"), F.col("sizes").alias("bsizes"), F.col("vecs").alias("bvecs"))
+    groups = checkpointed(pairs).withColumn("part", F.floor(F.row_number().over(Window.partitionBy("label", "a").orderBy("b")) / GROUP).cast("int"))
+    held = [F.col(c) for c in ("nodes", "sizes", "vecs")]
+    first = groups.select("label", "a", "part").distinct().join(blocks.select("label", F.col("block").alias("a"), *held), ["label", "a"]).withColumn("b", F.lit(None).cast("long"))
+    second = groups.join(blocks.select("label", F.col("block").alias("b"), *held), ["label", "b"])
+    order = ["label", "a", "part", "b", "nodes", "sizes", "vecs"]
+    rows = first.select(order).unionByName(second.select(order)).repartition("label", "a", "part").sortWithinPartitions("label", "a", "part", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                nodes = [np.frombuffer(row[c], np.int64) for c in ("anodes", "bnodes")]
-                sizes = [np.frombuffer(row[c], np.int64) for c in ("asizes", "bsizes")]
-                raw = [np.frombuffer(row[c], np.float32).reshape(-1, width) for c in ("avecs", "bvecs")]
-                full = [m.astype(np.float64) for m in raw]
-                join = PairJoin(*full, project(raw[0]), project(raw[1]), threshold, eps)
-                join.run(slice(0, len(full[0])), slice(0, len(full[1])))
-                same = row["a"] == row["b"]
-                if same:
-                    np.fill_diagonal(join.hit, True)  # a class links its own copies
-                a, n = [nodes[0]], [join.hit @ sizes[1]]
-                if not same:
-                    a.append(nodes[1])
-                    n.append(sizes[0] @ join.hit)
-                a, n = np.concatenate(a), np.concatenate(n)
-                a, n = a[n > 0], n[n > 0]
-                edges = np.array(forest_of(nodes[0], nodes[1], join.hit), np.int64).reshape(-1, 2)
-                none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, edges[:, 0]])), pa.concat_arrays([none, pa.array(edges[:, 1])]), pa.concat_arrays([pa.array(n), pa.nulls(len(edges), pa.int64())])], names=["a", "b", "n"])
-
-    both = pairs.join(first, ["label", "a"]).join(second, ["label", "b"])
-    return checkpointed(both.mapInArrow(compare, "a long, b long, n long"))
+        mine = None
+        for row in (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+            nodes, sizes = (np.frombuffer(row[c], np.int64) for c in ("nodes", "sizes"))
+            raw = np.frombuffer(row["vecs"], kind).reshape(-1, width)
+            block = nodes, sizes, raw.astype(np.float64), project(raw)
+            if row["b"] is None:
+                mine = block
+                continue
+            join = PairJoin(mine[2], block[2], mine[3], block[3], threshold, eps)
+            join.run(slice(0, len(mine[0])), slice(0, len(nodes)))
+            same = row["a"] == row["b"]
+            if same:
+                np.fill_diagonal(join.hit, True)  # a class links its own copies
+            if not join.hit.any():
+                continue
+            a, n = [mine[0]], [join.hit @ sizes]
+            if not same:
+                a.append(nodes)
+                n.append(mine[1] @ join.hit)
+            a, n = np.concatenate(a), np.concatenate(n)
+            a, n = a[n > 0], n[n > 0]
+            edges = np.array(forest_of(mine[0], nodes, join.hit), np.int64).reshape(-1, 2)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, edges[:, 0]])), pa.concat_arrays([none, pa.array(edges[:, 1])]), pa.concat_arrays([pa.array(n), pa.nulls(len(edges), pa.int64())])], names=["a", "b", "n"])
+
+    return checkpointed(rows.mapInArrow(compare, "a long, b long, n long"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -170,7 +185,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     ``vectors`` needs vec_id, embedding (array of float) and label. A vector that is null,
     empty, zero or holds null or non-finite components, or whose label or vec_id is null, links
     with nothing: no links, its own component, kept (null if the id is null). Shorter vectors
-    count as padded with zeros. vec_id is a key; rows that repeat one count as copies. Copies link with each other.
+    count as padded with zeros. An empty table gives no rows; other columns are ignored. vec_id is a key; rows that repeat one count as copies. Copies link with each other.
     """
     v = vectors.select("vec_id", "embedding", "label")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
