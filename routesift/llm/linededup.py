@@ -7,7 +7,8 @@ filter of their shard. A line is dropped if its key is in the filter and the exa
 
 Filters are broadcast while their bytes are below a limit; the exact table supplies the (very
 few) keys that would pass a filter wrongly, so that documents are cleaned in one pass without a
-shuffle. Above the limit the lines' keys are joined with the exact table by shuffle.
+shuffle. Above the limit the lines' distinct keys are sent to their shards, each shard's filter is
+probed where its keys are, and the keys that pass are held against the exact table.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, checkpointed, pieces
+from .common import binary_values, checkpointed, lookup_join, pieces
 
 MIN_DOCS = 10
 #: Bytes of all filters and false positives that may be broadcast.
@@ -254,7 +255,8 @@ def apply(state: LineState, docs: DataFrame, broadcast_bytes: int = BROADCAST_BY
     """``docs`` and a struct ``cleaned`` (n_lines, n_dropped, text).
 
     A null or empty text is one empty line. Lines with an empty key are never dropped. Rows of
-    ``docs`` count as documents, repeated ones too. The documents must be in the state. A
+    ``docs`` count as documents, rows of one doc_id too, and each has a result of its own. Texts are
+    read whole; an empty table gives no rows. The documents must be in the state. A
     column of ``docs`` named cleaned is replaced.
     """
     sc, docs = docs.sparkSession.sparkContext, docs.drop("cleaned")
@@ -281,28 +283,55 @@ def apply(state: LineState, docs: DataFrame, broadcast_bytes: int = BROADCAST_BY
                     yield _cleaned(binary_values(column), filters.frequent)
 
             return docs.withColumn("cleaned", clean("text"))
-    return _apply_by_join(state, docs)
+    return _apply_by_shard(state, docs)
 
 
-def _apply_by_join(state: LineState, docs: DataFrame) -> DataFrame:
-    """Equal texts have equal results, so distinct texts' keys are joined with the exact counts."""
-    @F.arrow_udf("struct<id:binary,keys:array<binary>>")
+def passing(state: LineState, keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` (shard, key) that pass the filter of their shard; a shard's keys stream past its filter."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            shard, first, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            cuts = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | first[1:] | first[:-1]))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True):
+                if first[a]:
+                    at, held = shard[a], CuckooFilter.load(data[a].as_py())
+                elif shard[a] == at:
+                    part = data.slice(a, b - a)
+                    hit = held.contains(as_pairs(part.to_pylist()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), part], names=["shard", "key"]).filter(pa.array(hit))
+
+    rows = state.filters.select("shard", F.lit(True).alias("first"), F.col("filter").alias("data")).unionByName(keys.select("shard", F.lit(False).alias("first"), F.col("key").alias("data")))
+    return rows.repartition("shard").sortWithinPartitions("shard", F.desc("first")).mapInArrow(probe, "shard int, key binary")
+
+
+def _apply_by_shard(state: LineState, docs: DataFrame) -> DataFrame:
+    """Equal texts have equal results, so the keys of distinct texts are probed at their shards and held against the exact counts."""
+
+    @F.arrow_udf("struct<id:binary,keys:array<struct<shard:int,key:binary>>>")
     def keyed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in pieces(texts):
             values = [t or b"" for t in binary_values(column)]
             ids = pa.array([xxhash.xxh3_128_digest(t) for t in values], pa.binary())
-            keys = pa.array([list({k for line in t.split(b"\n") if (k := key_of(line))}) for t in values], pa.list_(pa.binary()))
-            yield pa.StructArray.from_arrays([ids, keys], names=["id", "keys"])
+            keys = [list({k for line in t.split(b"\n") if (k := key_of(line))}) for t in values]
+            flat = [k for ks in keys for k in ks]
+            shards = shard_of(as_pairs(flat), state_shards).astype(np.int32) if flat else np.zeros(0, np.int32)
+            items = pa.StructArray.from_arrays([pa.array(shards), pa.array(flat, pa.binary())], names=["shard", "key"])
+            offsets = np.concatenate([[0], np.cumsum([len(ks) for ks in keys])]).astype(np.int32)
+            yield pa.StructArray.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), items)], names=["id", "keys"])
 
     @F.arrow_udf(CLEANED)
     def clean(texts: pa.Array, drops: pa.Array) -> pa.Array:
         out = [_cleaned([t], lambda ks, d=frozenset(map(bytes, d or ())): np.array([k in d for k in ks], bool)) for t, d in zip(binary_values(texts), drops.to_pylist(), strict=True)]
         return pa.concat_arrays(out) if out else pa.array([], _CLEANED)
 
+    state_shards = state.shards
     marked = docs.withColumn("_keyed", keyed("text"))
-    pairs = marked.select(F.col("_keyed.id").alias("_id"), F.explode("_keyed.keys").alias("key")).distinct()
-    frequent = state.counts.where(F.col("n_docs") >= state.min_docs).select("key")
-    drops = pairs.join(frequent, "key").groupBy("_id").agg(F.collect_list("key").alias("_drops"))
+    pairs = checkpointed(marked.select(F.col("_keyed.id").alias("_id"), F.explode("_keyed.keys").alias("k")).select("_id", "k.shard", "k.key").distinct())
+    exact = state.counts.where(F.col("n_docs") >= state.min_docs).select("shard", "key")
+    frequent = checkpointed(passing(state, pairs.select("shard", "key").distinct()).join(exact, ["shard", "key"], "left_semi").select("key", F.lit(True).alias("_hit")))
+    drops = lookup_join(pairs.select("_id", "key"), frequent, ["key"]).where("_hit").groupBy("_id").agg(F.collect_list("key").alias("_drops"))  # a text's own lines
     out = marked.withColumn("_id", F.col("_keyed.id")).join(checkpointed(drops), "_id", "left")
     return out.withColumn("cleaned", clean("text", "_drops")).select(*docs.columns, "cleaned")
 
