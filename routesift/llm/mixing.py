@@ -16,6 +16,8 @@ from .common import checkpointed, lookup_join
 SEED = "mix-1"
 #: Shares follow (documents of the source) ** POWER unless weights are given.
 POWER = 0.7
+#: Copies of one row that one task makes, where some row has more.
+CHUNK = 1000
 #: A rate above this is split into equal parts whose counts are added (exp(-rate) must stay a normal double).
 MAX_RATE = 32.0
 
@@ -55,8 +57,9 @@ def replicate(docs: DataFrame, by_source: DataFrame, seed: str = SEED) -> DataFr
     """``docs`` once per copy, with ``copy`` (from 0), ``rate`` and ``shuffle_key``, not yet shuffled.
 
     The key of a row is its doc_id (a null one is the empty text); rows that repeat a doc_id get
-    the same count. Documents with count 0 are left out by design of the method. Columns of
-    ``docs`` named like a result are replaced.
+    the same count. Documents with count 0 are left out by design of the method. Where some source's
+    rate is above CHUNK its rows are first dealt to tasks in chunks of copies. Texts aren't read.
+    An empty table gives no rows. Columns of ``docs`` named like a result are replaced.
     """
     docs = docs.drop("copy", "rate", "shuffle_key")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", F.coalesce("source", F.lit("")).alias("_source"))
@@ -64,7 +67,13 @@ def replicate(docs: DataFrame, by_source: DataFrame, seed: str = SEED) -> DataFr
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
     one = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, i: n + poisson_inverse(uniform(F.lit(seed), key, i.cast("string")), F.col("rate") / parts))
-    copies = held.withColumn("_n", one).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    counted = held.withColumn("_n", one).where("_n > 0").withColumn("_from", F.lit(0))
+    if (by_source.agg(F.max("rate")).first()[0] or 0.0) > CHUNK:
+        counted = counted.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(CHUNK)))).repartition("doc_id", "_from")
+        last = F.least(F.col("_from") + CHUNK, F.col("_n")) - 1
+    else:
+        last = F.col("_n") - 1
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.col("_from"), last)))
     return copies.select("_row.*", "rate", "copy", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), key, F.col("copy").cast("string")).cast("binary")).alias("shuffle_key"))
 
 
