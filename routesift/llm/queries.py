@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, linededup, mixing, neardup, quality, secrets, simhash, topk, toxicity
+from . import bpe, hardneg, licenses, linededup, mixing, neardup, quality, resampling, secrets, simhash, topk, toxicity, urlfilter
 from .common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Rows whose vec_id this number divides take the next label before negatives are mined.
+RELABELLED = 7
 
 
 def vocabulary_path() -> str:
@@ -70,8 +72,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = resampling.importance_ranks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % RELABELLED == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(vectors.withColumn("label", moved))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    return urlfilter.filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "filter.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_toxicity, op4_simhash, op5_bpe, op6_topk, op7_secrets, op8_embedding_dedup, op9_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_toxicity, op4_simhash, op5_bpe, op6_topk, op7_secrets, op8_embedding_dedup, op9_mixing, op10_quality, op11_resampling, op12_hard_negatives, op13_url_filter)}
 
 
 def _license_sql() -> str:
@@ -106,6 +124,56 @@ def _license_sql() -> str:
     from marked left join resolved r using (dir)"""
 
 
+def _resampling_sql() -> str:
+    """CRC-32 of distinct words, by its table, which follows from the polynomial."""
+    half = "[case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end for c in {}]"
+    table = "[x for x in range(256)]"
+    for _ in range(8):
+        table = half.format(table)
+    nibbles = "[('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::bigint for i in range(1, octet_length(encode(word)) + 1)]"
+    crc = f"xor(list_reduce({nibbles}, lambda c, b: xor(c >> 8, t.crcs[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+    words = f"[w for w in string_split_regex(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{resampling.SEPARATORS}') if w <> '']"
+    b = resampling.BUCKETS
+    return f"""
+    with docs as (select row_number() over () as r, doc_id, {words} as words from documents),
+    source as (select r, unnest(words) as word from docs),
+    target as (select unnest({words}) as word from benchmark),
+    crc_table as (select {table} as crcs),
+    hashes as (select word, {crc} % {b} as bucket from (select distinct word from (select word from source union all select word from target)), crc_table t),
+    s as (select bucket, count(*) as n from source join hashes using (word) group by bucket),
+    t as (select bucket, count(*) as n from target join hashes using (word) group by bucket),
+    gains as (select k.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from source) + {b})::double / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from target) + {b})::double)))::bigint as gain
+        from range({b}) k(bucket) left join s using (bucket) left join t using (bucket)),
+    weights as (select r, sum(gain)::bigint as weight from source join hashes using (word) join gains using (bucket) group by r),
+    scored as (select doc_id, len(words)::bigint as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score from docs left join weights using (r)),
+    placed as (select *, row_number() over (order by score desc, doc_id nulls last, weight, n_features) as place, count(*) over () as n from scored where n_features >= {resampling.MIN_WORDS})
+    select doc_id, n_features, weight, score, case when place <= n * {resampling.PERCENT} // 100 then place end as rank from placed
+    union all select doc_id, n_features, weight, score, null from scored where n_features < {resampling.MIN_WORDS}"""
+
+
+def _negatives_sql() -> str:
+    ints = "[floor(256 * x::double)::bigint for x in embedding]"
+    return f"""
+    with v as (select vec_id, case when vec_id % {RELABELLED} = 0 then (label + 1) % 10 else label end as label, {ints} as x from embeddings
+        where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+    s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_dot_product(a.x::double[], c.x::double[])::bigint as score from v a join v c on a.vec_id <> c.vec_id where a.vec_id % {hardneg.EVERY} = 0),
+    p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= {hardneg.POSITIVES}),
+    n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+        from p join s using (anchor_id) where not s.same and {hardneg.LOW} * positive_score <= 100 * s.score and 100 * s.score <= {hardneg.HIGH} * positive_score)
+    select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= {hardneg.NEGATIVES}"""
+
+
+def _urls_sql() -> str:
+    rules = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in urlfilter.RULES)
+    part = lambda i: f"regexp_extract(coalesce(url, ''), '{urlfilter.PARTS}', {i})"
+    return f"""
+    with rules(h, p, v) as (values {rules}),
+    u as (select row_number() over () as r, page_id, translate({part(1)}, '{licenses.UPPER}', '{licenses.LOWER}') as host, {part(2)} as path from pages),
+    fit as (select r, h || p as rule, v from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) qualify row_number() over (partition by r order by length(h || p) desc, length(h) desc) = 1)
+    select page_id, host, path, rule, coalesce(v, '{urlfilter.DEFAULT}') as verdict from u left join fit using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     key = f"translate(trim(line, {white}), '{licenses.UPPER}', '{licenses.LOWER}')"
@@ -113,6 +181,9 @@ def oracle_sql() -> dict[str, str]:
     u = "('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|' || i), 1, 13))::bigint / 4503599627370496.0"
     return {
         "op1_license_scan": _license_sql(),
+        "op11_resampling": _resampling_sql(),
+        "op12_hard_negatives": _negatives_sql(),
+        "op13_url_filter": _urls_sql(),
         "op2_line_dedup": f"""
             with l as (select doc_id, pos, line, {key} as key from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents)),
             often as (select key from l where key <> '' group by key having count(distinct doc_id) >= {linededup.MIN_DOCS})
