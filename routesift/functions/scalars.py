@@ -138,8 +138,20 @@ def v4_bits(address: Column) -> Column:
     return F.when(address.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), F.array_join(parts, ""))
 
 
-def v6_bits(address: Column) -> Column:
-    """128 bits of an IPv6 address in hex groups, with or without one ``::``."""
+def dotted_tail(address: Column) -> Column:
+    """An IPv6 address whose last 32 bits are written as an IPv4 address, in hex groups; any other text as it is."""
+    parts = F.split(F.regexp_extract(address, rf"({OCTET}(\.{OCTET}){{3}})$", 1), r"\.")
+    two = lambda i: F.lower(F.hex(parts[i].cast("long") * 256 + parts[i + 1].cast("long")))
+    tailed = address.rlike(rf":{OCTET}(\.{OCTET}){{3}}$")
+    return F.when(tailed, F.concat(F.regexp_extract(address, r"^(.*:)[0-9.]*$", 1), two(0), F.lit(":"), two(2))).otherwise(address)
+
+
+def v6_bits(text: Column) -> Column:
+    """128 bits of an IPv6 address in hex groups, with or without one ``::`` and with or without a dotted end."""
+    return let(dotted_tail(text), _v6_bits)
+
+
+def _v6_bits(address: Column) -> Column:
     group = "[0-9a-fA-F]{1,4}"
     groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
     shaped = (address != "") & address.rlike(f"^({group}(:{group})*)?(::({group}(:{group})*)?)?$")
@@ -229,17 +241,17 @@ def flatten_path(path: Column) -> Column:
 
 
 def _names() -> Column:
-    return F.create_map(*[F.lit(x) for k, v in AS_NAMES.items() for x in (k, v)])
+    return F.create_map(*[x for k, v in AS_NAMES.items() for x in (F.lit(k).cast("long"), F.lit(v))])
 
 
 def as_name(asn: Column) -> Column:
-    return F.coalesce(F.try_element_at(_names(), asn.cast("int")), F.concat(F.lit("AS"), asn.cast("string")))
+    return F.coalesce(F.try_element_at(_names(), asn.cast("long")), F.concat(F.lit("AS"), asn.cast("string")))
 
 
 def path_display(path: Column, peer: Column) -> Column:
     """Names or numbers of the last four hops; the peer's name for an empty path."""
     last = F.when(F.size(path) > 4, F.slice(path, -4, 4)).otherwise(path)
-    shown = F.transform(last, lambda a: F.coalesce(F.try_element_at(_names(), a.cast("int")), a.cast("string")))
+    shown = F.transform(last, lambda a: F.coalesce(F.try_element_at(_names(), a.cast("long")), a.cast("string")))
     return F.when(F.size(path) == 0, as_name(peer)).otherwise(F.array_join(shown, " → "))
 
 
@@ -270,8 +282,8 @@ def path_length(path: Column) -> Column:
 
 
 def prefix_param(text: Column) -> Column:
-    """A prefix as it stands in a request, with escaped slashes and colons decoded."""
-    return F.replace(F.replace(text, F.lit("%2F"), F.lit("/")), F.lit("%3A"), F.lit(":"))
+    """A prefix as it stands in a request, with escaped slashes and colons decoded in either case of letters."""
+    return F.regexp_replace(F.regexp_replace(text, "%2[Ff]", "/"), "%3[Aa]", ":")
 
 
 def prefix_param_valid(text: Column) -> Column:

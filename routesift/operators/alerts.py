@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .folds import RUN, fold_sorted, quiet_runs
-from .joins import lookup_join, sized
+from .joins import SALTS, lookup_join, sized
+from .storage import checkpointed
 
 TTL_SECONDS = 1800
 KINDS = {"PossibleHijack": "hijack", "PrefixFlapping": "flap"}
@@ -35,10 +36,10 @@ def latest_version(table: DataFrame, key: str = "id", version: str = "updated_at
     return top.select(key, "r.*").select(table.columns)
 
 
-def unsilenced(alerts: DataFrame, silences: DataFrame) -> DataFrame:
+def unsilenced(alerts: DataFrame, silences: DataFrame, time: str = "detected_at") -> DataFrame:
     """Alerts without an active silence of their fingerprint that covers their time."""
     s = sized(latest_version(silences, "id", "silenced_at").where("active").select(F.col("fingerprint").alias("sf"), F.col("silenced_at").alias("since"), F.col("expires_at").alias("until")))
-    return alerts.join(s, (F.col("fingerprint") == F.col("sf")) & (F.col("detected_at") >= F.col("since")) & (F.col("detected_at") < F.col("until")), "left_anti")
+    return alerts.join(s, (F.col("fingerprint") == F.col("sf")) & (F.col(time) >= F.col("since")) & (F.col(time) < F.col("until")), "left_anti")
 
 
 def dedup_flags(alerts: DataFrame, key: str = "fingerprint", time: str = "detected_at", order: str = "event_id", ttl: int = TTL_SECONDS) -> DataFrame:
@@ -90,25 +91,97 @@ def payload(alerts: DataFrame) -> DataFrame:
     return alerts.select("event_id", body.alias("payload"), line.alias("slack"))
 
 
-def rule_match(anomalies: DataFrame, rules: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The first matching rule per anomaly: tenant null, empty or equal, and confidence at least its threshold.
+#: Rules of a tenant that one row of steps holds.
+STEPS = 1000
 
-    Rules are ranked newest first; the type isn't compared. Equal tenants are an equi-join on the
-    tenant, global rules a join on a constant of the checked, small rule table.
+
+def rule_steps(rules: DataFrame) -> DataFrame:
+    """(tenant_id, thresholds, rules): per tenant, the empty text for all, ascending thresholds and the newest rule at or below each.
+
+    Of the rules sorted by threshold only those newer than all before them can ever be the newest
+    match; they are the steps. A running maximum over rule tables finds them, so a search in a sorted
+    array replaces the comparison with every rule.
     """
-    ranked = rules.withColumn("rule_order", F.struct(F.col("updated_at"), F.col("id")))
-    r = ranked.select(F.col("id").alias("rule_id"), F.coalesce("tenant_id", F.lit("")).alias("rt"), "threshold", "rule_order")
-    wanted = anomalies.withColumn("rt", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("tenant_id", F.lit(""))))))
-    hits = wanted.join(sized(r), (wanted["rt"] == r["rt"]) & (F.col("confidence") >= F.col("threshold")))
-    return hits.groupBy("event_id").agg(F.max_by("rule_id", "rule_order").alias("rule_id"))
+    newest = rules.groupBy(F.coalesce("tenant_id", F.lit("")).alias("tenant_id"), "threshold").agg(F.max(F.struct("updated_at", "id")).alias("rule")).where("threshold is not null")
+    w = Window.partitionBy("tenant_id").orderBy("threshold")
+    best = F.max("rule").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    steps = newest.withColumn("_best", best).where("_best is null or rule > _best")
+    return steps.select("tenant_id", F.struct("threshold", "rule").alias("step"))
+
+
+def rule_match(anomalies: DataFrame, rules: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(key, rule_id): the first matching rule per anomaly: tenant null, empty or equal, and confidence at least its threshold.
+
+    Rules are ranked newest first; the type isn't compared. ``key`` are the columns that tell
+    anomalies apart, by default event and type, so several anomalies of one event are matched each.
+    An anomaly searches its tenant's steps and those of all tenants once each. Tenants' steps are
+    arrays of at most STEPS items; beyond that they are joined by tenant and the searched range of
+    thresholds as rows of their own.
+    """
+    key = key or ["event_id", "anomaly_type"]
+    steps = checkpointed(rule_steps(rules))
+    wide = steps.groupBy("tenant_id").count().agg(F.max("count")).first()[0] or 0
+    asked = anomalies.select(*key, F.coalesce("tenant_id", F.lit("")).alias("tenant_id"), "confidence")
+    if wide > STEPS:
+        return _by_ranges(asked, steps, key)
+    table = checkpointed(steps.groupBy("tenant_id").agg(F.array_sort(F.collect_list("step")).alias("steps")))
+    everywhere = table.select(F.col("tenant_id").alias("_all"), F.col("steps").alias("all_steps"))
+    placed = lookup_join(lookup_join(asked, table, ["tenant_id"], stored=True).withColumn("_all", F.lit("")), everywhere, ["_all"], stored=True)
+    hit = lambda s: F.try_element_at(F.filter(F.col(s), lambda x: x["threshold"] <= F.col("confidence")), F.lit(-1))["rule"]
+    found = F.greatest(hit("steps"), hit("all_steps"))
+    return placed.select(*key, found["id"].alias("rule_id")).where("rule_id is not null")
+
+
+def _by_ranges(asked: DataFrame, steps: DataFrame, key: list[str]) -> DataFrame:
+    """Matches by a merge of anomalies and steps in the order of thresholds, in parts of each tenant.
+
+    The last step at or below a confidence is the running maximum of the sorted union; parts are cut
+    at every STEPS-th step, and each begins with the step before it.
+    """
+    w = Window.partitionBy("tenant_id").orderBy("step.threshold")
+    cut = steps.withColumn("_n", F.row_number().over(w)).withColumn("part", F.floor((F.col("_n") - 1) / STEPS))
+    begins = cut.groupBy("tenant_id", "part").agg(F.min("step.threshold").alias("begin"))
+    edges = begins.groupBy("tenant_id").agg(F.array_sort(F.collect_list("begin")).alias("edges"))  # a STEPS-th of a tenant's steps
+    named = asked.withColumn("tenant_id", F.explode(F.array_distinct(F.array("tenant_id", F.lit("")))))
+    placed = lookup_join(named, checkpointed(edges), ["tenant_id"], stored=True).withColumn("part", F.size(F.filter("edges", lambda e: e <= F.col("confidence"))) - 1).where("part >= 0")
+    spread = F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")
+    rows = cut.select("tenant_id", "part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("step.threshold").alias("at"), F.lit(0).alias("kind"), F.col("step.rule").alias("rule"), *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in key])
+    rows = rows.unionByName(placed.select("tenant_id", "part", spread.alias("salt"), F.col("confidence").alias("at"), F.lit(1).alias("kind"), *key), allowMissingColumns=True)
+    run = Window.partitionBy("tenant_id", "part", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("rule", F.last("rule", True).over(run)).where("kind = 1")
+    return found.groupBy(*key).agg(F.max("rule").alias("rule")).select(*key, F.col("rule.id").alias("rule_id"))
+
+
+def bumped(due: DataFrame, confidence: Column, before: Column, escalated_at: Column) -> DataFrame:
+    """Anomalies of raised confidence from alerts (id, alert_type, prefix, origin_as, fired_at) that are due."""
+    kind = F.when(F.col("alert_type") == "hijack", "PossibleHijack").otherwise("PrefixFlapping")
+    text = F.concat(F.lit("Auto-escalated from confidence "), before.cast("string"))
+    return due.select("id", kind.alias("anomaly_type"), "prefix", "origin_as", confidence.alias("confidence"), F.col("fired_at").alias("detected_at"), escalated_at.alias("escalated_at"), text.alias("details"))
 
 
 def auto_escalate(active: DataFrame, as_of, timeout: int = ESCALATE_AFTER) -> DataFrame:
     """Fired alerts of known kinds at least ``timeout`` old and below 0.9, bumped by 0.15 up to 0.95."""
+    now = F.lit(as_of).cast(active.schema["fired_at"].dataType)
     age = F.unix_micros(F.lit(as_of).cast("timestamp")) / 1e6 - F.unix_micros(F.col("fired_at").cast("timestamp")) / 1e6
     due = active.where((F.col("status") == "fired") & F.col("resolved_at").isNull() & (age >= timeout) & (F.col("confidence") < ESCALATE_BELOW) & F.col("alert_type").isin("hijack", "flap"))
-    kind = F.when(F.col("alert_type") == "hijack", "PossibleHijack").otherwise("PrefixFlapping")
-    return due.select("id", kind.alias("anomaly_type"), "prefix", "origin_as", F.least(F.col("confidence") + BUMP, F.lit(TOP)).alias("confidence"), F.col("fired_at").alias("detected_at"), F.concat(F.lit("Auto-escalated from confidence "), F.col("confidence").cast("string")).alias("details"))
+    return bumped(due, F.least(F.col("confidence") + BUMP, F.lit(TOP)), F.col("confidence"), now)
+
+
+def escalations(alerts: DataFrame, resolutions: DataFrame, timeout: int = ESCALATE_AFTER) -> DataFrame:
+    """Every alert (id, fired_at, ...) that no resolution (id, resolved_at) ended before it was ``timeout`` old, bumped at that time."""
+    ended = resolutions.groupBy("id").agg(F.min("resolved_at").alias("_ended"))
+    at = F.col("fired_at") + F.expr(f"interval {timeout} seconds")
+    held = alerts.where((F.col("confidence") < ESCALATE_BELOW) & F.col("alert_type").isin("hijack", "flap")).join(ended, "id", "left").where(F.col("_ended").isNull() | (F.col("_ended") >= at))
+    return bumped(held, F.least(F.col("confidence") + BUMP, F.lit(TOP)), F.col("confidence"), at)
+
+
+def reroute(bumped: DataFrame, silences: DataFrame) -> DataFrame:
+    """Bumped anomalies with level and fingerprint, but for those whose fingerprint is silenced when they escalate.
+
+    Each alert is bumped once and alerts of a fingerprint are a deduplication time apart, so they
+    aren't deduplicated again.
+    """
+    return unsilenced(fingerprinted(bumped), silences, "escalated_at")
 
 
 def active_alerts(history: DataFrame) -> DataFrame:
@@ -161,10 +234,19 @@ def expire_silences(silences: DataFrame, ids: DataFrame, as_of) -> DataFrame:
     return now.join(sized(ids.select("id").distinct()), "id", "left_semi").withColumns({"active": F.lit(False), "silenced_at": F.lit(as_of).cast(silences.schema["silenced_at"].dataType)}).select(silences.columns)
 
 
-def outcome_counts(anomalies: DataFrame) -> DataFrame:
-    """Counters by anomaly type, level, tenant and RPKI status, with those that count as false positives (RPKI Valid)."""
+def outcome_counts(anomalies: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Counters by anomaly type, level, tenant and RPKI status.
+
+    A resolved alert is one that turned out false: ``history`` tells which (its status is resolved
+    and its type, prefix and origin are the anomaly's, its time the detection's).
+    """
     counted = anomalies.withColumns({"level": S.escalation_level(F.col("confidence")), "rpki": F.coalesce("rpki", F.lit("NotFound"))})
-    return counted.groupBy("anomaly_type", "level", "tenant_id", "rpki").agg(F.count("*").alias("n"), F.count_if(F.col("rpki") == "Valid").alias("false_positives"))
+    if history is None:
+        counted = counted.withColumn("resolved", F.lit(False))
+    else:
+        ended = history.where("status = 'resolved'").select("alert_type", "prefix", "origin_as", F.col("fired_at").alias("detected_at"), F.lit(True).alias("resolved")).distinct()
+        counted = counted.withColumn("alert_type", alert_kind(F.col("anomaly_type"))).join(ended, ["alert_type", "prefix", "origin_as", "detected_at"], "left")
+    return counted.groupBy("anomaly_type", "level", "tenant_id", "rpki").agg(F.count("*").alias("n"), F.count_if(F.coalesce("resolved", F.lit(False))).alias("false_positives"))
 
 
 def tenant_by_key(requests: DataFrame, tenants: DataFrame) -> DataFrame:

@@ -16,9 +16,16 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(S.COLLECTORS), "collector string, city string, country string, lat double, lon double, ixp string, region string")
 
 
+def checked(collectors: DataFrame) -> DataFrame:
+    """The registry, which is refused above MAX_COLLECTORS rows."""
+    if collectors.limit(MAX_COLLECTORS + 1).count() > MAX_COLLECTORS:
+        raise ValueError(f"a registry of more than {MAX_COLLECTORS} collectors")
+    return collectors
+
+
 def located(df: DataFrame, collectors: DataFrame, column: str, prefix: str = "") -> DataFrame:
     """``df`` with lat and lon of the collector in ``column``, null if it isn't known."""
-    places = collectors.limit(MAX_COLLECTORS).select(F.col("collector").alias("_c"), F.col("lat").alias(f"{prefix}lat"), F.col("lon").alias(f"{prefix}lon"))
+    places = checked(collectors).select(F.col("collector").alias("_c"), F.col("lat").alias(f"{prefix}lat"), F.col("lon").alias(f"{prefix}lon"))
     return df.join(F.broadcast(places), F.col(column) == F.col("_c"), "left").drop("_c")  # bounded by MAX_COLLECTORS
 
 
@@ -30,7 +37,7 @@ def with_distance(df: DataFrame, collectors: DataFrame, a: str, b: str) -> DataF
 
 def pair_distances(collectors: DataFrame) -> DataFrame:
     """(a, b, km) between any two collectors of a registry of at most MAX_COLLECTORS rows."""
-    c = collectors.select("collector", "lat", "lon").limit(MAX_COLLECTORS)
+    c = checked(collectors).select("collector", "lat", "lon")
     every = F.array(*[F.struct(F.lit(r["collector"]).alias("b"), F.lit(r["lat"]).alias("lat2"), F.lit(r["lon"]).alias("lon2")) for r in c.collect()])  # bounded
     pairs = c.select(F.col("collector").alias("a"), "lat", "lon", F.inline(every))
     return pairs.select("a", "b", S.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km"))
@@ -38,7 +45,7 @@ def pair_distances(collectors: DataFrame) -> DataFrame:
 
 def lookup(df: DataFrame, collectors: DataFrame, column: str = "collector") -> DataFrame:
     """``df`` with city, country and region of its collector, and whether it is known."""
-    known = collectors.limit(MAX_COLLECTORS).select(F.col("collector").alias(column), "city", "country", "region", F.lit(True).alias("is_known"))
+    known = checked(collectors).select(F.col("collector").alias(column), "city", "country", "region", F.lit(True).alias("is_known"))
     return df.join(F.broadcast(known), column, "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 

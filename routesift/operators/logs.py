@@ -126,9 +126,10 @@ def cost_summary(cost: DataFrame) -> DataFrame:
 
 
 def cost_report(cost: DataFrame) -> DataFrame:
-    """One line of text per tenant."""
+    """One line of text per tenant, and a footer (tenant_id null) with the number of tenants."""
     line = F.format_string("Tenant: %s Requests: %d Bytes: %.1f MB PII Hits: %d", "tenant_id", "requests", F.col("bytes") / 1048576.0, "pii_hits")
-    return cost.select("tenant_id", line.alias("line"))
+    footer = cost.agg(F.format_string("Total tenants: %d", F.count("*")).alias("line")).select(F.lit(None).cast("string").alias("tenant_id"), "line")
+    return cost.select("tenant_id", line.alias("line")).unionByName(footer)
 
 
 def dedupe_stats(flags: DataFrame) -> DataFrame:

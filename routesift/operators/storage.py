@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
@@ -28,7 +33,39 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Hadoop keeps it; nothing happens if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; empty if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Within it checkpoints are tables in a folder that is removed at the end, so a job that repeats for months leaves nothing behind.
+
+    What is computed from them has to be written before.
+    """
+    folder = work_folder(spark)
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        remove(spark, folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage at a reliable checkpoint in the shared folder."""
+    """Compute once and cut the lineage at a reliable checkpoint in the shared folder, or at a table in the scratch folder."""
+    if (folder := _SCRATCH.get()) is not None:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .joins import lookup_join
+from .joins import lookup_join, sized
 
 SLOT_MS = 300_000
 MIN_COLLECTORS, MIN_SAMPLES = 3, 30
@@ -95,16 +95,27 @@ def load_baseline(spark, path: str) -> DataFrame:
 def far_pairs(events: DataFrame, distances: DataFrame, key: list[str]) -> DataFrame:
     """``events`` and ``km`` of the farthest pair of known reporting collectors (null without one).
 
-    The pair table (a, b, km) has 26 x 26 rows; it becomes a map literal, so events are neither
-    exploded nor shuffled.
+    Up to MAX_PAIRS pairs of the table (a, b, km) become a constant array, found by the collectors'
+    numbers, so events are neither exploded nor shuffled. Beyond that the pairs of every distinct set
+    of collectors are joined with the table once and the farthest one goes back to the events.
     """
     rows = distances.where("a < b").limit(MAX_PAIRS + 1).collect()  # 325 pairs for 26 collectors
-    if len(rows) > MAX_PAIRS:
-        raise ValueError(f"more than {MAX_PAIRS} pairs of collectors")
-    table = {f"{r['a']}|{r['b']}": r["km"] for r in rows}
-    known = F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)])
     ids = F.array_sort(F.array_distinct("arrival_order"))
-    pairs = F.flatten(F.transform(ids, lambda a: F.transform(F.filter(ids, lambda b: b > a), lambda b: F.try_element_at(known, F.concat_ws("|", a, b)))))
+    if len(rows) > MAX_PAIRS:
+        sets = events.select(ids.alias("_ids")).distinct()
+        pairs = sets.select("_ids", F.explode("_ids").alias("a")).select("_ids", "a", F.explode(F.filter("_ids", lambda x: x > F.col("a"))).alias("b"))
+        km = pairs.join(sized(distances.where("a < b").select("a", "b", "km")), ["a", "b"]).groupBy("_ids").agg(F.max("km").alias("km"))
+        return lookup_join(events.withColumn("_ids", ids), km, ["_ids"]).drop("_ids")
+    names = sorted({r[c] for r in rows for c in ("a", "b")})
+    n, at = len(names), {x: i for i, x in enumerate(names)}
+    flat: list[float | None] = [None] * (n * n)
+    for r in rows:
+        flat[at[r["a"]] * n + at[r["b"]]] = r["km"]
+    if not n:
+        return events.withColumn("km", F.lit(None).cast("double"))
+    held, known = F.array(*map(F.lit, names)), F.array(*[F.lit(x).cast("double") for x in flat])
+    numbers = F.filter(F.transform(ids, lambda a: F.array_position(held, a).cast("int") - 1), lambda i: i >= 0)
+    pairs = F.flatten(F.transform(numbers, lambda i: F.transform(F.filter(numbers, lambda j: j > i), lambda j: F.get(known, i * n + j))))
     return events.withColumn("km", F.array_max(pairs))
 
 

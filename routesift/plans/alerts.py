@@ -102,18 +102,34 @@ def alert_resolve(spark, d):
     return A.resolve(h, h.where("alert_type = 'flap'").select("id"), AS_OF).select("alert_type", "prefix", "origin_as", "fired_at", "status", "resolved_at")
 
 
-@query("auto_escalate", sql(HIST_SQL + "select case when alert_type = 'hijack' then 'PossibleHijack' else 'PrefixFlapping' end as anomaly_type, prefix, origin_as, round(least(confidence + 0.15, 0.95), 6)::double as confidence, fired_at as detected_at, 'Auto-escalated from confidence ' || confidence as details from history where epoch(timestamp '2024-01-20') - epoch(fired_at) >= 300 and confidence < 0.9"))
+#: Of every third origin the alerts are resolved, some before and some after they would escalate.
+ENDED = "fired_at + make_interval(0, 0, 0, 0, 0, 0, 100 + 250 * (origin_as % 2)) as resolved_at"
+ENDED_SQL = ", ended as (select * exclude (resolved_at), fired_at + to_seconds((100 + 250 * (origin_as % 2))::int) as resolved_at from history where origin_as % 3 = 0) "
+BUMPED_SQL = """case when alert_type = 'hijack' then 'PossibleHijack' else 'PrefixFlapping' end as anomaly_type, prefix, origin_as, round(least(confidence + 0.15, 0.95), 6)::double as confidence, fired_at as detected_at, 'Auto-escalated from confidence ' || confidence as details,
+case when confidence + 0.15 < 0.9 then 'critical' else 'emergency' end as level, sha256(alert_type || ':' || prefix || ':' || origin_as) as fingerprint"""
+UNHEARD_SQL = "not exists (select 1 from silences s where s.fingerprint = sha256(h.alert_type || ':' || h.prefix || ':' || h.origin_as) and {at} >= silenced_at and {at} < expires_at)"
+
+
+def resolutions(alerts):
+    return alerts.where("origin_as % 3 = 0").select("id", F.expr(ENDED))
+
+
+def bumped_columns(rows):
+    return rows.select("anomaly_type", "prefix", "origin_as", F.round("confidence", 6).alias("confidence"), "detected_at", "details", "level", "fingerprint")
+
+
+@query("auto_escalate", sql(HIST_SQL + f"select {BUMPED_SQL} from history h where epoch(timestamp '2024-01-20') - epoch(fired_at) >= 300 and confidence < 0.9 and " + UNHEARD_SQL.format(at="timestamp '2024-01-20'")))
 def auto_escalate(spark, d):
-    return A.auto_escalate(history(spark, d), AS_OF).select("anomaly_type", "prefix", "origin_as", F.round("confidence", 6).alias("confidence"), "detected_at", "details")
+    return bumped_columns(A.reroute(A.auto_escalate(history(spark, d), AS_OF), silences(spark, d)))
 
 
 LIVE = "(select * from {} qualify row_number() over (partition by id order by updated_at desc) = 1)"
 RULES_NOW, TENANTS_NOW = LIVE.format("rules"), LIVE.format("tenants")
 
 
-@query("rule_match", sql(IN_SQL + f", live as {RULES_NOW}, hit as (select a.event_id, a.anomaly_type, r.id as rule_id, row_number() over (partition by a.event_id, a.anomaly_type order by r.updated_at desc, r.id desc) as i from alerts_in a join live r on r.enabled and (coalesce(r.tenant_id, '') = '' or r.tenant_id = a.tenant_id) and a.confidence >= r.threshold where a.anomaly_type = 'PossibleHijack') select event_id, rule_id from hit where i = 1"))
+@query("rule_match", sql(IN_SQL + f", live as {RULES_NOW}, hit as (select a.event_id, a.anomaly_type, r.id as rule_id, row_number() over (partition by a.event_id, a.anomaly_type order by r.updated_at desc, r.id desc) as i from alerts_in a join live r on r.enabled and (coalesce(r.tenant_id, '') = '' or r.tenant_id = a.tenant_id) and a.confidence >= r.threshold) select event_id, anomaly_type, rule_id from hit where i = 1"))
 def rule_match(spark, d):
-    return A.rule_match(alerts_in(spark, d).where("anomaly_type = 'PossibleHijack'"), A.rules_active(X.rules(spark, d)))
+    return A.rule_match(alerts_in(spark, d), A.rules_active(X.rules(spark, d)))
 
 
 @query("latest_version", sql(f"select id, name, threshold, enabled, updated_at from {RULES_NOW}"))

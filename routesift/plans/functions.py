@@ -159,14 +159,16 @@ def as_set_flatten(spark, d):
 _NAMES = "case {x} " + " ".join(f"when {k} then '{v}'" for k, v in S.AS_NAMES.items()) + " else {other} end"
 
 
-@query("as_name", sql(f"select event_id, {_NAMES.format(x='as_path[2]', other=chr(39) + 'AS' + chr(39) + ' || as_path[2]')} as name from bgp_events"))
+@query("as_name", sql(f"select event_id, {_NAMES.format(x='hop', other=chr(39) + 'AS' + chr(39) + ' || hop')} as name from (select event_id, case when k % 5 = 0 then 4200000000 + u else as_path[2] end as hop from bgp_events)"))
 def as_name(spark, d):
-    return X.bgp_events(spark, d).select("event_id", S.as_name(F.col("as_path")[1]).alias("name"))
+    hop = F.when(F.col("k") % 5 == 0, F.col("u") + 4200000000).otherwise(F.col("as_path")[1])
+    return X.bgp_events(spark, d).select("event_id", S.as_name(hop).alias("name"))
 
 
-@query("path_display", sql(f"select event_id, array_to_string([{_NAMES.format(x='a', other='a::varchar')} for a in as_path[-4:]], ' → ') as display from bgp_events"))
+@query("path_display", sql(f"select event_id, array_to_string([{_NAMES.format(x='a', other='a::varchar')} for a in (as_path || [case when k % 5 = 0 then 4200000000 + u else origin_as end])[-4:]], ' → ') as display from bgp_events"))
 def path_display(spark, d):
-    return X.bgp_events(spark, d).select("event_id", S.path_display(F.col("as_path"), F.col("peer_asn")).alias("display"))
+    last = F.when(F.col("k") % 5 == 0, F.col("u") + 4200000000).otherwise(F.col("origin_as"))
+    return X.bgp_events(spark, d).select("event_id", S.path_display(F.concat("as_path", F.array(last)), F.col("peer_asn")).alias("display"))
 
 
 @query("iso_timestamp", sql("select event_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') as iso from bgp_events"))
@@ -190,7 +192,7 @@ def tenant_id_valid(spark, d):
     return X.bgp_events(spark, d).select("event_id", tid.alias("tid")).withColumn("valid", L.tenant_valid(F.col("tid")))
 
 
-@query("prefix_param_valid", sql("select event_id, replace(replace(p, '%2F', '/'), '%3A', ':') as decoded, regexp_matches(replace(replace(p, '%2F', '/'), '%3A', ':'), '^[0-9a-fA-F.:/]+$') as valid from (select event_id, case k % 3 when 0 then replace(prefix, '/', '%2F') when 1 then '2001%3Adb8%3A%3A%2F32' else prefix || ';' end as p from bgp_events)"))
+@query("prefix_param_valid", sql("select event_id, decoded, regexp_matches(decoded, '^[0-9a-fA-F.:/]+$') as valid from (select event_id, replace(replace(replace(replace(p, '%2F', '/'), '%2f', '/'), '%3A', ':'), '%3a', ':') as decoded from (select event_id, case k % 4 when 3 then replace(replace(prefix, '/', '%2f'), '.', '%3a') when 0 then replace(prefix, '/', '%2F') when 1 then '2001%3Adb8%3A%3A%2F32' else prefix || ';' end as p from bgp_events))"))
 def prefix_param_valid(spark, d):
-    p = F.expr("case k % 3 when 0 then replace(prefix, '/', '%2F') when 1 then '2001%3Adb8%3A%3A%2F32' else concat(prefix, ';') end")
+    p = F.expr("case k % 4 when 3 then replace(replace(prefix, '/', '%2f'), '.', '%3a') when 0 then replace(prefix, '/', '%2F') when 1 then '2001%3Adb8%3A%3A%2F32' else concat(prefix, ';') end")
     return X.bgp_events(spark, d).select("event_id", S.prefix_param(p).alias("decoded")).withColumn("valid", S.prefix_param_valid(F.col("decoded")))

@@ -68,7 +68,7 @@ def cost_summary(spark, d):
     return L.cost_summary(cost(spark, d))
 
 
-@query("cost_report", sql(COST_SQL + "select tenant_id, format('Tenant: {} Requests: {} Bytes: {:.1f} MB PII Hits: {}', tenant_id, requests, bytes / 1048576.0, pii_hits) as line from cost"))
+@query("cost_report", sql(COST_SQL + "select tenant_id, format('Tenant: {} Requests: {} Bytes: {:.1f} MB PII Hits: {}', tenant_id, requests, bytes / 1048576.0, pii_hits) as line from cost union all select null, 'Total tenants: ' || count(*) from cost"))
 def cost_report(spark, d):
     return L.cost_report(cost(spark, d))
 

@@ -9,7 +9,7 @@ from ..operators import logs as L
 from ..operators import metrics as M
 from ..operators import rpki as R
 from . import fixtures as X
-from .alerts import IN_SQL, alerts_in
+from .alerts import AS_OF, ROUTE_SQL, alerts_in, silences
 from .baselines import ENH_SQL, enhanced
 from .detectors import keys_sql
 from .fixtures import sql
@@ -51,12 +51,15 @@ def histogram_quantile(spark, d):
     return M.histogram_quantile(h, 0.95, ["et"]).withColumn("value", F.round("value", 6))
 
 
-@query("anomaly_counts", sql(keys_sql("true") + IN_SQL + """, outcomes as (select p.anomaly_type, p.level, p.tenant_id, coalesce(s.rpki, 'NotFound') as rpki, count(*) as n, count(*) filter (s.rpki = 'Valid') as false_positives from printed p left join status s using (prefix, origin_as) group by all),
+@query("anomaly_counts", sql(keys_sql("true") + ROUTE_SQL + """, outcomes as (select p.anomaly_type, p.level, p.tenant_id, coalesce(s.rpki, 'NotFound') as rpki, count(*) as n, count(*) filter (r.fingerprint is not null) as false_positives from printed p left join status s using (prefix, origin_as) left join (select distinct fingerprint, detected_at from routed where alert_type = 'flap' and origin_as % 2 = 0) r on r.fingerprint = p.fingerprint and r.detected_at = p.detected_at group by all),
 spent as (select tenant_id, case when n > 70 then 'Exceeded' when n * 100.0 / 70 >= 80 then 'SoftWarning' else 'Allowed' end as quota from (select *, row_number() over (partition by tenant_id, date_trunc('day', timestamp) order by timestamp, id) as n from log_messages))
 select 'anomaly' as counter, anomaly_type as kind, level, tenant_id, rpki as status, n, false_positives from outcomes union all select 'quota', 'quota', null, tenant_id, quota, count(*), 0 from spent group by tenant_id, quota"""))
 def anomaly_counts(spark, d):
-    a = R.rpki_validate(alerts_in(spark, d), X.vrps(spark, d))
-    found = A.outcome_counts(a).select(F.lit("anomaly").alias("counter"), F.col("anomaly_type").alias("kind"), "level", "tenant_id", F.col("rpki").alias("status"), "n", "false_positives")
+    alerts = alerts_in(spark, d)
+    fired = A.history_rows(A.route(alerts, silences(spark, d)))
+    history = A.resolve(fired, fired.where("alert_type = 'flap' and origin_as % 2 = 0").select("id"), AS_OF)
+    a = R.rpki_validate(alerts, X.vrps(spark, d))
+    found = A.outcome_counts(a, history).select(F.lit("anomaly").alias("counter"), F.col("anomaly_type").alias("kind"), "level", "tenant_id", F.col("rpki").alias("status"), "n", "false_positives")
     spent = L.quota_check(X.log_messages(spark, d), F.lit(70.0), "day").groupBy("tenant_id", "quota").agg(F.count("*").alias("n"))
     return found.unionByName(spent.select(F.lit("quota").alias("counter"), F.lit("quota").alias("kind"), F.lit(None).cast("string").alias("level"), "tenant_id", F.col("quota").alias("status"), "n", F.lit(0).cast("long").alias("false_positives")))
 

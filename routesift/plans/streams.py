@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import events as E
-from ..operators.storage import work_folder
+from ..operators.storage import checkpointed, work_folder
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import operators as T
 from . import fixtures as X
-from .alerts import HIST_SQL, dedup_sql, history
+from .alerts import BUMPED_SQL, ENDED_SQL, HIST_SQL, UNHEARD_SQL, bumped_columns, dedup_sql, history, resolutions, silences
 from .baselines import EMA_SQL
 from .detectors import DELTA_SQL, FIRST_SQL, FLAP_SQL, KEYS_SQL
 from .fixtures import sql
@@ -141,10 +141,30 @@ def stream_roa_diff(spark, d):
     return spark.read.parquet(f"{f}/out").where("snapshot > 0").select("prefix", "max_length", "origin_as", "action", "snapshot")
 
 
-@query("stream_auto_escalate", sql(HIST_SQL + "select case when alert_type = 'hijack' then 'PossibleHijack' else 'PrefixFlapping' end as anomaly_type, prefix, origin_as, round(least(confidence + 0.15, 0.95), 6)::double as confidence, fired_at as detected_at from history where epoch(timestamp '2024-01-20') - epoch(fired_at) >= 300 and confidence < 0.9"))
-def stream_auto_escalate(spark, d):
-    f = work_folder(spark)
-    T.run_batches(events_stream(spark, f, d, history), T.escalation_batches(datetime(2024, 1, 20), f"{f}/out"), f"{f}/checkpoint")
-    return spark.read.parquet(f"{f}/out").select("anomaly_type", "prefix", "origin_as", F.round("confidence", 6).alias("confidence"), "detected_at")
+def in_turns(spark, folder: str, rows, time: str, turns: int = 6):
+    """Rows as a stream of ``turns`` files, one in a batch, each of a later span of time: a replay in the order of time."""
+    first, last = rows.agg(F.min(F.unix_micros(F.col(time).cast("timestamp"))), F.max(F.unix_micros(F.col(time).cast("timestamp")))).first()
+    if first is None:
+        rows.write.parquet(f"{folder}/in")
+    else:
+        turn = F.floor((F.unix_micros(F.col(time).cast("timestamp")) - first) * turns / (last - first + 1))
+        held = checkpointed(rows.withColumn("_turn", turn))
+        for t in range(turns):
+            held.where(F.col("_turn") == t).drop("_turn").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return R.read_stream(spark, f"{folder}/in", rows.schema, maxFilesPerTrigger="1")
+
+
+#: The watermark stays ten minutes behind the newest alert or resolution; what is due by then has escalated.
+DUE_SQL = ENDED_SQL + ", mark as (select max(t) - interval 10 minutes as mark from (select fired_at as t from history union all select resolved_at from ended)), due as (select h.*, fired_at + interval 300 seconds as due_at from history h left join ended e using (alert_type, prefix, origin_as, fired_at) where h.confidence < 0.9 and coalesce(e.resolved_at >= h.fired_at + interval 300 seconds, true)) "
 
 
+@query("stream_auto_escalate", sql(HIST_SQL + DUE_SQL + f"select {BUMPED_SQL} from due h, mark where due_at <= mark and " + UNHEARD_SQL.format(at="due_at")))
+def stream_auto_escalate(spark, d):
+    T.use_rocksdb(spark)
+    f = work_folder(spark)
+    alerts = checkpointed(history(spark, d))
+    both = alerts.withColumn("happened", F.col("fired_at")).unionByName(resolutions(alerts).withColumn("happened", F.col("resolved_at")), allowMissingColumns=True)
+    s = in_turns(spark, f, both, "happened")
+    due = T.escalations(s.where("fired_at is not null"), s.where("resolved_at is not null").select("id", "resolved_at"))
+    T.run_batches(due, T.rerouting_batches(lambda: silences(spark, d), f"{f}/out"), f"{f}/checkpoint")
+    return bumped_columns(spark.read.parquet(f"{f}/out"))

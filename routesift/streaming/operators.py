@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as A
 from ..operators import rpki as R
-from ..operators.storage import checkpointed
+from ..operators.storage import names_in, remove, scratch, work_folder
 from ..sources import readers
 from . import processors as P
 
@@ -74,17 +75,33 @@ def timeline(stream: DataFrame, unit: str = "1 hour") -> DataFrame:
 
 
 class Reloaded:
-    """A table read anew for each batch; a failed read keeps the last good one."""
+    """A table that is read anew when it is older than ``seconds``, stored once and used by all batches until then.
 
-    def __init__(self, load: Callable[[], DataFrame]) -> None:
-        self.load, self.table = load, None
+    A failed read keeps the last good one and is tried again after the same time. A new table
+    replaces the old one's folder, which the batch before the last may still read, so two are kept.
+    """
+
+    def __init__(self, load: Callable[[], DataFrame], seconds: float = 600, clock: Callable[[], float] = time.monotonic) -> None:
+        self.load, self.seconds, self.clock = load, seconds, clock
+        self.table, self.read_at, self.folders, self.loads = None, float("-inf"), [], 0
 
     def get(self) -> DataFrame:
-        try:
-            self.table = checkpointed(self.load())  # read here, so that a failure shows here
-        except Exception:
-            if self.table is None:
-                raise
+        now = self.clock()
+        if self.table is None or now - self.read_at >= self.seconds:
+            try:
+                rows = self.load()
+                spark = rows.sparkSession
+                folder = work_folder(spark)
+                rows.write.parquet(folder)
+                self.table = spark.read.schema(rows.schema).parquet(folder)
+                self.folders.append(folder)
+                self.loads += 1
+                while len(self.folders) > 2:
+                    remove(spark, self.folders.pop(0))
+            except Exception:
+                if self.table is None:
+                    raise
+            self.read_at = now
         return self.table
 
 
@@ -93,12 +110,14 @@ def write_batch(rows: DataFrame, path: str, number: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def rpki_batches(load_vrps: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: validate announcements against the newest VRP table and write them by batch."""
-    table = Reloaded(load_vrps)
+def rpki_batches(load_vrps: Callable[[], DataFrame], path: str, seconds: float = 600) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: validate announcements against the VRP table, reloaded every ``seconds``, and write them by batch."""
+    table = Reloaded(load_vrps, seconds)
 
     def each(batch: DataFrame, number: int) -> None:
-        write_batch(R.rpki_validate(batch.where("event_type = 'announce'"), table.get()), path, number)
+        vrps = table.get()
+        with scratch(batch.sparkSession):
+            write_batch(R.rpki_validate(batch.where("event_type = 'announce'"), vrps), path, number)
 
     return each
 
@@ -110,32 +129,53 @@ MAX_SNAPSHOTS = 1000
 def roa_diff_batches(store: str, path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch over rows with a ``snapshot`` number: differences of consecutive snapshots below ``path``, by snapshot.
 
-    Rows are stored by batch and snapshot. The differences of every snapshot that a batch touches,
-    and of the one after it, are written anew, so replays and snapshots spread over several batches
-    give the same result.
+    Rows are stored by snapshot and batch. The differences of every snapshot that a batch touches,
+    and of the one after it, are written anew from those two snapshots' folders alone, so replays and
+    snapshots spread over several batches give the same result. A folder without rows is an empty one.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").partitionBy("snapshot").parquet(f"{store}/batch={number}")
-        rows = spark.read.schema(batch.schema).parquet(store).drop("batch")
         touched = sorted(r[0] for r in batch.select("snapshot").distinct().limit(MAX_SNAPSHOTS + 1).collect())
         if len(touched) > MAX_SNAPSHOTS:
             raise ValueError(f"a batch with more than {MAX_SNAPSHOTS} snapshots")
-        last = rows.agg(F.max("snapshot")).first()[0]
+        for n in touched:
+            batch.where(F.col("snapshot") == n).drop("snapshot").write.mode("overwrite").parquet(f"{store}/snapshot={n}/batch={number}")
+        held = {int(name.partition("=")[2]) for name in names_in(spark, store) if name.startswith("snapshot=")}
+        schema = batch.drop("snapshot").schema
+
+        def of(k: int) -> DataFrame:
+            parts = [f"{store}/snapshot={k}/{name}" for name in names_in(spark, f"{store}/snapshot={k}") if name.startswith("batch=")]
+            return spark.read.schema(schema).parquet(*parts).distinct() if parts else spark.createDataFrame([], schema)
+
         for n in sorted({*touched, *(t + 1 for t in touched)}):
-            if n <= last:
-                of = lambda k: rows.where(F.col("snapshot") == k).drop("snapshot").distinct()
+            if n <= max(held):
                 R.roa_delta(of(n - 1), of(n)).write.mode("overwrite").parquet(f"{path}/snapshot={n}")
 
     return each
 
 
-def escalation_batches(as_of, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over the alert history: bumped alerts that are due at ``as_of``, by batch."""
+def escalations(alerts: DataFrame, resolutions: DataFrame, timeout: int = A.ESCALATE_AFTER, delay: str = "10 minutes") -> DataFrame:
+    """Bumped anomalies of the alerts that turn ``timeout`` old unresolved, when the watermark has passed that age.
+
+    ``alerts`` are rows of the history, ``resolutions`` (id, resolved_at). A timer per alert waits for
+    its age, so neither a clock nor a new look at old alerts is needed, and each comes out once.
+    """
+    known = alerts.where(F.col("alert_type").isin("hijack", "flap"))
+    rows = known.select("id", F.lit("fired").alias("kind"), F.col("fired_at").alias("timestamp"), "alert_type", "prefix", "origin_as", "confidence")
+    rows = rows.unionByName(resolutions.select("id", F.lit("resolved").alias("kind"), F.col("resolved_at").alias("timestamp")), allowMissingColumns=True)
+    processor = P.Escalation(timeout, A.ESCALATE_BELOW, A.BUMP, A.TOP)
+    out = timed(rows, delay).groupBy("id").transformWithState(statefulProcessor=processor, outputStructType="id string, alert_type string, prefix string, origin_as long, confidence double, before double, fired_us long, due_us long", outputMode="Append", timeMode="EventTime")
+    out = out.withColumn("fired_at", F.timestamp_micros("fired_us").cast("timestamp_ntz"))
+    return A.bumped(out, F.col("confidence"), F.col("before"), F.timestamp_micros("due_us").cast("timestamp_ntz"))
+
+
+def rerouting_batches(silences: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over escalations: those that no silence holds back now, with level and fingerprint, by batch."""
 
     def each(batch: DataFrame, number: int) -> None:
-        write_batch(A.auto_escalate(batch, as_of), path, number)
+        with scratch(batch.sparkSession):
+            write_batch(A.reroute(batch, silences()), path, number)
 
     return each
 

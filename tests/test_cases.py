@@ -347,7 +347,7 @@ def test_a_failed_reload_keeps_the_last_good_table(spark):
             return spark.range(1).select(F.raise_error(F.lit("gone")).cast("string").alias("prefix"))
         return spark.range(3)
 
-    table = T.Reloaded(load)
+    table = T.Reloaded(load, 0)
     assert table.get().count() == 3 and table.get().count() == 3 and len(calls) == 2
 
 
