@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .folds import RUN, fold_sorted, quiet_runs
+from .folds import AnchoredTimes, scan_sorted
 from .joins import SALTS, lookup_join, sized
 from .storage import checkpointed
 
@@ -45,27 +45,13 @@ def unsilenced(alerts: DataFrame, silences: DataFrame, time: str = "detected_at"
 def dedup_flags(alerts: DataFrame, key: str = "fingerprint", time: str = "detected_at", order: str = "event_id", ttl: int = TTL_SECONDS) -> DataFrame:
     """(key, order, time, is_new): new if the last emitted one of the key is at least ``ttl`` seconds old.
 
-    Suppressed rows don't extend the time, so it is a greedy fold over the key's sorted rows, in runs
-    between gaps of more than ``ttl``, after which a row is new anyway.
+    Suppressed rows don't extend the time. Every row points at the first one at least ``ttl`` later,
+    and the chain of pointers from a key's first row are the new ones. Rows are sorted by ranges and
+    the partitions' chains joined, so a busy key spreads over tasks, with or without quiet times.
     """
-
-    def start():
-        last = float("-inf")
-
-        def take(t: float | None) -> tuple[bool | None]:
-            nonlocal last
-            if t is None:
-                return (None,)
-            new = t - last >= ttl
-            if new:
-                last = t
-            return (new,)
-
-        return take
-
-    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    runs = quiet_runs(alerts.select(key, order, time, seconds.alias("_t")), key, F.col("_t"), ttl)
-    return fold_sorted(runs, [key, RUN], ["_t", order], "_t", start, "is_new boolean").drop("_t", RUN)
+    times = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(AnchoredTimes.NONE))
+    rows = alerts.select(key, order, time, times.alias("_t"))
+    return scan_sorted(rows, [key], ["_t", order], "_t", AnchoredTimes(int(ttl * 1_000_000)), "is_new boolean").drop("_t")
 
 
 def deduplicated(alerts: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:

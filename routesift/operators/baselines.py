@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .folds import fold_sorted
+from .folds import MovingAverage, scan_sorted
 from .joins import lookup_join
 
 ALPHA = 0.1
@@ -14,40 +14,31 @@ WELL_KNOWN_DAYS, FULL_DAYS = 7, 30
 PATH_BOOST, PREFIX_BOOST, KNOWN_CUT, BOOST_LIMIT = 0.10, 0.05, 0.10, 0.15
 
 
+def _path_lengths(events: DataFrame, value: Column | None, keys: list[str]) -> DataFrame:
+    x = F.size("as_path") if value is None else value
+    return events.select(*keys, "timestamp", "event_id", x.cast("double").alias("x"))
+
+
+STATES, IN_TIME = "ema double, var double, n long", ["timestamp", "event_id", "x"]
+
+
 def ema_baseline(events: DataFrame, value: Column | None = None, keys: list[str] | None = None, alpha: float = ALPHA) -> DataFrame:
-    """(keys, ema, var, n) after folding the values in order of time; only a key's state is held."""
+    """(keys, ema, var, n) after folding the values in order of time, as ``event_states`` does."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must lie in (0, 1]")
     keys = keys or ["prefix"]
-    states = event_states(events, value, keys, alpha, "after")
-    return states.groupBy(*keys).agg(F.max_by(F.struct("ema", "var", "n"), "n").alias("s")).select(*keys, "s.ema", "s.var", "s.n")
+    ends = scan_sorted(_path_lengths(events, value, keys), keys, IN_TIME, "x", MovingAverage(alpha, False), STATES, last=True)
+    return ends.groupBy(*keys).agg(F.max_by(F.struct("ema", "var", "n"), "n").alias("s")).select(*keys, "s.ema", "s.var", "s.n")
 
 
 def event_states(events: DataFrame, value: Column | None = None, keys: list[str] | None = None, alpha: float = ALPHA, state: str = "before") -> DataFrame:
-    """(keys, timestamp, event_id, x, ema, var, n) with each event's state before or after it is folded in."""
-    keys = keys or ["prefix"]
+    """(keys, timestamp, event_id, x, ema, var, n) with each event's state before or after it is folded in.
 
-    def start():
-        ema, var, n = 0.0, 0.0, 0
-
-        def take(x: float | None) -> tuple[float | None, float | None, int]:
-            nonlocal ema, var, n
-            before = ema, var, n
-            if n == 0:
-                ema, var = x, 0.0
-            elif x is None or ema is None:
-                ema, var = None, None
-            else:
-                delta = x - ema
-                ema, var = ema + alpha * delta, (1 - alpha) * (var + alpha * delta * delta)
-            n += 1
-            return before if state == "before" else (ema, var, n)
-
-        return take
-
-    x = F.size("as_path") if value is None else value
-    rows = events.select(*keys, "timestamp", "event_id", x.cast("double").alias("x"))
-    return fold_sorted(rows, keys, ["timestamp", "event_id", "x"], "x", start, "ema double, var double, n long")
+    A prefix scan: a key's rows may lie in any number of partitions. From a null value on a key has
+    no mean and no variance.
+    """
+    keys = keys or ["prefix"]
+    return scan_sorted(_path_lengths(events, value, keys), keys, IN_TIME, "x", MovingAverage(alpha, state == "before"), STATES)
 
 
 def path_length_anomaly(events: DataFrame, threshold: float = 3.0, state: str = "before", alpha: float = ALPHA) -> DataFrame:
