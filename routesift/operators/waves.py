@@ -92,6 +92,65 @@ def load_baseline(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Size of the quantile sketches; the normalised rank error is about 2.3 / SKETCH ** 0.9, that is 0.13 %.
+SKETCH = 4096
+STATE = ["n", "mean", "m2", "min", "max", "cutoff_ms", "sketch", "ranks"]
+
+
+def wave_states(events: DataFrame, day: Column | None = None) -> DataFrame:
+    """Mergeable states of the spread per day and (prefix, origin, path), and of the collectors' ranks.
+
+    ``n``, ``mean`` and ``m2`` (the sum of squared deviations) are moments, ``sketch`` a KLL sketch and
+    ``ranks`` the sums and counts of every collector's position. Days are of the last arrival, in UTC.
+    """
+    s = F.col("spread_ms")
+    day = F.date_format(F.timestamp_millis(F.col("last_ms").cast("long")), "yyyy-MM-dd") if day is None else day
+    rows = events.withColumn("day", day)
+    g = rows.groupBy("day", *GROUP).agg(F.count("*").alias("n"), F.avg(s).alias("mean"), (F.var_pop(s) * F.count("*")).alias("m2"), F.min(s).alias("min"), F.max(s).alias("max"), F.max("last_ms").alias("cutoff_ms"), F.kll_sketch_agg_double(s, SKETCH).alias("sketch"))
+    places = rows.select("day", *GROUP, F.posexplode("arrival_order").alias("pos", "collector")).groupBy("day", *GROUP, "collector").agg(F.sum("pos").alias("sum"), F.count("*").alias("n"))
+    return g.join(places.groupBy("day", *GROUP).agg(F.array_sort(F.collect_list(F.struct("collector", "sum", "n"))).alias("ranks")), ["day", *GROUP])
+
+
+def merged_moments(states: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mean, std, min, max, cutoff_ms) from states of any days and finer keys.
+
+    Deviations are taken from the joint mean before they are added, so nothing cancels.
+    """
+    mean = states.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    apart = F.col("mean") - F.col("_mean")
+    g = lookup_join(states.select(*keys, "n", "mean", "m2", "min", "max", "cutoff_ms"), mean, keys).groupBy(*keys)
+    g = g.agg(F.sum("n").alias("n"), F.any_value("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"), F.max("cutoff_ms").alias("cutoff_ms"))
+    return g.withColumn("std", F.sqrt(F.col("m2") / F.col("n"))).drop("m2")
+
+
+def merged_baseline(states: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    """The baseline of all the states' days, as ``build_baseline`` gives it, without the events.
+
+    Moments and the expected order are exact; a percentile is a value whose rank is within the
+    sketches' error of the one asked for, and exact while a group has at most SKETCH samples.
+    """
+    levels = [0.5, 0.95, 0.99]
+    sketches = states.groupBy(*GROUP).agg(F.kll_merge_agg_double("sketch", SKETCH).alias("sketch"))
+    quantiles = sketches.select(*GROUP, F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, levels))).alias("q"))
+    ranks = states.select(*GROUP, F.inline("ranks")).groupBy(*GROUP, "collector").agg((F.sum("sum") / F.sum("n")).alias("rank"))
+    order = ranks.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "collector"))), lambda x: x["collector"]).alias("expected_order"))
+    m = merged_moments(states, GROUP).where(F.col("n") >= min_samples)
+    out = m.join(quantiles, GROUP).join(order, GROUP)
+    return out.select(*GROUP, F.col("n").alias("sample_count"), F.col("min").alias("min_spread_ms"), *[F.col("q")[i].alias(f"p{round(x * 100)}_spread_ms") for i, x in enumerate(levels)], F.col("max").alias("max_spread_ms"), F.col("std").alias("std_dev"), F.col("cutoff_ms").alias("data_cutoff_ms"), "expected_order")
+
+
+def save_states(states: DataFrame, path: str) -> None:
+    """Add days to stored states; a day that is there already is replaced, other days aren't read or written."""
+    states.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def load_states(spark, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Stored states of the days from ``since`` to ``until`` (both included, as text); other days' files aren't read."""
+    states = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+    states = states if since is None else states.where(F.col("day") >= since)
+    return states if until is None else states.where(F.col("day") <= until)
+
+
 def far_pairs(events: DataFrame, distances: DataFrame, key: list[str]) -> DataFrame:
     """``events`` and ``km`` of the farthest pair of known reporting collectors (null without one).
 

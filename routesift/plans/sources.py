@@ -6,14 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import waves as W
-from ..operators.storage import work_folder
+from ..operators.storage import checkpointed, work_folder
 from ..sources import readers as R
 from ..sources import sinks as K
 from . import fixtures as X
 from .detectors import DELTA_SQL, delta
 from .fixtures import sql
 from .registry import query
-from .waves import PROP_SQL, START, base_sql, half_baseline, prop
+from .waves import PROP_SQL, START, base_sql, baseline_cols, half_baseline, prop
 
 
 def ris_texts(spark, d):
@@ -130,3 +130,28 @@ def wave_baseline_store(spark, d):
     W.save_baseline(b.where("origin_as % 2 = 0"), path, "even")
     W.save_baseline(b.where("origin_as % 2 = 1"), path, "odd", mode="append")
     return W.load_baseline(spark, path).select("prefix", "origin_as", "as_path", "sample_count", "description")
+
+
+#: Percentiles of sketches that hold every sample: the value of the least rank that reaches the share.
+RANKED = "list_sort(list(spread_ms))[greatest(ceil(count(*) * {})::int, 1)]"
+MERGED_SQL = f""", merged as (select prefix, origin_as, as_path, count(*) as sample_count, min(spread_ms) as min_spread_ms, {RANKED.format(0.5)} as p50, {RANKED.format(0.95)} as p95, {RANKED.format(0.99)} as p99, max(spread_ms) as max_spread_ms, round(stddev_pop(spread_ms), 6) as std_dev, max(last_ms) as data_cutoff_ms from src group by all having count(*) >= 10) """
+
+
+@query("wave_states_merge", sql(base_sql() + MERGED_SQL + "select * from merged join orders using (prefix, origin_as, as_path)"))
+def wave_states_merge(spark, d):
+    path = work_folder(spark) + "/states"
+    events = checkpointed(W.good_route(prop(spark, d)))
+    states = checkpointed(W.wave_states(events))
+    half = F.col("day") < "2024-01-16"
+    W.save_states(states.where(half), path)
+    W.save_states(states.where(~half), path)
+    W.save_states(states.where(F.col("day") == "2024-01-16"), path)  # a day that is built again
+    return baseline_cols(W.merged_baseline(W.load_states(spark, path), 10))
+
+
+@query("wave_stats_merge", sql(PROP_SQL + "select prefix, count(*) as n, round(avg(spread_ms), 6) as mean, round(stddev_pop(spread_ms), 6) as std, min(spread_ms) as min, max(spread_ms) as max from good where strftime(make_timestamp((last_ms * 1000)::bigint), '%Y-%m-%d') between '2024-01-05' and '2024-01-20' group by 1"))
+def wave_stats_merge(spark, d):
+    path = work_folder(spark) + "/states"
+    W.save_states(W.wave_states(W.good_route(prop(spark, d))), path)
+    m = W.merged_moments(W.load_states(spark, path, "2024-01-05", "2024-01-20"), ["prefix"])
+    return m.select("prefix", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max")
