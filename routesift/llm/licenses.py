@@ -7,8 +7,8 @@ all such lines. A template counts only where its key words all stand, so that wo
 licences share never name one.
 
 A file whose best lines reach ``HEADER_COSINE`` has that licence, whatever the rest of the text
-resembles. A text that is mostly a licence (``FILE_COSINE`` of the whole) has it too. Such a text,
-and a file named like a licence file, also rules its directory. Files without their own
+resembles. A text that is mostly a licence's own text (``FILE_COSINE`` of the whole to a body, which a
+notice isn't) has it too. Such a text, and a file named like a licence file, also rules its directory. Files without their own
 licence take that of the nearest ancestor directory that has one; directories are resolved
 first, by joining their ancestors' paths.
 """
@@ -25,7 +25,7 @@ from ..operators.joins import sized
 from .common import checkpointed, lookup_join
 
 _CC = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
-#: Licence, its key words, and the wording of a notice or body.
+#: Licence, its key words (a minus before one that must not stand), and the wording of a notice or body.
 NOTICES = (
     ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "apache 2 0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
@@ -40,12 +40,25 @@ NOTICES = (
     ("BSD-2-Clause", "redistribution source binary forms retain reproduce", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("MPL-2.0", "mozilla 2 0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "mozilla 2 0 mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("GPL-3.0", "gnu general public 3", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "gnu general public 3 free software", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "gnu general public 2", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "gnu general public 2 free software", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "gnu general public 3 -lesser -affero", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "gnu general public 3 free software -lesser -affero", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "gnu general public license version 3 2007 -lesser -affero", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "gnu general public 2 -lesser -affero", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "gnu general public 2 free software -lesser -affero", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "gnu general public 2 -lesser", "This library is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "gnu general public 2 free software -lesser", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "gnu general public license version 2 1991 -lesser", "GNU General Public License Version 2, June 1991"),
+    ("GPL-1.0", "gnu general public license version 1 1989 -lesser", "GNU General Public License Version 1, February 1989"),
     ("LGPL-3.0", "gnu lesser general public 3", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "gnu lesser general public 3 free software", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "gnu lesser general public license version 3 2007", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("LGPL-2.1", "gnu lesser general public 2 1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "gnu lesser general public 2 1 free software", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "gnu lesser general public license version 2 1 1999", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.0", "gnu library general public 2", "This library is licensed under the GNU Library General Public License, version 2."),
+    ("LGPL-2.0", "gnu library general public 2 free software", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "gnu library general public license version 2 1991", "GNU Library General Public License Version 2, June 1991"),
+    ("AGPL-3.0", "gnu affero general public license version 3 2007", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("AGPL-3.0", "gnu affero general public 3", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Unlicense", "unencumbered public domain", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "cc0", "Dedicated to the public domain under CC0 1.0."),
@@ -57,6 +70,8 @@ TRIGGER = "(?i)licen[sc]|copyright|spdx|redistribution and use|permission (?:is
 WORDS = "[a-z0-9]+"
 LICENSE_FILE = "(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 HEADER_COSINE, FILE_COSINE = 0.6, 0.6
+#: What a forbidden word adds to the sum of key words, which then can't be the one asked for; words of a body at least.
+FORBIDDEN, BODY_WORDS = -1000, 50
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Part number of a whole text; those of lines count from 0.
 WHOLE = -1
@@ -72,14 +87,20 @@ def words_of(text: str) -> list[str]:
 
 
 def template_words(templates: Templates = TEMPLATES) -> list[tuple[int, str, str, int, int]]:
-    """(template, license, word, count, 1 if it is a key word) of all templates."""
+    """(template, license, word, count, key) of all templates: 1 for a key word, FORBIDDEN for one that must not stand, else 0."""
     out = []
     for i, (name, keys, text) in enumerate(templates):
-        words, needed = words_of(text), set(words_of(keys))
-        out += [(i, name, w, words.count(w), int(w in needed)) for w in dict.fromkeys([*words, *needed])]
+        words, needed = words_of(text), {w for k in keys.split() if k[0] != "-" for w in words_of(k)}
+        barred = [w for k in keys.split() if k[0] == "-" for w in words_of(k)]
+        out += [(i, name, w, words.count(w), FORBIDDEN if w in barred else int(w in needed)) for w in dict.fromkeys([*words, *sorted(needed), *barred])]
     return out
 
 
+def bodies(templates: Templates = TEMPLATES) -> list[bool]:
+    """Which templates are long enough to be a licence's own text, not a notice that points at one."""
+    return [len(words_of(text)) >= BODY_WORDS for _, _, text in templates]
+
+
 def parents(path: Column) -> Column:
     """All ancestor directories of a path, nearest first, the root (empty) last."""
     parts = F.split(path, "/")
@@ -106,7 +127,7 @@ def weights(spoken: DataFrame, templates: Templates) -> tuple[DataFrame, list[tu
     total = df.get("", 0)
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1 for w in words}
     rows = [(w, idf[w], [(i, n * idf[w] * idf[w], key) for i, _, x, n, key in table if x == w]) for w in words]
-    norms = [(math.sqrt(sum((n * idf[w]) ** 2 for j, _, w, n, _ in table if j == i)), sum(key for j, *_, key in table if j == i)) for i in range(len(templates))]
+    norms = [(math.sqrt(sum((n * idf[w]) ** 2 for j, _, w, n, _ in table if j == i)), sum(key for j, *_, key in table if j == i and key > 0)) for i in range(len(templates))]
     made = spoken.sparkSession.createDataFrame(rows, "word string, idf double, held array<struct<template:int,weight:double,key:int>>")
     return made, norms, math.log(total + 1) + 1
 
@@ -121,8 +142,8 @@ def matches(spoken: DataFrame, templates: Templates) -> DataFrame:
     dots = F.transform(F.coalesce("held", F.array().cast("array<struct<template:int,weight:double,key:int>>")), lambda t: F.struct(t["template"].alias("template"), (F.col("count") * t["weight"]).alias("x"), t["key"].alias("key")))
     sums = known.select("_id", "part", F.explode(F.concat(F.array(square), dots)).alias("t")).groupBy("_id", "part", "t.template").agg(F.sum("t.x").alias("x"), F.sum("t.key").alias("keys"))
     each = sums.groupBy("_id", "part").agg(F.max(F.when(F.col("template").isNull(), F.sqrt("x"))).alias("norm"), F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "x", "keys"))).alias("found"))  # at most one per template
-    facts = F.array(*[F.struct(F.lit(n).alias("norm"), F.lit(k).alias("keys"), F.lit(t[0]).alias("license")) for (n, k), t in zip(norms, templates, strict=True)])
-    scored = each.select("_id", "part", "norm", F.explode("found").alias("f")).withColumn("t", F.get(facts, F.col("f.template"))).where("f.keys = t.keys")
+    facts = F.array(*[F.struct(F.lit(n).alias("norm"), F.lit(k).alias("keys"), F.lit(t[0]).alias("license"), F.lit(body).alias("body")) for (n, k), t, body in zip(norms, templates, bodies(templates), strict=True)])
+    scored = each.select("_id", "part", "norm", F.explode("found").alias("f")).withColumn("t", F.get(facts, F.col("f.template"))).where((F.col("f.keys") == F.col("t.keys")) & ((F.col("part") != WHOLE) | F.col("t.body")))
     rated = scored.select("_id", "part", F.struct((-F.round(F.col("f.x") / (F.col("norm") * F.col("t.norm")), 6)).alias("down"), F.col("t.license").alias("license")).alias("r"))
     best = lambda r: F.when(r.isNotNull(), F.struct((-r["down"]).alias("cosine"), r["license"].alias("license")))
     tops = rated.groupBy("_id").agg(F.min(F.when(F.col("part") != WHOLE, F.col("r"))).alias("own"), F.min(F.when(F.col("part") == WHOLE, F.col("r"))).alias("whole"))

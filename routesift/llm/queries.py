@@ -93,10 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _license_sql() -> str:
-    templates = ", ".join(f"({i}, '{name}', '{word}', {n}, {key})" for i, name, word, n, key in licenses.template_words())
+    body = licenses.bodies()
+    templates = ", ".join(f"({i}, '{name}', '{word}', {n}, {key}, {str(body[i]).lower()})" for i, name, word, n, key in licenses.template_words())
     words = lambda x: f"regexp_extract_all(translate({x}, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORDS}')"
     return f"""
-    with recursive templates(template, license, word, n, key) as (values {templates}),
+    with recursive templates(template, license, word, n, key, body) as (values {templates}),
     files as (select doc_id, doc_id as file, concat_ws('/', source, lang, doc_id::varchar) as path, text from documents),
     spoken as (select file, text from files where regexp_matches(text, '{licenses.TRIGGER}')),
     split as (select file, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from spoken),
@@ -108,9 +109,9 @@ def _license_sql() -> str:
     line_words as (select distinct file, part, word from bags where part >= 0 and part % 3 = 0),
     idf as (select word, ln((any_value(total) + 1) / (count(part) + 1)) + 1 as idf from (select distinct word from templates) cross join total left join line_words using (word) group by word),
     norms as (select file, part, sqrt(sum((n * coalesce(i.idf, (select ln(total + 1) + 1 from total))) ** 2)) as norm from bags left join idf i using (word) group by file, part),
-    template_norms as (select template, any_value(license) as license, sqrt(sum((n * idf) ** 2)) as norm, sum(key) as keys from templates join idf using (word) group by template),
+    template_norms as (select template, any_value(license) as license, sqrt(sum((n * idf) ** 2)) as norm, sum(key) filter (key > 0) as keys, any_value(body) as body from templates join idf using (word) group by template),
     dots as (select file, part, template, sum(b.n * t.n * idf * idf) as dot, sum(key) as keys from bags b join idf using (word) join templates t using (word) group by file, part, template),
-    rated as (select d.file, d.part, t.license, round(dot / (n.norm * t.norm), 6) as cosine from dots d join norms n using (file, part) join template_norms t using (template) where d.keys = t.keys),
+    rated as (select d.file, d.part, t.license, round(dot / (n.norm * t.norm), 6) as cosine from dots d join norms n using (file, part) join template_norms t using (template) where d.keys = t.keys and (d.part >= 0 or t.body)),
     own as (select file, cosine, license from rated where part >= 0 qualify row_number() over (partition by file order by cosine desc, license) = 1),
     whole as (select file, cosine, license from rated where part = {licenses.WHOLE} qualify row_number() over (partition by file order by cosine desc, license) = 1),
     picked as (select f.doc_id, f.path, o.cosine as own_cosine, o.license as own_license, w.cosine as whole_cosine, w.license as whole_license, coalesce(o.cosine >= {licenses.HEADER_COSINE}, false) as header, coalesce(w.cosine >= {licenses.FILE_COSINE}, false) as body,

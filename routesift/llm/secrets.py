@@ -3,8 +3,8 @@
 Base matches are found in the text itself. Then segments that look URL-encoded, Unicode-escaped
 or base64-encoded (also wrapped over lines, with UTF-16 inside, or with gzip, zlib or bzip2, also within
 each other and in several members) are unwrapped, each decoded layer is scanned with the same patterns
-and searched for further segments, until nothing new comes up. Nested escapes are unwrapped to their
-fixpoint in one pass. Bytes that aren't UTF-8 spoil no more than themselves.
+and searched for further segments, until nothing new comes up. Nested escapes are unwrapped level by
+level and also to their fixpoint in one pass. Bytes that aren't UTF-8 spoil no more than themselves.
 A layer that repeats a text at the same place is skipped, which ends cycles. Every character of a
 layer carries the span of the original code points it came from, so matches map back.
 """
@@ -38,6 +38,10 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 #: Base64 that is wrapped over lines; nothing is tried twice.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]{2,}+)+={0,2}")
+#: Characters of base64 and how many of them the first of several lines has at least.
+B64_BYTES, WRAP_FIRST = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 40
+#: Escapes within escapes of which every layer is searched; of deeper ones the first so many and the innermost, and they are counted in ``n_oversized``.
+LEVELS = 32
 DIGITS = {ord(c): int(c, 16) for c in "0123456789abcdefABCDEF"}
 ESCAPE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 SPACE = re.compile(r"\s")
@@ -235,19 +239,41 @@ def _safe_end(held: bytearray) -> int:
     return max(at, end) + 1
 
 
+def _open_run(held: bytearray, end: int) -> int:
+    """Where base64 wrapped over lines begins that may go on after ``end``; ``end`` if there is none."""
+    at = len(held[:end].rstrip(b" \t")) if held[end - 1 : end] in (b" ", b"\t") else end
+    begin = end
+    while at and held[at - 1] == 10:
+        stop = at - 1 - (at > 1 and held[at - 2] == 13)
+        start = held.rfind(b"\n", 0, stop) + 1
+        line = bytes(held[start:stop])
+        rest = line.rstrip(B64_BYTES)
+        if len(line) - len(rest) >= WRAP_FIRST:
+            begin = start + len(rest)
+        if len(line) - len(rest) < 2 or rest.strip(b" \t"):
+            break
+        at = start
+    return begin
+
+
 def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
-    """A layer in parts that end at white space, and whether a part was cut elsewhere."""
-    held = bytearray()
+    """A layer in parts that end at white space outside wrapped base64, and whether a part was cut elsewhere."""
+    held, limit = bytearray(), WINDOW
     for chunk in chunks:
         # matches allow any number of blanks where they allow one
         held += BLANKS.sub(b" ", chunk.lstrip(b" ") if held.endswith(b" ") else chunk)
-        if len(held) >= WINDOW:
-            if end := _safe_end(held):
+        if len(held) >= limit:
+            if (end := _safe_end(held)) and (end := _open_run(held, end)):
                 yield bytes(held[:end]), False
                 del held[:end]
+                # a run that is carried over is looked at again when the rest has doubled
+                limit = max(WINDOW, min(STRETCH, 2 * len(held)))
             elif len(held) >= STRETCH:
                 yield bytes(held), True
                 del held[:-OVERLAP]
+                limit = WINDOW
+            else:
+                limit = min(STRETCH, 2 * len(held))
     yield bytes(held), False
 
 
@@ -262,22 +288,23 @@ def _kinds(chunks: Iterator[bytes], depth: int = 0) -> tuple[set[str], int]:
     oversized += depth == MAX_DEPTH
     for window, lost in _windows(itertools.chain([first], chunks)):
         oversized += lost
-        work, seen, unwrapped = [window], {window}, set()
+        work, seen = [(window, LEVELS)], {window}
         while work:
-            layer = work.pop()
+            layer, levels = work.pop()
             if any(len(m[2]) >= MIN_VALUE for m in B_ASSIGN.finditer(layer)):
                 kinds.add("assign")
             kinds |= {kind for kind, pattern in (("access", B_ACCESS), ("hex", B_HEX)) if pattern.search(layer)}
             made = []
             escaped = [mark for mark in (B_PERCENT, B_ESCAPE) if mark.search(layer)]
-            if escaped:
+            if escaped and levels > 0:
                 # no match goes over the ends of a segment, so its white space becomes a line end
                 flat = B_SPACE.sub(b"\n", layer)
-                made += [mark.sub(lambda m: _value(m[0]), flat) for mark in escaped] if layer not in unwrapped else []
-                made.append(bytes(_unwrap([flat[i : i + 1] for i in range(len(flat))])[0]))
-                unwrapped |= set(made)
+                made += [(mark.sub(lambda m: _value(m[0]), flat), levels - 1) for mark in escaped]
+                if levels == LEVELS:
+                    made.append((bytes(_unwrap([flat[i : i + 1] for i in range(len(flat))])[0]), -1))
+            oversized += bool(escaped) and levels == 0
             if (wide := _wide(layer)) is not None:
-                made.append(wide[0].encode("utf-8", "replace"))
+                made.append((wide[0].encode("utf-8", "replace"), LEVELS))
             for m in itertools.chain(B_BASE64.finditer(layer), B_WRAPPED.finditer(layer)):
                 raw = _unbase64(B_SPACE.sub(b"", m[0]).decode()) or (b"\n" in m[0] and _unbase64(B_SPACE.sub(b"", m[0][: m[0].rfind(b"\n")]).decode()))
                 if raw and depth < MAX_DEPTH and _compressed(raw):
@@ -286,35 +313,40 @@ def _kinds(chunks: Iterator[bytes], depth: int = 0) -> tuple[set[str], int]:
                         more, over = _kinds(iter([raw]), depth)
                         kinds, oversized = kinds | more, oversized + over
                 elif raw:
-                    made.append(raw)
-            for new in made:
+                    made.append((raw, LEVELS))
+            for new, left in made:
                 if new not in seen:
                     seen.add(new)
-                    work.append(new)
+                    work.append((new, left))
     return kinds, oversized
 
 
 def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], int]:
     """Base spans, all spans (start, kind, end; sorted, distinct) and stretches cut.
 
-    Of a layer with escapes two layers are made: one with every escape replaced once, and one with
-    them replaced to the fixpoint; neither is searched for escapes again.
+    Of a layer with escapes two layers are made: one with every escape replaced once, which may hold
+    escapes again and is searched for them up to LEVELS deep, and one with them replaced to the
+    fixpoint, which has none.
     """
     base = [(a, k, b) for k, a, b in matches(text)]
     every, oversized = set(base), 0
-    work: deque = deque([(text, None, None, True)])
+    work: deque = deque([(text, None, None, LEVELS)])
     seen: set[tuple[int, int, bytes]] = set()
     while work:
-        layer, lo, hi, escapes = work.popleft()
+        layer, lo, hi, escapes = work.popleft()  # -1: a fixpoint
         span = (lambda a, b: (a, b)) if lo is None else (lambda a, b, lo=lo, hi=hi: (int(lo[a:b].min()), int(hi[a:b].max())))
         if lo is not None:
             for kind, a, b in matches(layer):
                 start, end = span(a, b)
                 every.add((start, kind, end))
         made = []
-        marked = [(a, b, mark) for mark, sign in ((PERCENT, "%"), (ESCAPE, "\\")) if escapes and sign in layer for a, b in _segments(layer, mark)]
-        made += [(a, *_unescape(layer[a:b], mark), False) for a, b, mark in marked]
-        made += [(a, *_unwrapped(layer[a:b]), False) for a, b in sorted({(a, b) for a, b, _ in marked})]
+        marked = [(a, b, mark) for mark, sign in ((PERCENT, "%"), (ESCAPE, "\\")) if sign in layer for a, b in _segments(layer, mark)]
+        if escapes > 0:
+            made += [(a, *_unescape(layer[a:b], mark), escapes - 1) for a, b, mark in marked]
+            if escapes == LEVELS:
+                made += [(a, *_unwrapped(layer[a:b]), -1) for a, b in sorted({(a, b) for a, b, _ in marked})]
+        elif escapes == 0:
+            oversized += bool(marked)
         for m in itertools.chain(BASE64.finditer(layer), WRAPPED.finditer(layer)):
             place = np.array([i for i, c in enumerate(m[0]) if not c.isspace()]) if "\n" in m[0] else None
             raw = _unbase64(m[0] if place is None else SPACE.sub("", m[0])) or (place is not None and _unbase64(SPACE.sub("", m[0][: m[0].rfind("\n")])))  # the last line may be a word that follows
@@ -328,7 +360,7 @@ def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, in
                 continue
             for new, first, last in filter(None, (_characters(raw), _wide(raw))):
                 first, end = first // 3 * 4, np.minimum(last // 3 * 4 + 4, len(m[0]) if place is None else len(place))
-                made.append((m.start(), new, *((first, end) if place is None else (place[first], place[end - 1] + 1)), True))
+                made.append((m.start(), new, *((first, end) if place is None else (place[first], place[end - 1] + 1)), LEVELS))
         for a, new, first, end, more in made:
             if not new:
                 continue

@@ -92,9 +92,10 @@ class ToxicityModel:
 def sample(labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     """(doc_id, label, weight, order): at most so many rows of each class, chosen by a hash of doc_id.
 
-    Weights restore the classes' shares. Rows with a null id or label are left out; repeated rows count once.
+    Weights restore the classes' shares. Rows with a null id or label are left out; of the labels of
+    one id the smallest counts.
     """
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").alias("label")).distinct().withColumn("order", F.xxhash64(F.lit("toxic"), "doc_id"))
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("label")).withColumn("order", F.xxhash64(F.lit("toxic"), "doc_id"))
     classes = []
     for label, most in ((1, max_positive), (0, max_negative)):
         own = known.where(F.col("label") == label)
@@ -104,10 +105,15 @@ def sample(labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> ToxicityModel:
-    """Train on the labelled rows of ``labels`` (doc_id, toxic). Without any, all weights are zero."""
+    """Train on the labelled rows of ``labels`` (doc_id, toxic). Without any, all weights are zero.
+
+    A labelled id is one training row, however many documents repeat it: of their texts the one that
+    sorts first, found by an aggregate that combines before the shuffle.
+    """
     chosen = checkpointed(sample(labels, max_positive, max_negative))
     shards = min(MAX_SHARDS, max(1, chosen.count() // SHARD_ROWS))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the sample's size
+    once = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # bounded by the sample's size
+    rows = once.join(F.broadcast(chosen), "doc_id")
     rows = rows.select(F.pmod("order", F.lit(shards)).alias("shard"), "order", "label", "weight", F.arrow_udf(features, "array<int>")("text").alias("features"))
     trained = rows.groupBy("shard").applyInArrow(train_shard, "at int, z double, n double")
     merged = trained.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
@@ -143,7 +149,11 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labels that aren't held out and score every document: (doc_id, held_out, score, predicted)."""
+    """Fit on the labels that aren't held out and score every document: (doc_id, held_out, score, predicted).
+
+    Texts are read whole, however long; null and empty ones score by the bias. Repeated rows are scored
+    each and trained on once; a null id is scored and never trained on. An empty table gives no rows.
+    """
     model = fit(docs, labels.where(~held_out()))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -196,3 +196,85 @@ def test_files_of_rules_reach_the_tasks(spark):
     rules = spark.createDataFrame([(f"h{i}.net", "/", "allow") for i in range(0, 50, 2)] + [("net", "/es/", "block")], "host string, path string, verdict string")
     verdicts = urlfilter.filter_urls(pages, rules).groupBy("filter.verdict").count().collect()
     assert {r["verdict"]: r["count"] for r in verdicts} == {"allow": 500, "block": 500}  # h0.net/ is as long as net/es/, its host longer
+
+
+# Repairs of earlier operators
+
+
+def test_licence_files_are_named_rightly_or_not_at_all(spark):
+    import os
+
+    from routesift.llm import licenses
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts here")
+    names = sorted(n for n in os.listdir(folder))
+    rows = [(f"{n}/LICENSE", open(f"{folder}/{n}", encoding="utf-8", errors="replace").read()) for n in names]
+    got = {r["path"].split("/")[0]: r["license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    right = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "GPL": "GPL-3.0", "LGPL": "LGPL-3.0"}
+    assert {n: x for n, x in got.items() if x is not None} == {n: x for n, x in right.items() if n in got}
+
+
+def test_notices_head_files_and_rule_no_directory(spark):
+    from routesift.llm import licenses
+
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    rows = [("a/x", f"one\n{notice}"), ("a/y", "plain text"), ("b/COPYING", notice), ("b/y", "plain text"), ("c/x", "This library is licensed under the GNU General Public License, version 2."), ("c/y", None)]
+    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a/x": ("GPL-3.0", "header"), "a/y": (None, "none"), "b/COPYING": ("GPL-3.0", "file"), "b/y": ("GPL-3.0", "inherited"), "c/x": ("GPL-2.0", "header"), "c/y": (None, "none")}
+
+
+def test_ruling_files_of_equal_cosine(spark):
+    from routesift.llm import licenses
+
+    rows = [("a/LICENSE", "SPDX-License-Identifier: MIT"), ("a/COPYING", "SPDX-License-Identifier: ISC"), ("a/y", "plain text")]
+    got = {r["path"]: r["license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/y"] in ("MIT", "ISC") and got["a/LICENSE"] == "MIT" and got["a/COPYING"] == "ISC"
+
+
+@pytest.mark.parametrize("offset", [-60_000, -20_000, -300, 0, 300, 20_000])
+def test_secrets_in_wrapped_base64_across_windows(offset):
+    import base64
+    import gzip
+
+    from routesift.llm import secrets
+
+    rng = random.Random(2)
+    filler = lambda n: "".join(rng.choice(["lorem ", "ipsum\n", "dolor "]) for _ in range(n // 6)).encode()
+    inner = base64.encodebytes(gzip.compress(b"password=supersecret99 " + bytes(rng.randrange(256) for _ in range(27_000))))
+    layer = filler(secrets.WINDOW + offset) + b"\n\n" + inner + b"\n" + filler(200_000)
+    _, spans, oversized = secrets.scan("x " + base64.b64encode(gzip.compress(layer)).decode())
+    assert [k for _, k, _ in spans] == ["assign"] and oversized == 0
+
+
+def test_windows_of_one_wrapped_run_are_counted():
+    from routesift.llm import secrets
+
+    line = b"QUJD" * 19 + b"\n"
+    chunks = [line * 10_000] * 60
+    parts = list(secrets._windows(iter(chunks)))
+    assert any(lost for _, lost in parts) and sum(len(p) for p, _ in parts) >= len(line) * 600_000
+    words = [b"word\nlist\nof\nlines\n" * 50_000] * 12
+    assert not any(lost for _, lost in secrets._windows(iter(words)))
+
+
+def test_secrets_between_the_first_and_the_last_layer():
+    from routesift.llm import secrets
+
+    assert [k for _, k, _ in secrets.scan("%2525dapi_key%253Dabcdefgh12")[1]] == ["assign"]
+    deep = "%" + "25" * 100 + "41 password=%61%62cdefgh12"
+    _, spans, oversized = secrets.scan(deep)
+    assert "assign" in {k for _, k, _ in spans} and oversized == 1
+
+
+def test_repeated_ids_train_once(spark):
+    from routesift.llm import toxicity
+
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["good", "fine", "nice", "bad", "awful"][i % 2 * 2 :]) for _ in range(20))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(0, 1), (1, 0)], "doc_id long, toxic int")
+    one = toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    many = toxicity.fit(spark.createDataFrame(texts + [texts[7]] * 500, "doc_id long, text string"), labels)
+    assert (one.at == many.at).all() and np.allclose(np.sort(one.weight), np.sort(many.weight))
+    assert {r["doc_id"]: r["label"] for r in toxicity.sample(labels).collect()}[1] == 0
