@@ -10,8 +10,9 @@ query expands its rings from the best bound down, in rounds; rings whose bound i
 query's k-th score so far are never opened, which leaves the result exact.
 
 Identical vectors beyond the k + 1 smallest ids can't be among the k best and aren't indexed.
-Pivots and rings grow with the rows, rings are cut into blocks and queries into packs of bounded
-size, and a block meets a pack by (ring, block), so no ring is one task.
+Pivots and rings grow with the rows. Rings are cut into blocks, queries into packs of neighbouring
+ones, both of bounded size; a pack is sent once for a group of the blocks it opens, with a mask of the
+queries that open each, so neither a ring nor a query's copies grow with the data.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ SAMPLE = 4096
 #: Bounds of the pivots, of the rings of one pivot, and pivots that bound the distances of every ring.
 PIVOTS, RINGS, REFERENCES = (16, 512), (2, 64), 16
 BLOCK, PACK = 2048, 256
-#: Bounds of queries and rings that are computed at a time.
-CELLS = 1 << 20
+#: Blocks that a pack is sent to at a time.
+GROUP = 8
 #: Rings a query opens in each round; None: all whose bound still reaches its k-th score.
 ROUNDS = (1, 8, None)
 
@@ -117,7 +118,7 @@ def top_inner_products(vectors: DataFrame, k: int = K, every: int = EVERY, stats
         """With the component that makes all lengths equal."""
         return np.column_stack([m, np.sqrt(np.maximum(longest - (m * m).sum(1), 0))])
 
-    integers = rough.mapInArrow(whole, "vec_id long, vec binary")
+    integers = checkpointed(rough.mapInArrow(whole, "vec_id long, vec binary"))
     found = spark.createDataFrame([], "query_id long, vec_id long, score long")
     if not n:
         return found.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
@@ -147,44 +148,68 @@ def top_inner_products(vectors: DataFrame, k: int = K, every: int = EVERY, stats
     ring_ids, ring_size, ring_near, ring_far = (facts[c].to_numpy() for c in ("ring", "n", "near", "far"))
     ring_lo, ring_hi = (facts[[f"{name}{i}" for i in range(len(references))]].to_numpy() for name in ("lo", "hi"))
     of_pivot = (ring_ids // ring_count).astype(int)
-    blocks_of = F.create_map(*[F.lit(int(x)) for r, size in zip(ring_ids, ring_size, strict=True) for x in (r, -(-size // BLOCK))])
-
-    def packed(size: int):
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids: list = []
-            vecs: list = []
-            last = None
-
-            def out():
-                return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int32()), pa.array([last[1]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vecs)], pa.binary())], names=["ring", "part", "ids", "vecs"])
-
-            for batch in batches:
-                for ring, part, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if ids and ((ring, part) != last or len(ids) >= size):
-                        yield out()
-                        ids, vecs = [], []
-                    last = (ring, part)
-                    ids.append(i)
-                    vecs.append(v)
-            if ids:
-                yield out()
-
-        return pack
-
-    schema = "ring int, part int, ids binary, vecs binary"
-    spread = index.select("ring", F.pmod(F.xxhash64("vec_id"), blocks_of[F.col("ring")].cast("long")).cast("int").alias("part"), "vec_id", "vec")
-    blocks = checkpointed(spread.repartition("ring", "part").sortWithinPartitions("ring", "part").mapInArrow(packed(BLOCK), schema).withColumnRenamed("part", "block"))
-    queries = checkpointed(integers.where(F.col("vec_id") % every == 0))
-    dealt = max(1, -(-queries.count() // PACK))
+    place = np.zeros(len(pivots) * ring_count, np.int64)
+    place[ring_ids] = np.arange(len(ring_ids))
+    parts_of = -(-ring_size // BLOCK)
+    block_at = np.concatenate([[0], np.cumsum(parts_of)])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, vec_id, vec): the rows of a ring are dealt to its blocks."""
+        for batch in batches:
+            ring, ids = place[batch.column(2).to_numpy()], batch.column(0).to_numpy().view(np.uint64)
+            part = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % parts_of[ring].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(block_at[ring] + part.astype(np.int64)), *batch.columns[:2]], names=["block", "vec_id", "vec"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by their first column as one row of bytes per value; a third column holds the queries' least scores."""
+        held: list = []
+
+        def out() -> pa.RecordBatch:
+            key, ids, vecs, *least = zip(*held, strict=True)
+            raw = [np.array(ids, np.int64).tobytes(), b"".join(vecs), *(np.array(x, np.float64).tobytes() for x in least)]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), *(pa.array([x], pa.binary()) for x in raw)], names=names[: 1 + len(raw)])
+
+        names = ["key", "ids", "vecs", "least"]
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield out()
+                    held = []
+                held.append(row)
+        if held:
+            yield out()
+
+    rows = index.select("vec_id", "vec", "ring").mapInArrow(dealt, "block long, vec_id long, vec binary").repartition("block").sortWithinPartitions("block", "vec_id")
+    blocks = checkpointed(rows.mapInArrow(joined, "key long, ids binary, vecs binary").withColumnRenamed("key", "block"))
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = distances(np.column_stack([m := read(batch.column(1)), np.zeros(len(m))]), pivots).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["vec_id", "vec", "pivot"])
+
+    asking = checkpointed(integers.where(F.col("vec_id") % every == 0).mapInArrow(beside, "vec_id long, vec binary, pivot int")).withColumn("key", F.monotonically_increasing_id())
+    asked_at = np.zeros(len(pivots) + 1, np.int64)
+    for r in asking.groupBy("pivot").count().collect():  # one row per pivot
+        asked_at[r["pivot"] + 1] = r["count"]
+    asked_at = np.cumsum(asked_at)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pack, vec_id, vec): the queries of a pivot are dealt to neighbouring packs."""
+        for batch in batches:
+            near, key = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            pack = (asked_at[near] + key % np.maximum(asked_at[near + 1] - asked_at[near], 1)) // PACK
+            yield pa.RecordBatch.from_arrays([pa.array(pack), *batch.columns[:2]], names=["pack", "vec_id", "vec"])
+
+    queries = checkpointed(asking.mapInArrow(packed, "pack long, vec_id long, vec binary"))
+    groups = max(1, int(block_at[-1]) // GROUP)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    def opened(count: int | None, skip: int):
-        """Rings each query opens in a round: by bound, after ``skip`` opened before, while they reach its k-th score."""
+    def opened(count: int | None):
+        """(pack, block, mask, bound, pairs): blocks of the rings that queries of a pack open in a round, by bound, while they reach its k-th score."""
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (b.slice(i, rows) for b in batches for rows in [max(1, CELLS // len(ring_ids))] for i in range(0, b.num_rows, rows)):
-                m = read(batch.column(1))
-                least = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            for pack, ids, vecs, raw, done in (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                m, least = np.frombuffer(vecs, kind).reshape(-1, width).astype(np.float64), np.frombuffer(raw, np.float64)
                 norm2 = (m * m).sum(1)[:, None]
                 far = distances(np.column_stack([m, np.zeros(len(m))]), pivots)
                 q = far[:, of_pivot]
@@ -194,38 +219,51 @@ def top_inner_products(vectors: DataFrame, k: int = K, every: int = EVERY, stats
                 # the distances' rounding grows with their squares
                 gap = np.maximum(0, gap - 1e-6 * (1 + q) - 1e-13 * (norm2 + longest))
                 bound = np.minimum((norm2 + longest - gap * gap) / 2, np.sqrt(norm2 * longest)) + 1e-6 * (1 + longest)
-                order = np.argsort(-bound, axis=1, kind="stable")[:, skip : None if count is None else skip + count]
-                row, col = np.nonzero(~(np.take_along_axis(bound, order, 1) < least[:, None]))
-                ring = ring_ids[order[row, col]].astype(np.int32)
-                ids = batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ring), pa.array((ids[row] // every % dealt).astype(np.int32)), pa.array(ids[row]), batch.column(1).take(pa.array(row))], names=["ring", "part", "vec_id", "vec"])
+                for d in done or ():  # what earlier rounds opened
+                    bound[np.unpackbits(np.frombuffer(d["mask"], np.uint8), count=len(m)).astype(bool), d["ring"]] = -np.inf
+                order = np.argsort(-bound, axis=1, kind="stable")[:, :count]
+                row, col = np.nonzero(np.take_along_axis(bound, order, 1) >= np.maximum(least, np.finfo(np.float64).min)[:, None])
+                hit = np.zeros(bound.shape, bool)
+                hit[row, order[row, col]] = True
+                rings = np.flatnonzero(hit.any(0))
+                at = np.repeat(np.arange(len(rings)), parts_of[rings])
+                block = np.concatenate([np.zeros(0, np.int64), *(np.arange(block_at[r], block_at[r + 1]) for r in rings)])
+                masks = [np.packbits(hit[:, r]).tobytes() for r in rings]
+                pairs = hit[:, rings].sum(0) * ring_size[rings] / parts_of[rings]
+                top = np.where(hit, bound, -np.inf).max(0)[rings] if len(rings) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), pack)), pa.array(rings[at].astype(np.int32)), pa.array(block), pa.array([masks[i] for i in at], pa.binary()), pa.array(top[at]), pa.array(pairs[at], pa.float64())], names=["pack", "ring", "block", "mask", "bound", "pairs"])
 
         return choose
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact = np.float64 if small else np.int64
-        for batch in batches:
-            for qi, qv, bi, bv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                qids, ids = np.frombuffer(qi, np.int64), np.frombuffer(bi, np.int64)
-                scores = np.frombuffer(qv, kind).astype(exact).reshape(len(qids), width) @ np.frombuffer(bv, kind).astype(exact).reshape(len(ids), width).T
-                q, v, s = _top(scores, ids, qids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
-
-    skip, compared = 0, 0
+        exact, asked = np.float64 if small else np.int64, None
+        for ids, vecs, mask in (r for batch in batches for i in range(batch.num_rows) for r in zip(*(c.slice(i, 1).to_pylist() for c in batch.columns), strict=True)):
+            ids, vecs = np.frombuffer(ids, np.int64), np.frombuffer(vecs, kind).reshape(-1, width).astype(exact)
+            if mask is None:
+                asked = ids, vecs
+                continue
+            on = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(asked[0])).astype(bool)
+            q, v, s = _top(asked[1][on] @ vecs.T, ids, asked[0][on], k)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+
+    compared, before = 0.0, None
     for count in ROUNDS:
         kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least")).withColumnRenamed("query_id", "vec_id")
-        asked = queries.join(kth, "vec_id", "left").select("vec_id", "vec", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least"))
-        asked = asked.mapInArrow(opened(count, skip), "ring int, part int, vec_id long, vec binary")
-        if stats is not None:
-            asked = checkpointed(asked)
-            held = dict(zip(ring_ids.tolist(), ring_size.tolist(), strict=True))
-            compared += sum(r["count"] * held[r["ring"]] for r in asked.groupBy("ring").count().collect())  # pivots x rings
-        packs = asked.repartition("ring", "part").sortWithinPartitions("ring", "part").mapInArrow(packed(PACK), schema)
-        packs = packs.select("ring", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"), F.explode(F.sequence(F.lit(0), blocks_of[F.col("ring")].cast("int") - 1)).alias("block"))
-        got = packs.join(blocks, ["ring", "block"]).select("qids", "qvecs", "ids", "vecs").mapInArrow(compare, "query_id long, vec_id long, score long")
+        asked = queries.join(kth, "vec_id", "left").select("pack", "vec_id", "vec", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least"))
+        packs = checkpointed(asked.repartition("pack").sortWithinPartitions("pack", "vec_id", "vec").mapInArrow(joined, "key long, ids binary, vecs binary, least binary").withColumnRenamed("key", "pack"))
+        done = F.lit(None).cast("array<struct<ring:int,mask:binary>>")
+        known = packs.withColumn("done", done) if before is None else packs.join(before.groupBy("pack").agg(F.collect_list(F.struct("ring", "mask")).alias("done")), "pack", "left")  # few rings a query
+        pairs = checkpointed(known.mapInArrow(opened(count), "pack long, ring int, block long, mask binary, bound double, pairs double"))
+        compared += pairs.agg(F.sum("pairs")).first()[0] or 0.0
+        new = pairs.select("pack", "ring", "mask").distinct()
+        before = new if before is None else before.unionByName(new)
+        sent = pairs.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+        mine = sent.select("pack", "part").distinct().join(packs, "pack").select("pack", "part", F.lit(None).cast("double").alias("bound"), "ids", "vecs", F.lit(None).cast("binary").alias("mask"))
+        theirs = sent.join(blocks, "block").select("pack", "part", "bound", "ids", "vecs", "mask")
+        both = mine.unionByName(theirs).repartition("pack", "part").sortWithinPartitions("pack", "part", F.desc_nulls_first("bound"))
+        got = both.select("ids", "vecs", "mask").mapInArrow(compare, "query_id long, vec_id long, score long")
         ranked = found.unionByName(got).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         found = checkpointed(ranked).select("query_id", "vec_id", "score")
-        skip += count or 0
     if stats is not None:
-        stats.update(vectors=int(ring_size.sum()), queries=queries.count(), compared=compared)
+        stats.update(vectors=int(ring_size.sum()), queries=queries.count(), compared=round(compared))
     return found.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "vec_id", "score")
