@@ -41,6 +41,11 @@ def known_origins_running(events: DataFrame) -> DataFrame:
     return first_seen(events).withColumn("known", F.array_sort(F.collect_set("origin_as").over(w)))
 
 
+def origin_text(prefix: Column, origin: Column, known: Column) -> Column:
+    """The alert's text, with the origins known by then."""
+    return F.concat(F.lit("AS"), origin.cast("string"), F.lit(" announced "), prefix, F.lit(" but known originators are: ["), F.array_join(known.cast("array<string>"), ", "), F.lit("]"))
+
+
 def hijack_first_seen(events: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """A possible hijack for every first sighting; the first origin of a prefix fires too."""
     return first_seen(events, history).select("event_id", F.lit("PossibleHijack").alias("anomaly_type"), "prefix", "origin_as", F.lit(HIJACK_CONFIDENCE).alias("confidence"), F.col("timestamp").alias("detected_at"), "tenant_id")

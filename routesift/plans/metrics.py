@@ -1,7 +1,9 @@
 """Queries of metric series, histograms and alert conditions."""
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
@@ -106,3 +108,44 @@ def rate_band(spark, d):
 @query("recording_rules", sql(f"select {start_sql(60)} as bucket, event_type, 60 as window_s, round(count(*) / 60.0, 9)::double as rate from bgp_events group by 1, 2 union all select {start_sql(300)}, event_type, 300, round(count(*) / 300.0, 9)::double from bgp_events group by 1, 2"))
 def recording_rules(spark, d):
     return M.recording(X.bgp_events(spark, d), "event_type").withColumn("rate", F.round("rate", 9))
+
+
+#: Ranges in seconds and the steps they slide by.
+RANGES = ((60, 30), (120, 60), (300, 150), (3600, 1800))
+COUNTER_SQL = ", counters as (select event_type, tenant_id, timestamp, row_number() over (partition by event_type, tenant_id, timestamp::date order by timestamp, event_id)::double as value from bgp_events) "
+
+
+def counters(spark, d):
+    """Samples of counters per type and tenant that start anew every day."""
+    w = Window.partitionBy("event_type", "tenant_id", F.to_date("timestamp")).orderBy("timestamp", "event_id")
+    return X.bgp_events(spark, d).select("event_type", "tenant_id", "timestamp", F.row_number().over(w).cast("double").alias("value"))
+
+
+def grown_sql(seconds: int, step: int) -> str:
+    """Increases of one range: samples by window, summed without drops, extrapolated."""
+    at = f"(t // {step * 1000000} + case when t % {step * 1000000} > 0 then 1 else 0 end + i) * {step * 1000000}"
+    return f"""select {seconds} as range_s, event_type, tenant_id, make_timestamp(stop) as "at", up * (seen + least(case when before >= seen / gaps * 1.1 then seen / gaps / 2 else before end, case when up > 0 then seen * v0 / up end) + case when after >= seen / gaps * 1.1 then seen / gaps / 2 else after end) / seen as increase
+    from (select event_type, tenant_id, stop, sum(rise) as up, min(v0) as v0, {seconds} - (stop - min(t)) / 1e6 as before, (stop - max(t)) / 1e6 as after, (max(t) - min(t)) / 1e6 as seen, count(*) - 1 as gaps from (
+        select *, case when i = 1 then 0 when value < last then value else value - last end as rise, case when i = 1 then value end as v0 from (
+            select event_type, tenant_id, stop, t, value, lag(value) over w as last, row_number() over w as i from (
+                select event_type, tenant_id, t, value, {at} as stop from (select *, epoch_us(timestamp) as t from counters), range({seconds // step}) r(i)) where stop < t + {seconds * 1000000} window w as (partition by event_type, tenant_id, stop order by t)))
+        group by event_type, tenant_id, stop having count(*) > 1)"""
+
+
+GROWN_SQL = COUNTER_SQL + ", grown as (" + " union all ".join(grown_sql(*r) for r in RANGES) + ") "
+
+
+def over_ranges(spark, d, name, per_second):
+    c = counters(spark, d)
+    each = [M.counter_increase(c, seconds, step, ["event_type", "tenant_id"], per_second=per_second).withColumn("range_s", F.lit(seconds)) for seconds, step in RANGES]
+    return reduce(lambda a, b: a.unionByName(b), each).select("range_s", "event_type", "tenant_id", "at", F.round(name, 6).alias(name))
+
+
+@query("counter_increase", sql(GROWN_SQL + 'select range_s, event_type, tenant_id, "at", round(increase, 6) as increase from grown'))
+def counter_increase(spark, d):
+    return over_ranges(spark, d, "increase", False)
+
+
+@query("counter_rate", sql(GROWN_SQL + 'select range_s, event_type, tenant_id, "at", round(increase / range_s, 6) as rate from grown'))
+def counter_rate(spark, d):
+    return over_ranges(spark, d, "rate", True)

@@ -154,6 +154,40 @@ def in_turns(spark, folder: str, rows, time: str, turns: int = 6):
     return R.read_stream(spark, f"{folder}/in", rows.schema, maxFilesPerTrigger="1")
 
 
+#: An origin is forgotten that its prefix hasn't shown for so many days.
+FORGET = 5
+KNOWN_SQL = f""", shown as (select *, lag(timestamp) over (partition by prefix, origin_as order by timestamp, event_id) as before from bgp_events where event_type = 'announce'),
+news as (select * from shown where timestamp >= timestamp '{WARM}' and (before is null or epoch_us(timestamp) - epoch_us(before) > {FORGET * 86400000000})),
+lists as (select n.event_id, n.prefix, n.origin_as, n.timestamp as detected_at, list_sort(list(distinct s.origin_as)) as known from news n join shown s on s.prefix = n.prefix and (s.timestamp < n.timestamp or s.timestamp = n.timestamp and s.event_id <= n.event_id) and epoch_us(n.timestamp) - epoch_us(s.timestamp) <= {FORGET * 86400000000} group by 1, 2, 3, 4) """
+
+
+@query("stream_known_origins", sql(KNOWN_SQL + "select *, 'AS' || origin_as || ' announced ' || prefix || ' but known originators are: [' || array_to_string(known, ', ') || ']' as details from lists"))
+def stream_known_origins(spark, d):
+    T.use_rocksdb(spark)
+    f, start = work_folder(spark), F.lit(datetime.fromisoformat(WARM)).cast("timestamp_ntz")
+    e = X.bgp_events(spark, d)
+    s = in_turns(spark, f, e.where(F.col("timestamp") >= start), "timestamp", 4)
+    return finished(spark, T.known_origins(s, e.where(F.col("timestamp") < start), FORGET * 86400), f)
+
+
+#: Windows without events after which a label counts as silent.
+SILENT = 3
+HELD_SQL = f""", span as (select max(timestamp) - interval 10 minutes as mark from base), counted as (select {start_sql(3600)} as bucket, event_type, count(*) as n from bgp_events, span where {start_sql(3600)} + interval 1 hour <= mark group by 1, 2),
+isl as (select *, epoch(bucket) / 3600 - row_number() over (partition by event_type order by bucket) as island from counted where n >= 10),
+runs as (select event_type, min(bucket) as since, max(bucket) as until, count(*) as periods from isl group by event_type, island),
+gaps as (select event_type, bucket, lead(bucket) over (partition by event_type order by bucket) as next from counted) """
+
+
+@query("stream_alert_for", sql(HELD_SQL + f"""select event_type, 'pending' as state, since, since as until, 1 as periods from runs union all select event_type, 'firing', since, since + interval 2 hours, 3 from runs where periods >= 3
+union all select event_type, 'resolved', since, until, periods from runs, span where periods >= 3 and until + interval 2 hours <= mark
+union all select event_type, 'silent', bucket + interval 1 hour, bucket + interval {SILENT + 1} hours, {SILENT} from gaps, span where coalesce(next, mark) >= bucket + interval {SILENT + 1} hours"""))
+def stream_alert_for(spark, d):
+    T.use_rocksdb(spark)
+    f = work_folder(spark)
+    s = in_turns(spark, f, X.bgp_events(spark, d), "timestamp", 4)
+    return finished(spark, T.held_conditions(s, F.col("n") >= 10, 3600, 3, ["event_type"], SILENT), f)
+
+
 #: The watermark stays ten minutes behind the newest alert or resolution; what is due by then has escalated.
 DUE_SQL = ENDED_SQL + ", mark as (select max(t) - interval 10 minutes as mark from (select fired_at as t from history union all select resolved_at from ended)), due as (select h.*, fired_at + interval 300 seconds as due_at from history h left join ended e using (alert_type, prefix, origin_as, fired_at) where h.confidence < 0.9 and coalesce(e.resolved_at >= h.fired_at + interval 300 seconds, true)) "
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
+from ..operators import detectors as D
 from ..operators import rpki as R
 from ..operators.storage import names_in, remove, scratch, work_folder
 from ..sources import readers
@@ -35,6 +36,35 @@ def hijack(stream: DataFrame, history: DataFrame | None = None) -> DataFrame:
     return fresh.dropDuplicates(["prefix", "origin_as"])
 
 
+def known_origins(stream: DataFrame, history: DataFrame | None = None, seconds: int = 30 * 86400) -> DataFrame:
+    """Announcements of an origin that its prefix hasn't shown for ``seconds``, with the origins that it has, and the alert's text.
+
+    ``history`` (events) fills the state once, when the stream first starts; it isn't read again, and
+    origins leave the state when they expire.
+    """
+    rows = timed(stream.where("event_type = 'announce'")).select("prefix", "timestamp", "event_id", "origin_as")
+    start = None
+    if history is not None:
+        last = history.where("event_type = 'announce' and origin_as is not null").groupBy("prefix", "origin_as").agg(F.max(F.unix_micros(F.col("timestamp").cast("timestamp"))).alias("at"))
+        start = last.groupBy("prefix").agg(F.collect_list(F.struct(F.col("origin_as").alias("origin"), "at")).alias("origins")).groupBy("prefix")  # a prefix's own origins
+    out = rows.groupBy("prefix").transformWithState(statefulProcessor=P.KnownOrigins(seconds), outputStructType="event_id long, prefix string, origin_as long, detected_us long, known array<long>", outputMode="Append", timeMode="EventTime", initialState=start)
+    text = D.origin_text(F.col("prefix"), F.col("origin_as"), F.col("known"))
+    return out.select("event_id", "prefix", "origin_as", F.timestamp_micros("detected_us").cast("timestamp_ntz").alias("detected_at"), "known", text.alias("details"))
+
+
+def held_conditions(stream: DataFrame, condition: Column, seconds: int, minimum: int, labels: list[str], silence: int = 10) -> DataFrame:
+    """(labels, state, since, until, periods): pending, firing and resolved stretches of windows whose count ``n`` holds, and silent labels.
+
+    Events are counted by window and label; a window is judged when the watermark has passed it.
+    """
+    counts = timed(stream).groupBy(F.window("timestamp", f"{seconds} seconds"), *labels).agg(F.count("*").alias("n"))
+    named = counts.select(F.window_time("window").alias("timestamp"), F.unix_millis("window.start").alias("bucket_ms"), *[F.col(c).cast("string").alias(f"label{i}") for i, c in enumerate(labels)], condition.alias("holds"))
+    schema = ", ".join(f"label{i} string" for i in range(len(labels))) + ", state string, since_ms long, until_ms long, periods long"
+    out = named.groupBy(*[f"label{i}" for i in range(len(labels))]).transformWithState(statefulProcessor=P.HeldCondition(seconds, minimum, silence), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    at = lambda c: F.timestamp_millis(c).cast("timestamp_ntz")
+    return out.select(*[F.col(f"label{i}").alias(c) for i, c in enumerate(labels)], "state", at("since_ms").alias("since"), at("until_ms").alias("until"), "periods")
+
+
 def flapping(stream: DataFrame, seconds: int = 300, min_events: int = 50, min_changes: int = 6) -> DataFrame:
     return timed(stream).groupBy("prefix").transformWithState(statefulProcessor=P.Flapping(seconds, min_events, min_changes), outputStructType="event_id long, prefix string, n_events long, n_changes long", outputMode="Append", timeMode="EventTime")
 

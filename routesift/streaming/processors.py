@@ -211,3 +211,127 @@ class Escalation(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class KnownOrigins(StatefulProcessor):
+    """Origins of a prefix with the time each was last seen: emits an announcement of one that wasn't seen for ``seconds``, with those that were.
+
+    The map may be filled from an initial state of one row per prefix, ``origins`` being its pairs of
+    origin and time. One timer per prefix, at the time the oldest origin expires, keeps the state no
+    larger than the origins of that span.
+    """
+
+    def __init__(self, seconds: int) -> None:
+        self.span = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "origin long", "at long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _watch(self, held: dict[int, int]) -> None:
+        """A timer for the oldest origin, if none comes earlier."""
+        if held:
+            due = (min(held.values()) + self.span) // 1000 + 1
+            if not self.timer.exists() or due < self.timer.get()[0]:
+                self.handle.registerTimer(due)
+                self.timer.update((due,))
+
+    def handleInitialState(self, key: Any, initialState: Any, timerValues: Any) -> None:
+        origins = initialState.at[0, "origins"] if hasattr(initialState, "at") else initialState.origins
+        held = {int(o["origin"]): int(o["at"]) for o in (x if isinstance(x, dict) else x.asDict() for x in origins)}
+        for origin, at in held.items():
+            self.seen.updateValue((origin,), (at,))
+        self._watch(held)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = {k[0]: v[0] for k, v in self.seen.iterator()}
+        changed = set()
+        for r in in_order(rows):
+            at = micros(r.timestamp)
+            if r.origin_as is None:
+                continue
+            if r.origin_as not in held or at - held[r.origin_as] > self.span:
+                known = sorted({r.origin_as, *(o for o, t in held.items() if at - t <= self.span)})
+                yield Row(event_id=r.event_id, prefix=key[0], origin_as=r.origin_as, detected_us=at, known=known)
+            held[r.origin_as] = max(at, held.get(r.origin_as, at))
+            changed.add(r.origin_as)
+        for origin in changed:
+            self.seen.updateValue((origin,), (held[origin],))
+        self._watch(held)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = {k[0]: v[0] for k, v in self.seen.iterator()}
+        for origin, at in list(held.items()):
+            if (at + self.span) // 1000 + 1 <= now:
+                self.seen.removeKey((origin,))
+                del held[origin]
+        self.timer.clear()
+        self._watch(held)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class HeldCondition(StatefulProcessor):
+    """A label's windows as a state machine: pending, firing after ``minimum`` windows in a row whose value holds, resolved at their end.
+
+    A stretch ends with a window that doesn't hold or that is missing; a timer ends it when the
+    watermark shows that the next window didn't come. Another timer tells that a label has been
+    silent for ``silence`` windows. Emits (state, since, until, periods) at each change.
+    """
+
+    def __init__(self, seconds: int, minimum: int, silence: int) -> None:
+        self.step, self.minimum, self.silence = seconds * 1000, minimum, silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stretch = handle.getValueState("stretch", "since long, until long, periods long")
+        self.last = handle.getValueState("last", "at long")
+
+    def _row(self, key: Any, state: str, since: int, until: int, periods: int) -> Row:
+        return Row(**{f"label{i}": k for i, k in enumerate(key)}, state=state, since_ms=since, until_ms=until, periods=periods)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = self.stretch.get() if self.stretch.exists() else None
+        last = self.last.get()[0] if self.last.exists() else None
+        for r in sorted(rows, key=lambda r: r.bucket_ms):
+            at = r.bucket_ms
+            if last is not None and at >= last + (self.silence + 1) * self.step:
+                yield self._row(key, "silent", last + self.step, last + (self.silence + 1) * self.step, self.silence)
+            if held is not None and (at > held[1] + self.step or not r.holds):
+                if held[2] >= self.minimum:
+                    yield self._row(key, "resolved", *held)
+                held = None
+            if r.holds:
+                held = (held[0], at, held[2] + 1) if held is not None else (at, at, 1)
+                if held[2] == self.minimum:
+                    yield self._row(key, "firing", *held)
+                elif held[2] == 1 and self.minimum > 1:
+                    yield self._row(key, "pending", *held)
+            last = at if last is None else max(last, at)
+        if held is None:
+            self.stretch.clear()
+        else:
+            self.stretch.update(held)
+            self.handle.registerTimer(held[1] + 2 * self.step)
+        if last is not None:
+            self.last.update((last,))
+            self.handle.registerTimer(last + (self.silence + 1) * self.step)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.stretch.exists() and self.stretch.get()[1] + 2 * self.step <= now:
+            held = self.stretch.get()
+            self.stretch.clear()
+            if held[2] >= self.minimum:
+                yield self._row(key, "resolved", *held)
+        if self.last.exists() and self.last.get()[0] + (self.silence + 1) * self.step <= now:
+            at = self.last.get()[0]
+            self.last.clear()
+            yield self._row(key, "silent", at + self.step, at + (self.silence + 1) * self.step, self.silence)
+
+    def close(self) -> None:
+        pass
