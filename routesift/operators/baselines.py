@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .folds import MovingAverage, scan_sorted
 from .joins import lookup_join
+from .storage import drop_partitions
 
 ALPHA = 0.1
 WELL_KNOWN_DAYS, FULL_DAYS = 7, 30
@@ -103,6 +106,11 @@ def live_snapshots(snapshots: DataFrame, as_of: str, days: int = 7) -> DataFrame
     return snapshots.where(F.to_date("snapshot_date") >= F.date_sub(F.to_date(F.lit(as_of)), days))
 
 
+def remove_snapshots(spark, path: str, as_of: str, days: int = 7) -> list[str]:
+    """Delete the folders of the snapshots that ``live_snapshots`` leaves out."""
+    return drop_partitions(spark, path, "snapshot_date", (date.fromisoformat(as_of) - timedelta(days=days)).isoformat())
+
+
 def train(events: DataFrame, as_of, days: int = 30) -> tuple[DataFrame, DataFrame]:
     """Prefix baselines and AS knowledge from the announcements of the last days."""
     recent = events.where((F.col("event_type") == "announce") & (F.col("timestamp") >= F.lit(as_of).cast(events.schema["timestamp"].dataType) - F.expr(f"interval {days} days")))

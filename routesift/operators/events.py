@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import drop_older
+
 EVENT_TYPES = ("announce", "withdraw")
 
 
@@ -106,3 +108,10 @@ def log_message(event_type: Column, prefix: Column, peer_name: Column, path: Col
 
 def retention(df: DataFrame, as_of, days: int, column: str = "timestamp") -> DataFrame:
     return df.where(F.col(column) >= F.lit(as_of).cast(df.schema[column].dataType) - F.expr(f"interval {days} days"))
+
+
+def purge(spark, path: str, as_of, days: int, unit: str = "month", time: str = "timestamp") -> list[str]:
+    """Remove stored events that ``retention`` leaves out: whole months (or days) by their folders, and rows of the oldest one kept."""
+    first = as_of - timedelta(days=days)
+    text = first.strftime("%Y%m" if unit == "month" else "%Y-%m-%d")
+    return drop_older(spark, path, unit, text, F.col(time) < F.lit(first).cast("timestamp_ntz"))

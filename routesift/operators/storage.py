@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
@@ -46,6 +46,36 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, keep_from: str) -> list[str]:
+    """Remove the folders ``column=value`` whose value, as text, sorts before ``keep_from``; their names. No file is read.
+
+    A query that is running over a removed folder fails and has to be run again; later ones don't see it.
+    """
+    gone = [name for name in names_in(spark, path) if name.startswith(f"{column}=") and name.partition("=")[2] < keep_from]
+    for name in gone:
+        remove(spark, f"{path}/{name}")
+    return gone
+
+
+def drop_older(spark: SparkSession, path: str, column: str, keep_from: str, older: Column) -> list[str]:
+    """Remove partitions before ``keep_from``, and of the one that is it the rows for which ``older`` holds.
+
+    Kept partitions but that one aren't read. It is written again only if it holds such a row: from a
+    stored copy, and put in place of the old one when all of it is written.
+    """
+    gone = drop_partitions(spark, path, column, keep_from)
+    if f"{column}={keep_from}" not in names_in(spark, path):
+        return gone
+    edge = spark.read.option("basePath", path).parquet(f"{path}/{column}={keep_from}")
+    if not edge.where(older).isEmpty():
+        kept = checkpointed(edge.where(~older))
+        if kept.isEmpty():
+            remove(spark, f"{path}/{column}={keep_from}")
+        else:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    return gone
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Within it checkpoints are tables in a folder that is removed at the end, so a job that repeats for months leaves nothing behind.

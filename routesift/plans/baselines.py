@@ -87,5 +87,6 @@ def baseline_snapshot(spark, d):
     path = f"{work_folder(spark)}/snapshots"
     for day in SNAPSHOT_DAYS:
         B.save_snapshot(B.ema_baseline(announces(spark, d).where(F.col("timestamp") < F.lit(datetime.fromisoformat(day)).cast("timestamp_ntz"))), path, day)
-    newest = B.newest_snapshot(B.live_snapshots(B.load_snapshots(spark, path), "2024-01-30"))
+    B.remove_snapshots(spark, path, "2024-01-30")
+    newest = B.newest_snapshot(B.load_snapshots(spark, path))
     return newest.select("snapshot_date", "prefix", F.round("ema", 6).alias("ema"), F.round("var", 6).alias("var"), "n")

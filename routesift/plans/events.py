@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import activity as A
 from ..operators import events as E
 from ..operators.storage import work_folder
 from . import fixtures as X
@@ -102,3 +103,39 @@ def retention_filter(spark, d):
 @query("path_length", sql("select event_id, len(as_path)::int as path_length from bgp_events"))
 def path_length(spark, d):
     return X.bgp_events(spark, d).select("event_id", S.path_length(F.col("as_path")).alias("path_length"))
+
+
+@query("retention_drop", sql(f"select {COLS} from bgp_events where timestamp >= timestamp '2024-01-30' - interval 10 days"))
+def retention_drop(spark, d):
+    path = work_folder(spark) + "/events"
+    X.bgp_events(spark, d).withColumn("day", A.day_of()).write.partitionBy("day").parquet(path)
+    E.purge(spark, path, AS_OF, 10, "day")
+    return spark.read.parquet(path).select(*PICK)
+
+
+SOME = "strftime(timestamp, '%Y-%m-%d') between '2024-01-08' and '2024-01-21'"
+
+
+def stored_days(spark, d, key, distinct):
+    path = work_folder(spark) + "/days"
+    e = X.bgp_events(spark, d)
+    for part in (F.col("timestamp") < F.lit(DAY).cast("timestamp_ntz"), F.col("timestamp") >= F.lit(DAY).cast("timestamp_ntz")):
+        A.save_days(A.daily(e.where(part), key, distinct), path)
+    return A.load_days(spark, path, "2024-01-08", "2024-01-21")
+
+
+@query("top_as_merge", sql(f"select origin_as, count(*) as events, count(distinct prefix) as prefixes from bgp_events where {SOME} group by 1 order by 2 desc, 1 limit 10"))
+def top_as_merge(spark, d):
+    return A.top(stored_days(spark, d, "origin_as", "prefix"), "origin_as", "prefixes")
+
+
+@query("flapping_prefixes_merge", sql(f"select prefix, count(*) as events, count(distinct origin_as) as origins from bgp_events where {SOME} group by 1 having count(*) > 10 order by 2 desc, 1 limit 20"))
+def flapping_prefixes_merge(spark, d):
+    return A.top(stored_days(spark, d, "prefix", "origin_as"), "prefix", "origins", 20, 10)
+
+
+@query("as_days_merge", sql(f"select origin_as, count(distinct timestamp::date) as days from bgp_events where {SOME} group by 1"))
+def as_days_merge(spark, d):
+    path = work_folder(spark) + "/months"
+    A.save_days(A.day_bits(X.bgp_events(spark, d)), path)
+    return A.days_between(A.load_days(spark, path, "2024-01", "2024-01", "month"), "2024-01-08", "2024-01-21")

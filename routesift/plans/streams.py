@@ -19,6 +19,7 @@ from .alerts import BUMPED_SQL, ENDED_SQL, HIST_SQL, UNHEARD_SQL, bumped_columns
 from .baselines import EMA_SQL
 from .detectors import DELTA_SQL, FIRST_SQL, FLAP_SQL, KEYS_SQL
 from .fixtures import sql
+from .logs import GCRA_SQL
 from .metrics import start_sql
 from .registry import query
 
@@ -188,6 +189,14 @@ def stream_alert_for(spark, d):
     return finished(spark, T.held_conditions(s, F.col("n") >= 10, 3600, 3, ["event_type"], SILENT), f)
 
 
+@query("stream_gcra", sql(GCRA_SQL + "select tenant_id, id, ok as conforming from walk"))
+def stream_gcra(spark, d):
+    T.use_rocksdb(spark)
+    f = work_folder(spark)
+    s = in_turns(spark, f, X.log_messages(spark, d), "timestamp", 4)
+    return finished(spark, T.token_bucket(s, 1 / 900, 2), f)
+
+
 #: The watermark stays ten minutes behind the newest alert or resolution; what is due by then has escalated.
 DUE_SQL = ENDED_SQL + ", mark as (select max(t) - interval 10 minutes as mark from (select fired_at as t from history union all select resolved_at from ended)), due as (select h.*, fired_at + interval 300 seconds as due_at from history h left join ended e using (alert_type, prefix, origin_as, fired_at) where h.confidence < 0.9 and coalesce(e.resolved_at >= h.fired_at + interval 300 seconds, true)) "
 

@@ -335,3 +335,41 @@ class HeldCondition(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class TokenBucket(StatefulProcessor):
+    """A bucket per key that refills at a steady rate, as its theoretical arrival time: only requests that conform move it.
+
+    A timer forgets a key whose bucket is full again.
+    """
+
+    def __init__(self, step: float, slack: float) -> None:
+        self.step, self.slack = step, slack
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tat = handle.getValueState("tat", "at double")
+
+    def _full(self, tat: float) -> int:
+        return int(tat * 1000) + 1
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before = tat = self.tat.get()[0] if self.tat.exists() else float("-inf")
+        for r in in_order(rows):
+            t = micros(r.timestamp) / 1e6
+            due = max(tat, t)
+            ok = due - t <= self.slack + 1e-9
+            if ok:
+                tat = due + self.step
+            yield Row(key=key[0], event_id=r.event_id, conforming=ok)
+        if tat != before:
+            self.tat.update((tat,))
+            self.handle.registerTimer(self._full(tat))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        if self.tat.exists() and self._full(self.tat.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.tat.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
