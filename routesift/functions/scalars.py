@@ -105,6 +105,11 @@ def pii_hits(text: Column) -> tuple[Column, Column]:
     return total, F.array_compact(kinds)
 
 
+def pii_redacted(text: Column) -> Column:
+    """struct(text, hits): the redacted text and its total of matches, in one scan."""
+    return let(pii_scan(text), lambda s: F.struct(s["text"].alias("text"), F.aggregate(s["counts"], F.lit(0), lambda n, c: n + F.coalesce(c, F.lit(0))).alias("hits")))
+
+
 def message_key(text: Column) -> Column:
     return F.sha2(F.lower(F.trim(text)), 256)
 

@@ -15,31 +15,39 @@ REPEAT_TTL = 300
 SOFT_SHARE = 80.0
 
 
-ENTRY = "struct<level:variant,source:variant,message:variant,metadata:variant,_corrupt_record:string>"
+#: Fields of an entry; strings are read as such, and once more with their kinds where a value may not be one.
+FIELDS = ("level", "source", "message")
+ENTRY = "struct<level:string,source:string,message:string,metadata:variant,_corrupt_record:string>"
+KINDS_OF = "struct<level:variant,source:variant,message:variant>"
+#: A field's name with another value than a string, or a name that may be escaped.
+UNSURE = r'"(level|source|message)"\s*:\s*[^"\s]|\\u'
 
 
 def validate(entries: DataFrame, column: str = "json") -> DataFrame:
     """``entries`` with level, source, message, metadata (JSON text) and errors (empty if valid, else joined with "; ").
 
-    The JSON is parsed once, in a generator, so that later filters don't parse it again. Text that
-    isn't a JSON object is one error; other fields are allowed. A null text isn't an object.
+    The JSON is parsed once, in a generator, so that later filters don't parse it again; what is
+    judged are plain columns. Only texts that may hold another value than a string in a field are
+    parsed a second time, for the kinds of the values. Text that isn't a JSON object is one error;
+    other fields are allowed. A null text isn't an object.
     """
-
-    def checked(v: Column) -> Column:
-        texts = F.struct(*[S.json_text(v[f]).alias(f) for f in ("level", "source", "message")], F.to_json(v["metadata"]).alias("metadata"), (v.isNotNull() & v["_corrupt_record"].isNull()).alias("whole"))
-        return S.let(texts, judged)
-
-    def judged(t: Column) -> Column:
-        bad = F.array_compact(F.array(
-            F.when(~F.coalesce(t["level"].isin(*LEVELS), F.lit(False)), "level"),
-            F.when(~F.coalesce(F.length(t["source"]).between(1, 128), F.lit(False)), "source"),
-            F.when(~F.coalesce(F.length(t["message"]).between(1, 8192), F.lit(False)), "message"),
-            F.when((t["metadata"] != "null") & ~t["metadata"].startswith("{"), "metadata"),
-        ))
-        return F.struct(*[t[f].alias(f) for f in ("level", "source", "message", "metadata")], F.when(t["whole"], F.concat_ws("; ", bad)).otherwise("not an object").alias("errors"))
-
-    kept = [c for c in entries.columns if c not in ("level", "source", "message", "metadata", "errors")]
-    return entries.select(*kept, F.inline(F.array(S.let(F.from_json(column, ENTRY), checked))))
+    kept = [c for c in entries.columns if c not in (*FIELDS, "metadata", "errors")]
+    text = F.col(f"`{column}`")
+    parsed = entries.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.from_json(text, ENTRY))).alias(*[f"_{f}" for f in FIELDS], "_metadata", "_corrupt"))
+    unsure = text.rlike(UNSURE)
+    exact = F.from_json(text, KINDS_OF)
+    fields = [F.when(unsure, S.json_text(exact[f])).otherwise(F.col(f"_{f}")).alias(f) for f in FIELDS]
+    bare = F.trim(text)
+    whole = text.isNotNull() & F.col("_corrupt").isNull() & (bare != "") & (bare != "null")
+    parsed = parsed.select(*[F.col(f"`{c}`") for c in kept], *fields, F.to_json("_metadata").alias("metadata"), whole.alias("_whole"))
+    bad = F.concat_ws(
+        "; ",
+        F.when(~F.coalesce(F.col("level").isin(*LEVELS), F.lit(False)), "level"),
+        F.when(~F.coalesce(F.length("source").between(1, 128), F.lit(False)), "source"),
+        F.when(~F.coalesce(F.length("message").between(1, 8192), F.lit(False)), "message"),
+        F.when((F.col("metadata") != "null") & ~F.col("metadata").startswith("{"), "metadata"),
+    )
+    return parsed.select(*[F.col(f"`{c}`") for c in kept], *FIELDS, "metadata", F.when(F.col("_whole"), bad).otherwise("not an object").alias("errors"))
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +117,7 @@ def redact_distinct(messages: DataFrame) -> DataFrame:
     """(id, key, redacted, hits): every distinct key is redacted once, from its first message, and joined back."""
     keyed = messages.withColumn("key", S.message_key(F.col("message")))
     first = keyed.groupBy("key").agg(F.min(F.struct("timestamp", "id", "message")).alias("f"))
-    once = first.select("key", S.pii_redact(F.col("f.message")).alias("redacted"), S.pii_hits(F.col("f.message"))[0].alias("hits"))
+    once = first.select("key", F.inline(F.array(S.pii_redacted(F.col("f.message"))))).select("key", F.col("text").alias("redacted"), "hits")
     return keyed.select("id", "key").join(once, "key").select("id", "key", "redacted", "hits")
 
 
@@ -147,5 +155,6 @@ def log_pipeline(entries: DataFrame, limit: Column, unit: str = "second") -> Dat
     allowed = quota_check(good, limit, unit).where("quota <> 'Exceeded'")
     allowed = checkpointed(allowed.select("id", "timestamp", "tenant_id", "source", "level", "message", "quota", S.message_key(F.col("message")).alias("key")))
     first = allowed.groupBy("key").agg(F.min(F.struct("timestamp", "id", "message")).alias("f"))
-    once = lookup_join(allowed, first.select("key", F.col("f.id").alias("first_id"), S.pii_redact(F.col("f.message")).alias("redacted_message"), S.pii_hits(F.col("f.message"))[0].alias("pii_hits")), ["key"])
+    redacted = first.select("key", F.col("f.id").alias("first_id"), F.inline(F.array(S.pii_redacted(F.col("f.message"))))).select("key", "first_id", F.col("text").alias("redacted_message"), F.col("hits").alias("pii_hits"))
+    once = lookup_join(allowed, redacted, ["key"])
     return once.select("id", "timestamp", "tenant_id", "source", "level", "redacted_message", "pii_hits", F.octet_length("message").cast("long").alias("bytes"), (F.col("id") != F.col("first_id")).alias("cache_hit"), "quota")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import waves as W
+from ..operators.storage import checkpointed
 from . import fixtures as X
 from .fixtures import sql
 from .functions import GEO_SQL, pair_distances
@@ -49,7 +50,7 @@ def prop(spark, d):
 
 
 def scored(spark, d):
-    e = prop(spark, d)
+    e = checkpointed(prop(spark, d))  # the statistics, the order and the score start from it
     return W.wave_score(e, W.build_baseline(W.good_route(e)), pair_distances(spark))
 
 
