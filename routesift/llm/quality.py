@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_values, checkpointed, lookup_join, pieces
+from .urlfilter import host_of, path_of
 
 #: Bounds of the documents that a parent's rate counts as; the upper one stands where groups don't differ.
 STRENGTHS = (1.0, 1000.0)
@@ -159,20 +160,26 @@ def document_site() -> tuple[Column, Column]:
     return F.col("source"), F.col("lang")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def url_site(url: str = "url") -> tuple[Column, Column]:
+    """Host and directory of a row with a URL; both empty without one."""
+    return host_of(url), F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, site: tuple[Column, Column] | None = None) -> DataFrame:
     """(doc_id, host, path, evidence, host_rate, path_rate, quality_score, keep) of every document.
 
+    ``site`` are the columns of host and path, by default source and language; ``url_site`` takes them from a URL.
     Empty and null texts have the features' zero bins; texts are measured whole. Null sources and
     languages form groups of their own. Repeated rows repeat their result and count again in their
     groups; a score equal to the threshold is kept. An empty table gives none. Other columns are ignored.
     """
-    binned = checkpointed(with_bins(docs, *document_site()).select("doc_id", "_host", "_path", "_bins"))
+    binned = checkpointed(with_bins(docs, *(site or document_site())).select("doc_id", "_host", "_path", "_bins"))
     out = posterior(binned, fit_binned(binned, labels), threshold)
     return out.select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), "evidence", "host_rate", "path_rate", "quality_score", "keep")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, site: tuple[Column, Column] | None = None) -> DataFrame:
     """The documents whose posterior reaches the threshold, with the columns of ``docs``."""
-    binned = with_bins(docs, *document_site())
+    binned = with_bins(docs, *(site or document_site()))
     model = fit_binned(checkpointed(binned.select("doc_id", "_host", "_path", "_bins")), labels)
     return posterior(binned, model, threshold).where("keep").select("_row.*")

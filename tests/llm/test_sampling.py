@@ -278,3 +278,39 @@ def test_repeated_ids_train_once(spark):
     many = toxicity.fit(spark.createDataFrame(texts + [texts[7]] * 500, "doc_id long, text string"), labels)
     assert (one.at == many.at).all() and np.allclose(np.sort(one.weight), np.sort(many.weight))
     assert {r["doc_id"]: r["label"] for r in toxicity.sample(labels).collect()}[1] == 0
+
+
+def test_sites_of_urls_raise_held_out_quality(spark):
+    from conftest import SF
+
+    from routesift.llm import common, quality
+
+    def auc(scored):
+        good, bad = [s for s, y in scored if y], [s for s, y in scored if not y]
+        return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+
+    rng = random.Random(12)
+    seen = [r["url"] for r in common.read_table(spark, SF, "pages").select("url").collect()]  # the hosts' names are those of the table
+    hosts = sorted({re.match(r"[a-z]+://([^/?#]+)", u)[1].lower() for u in seen})[:40]
+    sizes = {h: (80 if i % 4 == 0 else rng.randrange(1, 4)) for i, h in enumerate(hosts)}
+    rate = {h: rng.choice([0.05, 0.5, 0.95]) for h in hosts}
+    rows, labels = [], {}
+    for h in hosts:
+        for _ in range(sizes[h]):
+            i, y = len(rows), int(rng.random() < rate[h])
+            words = [rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30)]
+            for mark in ("!", "|", "#", "9"):  # weak signs, each turned about in four of ten documents
+                if (rng.random() < 0.4) == bool(y):
+                    words[rng.randrange(30)] += mark
+            rows.append((i, f"https://{h}/en/{i}?q=1", " ".join(words)))
+            labels[i] = y
+    docs = spark.createDataFrame(rows, "doc_id long, url string, text string").repartition(3)
+    known = spark.createDataFrame([(i, y) for i, y in labels.items() if i % 2], "doc_id long, quality int")
+    got = quality.score_documents(docs, known, site=quality.url_site()).collect()
+    held = [r for r in got if r["doc_id"] % 2 == 0]
+    alone, joined = (auc([(r[c], labels[r["doc_id"]]) for r in held]) for c in ("evidence", "quality_score"))
+    assert joined > alone + 0.01
+    assert {r["path"] for r in got} == {"/en/"} and {r["host"] for r in got} == set(hosts)
+    prior = sum(labels[i] for i in labels if i % 2) / sum(1 for i in labels if i % 2)
+    apart = {n: np.mean([abs(r["host_rate"] - prior) for r in got if (sizes[r["host"]] > 3) == n]) for n in (True, False)}
+    assert apart[False] < apart[True]  # sparse hosts stay near the global rate
