@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import alerts as A
 from ..operators import detectors as D
 from ..operators import rpki as R
-from ..operators.storage import names_in, remove, scratch, work_folder
+from ..operators.storage import checkpointed, names_in, remove, scratch, work_folder
 from ..sources import readers
 from . import processors as P
 
@@ -29,10 +29,14 @@ def timed(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def hijack(stream: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """First sightings of (prefix, origin): known pairs of the history are dropped, state holds one row per pair."""
+    """First sightings of (prefix, origin): known pairs of the history are dropped, state holds one row per pair.
+
+    The history's pairs are stored once when the stream is built; batches read the pairs, not the
+    history. Pairs are never forgotten; ``known_origins`` is the form whose state is bounded in time.
+    """
     fresh = stream.where("event_type <> 'withdraw'")
     if history is not None:
-        fresh = fresh.join(history.select("prefix", "origin_as").distinct(), ["prefix", "origin_as"], "left_anti")
+        fresh = fresh.join(checkpointed(history.select("prefix", "origin_as").distinct()), ["prefix", "origin_as"], "left_anti")
     return fresh.dropDuplicates(["prefix", "origin_as"])
 
 
