@@ -46,6 +46,16 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a file of a checked size, wherever Hadoop keeps it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
 def drop_partitions(spark: SparkSession, path: str, column: str, keep_from: str) -> list[str]:
     """Remove the folders ``column=value`` whose value, as text, sorts before ``keep_from``; their names. No file is read.
 
