@@ -15,8 +15,6 @@ URLs ask for are sent there once each, so that a frequent one isn't one task.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lookup_join, release_memory
+from ..operators.storage import write_bytes
+from .common import checkpointed, lookup_join, release_memory, shared_folder
 
 ALLOW, BLOCK = "allow", "block"
 #: The rules of the registered query: host, beginning of the path, verdict.
@@ -158,10 +157,9 @@ def _clean(rules: DataFrame) -> DataFrame:
 def _by_file(pairs: DataFrame, rules: DataFrame, host: str, path: str) -> DataFrame:
     """The rule of every row from one mapped file; ``rules`` was measured to be small."""
     spark, name = pairs.sparkSession, f"rules-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="spark-")  # the driver's copy, which Spark sends to the executors
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(Rules.pack([tuple(r) for r in rules.toPandas().itertuples(index=False)]))
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    stored = f"{shared_folder(spark)}/{name}"  # from where Spark takes it to the executors, new ones too
+    write_bytes(spark, stored, Rules.pack([tuple(r) for r in rules.toPandas().itertuples(index=False)]))
+    spark.sparkContext.addFile(stored)
 
     @F.arrow_udf(FOUND)
     def rule(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
