@@ -186,10 +186,10 @@ def oracle_sql() -> dict[str, str]:
         "op12_hard_negatives": _negatives_sql(),
         "op13_url_filter": _urls_sql(),
         "op2_line_dedup": f"""
-            with l as (select doc_id, pos, line, {key} as key from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents)),
-            often as (select key from l where key <> '' group by key having count(distinct doc_id) >= {linededup.MIN_DOCS})
+            with l as (select r, doc_id, pos, line, {key} as key from (select r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from (select row_number() over () as r, doc_id, text from documents))),
+            often as (select key from l where key <> '' group by key having count(distinct r) >= {linededup.MIN_DOCS})
             select doc_id, count(*) as n_lines, count(o.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where o.key is null), '')) as kept_sha256
-            from l left join often o using (key) group by doc_id""",
+            from l left join often o using (key) group by r, doc_id""",
         "op6_topk": f"""
             with v as (select vec_id, {ints} as x from embeddings where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
             s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.x::double[], c.x::double[])::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % {topk.EVERY} = 0)
