@@ -263,7 +263,10 @@ def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
         # matches allow any number of blanks where they allow one
         held += BLANKS.sub(b" ", chunk.lstrip(b" ") if held.endswith(b" ") else chunk)
         if len(held) >= limit:
-            if (end := _safe_end(held)) and (end := _open_run(held, end)):
+            end = _safe_end(held)
+            if end and (begin := _open_run(held, end)) < end:
+                end = _safe_end(held[:begin])  # the run goes on with the white space before it
+            if end:
                 yield bytes(held[:end]), False
                 del held[:end]
                 # a run that is carried over is looked at again when the rest has doubled
