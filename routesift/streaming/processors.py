@@ -120,36 +120,44 @@ class AnchoredTtl(StatefulProcessor):
 
 
 class Propagation(StatefulProcessor):
-    """Groups of arrivals that open with the first and close ``seconds`` later."""
+    """Groups of arrivals that open with the first and close ``seconds`` later.
+
+    The open group is one value: it is read once and stored once for a key's rows of a batch, however
+    many they are, with one timer for the group that is open at their end.
+    """
 
     def __init__(self, seconds: int, min_collectors: int) -> None:
         self.span, self.least = seconds * 1000, min_collectors
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.opened = handle.getValueState("opened", "at long")
-        self.arrivals = handle.getMapState("arrivals", "collector string", "at long")
+        self.open = handle.getValueState("open", "at long, collectors array<string>, times array<long>")
 
-    def _closed(self, key: Any) -> Iterator[Row]:
-        times = sorted((v[0], k[0]) for k, v in self.arrivals.iterator())
-        self.arrivals.clear()
-        self.opened.clear()
+    def _closed(self, key: Any, arrivals: dict[str, int]) -> Iterator[Row]:
+        times = sorted((t, c) for c, t in arrivals.items())
         if len(times) >= self.least:
             yield Row(prefix=key[0], origin_as=key[1], path=key[2], first_ms=times[0][0], spread_ms=times[-1][0] - times[0][0], arrival_order=[c for _, c in times])
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        for r in sorted(rows, key=lambda r: (r.arrival_ms, r.collector)):
-            if self.opened.exists() and r.arrival_ms >= self.opened.get()[0] + self.span:
-                yield from self._closed(key)
-            if not self.opened.exists():
-                self.opened.update((r.arrival_ms,))
-                self.handle.registerTimer(r.arrival_ms + self.span)
-            if not self.arrivals.containsKey((r.collector,)):
-                self.arrivals.updateValue((r.collector,), (r.arrival_ms,))
+        held = self.open.get()
+        opened, arrivals = (held[0], dict(zip(held[1], held[2], strict=True))) if held is not None else (None, {})
+        before = opened
+        for at, collector in sorted((r.arrival_ms, r.collector) for r in rows):
+            if opened is None or at >= opened + self.span:
+                if opened is not None:
+                    yield from self._closed(key, arrivals)
+                opened, arrivals = at, {}
+            arrivals.setdefault(collector, at)
+        if opened is not None:
+            self.open.update((opened, list(arrivals), list(arrivals.values())))
+            if opened != before:
+                self.handle.registerTimer(opened + self.span)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        if self.opened.exists() and self.opened.get()[0] + self.span <= expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._closed(key)
+        held = self.open.get()
+        if held is not None and held[0] + self.span <= expiredTimerInfo.getExpiryTimeInMs():
+            self.open.clear()
+            yield from self._closed(key, dict(zip(held[1], held[2], strict=True)))
 
     def close(self) -> None:
         pass
