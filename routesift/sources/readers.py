@@ -92,15 +92,16 @@ def read_replay(spark, path: str) -> DataFrame:
     return df.withColumn("collector", F.coalesce("collector", F.when(named != "", named), F.lit("unknown"))).where("prefix is not null and event_type is not null")
 
 
-def read_vrps(dump: DataFrame, column: str = "json") -> DataFrame:
+def read_vrps(dump: DataFrame, column: str = "json", good: Callable[[Column], Column] = lambda prefix: S.prefix_bits(prefix).isNotNull()) -> DataFrame:
     """(prefix, max_length, asn, ord) of ``{roas: [...]}`` in list order; entries with a bad prefix or AS are skipped. Both spellings of the length are read.
 
     A dump may come in several rows; ``first`` is then the number of entries before a row's own.
+    ``good`` says which prefixes are kept: the valid ones, unless a source has its own way to write them.
     """
     p = dump.select(F.from_json(column, "first long, roas array<struct<prefix string, maxLength int, max_length int, asn string>>").alias("p"))
     d = p.select(F.coalesce("p.first", F.lit(0)).alias("first"), F.posexplode("p.roas").alias("pos", "r")).withColumn("ord", F.col("first") + F.col("pos"))
     v = d.select("r.prefix", F.coalesce("r.maxLength", "r.max_length").alias("max_length"), S.parse_asn(F.col("r.asn")).alias("asn"), F.col("ord").cast("long").alias("ord"))
-    return v.where(F.col("asn").isNotNull() & S.prefix_bits(F.col("prefix")).isNotNull())
+    return v.where(F.col("asn").isNotNull() & good(F.col("prefix")))
 
 
 def read_roas(dump: DataFrame, column: str = "json") -> DataFrame:
