@@ -49,31 +49,32 @@ def rate(df: DataFrame, seconds: int, labels: list[str], time: str = "timestamp"
     return increase(df, seconds, labels, time).withColumn("rate", F.col("n") / seconds).drop("n")
 
 
-def counter_windows(samples: DataFrame, seconds: int, step: int, labels: list[str], time: str = "timestamp", value: str = "value") -> DataFrame:
+def counter_windows(samples: DataFrame, seconds: int, step: int, labels: list[str], time: str = "timestamp", value: str = "value", ties: str = "highest") -> DataFrame:
     """(labels, at, samples): the samples of every series in the ranges that end at multiples of ``step``, sorted by time.
 
     A range is ``seconds`` long and holds its end, not its begin. A sample is sent to each of its
     ranges by series and end, so a series of any length spreads over tasks; what is gathered is one
     series' samples of one range. Samples without a time or a value are left out, of samples at one
-    time the highest counts.
+    time the highest counts; with ``ties="all"`` each does, in the order of their values.
     """
     t, span, every = F.unix_micros(F.col(time).cast("timestamp")), seconds * 1_000_000, step * 1_000_000
     first = F.ceil(F.col("_t") / F.lit(every)).cast("long") * every
     fine = samples.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(*labels, t.alias("_t"), F.col(value).cast("double").alias("_v"))
     ends = fine.withColumn("_first", first).withColumn("_at", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.lit(span), F.lit(every)))).where(F.col("_at") < F.col("_t") + span)
-    once = ends.groupBy(*labels, "_at", "_t").agg(F.max("_v").alias("_v"))
+    once = ends if ties == "all" else ends.groupBy(*labels, "_at", "_t").agg(F.max("_v").alias("_v"))
     g = once.groupBy(*labels, "_at").agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))).alias("samples"))
     return g.select(*labels, F.timestamp_micros("_at").cast("timestamp_ntz").alias("at"), "samples")
 
 
-def counter_increase(samples: DataFrame, seconds: int, step: int, labels: list[str], time: str = "timestamp", value: str = "value", per_second: bool = False) -> DataFrame:
+def counter_increase(samples: DataFrame, seconds: int, step: int, labels: list[str], time: str = "timestamp", value: str = "value", per_second: bool = False, ties: str = "highest") -> DataFrame:
     """(labels, at, increase or rate) of counters over ranges that slide by ``step``, extrapolated to the ranges' ends.
 
     A value below the one before is a reset to zero. Ranges with fewer than two samples give no row.
     The sampled stretch is extended to a range's begin and end if they are within 1.1 mean distances
     of samples, else by half a distance, and to the begin no further than where the counter would be zero.
+    ``ties`` is as in ``counter_windows``; where all of a range's samples lie at one time the growth is NaN.
     """
-    w = counter_windows(samples, seconds, step, labels, time, value).where(F.size("samples") > 1)
+    w = counter_windows(samples, seconds, step, labels, time, value, ties).where(F.size("samples") > 1)
     s = F.col("samples")
     steps = F.zip_with(F.slice(s, F.lit(2), F.size(s) - 1), F.slice(s, F.lit(1), F.size(s) - 1), lambda b, a: F.when(b["v"] < a["v"], b["v"]).otherwise(b["v"] - a["v"]))
     begin, end = s[0], F.element_at(s, -1)
@@ -82,7 +83,7 @@ def counter_increase(samples: DataFrame, seconds: int, step: int, labels: list[s
     mean = F.col("_seen") / F.col("_gaps")
     reach = lambda c: F.when(c >= mean * 1.1, mean / 2).otherwise(c)
     zero = F.when((F.col("_up") > 0) & (F.col("_v") >= 0), F.col("_seen") * F.col("_v") / F.col("_up"))
-    grown = F.col("_up") * (F.col("_seen") + F.least(reach(F.col("_before")), zero) + reach(F.col("_after"))) / F.col("_seen")
+    grown = F.coalesce(F.try_divide(F.col("_up") * (F.col("_seen") + F.least(reach(F.col("_before")), zero) + reach(F.col("_after"))), F.col("_seen")), F.lit(float("nan")))
     return w.select(*labels, "at", (grown / seconds).alias("rate") if per_second else grown.alias("increase"))
 
 
