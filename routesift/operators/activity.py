@@ -2,7 +2,8 @@
 
 A range of days is answered from one row per day (or month) and key, without the events. Counts and
 days are exact; distinct values are HyperLogLog estimates, whose relative standard error is about
-1.04 / sqrt(2 ** LG) and which are exact while there are few values.
+1.04 / sqrt(2 ** LG) and which are exact while there are few values, or, with one row per day, key
+and value, exact counts.
 """
 
 from __future__ import annotations
@@ -18,8 +19,13 @@ def day_of(time: str = "timestamp") -> Column:
     return F.date_format(time, "yyyy-MM-dd")
 
 
-def daily(events: DataFrame, key: str, distinct: str) -> DataFrame:
-    """(day, key, events, sketch): the events of a key on a day and a sketch of the values of ``distinct``."""
+def daily(events: DataFrame, key: str, distinct: str, exact: bool = False) -> DataFrame:
+    """(day, key, events, sketch): the events of a key on a day and a sketch of the values of ``distinct``.
+
+    ``exact``: (day, key, value, events), a row for each value instead of the sketch.
+    """
+    if exact:
+        return events.groupBy(day_of().alias("day"), key, F.col(distinct).cast("string").alias("value")).agg(F.count("*").alias("events"))
     return events.groupBy(day_of().alias("day"), key).agg(F.count("*").alias("events"), F.hll_sketch_agg(F.col(distinct).cast("string"), LG).alias("sketch"))
 
 
@@ -36,6 +42,9 @@ def load_days(spark, path: str, since: str, until: str, column: str = "day") ->
 
 def united(states: DataFrame, key: str, name: str = "distinct") -> DataFrame:
     """(key, events, name) over all the states' days."""
+    if "value" in states.columns:
+        pairs = states.groupBy(key, "value").agg(F.sum("events").alias("events"))
+        return pairs.groupBy(key).agg(F.sum("events").alias("events"), F.count("value").alias(name))
     g = states.groupBy(key).agg(F.sum("events").alias("events"), F.hll_union_agg("sketch").alias("sketch"))
     return g.select(key, "events", F.hll_sketch_estimate("sketch").alias(name))
 
