@@ -114,11 +114,12 @@ def wave_states(events: DataFrame, day: Column | None = None) -> DataFrame:
 def merged_moments(states: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, mean, std, min, max, cutoff_ms) from states of any days and finer keys.
 
-    Deviations are taken from the joint mean before they are added, so nothing cancels.
+    Deviations are taken from the joint mean before they are added, so nothing cancels. A key has
+    few states, one for each day and finer key, so the join with the means repeats no rows.
     """
     mean = states.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
     apart = F.col("mean") - F.col("_mean")
-    g = lookup_join(states.select(*keys, "n", "mean", "m2", "min", "max", "cutoff_ms"), mean, keys).groupBy(*keys)
+    g = states.select(*keys, "n", "mean", "m2", "min", "max", "cutoff_ms").join(sized(mean), keys, "left").groupBy(*keys)
     g = g.agg(F.sum("n").alias("n"), F.any_value("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"), F.max("cutoff_ms").alias("cutoff_ms"))
     return g.withColumn("std", F.sqrt(F.col("m2") / F.col("n"))).drop("m2")
 
