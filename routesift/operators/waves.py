@@ -180,10 +180,13 @@ def far_pairs(events: DataFrame, distances: DataFrame, key: list[str]) -> DataFr
 
 
 def lookup_baseline(events: DataFrame, baseline: DataFrame, baseline_key: str = "exact") -> DataFrame:
-    """Left join on (prefix, origin, path); ``baseline_key="prefix"`` takes the prefix's most-sampled entry."""
+    """Left join on (prefix, origin, path); ``baseline_key="prefix"`` takes the prefix's most-sampled entry.
+
+    A (prefix, origin, path) has one event per slot at most, so no key of theirs is hot enough to be salted.
+    """
     cols = ["sample_count", "p50_spread_ms", "p99_spread_ms", "std_dev", "expected_order"]
     if baseline_key == "exact":
-        return lookup_join(events, baseline.select(*GROUP, *cols), GROUP)
+        return events.join(sized(baseline.select(*GROUP, *cols)), GROUP, "left")
     top = baseline.groupBy("prefix").agg(F.max_by(F.struct(*cols), F.struct("sample_count", "origin_as", "as_path")).alias("b")).select("prefix", "b.*")
     return lookup_join(events, top, ["prefix"])
 

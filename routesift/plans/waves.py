@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import waves as W
-from ..operators.storage import checkpointed
+from ..operators.storage import checkpointed, stored
 from . import fixtures as X
 from .fixtures import sql
 from .functions import GEO_SQL, pair_distances
@@ -103,7 +103,7 @@ def baseline_build_job(spark, d):
 
 @query("wave_baseline_lookup", sql(BASE_SQL + f"select {KEY}, sample_count, round(p50_spread_ms, 6) as p50 from prop left join full_baseline using (prefix, origin_as, as_path)"))
 def wave_baseline_lookup(spark, d):
-    e = prop(spark, d)
+    e = stored(prop(spark, d))  # the statistics, the order and the lookup start from it
     return W.lookup_baseline(e, W.build_baseline(W.good_route(e))).select(*KEYS, "sample_count", F.round("p50_spread_ms", 6).alias("p50"))
 
 
