@@ -88,8 +88,8 @@ def anchored(stream: DataFrame, key: str, seconds: int) -> DataFrame:
 
 def token_bucket(stream: DataFrame, rate: float, burst: float | None = None, key: str = "tenant_id", ident: str = "id") -> DataFrame:
     """(key, id, conforming) of requests against a bucket of ``burst`` that refills at ``rate`` a second; as ``gcra_limit``."""
-    rows = timed(stream).select(F.col(key).alias("key"), "timestamp", F.col(ident).alias("event_id"))
-    out = rows.groupBy("key").transformWithState(statefulProcessor=P.TokenBucket(1.0 / rate, ((burst or rate) - 1) / rate), outputStructType="key string, event_id long, conforming boolean", outputMode="Append", timeMode="EventTime")
+    rows = timed(stream).select(F.col(key).alias("key"), "timestamp", F.unix_micros("timestamp").alias("at_us"), F.col(ident).alias("event_id"))
+    out = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=P.TokenBucket(1.0 / rate, ((burst or rate) - 1) / rate), outputStructType="key string, event_id long, conforming boolean", outputMode="Append", timeMode="EventTime")
     return out.select(F.col("key").alias(key), F.col("event_id").alias(ident), "conforming")
 
 
