@@ -164,13 +164,17 @@ class Propagation(StatefulProcessor):
         pass
 
 
+#: No alert and no resolution.
+NOTHING = (None,) * 6
+
+
 class Escalation(StatefulProcessor):
     """An alert that is still unresolved ``seconds`` after it fired comes out once, bumped.
 
     Keyed by alert; rows are alerts (kind ``fired``) and resolutions (``resolved``), in any order. An
     event-time timer per alert fires when the watermark passes its age, so the alert may have come in
     any earlier batch. A resolution before that time cancels it; one that comes before its alert is
-    kept as long.
+    kept as long. Both are one value, so a key's rows of a batch cost one read and one write.
     """
 
     def __init__(self, seconds: int, below: float, bump: float, top: float) -> None:
@@ -178,45 +182,45 @@ class Escalation(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fired = handle.getValueState("fired", "at long, alert_type string, prefix string, origin_as long, confidence double")
-        self.resolved = handle.getValueState("resolved", "at long")
+        self.held = handle.getValueState("held", "at long, alert_type string, prefix string, origin_as long, confidence double, ended long")
 
     def _due(self, at: int) -> int:
         return -(-(at + self.age) // 1000)
 
-    def _watch(self, at: int) -> None:
-        self.handle.registerTimer(self._due(at))
-
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        fired = self.fired.get() if self.fired.exists() else None
-        ended = self.resolved.get()[0] if self.resolved.exists() else None
+        held = self.held.get() or NOTHING
+        fired, ended = held[:5], held[5]
         for r in rows:
             at = micros(r.timestamp)
             if r.kind == "resolved":
                 ended = at if ended is None else min(ended, at)
             elif r.confidence is not None and r.confidence < self.below:
                 fired = (at, r.alert_type, r.prefix, r.origin_as, r.confidence)
-        if fired is not None and ended is not None and ended < fired[0] + self.age:
-            if self.fired.exists():
-                self.handle.deleteTimer(self._due(self.fired.get()[0]))
-            self.fired.clear()
-            fired = None
-        if fired is not None:
-            self.fired.update(fired)
-            self._watch(fired[0])
-        if ended is not None:
-            self.resolved.update((ended,))
-            self._watch(ended)
+        if fired[0] is not None and ended is not None and ended < fired[0] + self.age:
+            if held[0] is not None:
+                self.handle.deleteTimer(self._due(held[0]))
+            fired = NOTHING[:5]
+        if (now := (*fired, ended)) != held:
+            self.held.update(now)
+        for due in {self._due(at) for at in (fired[0], ended) if at is not None}:
+            self.handle.registerTimer(due)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if self.fired.exists() and self._due(self.fired.get()[0]) <= now:
-            at, kind, prefix, origin, confidence = self.fired.get()
-            self.fired.clear()
+        now, held = expiredTimerInfo.getExpiryTimeInMs(), self.held.get()
+        if held is None:
+            return
+        fired, ended = held[:5], held[5]
+        if fired[0] is not None and self._due(fired[0]) <= now:
+            at, kind, prefix, origin, confidence = fired
+            fired = NOTHING[:5]
             yield Row(id=key[0], alert_type=kind, prefix=prefix, origin_as=origin, confidence=min(confidence + self.bump, self.top), before=confidence, fired_us=at, due_us=at + self.age)
-        if self.resolved.exists() and self._due(self.resolved.get()[0]) <= now:
-            self.resolved.clear()
+        if ended is not None and self._due(ended) <= now:
+            ended = None
+        if fired[0] is None and ended is None:
+            self.held.clear()
+        elif (*fired, ended) != held:
+            self.held.update((*fired, ended))
 
     def close(self) -> None:
         pass
